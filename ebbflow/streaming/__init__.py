@@ -1,0 +1 @@
+"""Intentionally empty: the covered analyses are all retrospective, none is a streaming query."""
