@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ebbflow.functions.special import plogis
+from ebbflow.operators.windows import exact_quantiles
 
 # 97.5 % quantile of the normal distribution, exact and as rounded in partial-effect plots.
 Z_975 = 1.959963984540054
@@ -31,7 +32,10 @@ def spread_indices(long: DataFrame, names: Sequence[str]) -> DataFrame:
 
 def class_density(df: DataFrame, x: str, label: str, points: int = 64, lower: float | None = None,
                   upper: float | None = None, by: Sequence[str] = ()) -> DataFrame:
-    """Share of each class along the index: Gaussian kernel densities weighted by class size.
+    """Kernel density of each class along the index and its share of the stacked densities.
+
+    Every density integrates to one, as in a filled density plot; the bandwidth is the rule of thumb
+    ``0.9 min(sd, IQR / 1.34) n^-0.2``.
 
     The kernel is summed per grid point and class in one aggregation over the rows; the grid of fixed
     size is an ``explode``, partially summed before the shuffle.
@@ -40,9 +44,10 @@ def class_density(df: DataFrame, x: str, label: str, points: int = 64, lower: fl
     rows = df.where(F.col(x).isNotNull()).select(*groups, label, F.col(x).cast("double").alias("_x"))
     stats = rows.groupBy(*groups, label).agg(
         F.count(F.lit(1)).alias("_n"), F.stddev_samp("_x").alias("_sd"),
-        F.percentile_approx("_x", [0.25, 0.75], 10000).alias("_q"),
         F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
-    spread = F.least(F.col("_sd"), (F.col("_q")[1] - F.col("_q")[0]) / 1.34)
+    quartiles = exact_quantiles(rows, [*groups, label], "_x", (0.25, 0.75), ("_q1", "_q3")).drop("n")
+    stats = stats.join(quartiles, [*groups, label])
+    spread = F.least(F.col("_sd"), (F.col("_q3") - F.col("_q1")) / 1.34)
     stats = stats.withColumn("_h", 0.9 * F.when(spread > 0, spread).when(F.col("_sd") > 0, F.col("_sd"))
                              .otherwise(1.0) * F.pow(F.col("_n"), F.lit(-0.2)))
     lo = F.lit(float(lower)) if lower is not None else None
@@ -53,16 +58,16 @@ def class_density(df: DataFrame, x: str, label: str, points: int = 64, lower: fl
             {"_from": span.select("_from").scalar(), "_to": span.select("_to").scalar()})
     else:
         stats = stats.withColumns({"_from": lo, "_to": hi})
-    rows = rows.join(F.broadcast(stats.select(*groups, label, "_h", "_from", "_to")), [*groups, label])
+    rows = rows.join(stats.select(*groups, label, "_n", "_h", "_from", "_to"), [*groups, label])
     step = F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("i")
-    grid = rows.select(*groups, label, "_x", "_h", "_from", "_to", step)
+    grid = rows.select(*groups, label, "_x", "_n", "_h", "_from", "_to", step)
     at = F.col("_from") + (F.col("_to") - F.col("_from")) * F.col("i") / (points - 1)
     u = (at - F.col("_x")) / F.col("_h")
-    kernel = F.exp(-0.5 * u * u) / (F.col("_h") * math.sqrt(2 * math.pi))
-    sums = grid.groupBy(*groups, "i", label).agg(F.max(at).alias("x"), F.sum(kernel).alias("mass"))
-    total = sums.groupBy(*groups, "i").agg(F.sum("mass").alias("_all"))
+    kernel = F.exp(-0.5 * u * u) / (F.col("_h") * F.col("_n") * math.sqrt(2 * math.pi))
+    sums = grid.groupBy(*groups, "i", label).agg(F.max(at).alias("x"), F.sum(kernel).alias("density"))
+    total = sums.groupBy(*groups, "i").agg(F.sum("density").alias("_all"))
     return sums.join(total, [*groups, "i"]).select(
-        *groups, "i", "x", label, "mass", F.when(F.col("_all") > 0, F.col("mass") / F.col("_all")).alias("share"))
+        *groups, "i", "x", label, "density", F.when(F.col("_all") > 0, F.col("density") / F.col("_all")).alias("share"))
 
 
 def features(df: DataFrame, xs: Sequence[str]) -> DataFrame:

@@ -17,7 +17,10 @@ from ebbflow.plans.flows import RECESSION
 from ebbflow.plans.registry import query
 from ebbflow.sources import series
 
-Q90 = F.percentile("value", F.lit(0.1)).over(by_key())
+def q90():
+    """Flow exceeded on 90 % of the days of a series."""
+    return F.percentile("value", F.lit(0.1)).over(by_key())
+
 
 THR = """thr AS (SELECT series_id, quantile_cont(value, 0.1) AS threshold FROM {source} GROUP BY 1),
 days AS (SELECT d.series_id, d.time, d.value, threshold,
@@ -49,8 +52,8 @@ def shipping_by_status(spark, folder):
        sql.with_(sql.SHIP, sql.full("ship"), THR.format(source="fullc"), sql.run_id(STATE, "days", "runs"),
                  EVENTS.format(runs="runs")) + PLAIN)
 def drought_events(spark, folder):
-    """Droughts below Q90 of every series."""
-    return ev.drought_events(shipping(spark, folder), Q90)
+    """Droughts below q90() of every series."""
+    return ev.drought_events(shipping(spark, folder), q90())
 
 
 @query("supplier_drought_events", PLAIN_COLUMNS,
@@ -111,7 +114,7 @@ POOLED_CTES = (sql.SHIP, sql.full("ship"), THR.format(source="fullc"), sql.run_i
 @query("drought_events_pooled", POOLED_COLUMNS, sql.with_(*POOLED_CTES) + POOLED)
 def drought_events_pooled(spark, folder):
     """Droughts merged over short wet periods."""
-    return ev.drought_events(shipping(spark, folder), Q90, "inter-event", min_duration=5)
+    return ev.drought_events(shipping(spark, folder), q90(), "inter-event", min_duration=5)
 
 
 @query("drought_events_pooled_gaps", POOLED_COLUMNS,
@@ -119,7 +122,7 @@ def drought_events_pooled(spark, folder):
                  EVENTS.format(runs="runs"), POOL.format(limit=10)) + POOLED)
 def drought_events_pooled_gaps(spark, folder):
     """Pooling never bridges a missing day."""
-    return ev.drought_events(shipping_by_status(spark, folder), Q90, "inter-event", min_duration=10)
+    return ev.drought_events(shipping_by_status(spark, folder), q90(), "inter-event", min_duration=10)
 
 
 @query("drought_events_pooled_volume", POOLED_COLUMNS,
@@ -142,7 +145,7 @@ pooled AS (SELECT s.series_id, min(first_day) AS first_day, max(last_day) AS las
 """ + POOLED)
 def drought_events_pooled_volume(spark, folder):
     """Pooling that also compares the excess volume with the deficit pooled so far."""
-    return ev.drought_events(shipping(spark, folder), Q90, "inter-event", min_duration=30, min_vol_ratio=20.0)
+    return ev.drought_events(shipping(spark, folder), q90(), "inter-event", min_duration=30, min_vol_ratio=20.0)
 
 
 SPA = """acc AS (SELECT *, sum(CASE WHEN value IS NULL THEN 1 ELSE 0 END) OVER w AS span FROM days
@@ -166,7 +169,7 @@ SPA_COLUMNS = "series_id:s event:i first_day:d last_day:d duration:i dbt:i volum
        + SPA_EVENTS.replace(", sev AS", ", sev AS", 1))
 def sequent_peak_events(spark, folder):
     """Droughts of the sequent peak algorithm."""
-    return ev.drought_events(shipping(spark, folder), Q90, "sequent-peak")
+    return ev.drought_events(shipping(spark, folder), q90(), "sequent-peak")
 
 
 @query("sequent_peak_storage", "series_id:s time:d storage:f6",
@@ -180,7 +183,7 @@ UNION ALL SELECT o.series_id, o.i, greatest(l.storage + o.d, 0.0) FROM loop_ l J
 SELECT series_id, time, storage FROM loop_ JOIN o USING (series_id, i)""")
 def sequent_peak_storage(spark, folder):
     """Daily storage, checked against the step-by-step recurrence."""
-    days = series.ship_daily(spark, folder).withColumn("threshold", Q90)
+    days = series.ship_daily(spark, folder).withColumn("threshold", q90())
     return ev.with_storage(days)
 
 
@@ -189,7 +192,7 @@ def sequent_peak_storage(spark, folder):
        + SPA_EVENTS)
 def sequent_peak_gaps(spark, folder):
     """Sequent peak droughts of series with missing days."""
-    return ev.drought_events(shipping_by_status(spark, folder), Q90, "sequent-peak")
+    return ev.drought_events(shipping_by_status(spark, folder), q90(), "sequent-peak")
 
 
 @query("drought_events_seasonal", PLAIN_COLUMNS,
@@ -230,7 +233,7 @@ def drought_events_daily_threshold(spark, folder):
   FROM days WINDOW w AS (PARTITION BY series_id ORDER BY time)) WHERE value <= threshold AND (a OR b)""")
 def missing_beside_drought(spark, folder):
     """Low days next to a missing day."""
-    return ev.na_warnings(shipping_by_status(spark, folder), Q90)
+    return ev.na_warnings(shipping_by_status(spark, folder), q90())
 
 
 @query("deficit_band", "series_id:s time:d value:f2 lwr:f6 upr:f6 below:b",
@@ -238,7 +241,7 @@ def missing_beside_drought(spark, folder):
        + """SELECT series_id, time, value, CASE WHEN below THEN value ELSE threshold END AS lwr, threshold AS upr, below FROM days""")
 def deficit_band(spark, folder):
     """Edges of the shaded deficit area."""
-    days = ev.drought_days(shipping(spark, folder), Q90)
+    days = ev.drought_days(shipping(spark, folder), q90())
     return ev.deficit_band(days).withColumn("below", F.col("value") < F.col("threshold"))
 
 
@@ -249,7 +252,7 @@ b AS (SELECT series_id, min(time) - 1 AS a, max(time) + 1 AS z FROM runs JOIN to
        + "SELECT series_id, time, value, storage FROM runs JOIN b USING (series_id) WHERE time BETWEEN a AND z")
 def largest_storage_event(spark, folder):
     """Days of the largest sequent peak event and one day either side."""
-    days = ev.drought_days(shipping(spark, folder), Q90, "sequent-peak")
+    days = ev.drought_days(shipping(spark, folder), q90(), "sequent-peak")
     top = F.max_by("event", F.struct("storage", (-F.unix_date("time")).alias("t"))).over(by_key())
     return ev.around_event(days.withColumn("top", top), F.col("top"))
 
@@ -262,7 +265,7 @@ MINOR = sql.with_(*POOLED_CTES, f"num AS ({POOLED})",
        MINOR + "SELECT series_id, event, duration, volume, is_minor FROM flag")
 def minor_droughts(spark, folder):
     """Pooled droughts with a flag for the minor ones."""
-    return ev.flag_minor(ev.drought_events(shipping(spark, folder), Q90, "inter-event", min_duration=5))
+    return ev.flag_minor(ev.drought_events(shipping(spark, folder), q90(), "inter-event", min_duration=5))
 
 
 @query("droughts_per_year", "series_id:s year:i n_droughts:i real_duration:i min_flow:f2",
@@ -270,7 +273,7 @@ def minor_droughts(spark, folder):
   sum(dbt) AS real_duration, min(qmin) AS min_flow FROM flag WHERE NOT is_minor GROUP BY 1, 2""")
 def droughts_per_year(spark, folder):
     """Major droughts per hydrological year."""
-    pooled = ev.drought_events(shipping(spark, folder), Q90, "inter-event", min_duration=5)
+    pooled = ev.drought_events(shipping(spark, folder), q90(), "inter-event", min_duration=5)
     return idx.events_per_year(ev.flag_minor(pooled).where("not is_minor"), "-09-01")
 
 
@@ -278,7 +281,7 @@ def droughts_per_year(spark, folder):
        MINOR + "SELECT series_id, duration // 5 * 5 AS bin, count(*) AS n FROM flag GROUP BY 1, 2")
 def drought_duration_histogram(spark, folder):
     """Drought durations in bins of five days."""
-    pooled = ev.drought_events(shipping(spark, folder), Q90, "inter-event", min_duration=5)
+    pooled = ev.drought_events(shipping(spark, folder), q90(), "inter-event", min_duration=5)
     return idx.histogram(pooled, "duration", 5, ["series_id"])
 
 
@@ -286,7 +289,7 @@ def drought_duration_histogram(spark, folder):
        sql.with_(*POOLED_CTES, f"num AS ({POOLED})", """lim AS (SELECT series_id, event, first_day, CAST(dbt AS DOUBLE) AS duration,
   volume / 1000 AS volume, round_even(max(volume / 1000) OVER (PARTITION BY series_id) * 0.005, 0) AS limit_ FROM num)""")
        + f"""SELECT series_id, event, {sql.water_year('first_day')} AS year, first_day, duration, volume FROM lim
-WHERE duration >= 8 AND volume >= limit_""")
+WHERE duration >= 4 AND volume >= limit_""")
 def partial_duration_series(spark, folder):
     """Major droughts as a partial duration series."""
     return _partial_series(spark, folder)[0]
@@ -295,7 +298,7 @@ def partial_duration_series(spark, folder):
 @query("drought_free_years", "series_id:s year:i",
        sql.with_(*POOLED_CTES, f"num AS ({POOLED})", """lim AS (SELECT series_id, first_day, CAST(dbt AS DOUBLE) AS duration,
   volume / 1000 AS volume, round_even(max(volume / 1000) OVER (PARTITION BY series_id) * 0.005, 0) AS limit_ FROM num)""",
-                 "major AS (SELECT DISTINCT series_id, year(first_day) AS year FROM lim WHERE duration >= 8 AND volume >= limit_)")
+                 "major AS (SELECT DISTINCT series_id, year(first_day) AS year FROM lim WHERE duration >= 4 AND volume >= limit_)")
        + "SELECT DISTINCT series_id, year(time) AS year FROM fullc ANTI JOIN major ON major.series_id = fullc.series_id AND major.year = year(time)")
 def drought_free_years(spark, folder):
     """Years without a major drought."""
@@ -304,9 +307,9 @@ def drought_free_years(spark, folder):
 
 def _partial_series(spark, folder):
     days = shipping(spark, folder)
-    pooled = ev.drought_events(days, Q90, "inter-event", min_duration=5)
+    pooled = ev.drought_events(days, q90(), "inter-event", min_duration=5)
     years = days.select("series_id", F.year("time").alias("year")).distinct()
-    return idx.partial_duration_series(pooled, years, min_days=8)
+    return idx.partial_duration_series(pooled, years, min_days=4)
 
 
 # ---- base flow and recession -----------------------------------------------------------------

@@ -1 +1,227 @@
-"""Queries."""
+"""Queries on regional regression and interpolation between areas."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ebbflow.operators import regional as rg
+from ebbflow.operators.skill import cv_summary
+from ebbflow.plans.registry import query
+from ebbflow.sources import series
+
+DESC = """WITH per_part AS (SELECT l_partkey, count(*) AS lines, avg(l_quantity) AS quantity, avg(l_discount) AS discount,
+  avg(l_tax) AS tax, avg(l_extendedprice) AS price FROM lineitem GROUP BY 1),
+d AS (SELECT p_partkey AS id, CAST(p_size AS DOUBLE) AS size, p_retailprice AS retail, CAST(lines AS DOUBLE) AS lines, quantity,
+  discount, tax, price / 1000 AS target FROM part JOIN per_part ON l_partkey = p_partkey)
+"""
+
+SCOPE = ["size", "retail", "lines", "quantity", "discount", "tax"]
+
+
+def descriptors(spark, folder):
+    """Descriptor table: one row per part with a target and six predictors."""
+    lines = series.table(spark, folder, "lineitem").groupBy("l_partkey").agg(
+        F.count(F.lit(1)).cast("double").alias("lines"), F.avg("l_quantity").alias("quantity"),
+        F.avg("l_discount").alias("discount"), F.avg("l_tax").alias("tax"),
+        (F.avg("l_extendedprice") / 1000).alias("target"))
+    parts = series.table(spark, folder, "part").select(
+        F.col("p_partkey").alias("l_partkey"), F.col("p_size").cast("double").alias("size"),
+        F.col("p_retailprice").alias("retail"))
+    return parts.join(lines, "l_partkey").withColumnRenamed("l_partkey", "id")
+
+
+TWO = DESC + """, m AS (SELECT count(*) AS n, avg(target) AS my, avg(quantity) AS m1, avg(discount) AS m2,
+  regr_sxx(target, quantity) AS s11, regr_sxx(target, discount) AS s22, regr_sxy(discount, quantity) AS s12,
+  regr_sxy(target, quantity) AS sy1, regr_sxy(target, discount) AS sy2, regr_syy(target, discount) AS tss FROM d),
+f AS (SELECT *, s11 * s22 - s12 * s12 AS det FROM m),
+b AS (SELECT *, (sy1 * s22 - sy2 * s12) / det AS b1, (sy2 * s11 - sy1 * s12) / det AS b2 FROM f),
+r AS (SELECT *, tss - b1 * sy1 - b2 * sy2 AS rss2, tss - sy1 * sy1 / s11 AS rss1, my - b1 * m1 - b2 * m2 AS b0 FROM b)
+"""
+
+
+@query("regional_regression", "term:s estimate:f6 r2:f8 sigma:f6 aic:f4 n:i",
+       TWO + """SELECT term, CASE term WHEN 'quantity' THEN b1 WHEN 'discount' THEN b2 ELSE b0 END AS estimate,
+  1 - rss2 / tss AS r2, sqrt(rss2 / (n - 3)) AS sigma, n * ln(rss2 / n) + 6 AS aic, n
+FROM r, (SELECT unnest(['(intercept)', 'quantity', 'discount']) AS term)""")
+def regional_regression(spark, folder):
+    """Multiple regression on two descriptors."""
+    return rg.regression(descriptors(spark, folder), "target", ["quantity", "discount"])
+
+
+@query("regression_tests", "term:s se:f6 t:f4",
+       TWO + """SELECT term, sqrt(rss2 / (n - 3)) * sqrt(CASE term WHEN 'quantity' THEN s22 / det ELSE s11 / det END) AS se,
+  CASE term WHEN 'quantity' THEN b1 ELSE b2 END / (sqrt(rss2 / (n - 3)) * sqrt(CASE term WHEN 'quantity' THEN s22 / det ELSE s11 / det END)) AS t
+FROM r, (SELECT unnest(['quantity', 'discount']) AS term)""")
+def regression_tests(spark, folder):
+    """Standard errors and t values of the slopes."""
+    fit = rg.regression(descriptors(spark, folder), "target", ["quantity", "discount"])
+    return fit.where(F.col("term") != "(intercept)")
+
+
+@query("term_changes", "change:s term:s rss:f4 aic:f4",
+       TWO + """SELECT 'none' AS change, '' AS term, rss1 AS rss, n * ln(rss1 / n) + 4 AS aic FROM r
+UNION ALL SELECT 'drop', 'quantity', tss, n * ln(tss / n) + 2 FROM r
+UNION ALL SELECT 'add', 'discount', rss2, n * ln(rss2 / n) + 6 FROM r""")
+def term_changes(spark, folder):
+    """Dropping and adding single terms."""
+    return rg.single_term_changes(descriptors(spark, folder), "target", ["quantity", "discount"], ["quantity"])
+
+
+@query("stepwise_selection", "term:s estimate:f4 se:f4 r2:f6 aic:f2 n:i")
+def stepwise_selection(spark, folder):
+    """Stepwise selection among all descriptors."""
+    return rg.stepwise(descriptors(spark, folder), "target", SCOPE, ["size"])
+
+
+@query("cooks_distance", "id:i fitted:f4 resid:f4 leverage:f8 cooks_d:f8",
+       DESC + """, m AS (SELECT count(*) AS n, avg(quantity) AS mx, regr_slope(target, quantity) AS b, regr_intercept(target, quantity) AS a,
+  regr_sxx(target, quantity) AS sxx, regr_syy(target, quantity) - pow(regr_sxy(target, quantity), 2) / regr_sxx(target, quantity) AS rss FROM d),
+e AS (SELECT id, a + b * quantity AS fitted, target - a - b * quantity AS resid, 1.0 / n + pow(quantity - mx, 2) / sxx AS leverage,
+  rss / (n - 2) AS s2 FROM d, m)
+SELECT id, fitted, resid, leverage, resid * resid / (2 * s2) * leverage / pow(1 - leverage, 2) AS cooks_d FROM e""")
+def cooks_distance(spark, folder):
+    """Leverage and Cook's distance of every row."""
+    return rg.cooks_distance(descriptors(spark, folder), "target", ["quantity"], "id")
+
+
+@query("refit_without_outliers", "term:s estimate:f4 r2:f6 n:i")
+def refit_without_outliers(spark, folder):
+    """Stepwise selection again without rows of large Cook's distance."""
+    table = descriptors(spark, folder)
+    distance = rg.cooks_distance(table, "target", SCOPE, "id")
+    kept = table.join(distance.where("cooks_d >= 0.01").select("id"), "id", "left_anti")
+    return rg.stepwise(kept, "target", SCOPE, SCOPE)
+
+
+@query("term_contributions", "id:i term:s contribution:f6 partial_residual:f4 fitted:f4",
+       TWO + """SELECT id, term, CASE term WHEN 'quantity' THEN b1 * (quantity - m1) ELSE b2 * (discount - m2) END AS contribution,
+  CASE term WHEN 'quantity' THEN b1 * (quantity - m1) ELSE b2 * (discount - m2) END + target - (b0 + b1 * quantity + b2 * discount) AS partial_residual,
+  b0 + b1 * quantity + b2 * discount AS fitted
+FROM d, r, (SELECT unnest(['quantity', 'discount']) AS term)""")
+def term_contributions(spark, folder):
+    """Contribution of each term and partial residuals."""
+    return rg.term_contributions(descriptors(spark, folder), "target", ["quantity", "discount"], "id")
+
+
+@query("robust_regression", "term:s estimate:f3 scale:f3 n:i")
+def robust_regression(spark, folder):
+    """MM regression on three descriptors."""
+    return rg.robust_regression(descriptors(spark, folder), "target", ["quantity", "discount", "lines"],
+                                subsets=60)
+
+
+@query("transformed_target", "id:i root:f6 logged:f6",
+       DESC + "SELECT id, sqrt(target) AS root, ln(target) AS logged FROM d")
+def transformed_target(spark, folder):
+    """Square root and logarithm of the target."""
+    return descriptors(spark, folder).select("id", F.sqrt("target").alias("root"), F.log("target").alias("logged"))
+
+
+# ---- areas -----------------------------------------------------------------------------------
+
+def points(spark, folder):
+    """Vectors as points: the first two components are coordinates, the third is the variable."""
+    return series.table(spark, folder, "embeddings").select(
+        "vec_id", F.get("embedding", F.lit(0)).cast("double").alias("x"),
+        F.get("embedding", F.lit(1)).cast("double").alias("y"),
+        F.get("embedding", F.lit(2)).cast("double").alias("z"))
+
+
+POINTS = """WITH pt AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y,
+  CAST(embedding[3] AS DOUBLE) AS z FROM embeddings)
+"""
+
+
+@query("sample_variogram", "bin:i n:i distance:f6 gamma:f8",
+       POINTS + """, h AS (SELECT sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) AS h, 0.5 * pow(a.z - b.z, 2) AS g
+  FROM pt a JOIN pt b ON a.vec_id < b.vec_id)
+SELECT least(CAST(floor(h / 0.05) AS INTEGER), 4) AS bin, count(*) AS n, avg(h) AS distance, avg(g) AS gamma
+FROM h WHERE h < 0.25 GROUP BY 1""")
+def sample_variogram(spark, folder):
+    """Binned variogram of all point pairs closer than the cutoff."""
+    return rg.sample_variogram(points(spark, folder), 0.05, 0.25, block=200)
+
+
+SIZE = 0.1
+
+
+def area_cells(spark, folder):
+    """Square areas, discretised on a finer grid."""
+    p = points(spark, folder)
+    name = F.concat_ws("/", F.floor(F.col("x") / SIZE).cast("string"), F.floor(F.col("y") / SIZE).cast("string"))
+    p = p.withColumn("area_id", name)
+    return rg.discretise(p, SIZE / 4), p.groupBy("area_id").agg(F.avg("z").alias("z"), F.count(F.lit(1)).alias("n"))
+
+
+AREAS = POINTS + f""", nm AS (SELECT *, CAST(CAST(floor(x / {SIZE}) AS BIGINT) AS VARCHAR) || '/' || CAST(CAST(floor(y / {SIZE}) AS BIGINT) AS VARCHAR) AS area_id FROM pt),
+cell AS (SELECT area_id, floor(x / {SIZE / 4}) AS cx, floor(y / {SIZE / 4}) AS cy, avg(x) AS x, avg(y) AS y, count(*) AS n FROM nm GROUP BY 1, 2, 3),
+cw AS (SELECT area_id, x, y, n / sum(n) OVER (PARTITION BY area_id) AS w FROM cell)
+"""
+
+
+@query("area_cells", "area_id:s cells:i weight:f6 cx:f6 cy:f6",
+       AREAS + "SELECT area_id, count(*) AS cells, sum(w) AS weight, sum(w * x) AS cx, sum(w * y) AS cy FROM cw GROUP BY 1")
+def area_discretisation(spark, folder):
+    """Areas as weighted cells: count, total weight and centre."""
+    cells = area_cells(spark, folder)[0]
+    return cells.groupBy("area_id").agg(
+        F.count(F.lit(1)).alias("cells"), F.sum("weight").alias("weight"),
+        F.sum(F.col("x") * F.col("weight")).alias("cx"), F.sum(F.col("y") * F.col("weight")).alias("cy"))
+
+
+@query("areal_semivariance", "a:s b:s gamma:f8",
+       AREAS + """, g AS (SELECT p.area_id AS a, q.area_id AS b, sum(p.w * q.w * CASE WHEN p.x = q.x AND p.y = q.y THEN 0 ELSE
+  0.002 + 0.015 * (1 - exp(-sqrt(pow(p.x - q.x, 2) + pow(p.y - q.y, 2)) / 0.2)) END) AS g FROM cw p, cw q GROUP BY 1, 2)
+SELECT g.a, g.b, g.g - 0.5 * (ga.g + gb.g) AS gamma FROM g JOIN g ga ON ga.a = g.a AND ga.b = g.a JOIN g gb ON gb.a = g.b AND gb.b = g.b
+WHERE split_part(g.a, '/', 1) = split_part(g.b, '/', 1) AND CAST(split_part(g.b, '/', 2) AS BIGINT) = CAST(split_part(g.a, '/', 2) AS BIGINT) + 1""")
+def areal_semivariance(spark, folder):
+    """Regularised semivariance of every area and its neighbour."""
+    cells, areas = area_cells(spark, folder)
+    ids = areas.select(F.col("area_id").alias("a"), F.split("area_id", "/").alias("s"))
+    there = F.concat_ws("/", F.col("s")[0], (F.col("s")[1].cast("bigint") + 1).cast("string"))
+    pairs = ids.select("a", there.alias("b"))
+    return rg.areal_semivariances(cells, pairs, 0.002, 0.015, 0.2)
+
+
+@query("variogram_fit", "nugget:f4 sill:f4 reach:f4 error:f6",
+       POINTS + """, h AS (SELECT sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) AS h, 0.5 * pow(a.z - b.z, 2) AS g
+  FROM pt a JOIN pt b ON a.vec_id < b.vec_id),
+v AS (SELECT least(CAST(floor(h / 0.05) AS INTEGER), 4) AS bin, count(*) AS n, avg(h) AS d, avg(g) AS gamma FROM h WHERE h < 0.25 GROUP BY 1),
+p AS (SELECT * FROM (SELECT unnest([0.0, 0.005, 0.01]) AS nugget), (SELECT unnest([0.005, 0.01, 0.015]) AS sill), (SELECT unnest([0.05, 0.1, 0.2]) AS reach)),
+e AS (SELECT nugget, sill, reach, sum(n * pow(gamma / (nugget + sill * (1 - exp(-d / reach))) - 1, 2)) / sum(n) AS error FROM v, p GROUP BY 1, 2, 3)
+SELECT * FROM e ORDER BY error, nugget, sill, reach LIMIT 1""")
+def variogram_fit(spark, folder):
+    """Point variogram parameters with the smallest weighted error."""
+    binned = rg.sample_variogram(points(spark, folder), 0.05, 0.25, block=200)
+    return rg.fit_point_variogram(binned, (0.0, 0.005, 0.01), (0.005, 0.01, 0.015), (0.05, 0.1, 0.2))
+
+
+def _kriged(spark, folder, leave_one_out: bool):
+    cells, areas = area_cells(spark, folder)
+    return areas, rg.top_kriging(cells, areas.select("area_id", "z"), areas.select("area_id"), 0.002, 0.015, 0.2,
+                                 radius=0.15, leave_one_out=leave_one_out)
+
+
+@query("area_kriging", "area_id:s neighbours:i pred:f6 variance:f6")
+def area_kriging(spark, folder):
+    """Kriging prediction and variance of every area."""
+    return _kriged(spark, folder, False)[1]
+
+
+@query("kriging_cross_validation", "scale:s rmse:f6 bias:f6 r2:f4")
+def kriging_cross_validation(spark, folder):
+    """Leave-one-out skill, for the variable and for its square."""
+    areas, kriged = _kriged(spark, folder, True)
+    both = kriged.join(areas, "area_id").select("pred", "z", (F.col("pred") ** 2).alias("pred2"), (F.col("z") ** 2).alias("z2"))
+    return cv_summary(both, "pred", "z").withColumn("scale", F.lit("transformed")).unionByName(
+        cv_summary(both, "pred2", "z2").withColumn("scale", F.lit("original")))
+
+
+@query("prediction_skill", "by:s rmse:f6 bias:f6 r2:f6",
+       DESC + """, p AS (SELECT target, retail * quantity / 1000 AS pred FROM d)
+SELECT 'all' AS "by", sqrt(avg(pow(pred - target, 2))) AS rmse, avg(pred - target) AS bias,
+  1 - avg(pow(pred - target, 2)) / var_samp(target) AS r2 FROM p""")
+def prediction_skill(spark, folder):
+    """RMSE, bias and R2 of a prediction."""
+    table = descriptors(spark, folder).withColumn("pred", F.col("retail") * F.col("quantity") / 1000)
+    return cv_summary(table, "pred", "target").withColumn("by", F.lit("all"))

@@ -1 +1,284 @@
-"""Queries."""
+"""Queries on trend, structural change, correlation and principal components."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ebbflow.operators import indices as idx
+from ebbflow.operators import trend as tr
+from ebbflow.plans import fragments as sql
+from ebbflow.plans.flows import INDEX_CTES
+from ebbflow.plans.frequency import MONTHLY, monthly_flow
+from ebbflow.plans.registry import query
+from ebbflow.sources import series
+
+OLS = """lin AS (SELECT series_id, count(*) AS n, regr_slope(value, year) AS slope, regr_intercept(value, year) AS intercept,
+  regr_r2(value, year) AS r2, regr_sxx(value, year) AS sxx, regr_syy(value, year) AS syy, avg(year) AS x_mean FROM mon GROUP BY 1),
+fit AS (SELECT *, n - 2 AS dof, sqrt(syy * (1 - r2) / (n - 2)) AS sigma FROM lin),
+ols AS (SELECT *, sigma / sqrt(sxx) AS se_slope, sigma * sqrt(1.0 / n + x_mean * x_mean / sxx) AS se_intercept,
+  slope / (sigma / sqrt(sxx)) AS t_slope FROM fit)"""
+
+
+@query("linear_trend", "series_id:s n:i slope:f8 intercept:f4 r2:f6 adj_r2:f6 sigma:f6 se_slope:f8 se_intercept:f4 "
+                       "t_slope:f6 f_statistic:f4 p_slope:f6",
+       sql.with_(sql.SUPP, MONTHLY, OLS) + f"""SELECT *, 1 - (1 - r2) * (n - 1) / (n - 2) AS adj_r2,
+  t_slope * t_slope AS f_statistic, {sql.t_pvalue('t_slope', 'dof')} AS p_slope FROM ols""")
+def linear_trend(spark, folder):
+    """Least squares trend of many series with tests."""
+    return tr.ols_pvalues(tr.ols(monthly_flow(spark, folder), "value"))
+
+
+@query("trend_residuals", "series_id:s year:i fitted:f6 resid:f6",
+       sql.with_(sql.SUPP, MONTHLY, OLS) + """SELECT mon.series_id, year, intercept + slope * year AS fitted,
+  value - (intercept + slope * year) AS resid FROM mon JOIN lin USING (series_id)""")
+def trend_residuals(spark, folder):
+    """Fitted values and residuals of the trend."""
+    flows = monthly_flow(spark, folder)
+    return tr.ols_residuals(flows, tr.ols(flows, "value"), "value")
+
+
+@query("trend_intervals", "series_id:s year:i interval:s fit:f6 centre:f6 ratio:f6",
+       sql.with_(sql.SUPP, MONTHLY, OLS, """gr AS (SELECT ols.*, g.year FROM ols, (SELECT unnest(generate_series(23940, 24060)) AS year) g),
+hh AS (SELECT *, 1.0 / n + (year - x_mean) * (year - x_mean) / sxx AS h FROM gr)""")
+       + """SELECT series_id, year, k AS interval, intercept + slope * year AS fit, intercept + slope * year AS centre,
+  sqrt(h + e) / sqrt(h) AS ratio FROM hh, (VALUES ('Confidence', 0.0), ('Prediction', 1.0)) AS kinds(k, e)""")
+def trend_intervals(spark, folder):
+    """Confidence and prediction intervals; their widths are compared with each other."""
+    fit = tr.ols(monthly_flow(spark, folder), "value")
+    bands = tr.trend_intervals(fit, 23940, 24060)
+    conf = bands.where("interval = 'Confidence'").select("series_id", "year", (F.col("upr") - F.col("lwr")).alias("_w"))
+    return bands.join(conf, ["series_id", "year"]).withColumns({
+        "centre": (F.col("lwr") + F.col("upr")) / 2, "ratio": (F.col("upr") - F.col("lwr")) / F.col("_w")})
+
+
+@query("residual_interval", "year:i n:i mean:f6 half_sd:f6",
+       sql.with_(sql.SUPP, MONTHLY) + """SELECT year, count(*) AS n, avg(value) AS mean,
+  stddev_samp(value) / sqrt(count(*)) AS half_sd FROM mon GROUP BY 1""")
+def residual_interval(spark, folder):
+    """Mean with confidence interval per month over all series (half width in t units removed)."""
+    from ebbflow.functions.special import qt
+
+    out = tr.mean_interval(monthly_flow(spark, folder), "value", ["year"])
+    half = (F.col("upper") - F.col("lower")) / 2 / qt(F.lit(0.975), (F.col("n") - 1).cast("double"))
+    return out.withColumn("half_sd", half)
+
+
+PAIRS = """pr AS (SELECT a.series_id, (a.value - b.value) AS dy, (a.value - b.value) / (a.year - b.year) AS m
+  FROM mon a JOIN mon b ON a.series_id = b.series_id AND b.year < a.year),
+s_ AS (SELECT series_id, sum(sign(dy)) AS s, quantile_cont(m, 0.5) AS slope FROM pr GROUP BY 1),
+tie AS (SELECT series_id, sum(t * (t - 1) * (2 * t + 5)) AS vt, sum(t * (t - 1) / 2) AS tp FROM
+  (SELECT series_id, value, count(*) AS t FROM mon GROUP BY 1, 2) GROUP BY 1),
+cnt AS (SELECT series_id, count(*) AS n FROM mon GROUP BY 1),
+mk AS (SELECT series_id, n, s, (n * (n - 1) * (2 * n + 5) - vt) / 18.0 AS var_s,
+  sqrt(n * (n - 1) / 2.0) * sqrt(n * (n - 1) / 2.0 - tp) AS denominator FROM s_ JOIN tie USING (series_id) JOIN cnt USING (series_id))"""
+
+
+@query("mann_kendall", "series_id:s n:i s:i var_s:f4 denominator:f4 tau:f8 z:f8 p_value:f8",
+       sql.with_(sql.SUPP, MONTHLY, PAIRS, "zz AS (SELECT *, (s - sign(s)) / sqrt(var_s) AS z FROM mk)")
+       + f"SELECT *, s / denominator AS tau, least(2 * ({sql.pnorm('(-abs(z))')}), 1.0) AS p_value FROM zz")
+def mann_kendall(spark, folder):
+    """Mann-Kendall test of many series."""
+    return tr.mann_kendall(monthly_flow(spark, folder), "value")
+
+
+@query("theil_sen", "series_id:s slope:f8 intercept:f4 slope_lower:f8 slope_upper:f8",
+       sql.with_(sql.SUPP, MONTHLY, PAIRS, """so AS (SELECT series_id, list_sort(list(m)) AS ms FROM pr GROUP BY 1),
+ic AS (SELECT mon.series_id, quantile_cont(value - slope * year, 0.5) AS intercept FROM mon JOIN s_ USING (series_id) GROUP BY 1)""")
+       + """SELECT series_id, slope, intercept,
+  ms[CAST(greatest(round_even((len(ms) - 1.959963984540054 * sqrt(var_s)) / 2, 0), 1) AS INTEGER)] AS slope_lower,
+  ms[CAST(least(round_even((len(ms) + 1.959963984540054 * sqrt(var_s)) / 2, 0) + 1, len(ms)) AS INTEGER)] AS slope_upper
+FROM s_ JOIN mk USING (series_id) JOIN so USING (series_id) JOIN ic USING (series_id)""")
+def theil_sen(spark, folder):
+    """Theil-Sen slope with interval."""
+    return tr.theil_sen(monthly_flow(spark, folder), "value")
+
+
+@query("trend_lines", "series_id:s year:i model:s fitted:f4",
+       sql.with_(sql.SUPP, MONTHLY, OLS, PAIRS, """ic AS (SELECT mon.series_id, quantile_cont(value - slope * year, 0.5) AS i2
+  FROM mon JOIN s_ USING (series_id) GROUP BY 1)""")
+       + """SELECT mon.series_id, year, 'ols' AS model, intercept + slope * year AS fitted FROM mon JOIN lin USING (series_id)
+UNION ALL SELECT mon.series_id, year, 'sen', i2 + slope * year FROM mon JOIN s_ USING (series_id) JOIN ic USING (series_id)""")
+def trend_lines(spark, folder):
+    """Least squares and Theil-Sen lines."""
+    return tr.trend_lines(monthly_flow(spark, folder), "value")
+
+
+def _chow(slope: bool) -> str:
+    k = 2 if slope else 1
+
+    def rss(p: str) -> str:
+        base = f"({p}vv - {p}v * {p}v / {p}n)"
+        if not slope:
+            return base
+        return (f"({base} - pow({p}uv - {p}u * {p}v / {p}n, 2) / ({p}uu - {p}u * {p}u / {p}n))")
+
+    moments = {"n": "1", "u": "u", "v": "v", "uu": "u * u", "uv": "u * v", "vv": "v * v"}
+    left = ", ".join(f"sum({e}) OVER w AS l{m}" for m, e in moments.items())
+    total = ", ".join(f"sum({e}) OVER p AS t{m}" for m, e in moments.items())
+    right = ", ".join(f"t{m} - l{m} AS r{m}" for m in moments)
+    return f"""cen AS (SELECT series_id, year, year - avg(year) OVER q AS u, value - avg(value) OVER q AS v FROM mon
+  WINDOW q AS (PARTITION BY series_id)),
+cum AS (SELECT series_id, year, {left}, {total} FROM cen WINDOW w AS (PARTITION BY series_id ORDER BY year),
+  p AS (PARTITION BY series_id)),
+both_ AS (SELECT *, {right} FROM cum),
+cand AS (SELECT series_id, year, ln AS i, tn AS n, {rss('t')} AS rss0, {rss('l')} + {rss('r')} AS rss1 FROM both_
+  WHERE ln >= greatest(floor(tn * 0.15), {k + 1}) AND ln <= least(tn - floor(tn * 0.15), tn - {k + 1})),
+chow AS (SELECT *, (rss0 - rss1) / (rss1 / (n - {2 * k})) AS f FROM cand)"""
+
+
+@query("chow_candidates", "series_id:s break_after:i i:i rss0:f4 rss1:f4 f:f6",
+       sql.with_(sql.SUPP, MONTHLY, _chow(False)) + "SELECT series_id, year AS break_after, i, rss0, rss1, f FROM chow")
+def chow_candidates(spark, folder):
+    """F statistic of a shift in the mean after every candidate month."""
+    return tr.chow_candidates(monthly_flow(spark, folder), "value")
+
+
+@query("structural_change", "series_id:s model:s sup_f:f6 break_after:i",
+       "WITH " + sql.SUPP + ", " + MONTHLY + ", " + _chow(False) + ", "
+       + _chow(True).replace("cen AS", "cen2 AS").replace("FROM cen ", "FROM cen2 ").replace("cum AS", "cum2 AS")
+       .replace("FROM cum)", "FROM cum2)").replace("both_ AS", "both2 AS").replace("FROM both_", "FROM both2")
+       .replace("cand AS", "cand2 AS").replace("FROM cand)", "FROM cand2)").replace("chow AS", "chow2 AS")
+       + """ SELECT series_id, 'mean' AS model, max(f) AS sup_f, arg_min(year, (-f, i)) AS break_after FROM chow GROUP BY 1
+UNION ALL SELECT series_id, 'trend', max(f), arg_min(year, (-f, i)) FROM chow2 GROUP BY 1""")
+def structural_change(spark, folder):
+    """Largest F statistic for a break in the mean and in the trend."""
+    flows = monthly_flow(spark, folder)
+    parts = [tr.sup_f(flows, "value", slope=slope).withColumn("model", F.lit(name))
+             for name, slope in (("mean", False), ("trend", True))]
+    return parts[0].unionByName(parts[1])
+
+
+@query("nested_model_test", "series_id:s rss0:f4 rss1:f4 df2:i f:f6 p_value:f6",
+       sql.with_(sql.SUPP, MONTHLY, _chow(False), """best AS (SELECT series_id, max(f) AS f, arg_max(rss0, f) AS rss0,
+  arg_max(rss1, f) AS rss1, max(n) - 2 AS df2 FROM chow GROUP BY 1)""")
+       + f"SELECT *, {sql.t_pvalue('sqrt(f)', 'df2')} AS p_value FROM best")
+def nested_model_test(spark, folder):
+    """F test of the best single break against no break."""
+    return tr.nested_anova(tr.sup_f(monthly_flow(spark, folder), "value"))
+
+
+@query("structural_breaks", "series_id:s m:i rss:f4 bic:f4",
+       sql.with_(sql.SUPP, MONTHLY, """o AS (SELECT series_id, row_number() OVER w AS i, value - avg(value) OVER q AS v,
+  count(*) OVER q AS n FROM mon WINDOW w AS (PARTITION BY series_id ORDER BY year), q AS (PARTITION BY series_id)),
+c AS (SELECT series_id, n, i, sum(v) OVER w AS s, sum(v * v) OVER w AS ss, CAST(floor(n * 0.15) AS BIGINT) AS h FROM o
+  WINDOW w AS (PARTITION BY series_id ORDER BY i)),
+t AS (SELECT * FROM c WHERE i = n),
+m0 AS (SELECT series_id, n, 0 AS m, ss - s * s / n AS rss FROM t),
+m1 AS (SELECT c.series_id, max(c.n) AS n, 1 AS m, min(c.ss - c.s * c.s / c.i + (t.ss - c.ss) - pow(t.s - c.s, 2) / (c.n - c.i)) AS rss
+  FROM c JOIN t USING (series_id) WHERE c.i >= c.h AND c.n - c.i >= c.h GROUP BY 1),
+m2 AS (SELECT c.series_id, max(c.n) AS n, 2 AS m, min(c.ss - c.s * c.s / c.i + (d.ss - c.ss) - pow(d.s - c.s, 2) / (d.i - c.i)
+   + (t.ss - d.ss) - pow(t.s - d.s, 2) / (c.n - d.i)) AS rss FROM c JOIN c d ON d.series_id = c.series_id AND d.i - c.i >= c.h
+  JOIN t ON t.series_id = c.series_id WHERE c.i >= c.h AND c.n - d.i >= c.h GROUP BY 1),
+u AS (SELECT * FROM m0 UNION ALL SELECT * FROM m1 UNION ALL SELECT * FROM m2)""")
+       + "SELECT series_id, m, rss, n * (ln(2 * pi()) + 1 + ln(rss / n)) + 2 * (m + 1) * ln(n) AS bic FROM u")
+def structural_breaks(spark, folder):
+    """Best positions of up to two breaks in the mean."""
+    return tr.breakpoints(monthly_flow(spark, folder), "value", max_breaks=2)
+
+
+@query("break_segments", "series_id:s year:i segment:i fitted:f6")
+def break_segments(spark, folder):
+    """Step model of the segmentation with the smallest BIC among up to five breaks."""
+    flows = monthly_flow(spark, folder)
+    return tr.segment_fit(flows, tr.best_breaks(tr.breakpoints(flows, "value")), "value")
+
+
+# ---- dependence ------------------------------------------------------------------------------
+
+COLUMNS = ["mean_flow", "Q50", "MAM1", "MAM10", "MAM30", "Q95", "Q90", "Q70", "ALPHA"]
+
+
+def indices(spark, folder):
+    return idx.station_indices(series.supplier_daily(spark, folder))
+
+
+_LONG = "lg AS (" + " UNION ALL ".join(
+    f"SELECT series_id, '{c}' AS index, \"{c}\" AS value FROM ind" for c in COLUMNS) + ")"
+
+
+@query("index_ranks", "series_id:s index:s value:f6 rank:i",
+       sql.with_(*INDEX_CTES, _LONG) + """SELECT series_id, index, value, CASE WHEN value IS NOT NULL THEN
+  rank() OVER (PARTITION BY series_id ORDER BY value NULLS LAST) END AS rank FROM lg""")
+def index_ranks(spark, folder):
+    """Ranks of the indices within each station."""
+    return tr.index_ranks(indices(spark, folder), COLUMNS)
+
+
+@query("pearson_matrix", "index:s index2:s pearson:f6 n:i t:f4 p_value:f6",
+       sql.with_(*INDEX_CTES, _LONG, """cr AS (SELECT a.index, b.index AS index2, corr(a.value, b.value) AS pearson, count(*) AS n
+  FROM lg a JOIN lg b ON a.series_id = b.series_id WHERE a.value IS NOT NULL AND b.value IS NOT NULL GROUP BY 1, 2),
+tt AS (SELECT *, CASE WHEN index <> index2 THEN pearson * sqrt((n - 2) / (1 - pearson * pearson)) END AS t FROM cr)""")
+       + f"""SELECT index, index2, pearson, n, t, CASE WHEN index = index2 THEN 0.0 ELSE {sql.t_pvalue('t', '(n - 2)')} END AS p_value FROM tt""")
+def pearson_matrix(spark, folder):
+    """Correlation matrix of the indices with its significance."""
+    tested = tr.correlation_test(tr.pearson_matrix(indices(spark, folder), COLUMNS))
+    same = F.col("index") == F.col("index2")
+    return tested.withColumns({"t": F.when(~same, F.col("t")),
+                               "p_value": F.when(same, 0.0).otherwise(F.col("p_value"))})
+
+
+RANKED = ["mean_flow", "MAM10", "MAM30", "Q90"]
+
+
+@query("spearman_matrix", "index:s index2:s spearman:f6 n:i",
+       sql.with_(*INDEX_CTES, "ok AS (SELECT * FROM ind WHERE " + " AND ".join(f'"{c}" IS NOT NULL' for c in RANKED) + ")",
+                 "rk AS (" + " UNION ALL ".join(
+                     f"""SELECT series_id, '{c}' AS index, rank() OVER (ORDER BY "{c}") + (count(*) OVER (PARTITION BY "{c}") - 1) / 2 AS value FROM ok"""
+                     for c in RANKED) + ")")
+       + """SELECT a.index, b.index AS index2, corr(a.value, b.value) AS spearman, count(*) AS n
+FROM rk a JOIN rk b USING (series_id) GROUP BY 1, 2""")
+def spearman_matrix(spark, folder):
+    """Rank correlation matrix of the indices."""
+    return tr.spearman_matrix(indices(spark, folder), RANKED)
+
+
+@query("lineitem_rank_correlation", "index:s index2:s spearman:f6 n:i",
+       """WITH rk AS (SELECT rank() OVER (ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_quantity) - 1) / 2 AS a,
+  rank() OVER (ORDER BY l_discount) + (count(*) OVER (PARTITION BY l_discount) - 1) / 2 AS b,
+  rank() OVER (ORDER BY l_extendedprice) + (count(*) OVER (PARTITION BY l_extendedprice) - 1) / 2 AS c FROM lineitem),
+m AS (SELECT corr(a, b) AS ab, corr(a, c) AS ac, corr(b, c) AS bc, count(*) AS n FROM rk)
+SELECT 'l_quantity' AS index, 'l_quantity' AS index2, 1.0 AS spearman, n FROM m
+UNION ALL SELECT 'l_discount', 'l_discount', 1.0, n FROM m UNION ALL SELECT 'l_extendedprice', 'l_extendedprice', 1.0, n FROM m
+UNION ALL SELECT 'l_quantity', 'l_discount', ab, n FROM m UNION ALL SELECT 'l_discount', 'l_quantity', ab, n FROM m
+UNION ALL SELECT 'l_quantity', 'l_extendedprice', ac, n FROM m UNION ALL SELECT 'l_extendedprice', 'l_quantity', ac, n FROM m
+UNION ALL SELECT 'l_discount', 'l_extendedprice', bc, n FROM m UNION ALL SELECT 'l_extendedprice', 'l_discount', bc, n FROM m""")
+def lineitem_rank_correlation(spark, folder):
+    """Rank correlation over one group holding every row."""
+    return tr.spearman_matrix(series.table(spark, folder, "lineitem"),
+                              ["l_quantity", "l_discount", "l_extendedprice"])
+
+
+@query("index_zscores", "series_id:s mean_flow:f6 MAM30:f6",
+       sql.with_(*INDEX_CTES) + """SELECT series_id, (mean_flow - avg(mean_flow) OVER ()) / stddev_samp(mean_flow) OVER () AS mean_flow,
+  ("MAM30" - avg("MAM30") OVER ()) / stddev_samp("MAM30") OVER () AS "MAM30" FROM ind""")
+def index_zscores(spark, folder):
+    """Standardised indices."""
+    return tr.zscores(indices(spark, folder).select("series_id", "mean_flow", "MAM30"), ["mean_flow", "MAM30"])
+
+
+@query("pca_two_indices", "component:i variable:s loading:f6 sdev:f6 eigenvalue:f6 proportion:f6 cumulative:f6",
+       sql.with_(*INDEX_CTES, 'r_ AS (SELECT corr(mean_flow, "MAM30") AS r FROM ind)',
+                 """pc AS (SELECT 1 AS component, 1 + abs(r) AS e, sign(r) AS s FROM r_ UNION ALL SELECT 2, 1 - abs(r), -sign(r) FROM r_)""")
+       + """SELECT component, variable, CASE WHEN variable = 'mean_flow' THEN sqrt(0.5) ELSE s * sqrt(0.5) END AS loading, sqrt(e) AS sdev,
+  e AS eigenvalue, e / 2 AS proportion, CASE component WHEN 1 THEN e / 2 ELSE 1.0 END AS cumulative
+FROM pc, (SELECT unnest(['mean_flow', 'MAM30']) AS variable)""")
+def pca_two_indices(spark, folder):
+    """Principal components of two indices, where the answer is known."""
+    return tr.pca_loadings(indices(spark, folder), ["mean_flow", "MAM30"])
+
+
+@query("pca_loadings", "component:i variable:s loading:f6 sdev:f6 proportion:f6 cumulative:f6")
+def pca_loadings(spark, folder):
+    """Principal components of all indices."""
+    return tr.pca_loadings(indices(spark, folder), COLUMNS[:-1])
+
+
+@query("pca_scores", "series_id:s PC1:f6 PC2:f6",
+       sql.with_(*INDEX_CTES, """z AS (SELECT series_id, (mean_flow - avg(mean_flow) OVER ()) / stddev_samp(mean_flow) OVER () AS a,
+  ("MAM30" - avg("MAM30") OVER ()) / stddev_samp("MAM30") OVER () AS b FROM ind),
+s_ AS (SELECT sign(corr(a, b)) AS s FROM z)""")
+       + """SELECT series_id, sqrt(0.5) * (a + s * b) AS "PC1", sqrt(0.5) * (a - s * b) AS "PC2" FROM z, s_""")
+def pca_scores(spark, folder):
+    """Scores of the stations on two components."""
+    table = indices(spark, folder).select("series_id", "mean_flow", "MAM30")
+    return tr.pca_scores(table, ["mean_flow", "MAM30"], tr.pca_loadings(table, ["mean_flow", "MAM30"]))
