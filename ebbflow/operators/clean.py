@@ -24,11 +24,13 @@ class Sanitized:
 
 
 def add_missing_days(df: DataFrame, key: str = KEY, time: str = TIME, value: str = VALUE,
-                     whole_span: bool = False, fill: float | None = None) -> DataFrame:
+                     whole_span: bool = False, fill: float | None = None,
+                     only_added: bool = False) -> DataFrame:
     """Make implicit gaps explicit: one row per day between the first and last day.
 
     Each row emits itself and the days up to its successor, so no calendar is joined.  With
-    ``whole_span`` every series covers the period of the whole table.
+    ``whole_span`` every series covers the period of the whole table; ``only_added`` returns the new
+    rows alone.  The input has at most one row per series and day.
     """
     w = in_time(key, time)
     until = F.coalesce(F.date_sub(F.lead(time).over(w), 1), F.col(time))
@@ -42,8 +44,10 @@ def add_missing_days(df: DataFrame, key: str = KEY, time: str = TIME, value: str
     df = df.withColumns({"_since": since, "_until": until})
     days = F.explode(F.sequence("_since", "_until")).alias("_day")
     filler = F.lit(fill).cast("double")
-    return (df.select(key, F.col(time).alias("_at"), F.col(value).alias("_v"), days)
-            .select(key, F.col("_day").alias(time),
+    rows = df.select(key, F.col(time).alias("_at"), F.col(value).alias("_v"), days)
+    if only_added:
+        rows = rows.where(F.col("_day") != F.col("_at"))
+    return (rows.select(key, F.col("_day").alias(time),
                     F.when(F.col("_day") == F.col("_at"), F.col("_v")).otherwise(filler).alias(value)))
 
 
@@ -56,6 +60,8 @@ def sanitize_ts(df: DataFrame, ordinal: str, key: str = KEY, time: str = TIME, v
     by ``(series, day, value)`` and then ``(series, day)`` with map-side partial aggregation, so a
     series with a large share of the rows spreads over all tasks; only daily rows reach the windows.
     """
+    if approx_missing and not remove_duplicates:
+        raise ValueError("interpolation needs one value per day: remove duplicates first")
     raw = df.select(F.col(key).alias(KEY), F.col(time).cast("date").alias(TIME),
                     F.col(value).cast("double").alias(VALUE), F.col(ordinal).alias("_ord"))
     v = F.col(VALUE)
@@ -85,8 +91,11 @@ def sanitize_ts(df: DataFrame, ordinal: str, key: str = KEY, time: str = TIME, v
         records.where(~F.col("_no_time")).select(KEY, TIME, F.col("_clean").alias(VALUE), "_ord")
 
     series = kept.select(KEY, TIME, VALUE)
-    if add_implicit_na:
+    if add_implicit_na and remove_duplicates:
         series = add_missing_days(series)
+    elif add_implicit_na:
+        # the gaps follow from the days; repeated records never meet in one window group
+        series = series.unionByName(add_missing_days(dated.select(KEY, TIME, VALUE), only_added=True))
     if approx_missing:
         series = fill_gaps(series, approx_missing, flag="filled")
     written = series.groupBy(KEY).agg(

@@ -101,50 +101,51 @@ def logistic_table(df: DataFrame, y: str, xs: Sequence[str], level: float = 0.95
               "upper double, null_deviance double, deviance double, aic double")
 
 
-def profile_interval(df: DataFrame, y: str, x: str, iterations: int = 25) -> tuple[float, float]:
+def profile_interval(df: DataFrame, y: str, x: str, rounds: int = 30) -> tuple[float, float]:
     """Profile-likelihood interval of the slope of ``x``.
 
-    For a fixed slope the rest of the model is refitted with ``slope * x`` as offset; each limit is the
-    slope at which the deviance has risen by the 95 % chi-square value, found by bisection.
+    At a limit the deviance has risen by the 95 % chi-square value while the intercept is at its best.
+    These two equations are solved by Newton's method (Venzon and Moolgavkar 1988) for both limits
+    together: each step is one aggregation over the rows.
     """
     rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(
-        F.col(x).cast("double").alias(x), F.col(y).cast("double").alias(y)).groupBy(x, y).agg(
-        F.count(F.lit(1)).cast("double").alias("_w"))
+        F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
     model = fit_logistic(df, y, [x])
-    best, slope = model.summary.deviance, float(model.coefficients[0])
+    best, a0, b0 = model.summary.deviance, float(model.intercept), float(model.coefficients[0])
     error = float(model.summary.coefficientStandardErrors[0])
 
-    def excess(b: float) -> float:
-        """Rise of the deviance with the slope fixed at ``b``; the intercept by Newton's method."""
-        a = model.intercept + (slope - b) * centre
-        for _ in range(60):
-            p = plogis(F.lit(a) + F.lit(b) * F.col(x))
-            r = rows.agg(F.sum(F.col("_w") * (F.col(y) - p)).alias("g"),
-                         F.sum(F.col("_w") * p * (1 - p)).alias("h")).first()
-            step = r["g"] / max(r["h"], 1e-300)
-            a += max(min(step, 5.0), -5.0)
-            if abs(step) < 1e-9:
-                break
-        eta = F.lit(a) + F.lit(b) * F.col(x)
-        # log(1 + exp(eta)) without overflow
-        soft = F.greatest(eta, F.lit(0.0)) + F.log1p(F.exp(-F.abs(eta)))
-        deviance = rows.agg(F.sum(2 * F.col("_w") * (soft - F.col(y) * eta)).alias("d")).first()["d"]
-        return deviance - best - CHI2_95
-
-    centre = rows.agg((F.sum(F.col("_w") * F.col(x)) / F.sum("_w")).alias("m")).first()["m"]
-    limits = []
-    for side in (-1.0, 1.0):
-        inside, outside = slope, slope + side * 2 * error
-        while excess(outside) < 0:
-            outside += side * error
-        for _ in range(iterations):
-            middle = 0.5 * (inside + outside)
-            if excess(middle) < 0:
-                inside = middle
-            else:
-                outside = middle
-        limits.append(0.5 * (inside + outside))
-    return limits[0], limits[1]
+    def sums(points: list[tuple[float, float]]):
+        aggs = []
+        for i, (a, b) in enumerate(points):
+            eta = F.lit(a) + F.lit(b) * F.col("x")
+            p = plogis(eta)
+            # log(1 + exp(eta)) without overflow
+            soft = F.greatest(eta, F.lit(0.0)) + F.log1p(F.exp(-F.abs(eta)))
+            aggs += [F.sum(F.col("y") - p).alias(f"ga{i}"), F.sum((F.col("y") - p) * F.col("x")).alias(f"gb{i}"),
+                     F.sum(p * (1 - p)).alias(f"haa{i}"), F.sum(p * (1 - p) * F.col("x")).alias(f"hab{i}"),
+                     F.sum(2 * (soft - F.col("y") * eta)).alias(f"d{i}")]
+        return rows.agg(*aggs).first()
+
+    start = sums([(a0, b0)])
+    tilt = start["hab0"] / start["haa0"]
+    points = [(a0 - tilt * side * Z_975 * error, b0 + side * Z_975 * error) for side in (-1.0, 1.0)]
+    for _ in range(rounds):
+        r = sums(points)
+        moved, new = 0.0, []
+        for i, (a, b) in enumerate(points):
+            # unknown step (da, db): score of the intercept to 0, deviance to its target
+            m = [[-r[f"haa{i}"], -r[f"hab{i}"]], [-2 * r[f"ga{i}"], -2 * r[f"gb{i}"]]]
+            v = [-r[f"ga{i}"], best + CHI2_95 - r[f"d{i}"]]
+            det = m[0][0] * m[1][1] - m[0][1] * m[1][0]
+            da = (v[0] * m[1][1] - m[0][1] * v[1]) / det
+            db = (m[0][0] * v[1] - m[1][0] * v[0]) / det
+            shrink = min(1.0, error / max(abs(db), 1e-300))
+            new.append((a + shrink * da, b + shrink * db))
+            moved = max(moved, abs(shrink * db) / error)
+        points = new
+        if moved < 1e-8:
+            break
+    return points[0][1], points[1][1]
 
 
 def _link_band(df: DataFrame, model: GeneralizedLinearRegressionModel, train: DataFrame,

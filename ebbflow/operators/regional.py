@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ebbflow.functions.special import t_two_sided
+from ebbflow.session import settle
 
 # Up to this many predictors the cross products are generated as one code-generated aggregate.
 _NARROW = 12
@@ -24,15 +25,14 @@ _NARROW = 12
 
 # ---- cross products --------------------------------------------------------------------------
 
-def gram(df: DataFrame, y: str, xs: Sequence[str], weight: str | None = None) -> DataFrame:
+def gram(df: DataFrame, y: str, xs: Sequence[str]) -> DataFrame:
     """One row ``n, g``: the flattened cross-product matrix of ``(1, xs..., y)`` over complete rows."""
     names = [*xs, y]
-    complete = df.select(*names, *([weight] if weight else [])).dropna()
+    complete = df.select(*names).dropna()
     if len(xs) <= _NARROW:
         cols = [F.lit(1.0), *[F.col(c).cast("double") for c in names]]
-        w = F.col(weight) if weight else F.lit(1.0)
         size = len(cols)
-        cell = {(i, j): F.coalesce(F.sum(w * cols[i] * cols[j]), F.lit(0.0))
+        cell = {(i, j): F.coalesce(F.sum(cols[i] * cols[j]), F.lit(0.0))
                 for i in range(size) for j in range(i, size)}
         g = F.array(*[cell[min(i, j), max(i, j)] for i in range(size) for j in range(size)])
         return complete.agg(F.count(F.lit(1)).alias("n"), g.alias("g"))
@@ -42,8 +42,7 @@ def gram(df: DataFrame, y: str, xs: Sequence[str], weight: str | None = None) ->
         total, n = np.zeros((size, size)), 0
         for pdf in batches:
             m = np.column_stack([np.ones(len(pdf)), pdf[names].to_numpy(float)])
-            w = pdf[weight].to_numpy(float)[:, None] if weight else 1.0
-            total, n = total + m.T @ (w * m), n + len(pdf)
+            total, n = total + m.T @ m, n + len(pdf)
         yield pd.DataFrame({"n": n, "i": np.arange(size * size), "v": total.ravel()})
 
     parts = complete.mapInPandas(partial, "n long, i int, v double")
@@ -210,17 +209,16 @@ def _rho(u: np.ndarray, c: float) -> np.ndarray:
 
 
 def robust_regression(df: DataFrame, y: str, xs: Sequence[str], subsets: int = 200, rounds: int = 30,
-                      sweeps: int = 3, seed: int = 42) -> DataFrame:
+                      seed: int = 42) -> DataFrame:
     """MM regression: scale from an S-estimate, coefficients by bisquare reweighting.
 
-    Starting values are exact fits to many small random subsets.  All candidates are judged together:
-    each sweep is one pass that sums the bounded loss of every candidate, then updates its scale.  Each
-    reweighting round is one weighted cross-product aggregation.  Only matrices of the size of the
-    model reach the driver.
+    Starting values are fits to many small random subsets.  All candidates are carried together: one
+    pass over the rows sums, for every candidate, the bounded loss and the weighted cross products of
+    the next reweighting step.  Only matrices of the size of the model reach the driver.
     """
     names = list(xs)
     p = len(names) + 1
-    data = df.select(y, *names).dropna().select(*[F.col(c).cast("double") for c in (y, *names)])
+    data = settle(df.select(*[F.col(c).cast("double").alias(c) for c in (y, *names)]).dropna())
     pool = data.orderBy(F.xxhash64(F.lit(seed), *data.columns)).limit(subsets * p).toPandas().to_numpy()
     if len(pool) < 2 * p:
         raise ValueError("too few complete rows for a robust fit")
@@ -229,52 +227,57 @@ def robust_regression(df: DataFrame, y: str, xs: Sequence[str], subsets: int = 2
     design = np.column_stack([np.ones(len(pool)), pool[:, 1:]])
     betas = np.array([np.linalg.lstsq(design[i], pool[i, 0], rcond=None)[0] for i in picks])
 
-    def losses(candidates: np.ndarray, scales: np.ndarray) -> tuple[np.ndarray, int]:
-        """Mean bounded loss of each candidate at its scale."""
-        def partial(batches):
-            total, n = np.zeros(len(candidates)), 0
+    def sweep(candidates: np.ndarray, scales: np.ndarray, tuning: float
+              ) -> tuple[np.ndarray, np.ndarray, int]:
+        """Reweighted coefficients and mean bounded loss of every candidate, and the row count."""
+        cells = (p + 1) ** 2 + 1
+
+        def partial(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
+            total, n = np.zeros((len(candidates), cells)), 0
             for pdf in batches:
                 m = pdf.to_numpy(float)
-                r = m[:, :1] - np.column_stack([np.ones(len(m)), m[:, 1:]]) @ candidates.T
-                total += _rho(r / scales, S_TUNING).sum(axis=0)
+                full = np.column_stack([np.ones(len(m)), m[:, 1:], m[:, 0]])
+                u = (m[:, :1] - full[:, :p] @ candidates.T) / scales
+                weight = np.where(np.abs(u) < tuning, (1 - (u / tuning) ** 2) ** 2, 0.0)
+                for k in range(len(candidates)):
+                    total[k, :-1] += (full.T @ (weight[:, k:k + 1] * full)).ravel()
+                total[:, -1] += _rho(u, S_TUNING).sum(axis=0)
                 n += len(m)
-            yield pd.DataFrame({"i": np.arange(len(candidates)), "v": total, "n": n})
+            yield pd.DataFrame({"i": np.arange(total.size), "v": total.ravel(), "n": n})
 
         rows = data.mapInPandas(partial, "i int, v double, n long").groupBy("i").agg(
-            F.sum("v").alias("v"), F.sum("n").alias("n")).orderBy("i").collect()
-        return np.array([r["v"] / r["n"] for r in rows]), rows[0]["n"]
+            F.sum("v").alias("v"), F.sum("n").alias("n")).toPandas().sort_values("i")
+        n, sums = int(rows["n"].iloc[0]), rows["v"].to_numpy(float).reshape(len(candidates), cells)
+        fits = [Model(n, g[:-1].reshape(p + 1, p + 1), names, names).beta for g in sums]
+        return np.array(fits), sums[:, -1] / n, n
 
-    def reweighted(beta: np.ndarray, scale: float, c: float) -> np.ndarray:
-        fit = F.lit(float(beta[0])) + _sum(F.lit(float(b)) * F.col(x) for b, x in zip(beta[1:], names, strict=True))
-        u = (F.col(y) - fit) / F.lit(float(scale * c))
-        w = F.when(F.abs(u) < 1, (1 - u * u) * (1 - u * u)).otherwise(0.0)
-        row = gram(data.withColumn("_w", w), y, names, "_w").first()
-        return Model(row["n"], np.asarray(row["g"]).reshape(p + 1, p + 1), names, names).beta
+    def rescaled(scales: np.ndarray, loss: np.ndarray) -> np.ndarray:
+        return np.maximum(scales * np.sqrt(np.maximum(loss, 1e-12) / 0.5), 1e-12)
 
     spread = np.abs(pool[:, :1] - design @ betas.T)
     scales = np.maximum(np.median(spread, axis=0) / 0.6745, 1e-12)
-    for _ in range(sweeps):
-        loss, n = losses(betas, scales)
-        scales = np.maximum(scales * np.sqrt(np.maximum(loss, 1e-12) / 0.5), 1e-12)
-    order = np.argsort(scales)[:5]
-    betas, scales = betas[order], scales[order]
+    # judge all candidates, keep the best few and let them converge
+    for keep in (max(subsets // 4, 5), 5):
+        improved, loss, n = sweep(betas, scales, S_TUNING)
+        scales = rescaled(scales, loss)
+        best = np.argsort(scales)[:keep]
+        betas, scales = improved[best], scales[best]
     for _ in range(rounds):
-        betas = np.array([reweighted(b, s, S_TUNING) for b, s in zip(betas, scales, strict=True)])
-        loss, n = losses(betas, scales)
-        new = np.maximum(scales * np.sqrt(np.maximum(loss, 1e-12) / 0.5), 1e-12)
-        done = np.max(np.abs(new / scales - 1)) < 1e-9
-        scales = new
+        improved, loss, n = sweep(betas, scales, S_TUNING)
+        new = rescaled(scales, loss)
+        done = np.max(np.abs(new / scales - 1)) < 1e-7
+        betas, scales = improved, new
         if done:
             break
     top = int(np.argmin(scales))
-    beta, scale = betas[top], float(scales[top])
+    beta, scale = betas[top:top + 1], scales[top:top + 1]
     for _ in range(rounds):
-        new_beta = reweighted(beta, scale, M_TUNING)
-        moved = np.max(np.abs(new_beta - beta)) / max(np.max(np.abs(beta)), 1e-12)
-        beta = new_beta
-        if moved < 1e-9:
+        improved, _, n = sweep(beta, scale, M_TUNING)
+        moved = np.max(np.abs(improved - beta)) / max(np.max(np.abs(beta)), 1e-12)
+        beta = improved
+        if moved < 1e-7:
             break
-    rows = [(t, float(b), scale, int(n)) for t, b in zip(("(intercept)", *names), beta, strict=True)]
+    rows = [(t, float(b), float(scale[0]), n) for t, b in zip(("(intercept)", *names), beta[0], strict=True)]
     return df.sparkSession.createDataFrame(rows, "term string, estimate double, scale double, n long")
 
 

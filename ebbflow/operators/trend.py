@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ebbflow.columns import KEY, so_far
 from ebbflow.functions.special import f_pvalue, pnorm, qt, t_pvalue
 from ebbflow.operators.windows import ranked_values
+from ebbflow.session import settle
 
 
 # ---- linear trend ---------------------------------------------------------------------------
@@ -334,15 +335,20 @@ def pearson_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def with_ranks(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Replace each column by its average rank over all rows, without one global sort task."""
+    """Replace each column by its average rank over all rows, without one global sort task.
+
+    The rows are written once: the ranks of every column are derived from them.
+    """
+    base = settle(df)
+    ranked = base
     for c in columns:
-        ranks = ranked_values(df, [], c).select(F.col(c).alias("_v"), F.col("rank_avg").alias("_r"))
-        df = df.join(ranks, df[c] == ranks["_v"], "left").drop("_v").drop(c).withColumnRenamed("_r", c)
-    return df
+        ranks = ranked_values(base, [], c).select(F.col(c), F.col("rank_avg").alias("_r"))
+        ranked = ranked.join(ranks, c, "left").drop(c).withColumnRenamed("_r", c)
+    return ranked
 
 
 def spearman_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Spearman correlation of every pair of complete rows: Pearson correlation of average ranks."""
+    """Spearman correlation of every pair over complete rows: Pearson correlation of average ranks."""
     complete = df.select(*columns).dropna()
     return pearson_matrix(with_ranks(complete, columns), columns).withColumnRenamed("pearson", "spearman")
 

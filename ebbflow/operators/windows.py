@@ -140,34 +140,42 @@ def is_peak(value: Column, half: int, window: WindowSpec | None = None) -> Colum
 
 # ---- ranks and quantiles of groups of any size ----------------------------------------------
 
-def ranked_values(df: DataFrame, keys: Sequence[str], value: str, buckets: int = 128) -> DataFrame:
+# Number of value buckets: a power of two, one more than the number of bucket bounds.
+BUCKETS = 256
+
+
+def _with_bucket(df: DataFrame, value: str, bounds: Column) -> DataFrame:
+    """Number of sorted bounds below the value, by bisection in generated code."""
+    df = df.withColumns({"_bounds": bounds, "_bucket": F.lit(0)})
+    step = BUCKETS // 2
+    while step:
+        at = F.get("_bounds", F.col("_bucket") + (step - 1))
+        df = df.withColumn("_bucket", F.col("_bucket") + F.when(at < F.col(value), step).otherwise(0))
+        step //= 2
+    return df.drop("_bounds")
+
+
+def ranked_values(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Distinct values with exact ranks: ``keys, value, n, rank_min, rank_avg, total``.
 
     Works for groups of any size, even one group holding most rows: equal values are counted before
-    the shuffle, distinct values are spread over value buckets, and only the bucket totals (at most
-    ``buckets`` rows per group) are summed in order.  The bucket bounds come from a sketch and only
-    steer the balance; they do not affect the ranks.
+    the shuffle, the distinct values are spread over (group, value bucket), and only bucket totals (at
+    most ``BUCKETS`` rows per group) are summed in order.  The bucket bounds are quantiles of a sketch
+    of all values.  A group with a third of all values has a third of the sketch, so its buckets stay
+    small too; the bounds only steer the balance and do not affect the ranks.
     """
     keys = list(keys)
     counts = (df.where(F.col(value).isNotNull()).groupBy(*keys, value)
               .agg(F.count(F.lit(1)).alias("n")))
-    bounds = counts.groupBy(*keys).agg(
-        F.percentile_approx(value, [i / buckets for i in range(1, buckets)], 10 * buckets)
-        .alias("_bounds"))
-    # the sketch gives sorted bounds: the bucket is the number of bounds below the value
-    if keys:
-        placed = counts.join(bounds, keys)
-    else:
-        placed = counts.withColumn("_bounds", bounds.select("_bounds").scalar())
-    placed = placed.withColumn(
-        "_bucket", F.size(F.filter("_bounds", lambda b: b < F.col(value)))).drop("_bounds")
-    within = Window.partitionBy(*keys, "_bucket").orderBy(value)
-    placed = placed.withColumn("_below", F.sum("n").over(so_far(within)) - F.col("n"))
-    across = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_bucket")
+    bounds = counts.agg(F.percentile_approx(
+        value, [i / BUCKETS for i in range(1, BUCKETS)], 4 * BUCKETS).alias("_bounds"))
+    placed = _with_bucket(counts, value, bounds.scalar())
+    bucket = Window.partitionBy(*keys, "_bucket")
+    placed = placed.withColumn("_below", F.sum("n").over(so_far(bucket.orderBy(value))) - F.col("n"))
+    whole = Window.partitionBy(*(keys or [F.lit(0)]))
     sums = placed.groupBy(*keys, "_bucket").agg(F.sum("n").alias("_size"))
-    sums = (sums.withColumn("_offset", F.sum("_size").over(so_far(across)) - F.col("_size"))
-            .withColumn("total", F.sum("_size").over(Window.partitionBy(*(keys or [F.lit(0)]))))
-            .drop("_size"))
+    sums = sums.select(*keys, "_bucket", F.sum("_size").over(whole).alias("total"),
+                       (F.sum("_size").over(so_far(whole.orderBy("_bucket"))) - F.col("_size")).alias("_offset"))
     low = F.col("_offset") + F.col("_below") + 1
     return (placed.join(sums, [*keys, "_bucket"])
             .select(*keys, value, "n", low.alias("rank_min"),

@@ -223,13 +223,14 @@ RANKED = ["mean_flow", "MAM10", "MAM30", "Q90"]
 @query("spearman_matrix", "index:s index2:s spearman:f6 n:i",
        sql.with_(*INDEX_CTES, "ok AS (SELECT * FROM ind WHERE " + " AND ".join(f'"{c}" IS NOT NULL' for c in RANKED) + ")",
                  "rk AS (" + " UNION ALL ".join(
-                     f"""SELECT series_id, '{c}' AS index, rank() OVER (ORDER BY "{c}") + (count(*) OVER (PARTITION BY "{c}") - 1) / 2 AS value FROM ok"""
+                     f"""SELECT series_id, '{c}' AS index, rank() OVER (ORDER BY round("{c}", 9)) + (count(*) OVER (PARTITION BY round("{c}", 9)) - 1) / 2 AS value FROM ok"""
                      for c in RANKED) + ")")
        + """SELECT a.index, b.index AS index2, corr(a.value, b.value) AS spearman, count(*) AS n
 FROM rk a JOIN rk b USING (series_id) GROUP BY 1, 2""")
 def spearman_matrix(spark, folder):
-    """Rank correlation matrix of the indices."""
-    return tr.spearman_matrix(indices(spark, folder), RANKED)
+    """Rank correlation matrix of the indices (rounded, so that equal indices are equal in ranks)."""
+    table = indices(spark, folder).select(*[F.round(c, 9).alias(c) for c in RANKED])
+    return tr.spearman_matrix(table, RANKED)
 
 
 @query("lineitem_rank_correlation", "index:s index2:s spearman:f6 n:i",

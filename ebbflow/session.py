@@ -25,19 +25,18 @@ def local_session(cores: str = "*", app: str = "ebbflow", **conf: str) -> SparkS
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``.
+    """The shared folder named by ``spark.checkpoint.dir`` (or the context's checkpoint folder).
 
-    Only a local session without that setting gets a folder of its own: elsewhere a machine-local
-    folder would be lost together with its machine.
+    Only a local session without either gets a folder of its own: elsewhere a machine-local folder
+    would be lost together with its machine.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder:
+        return folder
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    folder = tempfile.mkdtemp(prefix="ebbflow-checkpoint-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="ebbflow-checkpoint-"))
+    return spark.sparkContext.getCheckpointDir()
 
 
 def settle(df: DataFrame) -> DataFrame:

@@ -32,12 +32,11 @@ def read_gauge_files(spark: SparkSession, folder: str, sep: str = ",",
     """
     raw = (spark.read.schema("time_text string, value double").option("sep", sep)
            .option("header", False).option("mode", "PERMISSIVE").csv(folder)
-           .select("*", F.col("_metadata.file_name").alias("_file"),
-                   F.col("_metadata.file_block_start").alias("_block")))
+           .select("*", F.col("_metadata.file_name").alias("_file")))
     raw = raw.withColumn("_file", F.url_decode("_file")).where(F.col("_file").rlike(pattern))
     parts = F.split(F.regexp_extract("_file", r"^[0-9]+[ab]?\. (.*)$", 1), "[,.]")
     text = F.trim("time_text")
-    day = F.coalesce(F.try_to_date(text, F.lit("yyyy-MM-dd")), F.try_to_date(text, F.lit("dd-MM-yyyy")))
+    day = F.coalesce(F.try_to_date(text, "yyyy-MM-dd"), F.try_to_date(text, "dd-MM-yyyy"))
     return raw.select(
         F.regexp_extract("_file", r"^([0-9]+[ab]?)\. ", 1).alias(KEY),
         *[F.trim(F.get(parts, F.lit(i))).alias(n) for i, n in enumerate(("river", "site", "country"))],
@@ -59,7 +58,7 @@ def read_descriptors(spark: SparkSession, path: str, sep: str = "\t") -> DataFra
     rows = (spark.read.schema(T.StructType(fields)).option("sep", sep).option("header", False)
             .option("mode", "PERMISSIVE").csv(path))
     # the header line is the only one whose first field is not a number
-    return rows.where(F.col("_row").try_cast("int").isNotNull()).withColumn("_row", F.col("_row").cast("int"))
+    return rows.withColumn("_row", F.col("_row").try_cast("int")).where(F.col("_row").isNotNull())
 
 
 def read_tsv(spark: SparkSession, path: str, schema: str, **columns: str) -> DataFrame:
