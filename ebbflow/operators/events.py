@@ -55,15 +55,15 @@ def drought_days(df: DataFrame, threshold: float | str | Column | Threshold, poo
     w = in_time(key, time)
     if pooling == "moving-average":
         df = df.withColumn(value, moving_average(F.col(value), n, sides, w))
+    # sorted by day first: a threshold taken over the whole series then needs no sort of its own
+    df = df.withColumns({"_step": F.datediff(F.col(time), F.lag(time).over(w)),
+                         "_following": F.lead(time).over(w)})
     df = _attach(df, threshold, key, time)
     q, t = F.col(value), F.col("threshold")
-    step = F.datediff(F.col(time), F.lag(time).over(w))
     df = with_columns(df, [
-        {"_step": step},
         {"_low": F.min("_step").over(by_key(key)), "_high": F.max("_step").over(by_key(key))},
-        {"end": F.coalesce(F.lead(time).over(w),
-                           F.when(F.col("_low") == F.col("_high"),
-                                  F.date_add(F.col(time), F.col("_low"))))},
+        {"end": F.coalesce("_following", F.when(F.col("_low") == F.col("_high"),
+                                                F.date_add(F.col(time), F.col("_low"))))},
         {"volume": (t - q) * F.lit(SECONDS_PER_DAY) * F.datediff("end", time),
          "below_threshold": q < t},
     ])
@@ -75,7 +75,7 @@ def drought_days(df: DataFrame, threshold: float | str | Column | Threshold, poo
         under = F.col("below_threshold")
     df = df.withColumn("under_drought", under)
     state = F.when(q.isNull(), 2).otherwise(F.col("under_drought").cast("int"))
-    return with_run_id(df.drop("_step", "_low", "_high"), state, "event", key, time)
+    return with_run_id(df.drop("_step", "_following", "_low", "_high"), state, "event", key, time)
 
 
 def _relabel(events: DataFrame, key: str) -> DataFrame:

@@ -14,6 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ebbflow.columns import KEY, so_far
 from ebbflow.functions.special import f_pvalue, pnorm, qt, t_pvalue
@@ -88,39 +89,52 @@ def mean_interval(df: DataFrame, value: str, by: Sequence[str], level: float = 0
 
 # ---- Mann-Kendall and Theil-Sen --------------------------------------------------------------
 
-def _points(df: DataFrame, y: str, x: str, key: str) -> DataFrame:
-    known = df.where(F.col(y).isNotNull())
-    pairs = F.struct(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
-    return known.groupBy(key).agg(F.array_sort(F.collect_list(pairs)).alias("_pts"))
-
-
-def _total(items: Column) -> Column:
-    return F.aggregate(items, F.lit(0.0), lambda acc, v: acc + v)
-
-
-def _with_kendall(points: DataFrame) -> DataFrame:
-    pts = F.col("_pts")
-
-    def rises(a: Column, i: Column) -> Column:
-        return _total(F.transform(F.slice(pts, 1, i), lambda b: F.signum(a["y"] - b["y"])))
-
-    def equal(a: Column) -> Column:
-        return F.size(F.filter(pts, lambda b: b["y"] == a["y"])).cast("double")
+# Fixed value: 97.5 % quantile of the standard normal distribution.
+Z_975 = 1.959963984540054
 
-    points = points.withColumns({
-        "n": F.size(pts), "s": _total(F.transform(pts, rises)), "_ties": F.transform(pts, equal)})
-    # every member of a tied group of size t carries 1/t of the group's correction
-    n = F.col("n").cast("double")
-    tied = _total(F.transform("_ties", lambda t: (t - 1.0) * (2.0 * t + 5.0)))
-    tied_pairs = _total(F.transform("_ties", lambda t: (t - 1.0) / 2.0))
-    return points.withColumns({
-        "var_s": (n * (n - 1) * (2 * n + 5) - tied) / 18.0,
-        "denominator": F.sqrt(n * (n - 1) / 2) * F.sqrt(n * (n - 1) / 2 - tied_pairs)})
+_PAIR_STATISTICS = T.StructType([T.StructField(n, T.DoubleType()) for n in (
+    "s", "var_s", "denominator", "slope", "intercept", "slope_lower", "slope_upper")])
+
+
+@F.pandas_udf(_PAIR_STATISTICS)
+def _pair_statistics(xs: pd.Series, ys: pd.Series, with_slopes: pd.Series) -> pd.DataFrame:
+    """Statistics of all pairs of one short series per row."""
+    rows = []
+    for x, y, slopes in zip(xs, ys, with_slopes, strict=True):
+        x, y = np.asarray(x, float), np.asarray(y, float)
+        n = len(y)
+        later, earlier = np.tril_indices(n, -1)
+        rise = y[later] - y[earlier]
+        ties = np.unique(y, return_counts=True)[1].astype(float)
+        count = n * (n - 1) / 2
+        spread = (n * (n - 1) * (2 * n + 5) - np.sum(ties * (ties - 1) * (2 * ties + 5))) / 18
+        row = [np.sign(rise).sum(), spread, math.sqrt(count) * math.sqrt(count - np.sum(ties * (ties - 1) / 2))]
+        if slopes and n > 1:
+            steep = np.sort(rise / (x[later] - x[earlier]))
+            middle = np.median(steep)
+            reach = Z_975 * math.sqrt(max(spread, 0.0))
+            lower = int(max(np.rint((count - reach) / 2), 1))
+            upper = int(min(np.rint((count + reach) / 2) + 1, count))
+            row += [middle, np.median(y - middle * x), steep[lower - 1], steep[upper - 1]]
+        else:
+            row += [None] * 4
+        rows.append(row)
+    return pd.DataFrame(rows, columns=_PAIR_STATISTICS.names)
+
+
+def _pairwise(df: DataFrame, y: str, x: str, key: str, slopes: bool) -> DataFrame:
+    """Pair statistics per series.  A series contributes one value per year, hence a short list."""
+    known = df.where(F.col(y).isNotNull())
+    points = F.array_sort(F.collect_list(F.struct(F.col(x).cast("double").alias("x"),
+                                                  F.col(y).cast("double").alias("y"))))
+    lists = known.groupBy(key).agg(points.alias("p"))
+    stats = _pair_statistics(F.col("p.x"), F.col("p.y"), F.lit(slopes))
+    return lists.select(key, F.size("p").alias("n"), stats.alias("k")).select(key, "n", "k.*")
 
 
 def mann_kendall(df: DataFrame, y: str, x: str = "year", key: str = KEY) -> DataFrame:
     """Mann-Kendall S, tie-corrected variance, tau-b and two-sided normal p-value per series."""
-    out = _with_kendall(_points(df, y, x, key))
+    out = _pairwise(df, y, x, key, False)
     z = F.when(F.col("var_s") > 0, (F.col("s") - F.signum("s")) / F.sqrt("var_s"))
     out = out.withColumn("z", z).withColumn(
         "tau", F.when(F.col("denominator") > 0, F.col("s") / F.col("denominator")))
@@ -128,32 +142,10 @@ def mann_kendall(df: DataFrame, y: str, x: str = "year", key: str = KEY) -> Data
         key, "n", "s", "var_s", "denominator", "tau", "z", "p_value")
 
 
-def _median(sorted_items: Column) -> Column:
-    n = F.size(sorted_items)
-    lo = F.element_at(sorted_items, F.floor((n + 1) / 2).cast("int"))
-    hi = F.element_at(sorted_items, F.floor((n + 2) / 2).cast("int"))
-    return F.when(n > 0, (lo + hi) / 2)
-
-
-# Fixed value: 97.5 % quantile of the standard normal distribution.
-Z_975 = 1.959963984540054
-
-
 def theil_sen(df: DataFrame, y: str, x: str = "year", key: str = KEY) -> DataFrame:
     """Median of all pairwise slopes, median intercept, and the 95 % interval of the slope."""
-    pts = F.col("_pts")
-    out = _with_kendall(_points(df, y, x, key))
-    slopes = F.flatten(F.transform(pts, lambda a, i: F.transform(
-        F.slice(pts, 1, i), lambda b: (a["y"] - b["y"]) / (a["x"] - b["x"]))))
-    out = out.where("n > 1").withColumn("_slopes", F.array_sort(slopes))
-    out = out.withColumn("slope", _median(F.col("_slopes")))
-    rest = F.array_sort(F.transform(pts, lambda a: a["y"] - F.col("slope") * a["x"]))
-    out = out.withColumn("_rest", rest).withColumn("intercept", _median(F.col("_rest")))
-    count, spread = F.size("_slopes"), F.lit(Z_975) * F.sqrt("var_s")
-    low = F.greatest(F.rint((count - spread) / 2), F.lit(1.0)).cast("int")
-    high = F.least(F.rint((count + spread) / 2) + 1, count.cast("double")).cast("int")
-    return out.select(key, "n", "slope", "intercept", F.element_at("_slopes", low).alias("slope_lower"),
-                      F.element_at("_slopes", high).alias("slope_upper"))
+    return _pairwise(df, y, x, key, True).where("n > 1").select(
+        key, "n", "slope", "intercept", "slope_lower", "slope_upper")
 
 
 def trend_lines(df: DataFrame, y: str, x: str = "year", key: str = KEY) -> DataFrame:
@@ -248,11 +240,11 @@ def break_table(pdf: pd.DataFrame, key: str, y: str, x: str, slope: bool, trim:
     for m in range(1, most + 1):
         step = np.full(n, np.inf)
         origin = np.zeros(n, int)
-        for j in range((m + 1) * h - 1, n):
-            cuts = np.arange(m * h - 1, j - h + 1)
-            cost = best[cuts] + rss[cuts + 1, j]
-            at = int(np.argmin(cost))
-            step[j], origin[j] = cost[at], cuts[at]
+        ends, cuts = np.arange((m + 1) * h - 1, n), np.arange(m * h - 1, n - h)
+        cost = best[cuts, None] + rss[cuts[:, None] + 1, ends]
+        cost[cuts[:, None] > ends - h] = np.inf
+        at = np.argmin(cost, axis=0)
+        step[ends], origin[ends] = cost[at, np.arange(len(ends))], cuts[at]
         back.append(origin)
         at, found = n - 1, []
         for level in range(m - 1, -1, -1):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ebbflow.columns import by_key
 from ebbflow.functions.special import gamma, lgamma, pnorm, qnorm
 from ebbflow.operators import events as ev
 from ebbflow.operators import frequency as fr
@@ -11,6 +12,7 @@ from ebbflow.operators import indices as idx
 from ebbflow.plans import fragments as sql
 from ebbflow.plans.droughts import POOLED, POOLED_CTES, q90, shipping
 from ebbflow.plans.registry import query
+from ebbflow.session import settle
 from ebbflow.sources import series
 
 MONTHLY = """mon AS (SELECT series_id, year(time) * 12 + month(time) AS year, avg(value) AS value FROM supp GROUP BY 1, 2)"""
@@ -100,15 +102,16 @@ def pareto_fit(spark, folder):
     """Pareto fit of real duration and deficit volume of the partial duration series."""
     days = shipping(spark, folder)
     pooled = ev.drought_events(days, q90(), "inter-event", min_duration=5)
-    volume = F.col("volume") / 1e3
     # as in the partial duration series: limits on real duration and on a share of the largest volume
-    limits = pooled.groupBy("series_id").agg(F.rint(F.max(volume) * 0.005).alias("lim"))
-    major = pooled.join(limits, "series_id").where((F.col("dbt") >= 2) & (volume >= F.col("lim")))
+    events = pooled.select("series_id", "dbt", (F.col("volume") / 1e3).alias("volume"))
+    events = events.withColumn("lim", F.rint(F.max("volume").over(by_key()) * 0.005))
+    major = events.where((F.col("dbt") >= 2) & (F.col("volume") >= F.col("lim")))
     entries = F.array(
         F.struct(F.lit("duration").alias("metric"), F.col("dbt").cast("double").alias("value"),
                  F.lit(2.0).alias("bound")),
-        F.struct(F.lit("volume").alias("metric"), volume.alias("value"), F.col("lim").alias("bound")))
-    obs = major.select("series_id", F.explode(entries).alias("e")).select("series_id", "e.*")
+        F.struct(F.lit("volume").alias("metric"), F.col("volume").alias("value"), F.col("lim").alias("bound")))
+    # the events are few; written once, they serve the moments and the bounds
+    obs = settle(major.select("series_id", F.explode(entries).alias("e")).select("series_id", "e.*"))
     years = days.groupBy("series_id").agg(F.countDistinct(F.year("time")).alias("years"))
     moments = fr.lmoments(obs, "value", ["series_id", "metric"])
     bounds = obs.groupBy("series_id", "metric").agg(F.max("bound").alias("bound"))
