@@ -15,8 +15,9 @@ from ebbflow.columns import KEY, TIME, VALUE, by_key, in_time, with_columns
 from ebbflow.functions.calendar import in_season, md_key, water_year
 from ebbflow.functions.special import qnorm
 from ebbflow.operators.clean import remove_incomplete_first_last
+from ebbflow.operators.events import recession
 from ebbflow.operators.thresholds import var_threshold
-from ebbflow.operators.windows import moving_average, with_run_id
+from ebbflow.operators.windows import moving_average
 
 EXCEEDANCES = (0.95, 0.9, 0.8, 0.5)
 
@@ -100,35 +101,22 @@ def annual_summary(df: DataFrame, origin: str = "-01-01", key: str = KEY, time:
 def station_indices(df: DataFrame, key: str = KEY, time: str = TIME, value: str = VALUE) -> DataFrame:
     """Low-flow indices per station: mean, quantiles, MAM, recession constant, ratios to Q50.
 
-    All indices come from one partitioning by series.  Annual minima and recession segments are
-    marked on the days by window functions, and one final aggregate collects everything.
+    The families of indices are aggregated separately from the same daily rows (the shuffle by series is
+    planned once and reused) and meet in joins that are already partitioned by series.
     """
-    probs, sizes, minlen = (0.5, 0.95, 0.9, 0.7), (1, 10, 30), 5
-    w, q = in_time(key, time), F.col(value)
-    slope = (F.lead(value).over(w) - q) / F.datediff(F.lead(time).over(w), F.col(time))
-    days = df.select(key, time, value).withColumns(
-        {f"_ma{k}": moving_average(q, k, "past", w) for k in sizes}
-        | {"_row": F.row_number().over(w), "_falling": slope <= 0, "_next": F.lead(value).over(w)})
-    days = with_run_id(days, F.col("_falling"), "_run", key, time)
-    days = days.withColumns({"_year": F.year(time), "_next_run": F.lead("_run").over(w)})
-    annual, segment = Window.partitionBy(key, "_year"), Window.partitionBy(key, "_run")
-    low = {}
-    for k in sizes:
-        counted = F.col("_row") >= k
-        complete = F.count_if(counted & F.col(f"_ma{k}").isNull()).over(annual) == 0
-        low[f"_am{k}"] = F.when(complete, F.min(F.when(counted, F.col(f"_ma{k}"))).over(annual))
-    days = days.withColumns(low | {"_last": F.col(time) == F.max(time).over(annual)})
-    days = days.withColumn("_length", F.count(F.lit(1)).over(segment))
-    pair = F.col("_falling") & (F.col("_length") >= minlen) & (F.col("_next_run") == F.col("_run"))
-    table = days.groupBy(key).agg(
-        F.avg(value).alias("mean_flow"), F.percentile(value, _probabilities(probs)).alias("_q"),
-        *[F.avg(F.when(F.col("_last"), F.col(f"_am{k}"))).alias(f"MAM{k}") for k in sizes],
-        (F.sum(F.when(pair, q * F.col("_next"))) / F.sum(F.when(pair & (q != 0), q * q))).alias("_k"))
-    table = table.select(key, "mean_flow", *[F.col("_q")[i].alias(quantile_name(p)) for i, p in enumerate(probs)],
-                         *[f"MAM{k}" for k in sizes], F.when(F.col("_k") > 0, -F.log("_k")).alias("ALPHA"))
+    probs = (0.5, 0.95, 0.9, 0.7)
+    base = df.groupBy(key).agg(F.avg(value).alias("mean_flow"),
+                               F.percentile(value, _probabilities(probs)).alias("_q"))
+    base = base.select(key, "mean_flow", *[F.col("_q")[i].alias(quantile_name(p))
+                                           for i, p in enumerate(probs)])
+    mam = (mean_annual_minimum(df, (1, 10, 30), key=key, time=time, value=value)
+           .groupBy(key).agg(*[F.max(F.when(F.col("n") == k, F.col("mam"))).alias(f"MAM{k}")
+                               for k in (1, 10, 30)]))
+    alpha = recession(df, key=key, time=time, value=value).select(key, F.col("alpha").alias("ALPHA"))
+    all_ = base.join(mam, key, "left").join(alpha, key, "left")
     ratio = {f"{c}_Q50": F.when(F.col("Q50") != 0, F.col(c) / F.col("Q50"))
              for c in ("Q90", "Q95", "MAM30", "MAM10", "MAM1")}
-    return table.withColumns(ratio)
+    return all_.withColumns(ratio)
 
 
 def sgi(df: DataFrame, by: Sequence[str | Column], value: str = VALUE) -> DataFrame:

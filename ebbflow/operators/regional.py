@@ -17,40 +17,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ebbflow.functions.special import t_two_sided
+from ebbflow.operators.moments import gram
 from ebbflow.session import settle
 
-# Up to this many predictors the cross products are generated as one code-generated aggregate.
-_NARROW = 12
-
-
-# ---- cross products --------------------------------------------------------------------------
-
-def gram(df: DataFrame, y: str, xs: Sequence[str]) -> DataFrame:
-    """One row ``n, g``: the flattened cross-product matrix of ``(1, xs..., y)`` over complete rows."""
-    names = [*xs, y]
-    complete = df.select(*names).dropna()
-    if len(xs) <= _NARROW:
-        cols = [F.lit(1.0), *[F.col(c).cast("double") for c in names]]
-        size = len(cols)
-        cell = {(i, j): F.coalesce(F.sum(cols[i] * cols[j]), F.lit(0.0))
-                for i in range(size) for j in range(i, size)}
-        g = F.array(*[cell[min(i, j), max(i, j)] for i in range(size) for j in range(size)])
-        return complete.agg(F.count(F.lit(1)).alias("n"), g.alias("g"))
-
-    def partial(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
-        size = len(names) + 1
-        total, n = np.zeros((size, size)), 0
-        for pdf in batches:
-            m = np.column_stack([np.ones(len(pdf)), pdf[names].to_numpy(float)])
-            total, n = total + m.T @ m, n + len(pdf)
-        yield pd.DataFrame({"n": n, "i": np.arange(size * size), "v": total.ravel()})
-
-    parts = complete.mapInPandas(partial, "n long, i int, v double")
-    summed = parts.groupBy("i").agg(F.sum("v").alias("v"), F.sum("n").alias("n"))
-    return summed.agg(F.max("n").alias("n"), F.transform(
-        F.array_sort(F.collect_list(F.struct("i", "v"))), lambda e: e["v"]).alias("g"))
-
-
 class Model:
     """Least squares on chosen predictors of a cross-product matrix."""
 
@@ -108,7 +77,7 @@ def _coefficient_rows(model: Model) -> pd.DataFrame:
 def regression(df: DataFrame, y: str, xs: Sequence[str]) -> DataFrame:
     """Multiple least squares with a summary: one row per coefficient."""
     names = list(xs)
-    return _on_gram(gram(df, y, names), names,
+    return _on_gram(gram(df, [*names, y]), names,
                     lambda n, g: _coefficient_rows(Model(n, g, names, names)), COEFFICIENTS)
 
 
@@ -124,7 +93,7 @@ def single_term_changes(df: DataFrame, y: str, scope: Sequence[str], current: Se
         return pd.DataFrame([(k, t, m.rss, m.aic) for k, t, m in models],
                             columns=["change", "term", "rss", "aic"])
 
-    return _on_gram(gram(df, y, names), names, solve, "change string, term string, rss double, aic double")
+    return _on_gram(gram(df, [*names, y]), names, solve, "change string, term string, rss double, aic double")
 
 
 def _select(n: int, g: np.ndarray, names: list[str], start: list[str]) -> Model:
@@ -141,7 +110,7 @@ def _select(n: int, g: np.ndarray, names: list[str], start: list[str]) -> Model:
 def stepwise(df: DataFrame, y: str, scope: Sequence[str], start: Sequence[str] = ()) -> DataFrame:
     """Stepwise selection in both directions by AIC; coefficient rows of the final model."""
     names, first = list(scope), list(start)
-    return _on_gram(gram(df, y, names), names,
+    return _on_gram(gram(df, [*names, y]), names,
                     lambda n, g: _coefficient_rows(_select(n, g, names, first)), COEFFICIENTS)
 
 
@@ -158,7 +127,7 @@ def cooks_distance(df: DataFrame, y: str, xs: Sequence[str], *keep: str) -> Data
         s2 = m.rss / m.dof if m.dof > 0 else None
         return pd.DataFrame({"beta": [m.beta.tolist()], "inverse": [m.inverse.ravel().tolist()], "s2": [s2]})
 
-    fit = _on_gram(gram(df, y, names), names, solve, "beta array<double>, inverse array<double>, s2 double")
+    fit = _on_gram(gram(df, [*names, y]), names, solve, "beta array<double>, inverse array<double>, s2 double")
     rows = df.dropna(subset=[*names, y]).withColumn("_m", fit.select(F.struct("*")).scalar())
     x = [F.lit(1.0), *[F.col(c).cast("double") for c in names]]
     fitted = _sum(F.col("_m.beta")[i] * x[i] for i in range(p))
@@ -187,7 +156,7 @@ def term_contributions(df: DataFrame, y: str, xs: Sequence[str], *keep: str) ->
         means = [g[0, names.index(c) + 1] / g[0, 0] for c in names]
         return pd.DataFrame({"beta": [m.beta.tolist()], "means": [means]})
 
-    fit = _on_gram(gram(df, y, names), names, solve, "beta array<double>, means array<double>")
+    fit = _on_gram(gram(df, [*names, y]), names, solve, "beta array<double>, means array<double>")
     rows = df.dropna(subset=[*names, y]).withColumn("_m", fit.select(F.struct("*")).scalar())
     fitted = F.col("_m.beta")[0] + _sum(F.col("_m.beta")[i + 1] * F.col(c) for i, c in enumerate(names))
     rows = rows.withColumn("fitted", fitted).withColumn("resid", F.col(y) - F.col("fitted"))

@@ -6,9 +6,8 @@ statistics (Mann-Kendall, Theil-Sen) work on that list and never emit the pairs
 
 from __future__ import annotations
 
-import itertools
 import math
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -18,6 +17,7 @@ from pyspark.sql import types as T
 
 from ebbflow.columns import KEY, so_far
 from ebbflow.functions.special import f_pvalue, pnorm, qt, t_pvalue
+from ebbflow.operators.moments import gram
 from ebbflow.operators.windows import ranked_values
 from ebbflow.session import settle
 
@@ -122,12 +122,16 @@ def _pair_statistics(xs: pd.Series, ys: pd.Series, with_slopes: pd.Series) -> pd
     return pd.DataFrame(rows, columns=_PAIR_STATISTICS.names)
 
 
-def _pairwise(df: DataFrame, y: str, x: str, key: str, slopes: bool) -> DataFrame:
-    """Pair statistics per series.  A series contributes one value per year, hence a short list."""
-    known = df.where(F.col(y).isNotNull())
+def _short_lists(df: DataFrame, y: str, x: str, key: str) -> DataFrame:
+    """The known values of each annual series as one sorted list ``p`` of ``(x, y)``."""
     points = F.array_sort(F.collect_list(F.struct(F.col(x).cast("double").alias("x"),
                                                   F.col(y).cast("double").alias("y"))))
-    lists = known.groupBy(key).agg(points.alias("p"))
+    return df.where(F.col(y).isNotNull()).groupBy(key).agg(points.alias("p"))
+
+
+def _pairwise(df: DataFrame, y: str, x: str, key: str, slopes: bool) -> DataFrame:
+    """Pair statistics per series.  A series contributes one value per year, hence a short list."""
+    lists = _short_lists(df, y, x, key)
     stats = _pair_statistics(F.col("p.x"), F.col("p.y"), F.lit(slopes))
     return lists.select(key, F.size("p").alias("n"), stats.alias("k")).select(key, "n", "k.*")
 
@@ -222,57 +226,57 @@ def _segment_rss(y: np.ndarray, x: np.ndarray, slope: bool) -> np.ndarray:
     return np.where(ok, np.maximum(rss, 0.0), np.inf)
 
 
-def break_table(pdf: pd.DataFrame, key: str, y: str, x: str, slope: bool, trim: float,
-                max_breaks: int) -> pd.DataFrame:
-    """Optimal segmentations with 0..max_breaks breaks of one annual series."""
-    pdf = pdf.dropna(subset=[y]).sort_values(x)
-    yy, xx = pdf[y].to_numpy(float), pdf[x].to_numpy(float)
-    n, k = len(yy), 2 if slope else 1
-    h = max(int(math.floor(n * trim)), k + 1)
-    most = min(max_breaks, n // h - 1) if h else 0
-    columns = [key, "m", "breaks", "rss", "bic"]
+def optimal_breaks(x: np.ndarray, y: np.ndarray, slope: bool, trim: float, max_breaks: int
+                   ) -> list[tuple[int, list[int], float, float | None]]:
+    """``(m, breaks, rss, bic)`` of the best segmentations of one annual series, by dynamic programming."""
+    n, k = len(y), 2 if slope else 1
     if n <= k + 1:
-        return pd.DataFrame(columns=columns)
-    rss = _segment_rss(yy, xx, slope)
+        return []
+    h = max(int(math.floor(n * trim)), k + 1)
+    rss = _segment_rss(y, x, slope)
     best, back = rss[0].copy(), []
-    rows = [(0, [], best[n - 1])]
+    found = [(0, [], best[n - 1])]
     best[: h - 1] = np.inf
-    for m in range(1, most + 1):
-        step = np.full(n, np.inf)
-        origin = np.zeros(n, int)
+    for m in range(1, min(max_breaks, n // h - 1) + 1):
+        step, origin = np.full(n, np.inf), np.zeros(n, int)
         ends, cuts = np.arange((m + 1) * h - 1, n), np.arange(m * h - 1, n - h)
         cost = best[cuts, None] + rss[cuts[:, None] + 1, ends]
         cost[cuts[:, None] > ends - h] = np.inf
         at = np.argmin(cost, axis=0)
         step[ends], origin[ends] = cost[at, np.arange(len(ends))], cuts[at]
         back.append(origin)
-        at, found = n - 1, []
+        end, breaks = n - 1, []
         for level in range(m - 1, -1, -1):
-            at = back[level][at]
-            found.append(int(xx[at]))
-        rows.append((m, found[::-1], step[n - 1]))
+            end = back[level][end]
+            breaks.append(int(x[end]))
+        found.append((m, breaks[::-1], step[n - 1]))
         best = step
-    bic = [n * (math.log(2 * math.pi) + 1 + math.log(r / n)) + ((m + 1) * (k + 1)) * math.log(n)
-           if r > 0 else None for m, _, r in rows]
-    return pd.DataFrame({key: pdf[key].iloc[0], "m": [r[0] for r in rows],
-                         "breaks": [r[1] for r in rows], "rss": [r[2] for r in rows], "bic": bic})[columns]
+    return [(m, breaks, float(r), n * (math.log(2 * math.pi) + 1 + math.log(r / n))
+             + (m + 1) * (k + 1) * math.log(n) if r > 0 else None) for m, breaks, r in found]
+
+
+_SEGMENTATIONS = T.ArrayType(T.StructType([
+    T.StructField("m", T.IntegerType()), T.StructField("breaks", T.ArrayType(T.IntegerType())),
+    T.StructField("rss", T.DoubleType()), T.StructField("bic", T.DoubleType())]))
 
 
 def breakpoints(df: DataFrame, y: str, x: str = "year", slope: bool = False, trim: float = 0.15,
                 max_breaks: int = 5, key: str = KEY) -> DataFrame:
     """Best positions of 0..5 breaks with residual sum of squares and BIC per series.
 
-    The dynamic programme runs per series on its annual values.  ``breaks`` lists the last year of
-    each segment but the final one.
+    The dynamic programme runs on the short list of a series' annual values.  ``breaks`` lists the last
+    year of each segment but the final one.
     """
-    kind = df.schema[key].dataType.simpleString()
-    schema = f"`{key}` {kind}, m int, breaks array<int>, rss double, bic double"
-    small = df.select(key, F.col(x).cast("double").alias(x), F.col(y).cast("double").alias(y))
+    @F.pandas_udf(_SEGMENTATIONS)
+    def solve(xs: pd.Series, ys: pd.Series) -> pd.Series:
+        return pd.Series([
+            [{"m": m, "breaks": b, "rss": r, "bic": c} for m, b, r, c in
+             optimal_breaks(np.asarray(u, float), np.asarray(v, float), slope, trim, max_breaks)]
+            for u, v in zip(xs, ys, strict=True)])
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        return break_table(pdf, key, y, x, slope, trim, max_breaks)
-
-    return small.groupBy(key).applyInPandas(solve, schema)
+    lists = _short_lists(df, y, x, key)
+    table = lists.select(key, F.explode(solve(F.col("p.x"), F.col("p.y"))).alias("e"))
+    return table.select(key, "e.*")
 
 
 def best_breaks(table: DataFrame, key: str = KEY) -> DataFrame:
@@ -304,26 +308,29 @@ def nested_anova(table: DataFrame, parameters: int = 1, key: str = KEY) -> DataF
 
 # ---- dependence between indices --------------------------------------------------------------
 
-def _pairs(columns: Sequence[str]) -> list[tuple[str, str]]:
-    return list(itertools.combinations_with_replacement(columns, 2))
-
+def pearson_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Pearson correlation of every pair of index columns over complete rows, long.
 
-def _symmetric(row: DataFrame, columns: Sequence[str], name: str) -> DataFrame:
-    entries = []
-    for i, (a, b) in enumerate(_pairs(columns)):
-        sides = [(a, b)] if a == b else [(a, b), (b, a)]
-        entries += [F.struct(F.lit(p).alias("index"), F.lit(q).alias("index2"),
-                             F.col(f"_c{i}").alias(name), F.col(f"_n{i}").alias("n")) for p, q in sides]
-    return row.select(F.explode(F.array(*entries)).alias("e")).select("e.*")
+    One aggregation of cross products; the pairs of columns are formed from its single row.
+    """
+    names = list(columns)
+    size = len(names) + 1
+    row = gram(df, names)
+    cells = F.explode(F.sequence(F.lit(0), F.lit(len(names) ** 2 - 1))).alias("c")
+    cell = row.select("n", "g", cells).withColumns({
+        "i": (F.floor(F.col("c") / len(names)) + 1).cast("int"), "j": (F.col("c") % len(names) + 1).cast("int")})
 
+    def g(i: Column, j: Column) -> Column:
+        return F.get("g", i * size + j)
 
-def pearson_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Pearson correlation of every pair of index columns, long.  One aggregation, no self-join."""
-    aggs = []
-    for i, (a, b) in enumerate(_pairs(columns)):
-        aggs += [F.corr(a, b).alias(f"_c{i}"),
-                 F.count(F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), 1)).alias(f"_n{i}")]
-    return _symmetric(df.agg(*aggs), columns, "pearson")
+    zero, i, j, n = F.lit(0), F.col("i"), F.col("j"), F.col("n").cast("double")
+    spread = [n * g(k, k) - g(zero, k) * g(zero, k) for k in (i, j)]
+    r = (n * g(i, j) - g(zero, i) * g(zero, j)) / F.sqrt(spread[0] * spread[1])
+    labels = F.array(*[F.lit(c) for c in names])
+    return cell.select(
+        F.element_at(labels, i).alias("index"), F.element_at(labels, j).alias("index2"),
+        F.when(i == j, 1.0).when((spread[0] > 0) & (spread[1] > 0), F.greatest(F.least(r, F.lit(1.0)), F.lit(-1.0)))
+        .alias("pearson"), "n")
 
 
 def with_ranks(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -377,25 +384,23 @@ def zscores(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def pca_loadings(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Principal components of the standardised columns.
 
-    Only the correlation matrix (one aggregation over all rows) reaches the eigen solver.  The sign
+    Only the cross products (one aggregation over all rows) reach the eigen solver.  The sign
     of a component is chosen so that its largest absolute loading is positive.
     """
     names = list(columns)
     p = len(names)
-    complete = df.select(*names).dropna()
-    pairs = _pairs(names)
-    row = complete.agg(*[F.corr(a, b).alias(f"_c{i}") for i, (a, b) in enumerate(pairs)])
+    row = gram(df, names)
 
-    def solve(batches):
+    def solve(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
         for pdf in batches:
-            for values in pdf.itertuples(index=False):
-                matrix = np.zeros((p, p))
-                for (a, b), v in zip(pairs, values, strict=True):
-                    matrix[names.index(a), names.index(b)] = matrix[names.index(b), names.index(a)] = v
+            for n, flat in zip(pdf["n"], pdf["g"], strict=True):
+                g = np.asarray(flat, float).reshape(p + 1, p + 1)
+                cov = n * g[1:, 1:] - np.outer(g[0, 1:], g[0, 1:])
+                matrix = cov / np.sqrt(np.outer(np.diag(cov), np.diag(cov)))
                 np.fill_diagonal(matrix, 1.0)
-                values_, vectors = np.linalg.eigh(matrix)
-                order = np.argsort(values_)[::-1]
-                eigen, vectors = np.maximum(values_[order], 0.0), vectors[:, order]
+                values, vectors = np.linalg.eigh(matrix)
+                order = np.argsort(values)[::-1]
+                eigen, vectors = np.maximum(values[order], 0.0), vectors[:, order]
                 for j in range(p):
                     top = int(np.argmax(np.round(np.abs(vectors[:, j]), 10)))
                     if vectors[top, j] < 0:

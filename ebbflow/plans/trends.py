@@ -10,6 +10,7 @@ from ebbflow.plans import fragments as sql
 from ebbflow.plans.flows import INDEX_CTES
 from ebbflow.plans.frequency import MONTHLY, monthly_flow
 from ebbflow.plans.registry import query
+from ebbflow.session import settle
 from ebbflow.sources import series
 
 OLS = """lin AS (SELECT series_id, count(*) AS n, regr_slope(value, year) AS slope, regr_intercept(value, year) AS intercept,
@@ -189,7 +190,8 @@ COLUMNS = ["mean_flow", "Q50", "MAM1", "MAM10", "MAM30", "Q95", "Q90", "Q70", "A
 
 
 def indices(spark, folder):
-    return idx.station_indices(series.supplier_daily(spark, folder))
+    """The index table; queries that need it several times write it once with ``settle``."""
+    return idx.station_indices(series.by_series(series.supplier_daily(spark, folder)))
 
 
 _LONG = "lg AS (" + " UNION ALL ".join(
@@ -206,7 +208,8 @@ def index_ranks(spark, folder):
 
 @query("pearson_matrix", "index:s index2:s pearson:f6 n:i t:f4 p_value:f6",
        sql.with_(*INDEX_CTES, _LONG, """cr AS (SELECT a.index, b.index AS index2, corr(a.value, b.value) AS pearson, count(*) AS n
-  FROM lg a JOIN lg b ON a.series_id = b.series_id WHERE a.value IS NOT NULL AND b.value IS NOT NULL GROUP BY 1, 2),
+  FROM lg a JOIN lg b ON a.series_id = b.series_id
+  WHERE a.series_id NOT IN (SELECT series_id FROM lg WHERE value IS NULL) GROUP BY 1, 2),
 tt AS (SELECT *, CASE WHEN index <> index2 THEN pearson * sqrt((n - 2) / (1 - pearson * pearson)) END AS t FROM cr)""")
        + f"""SELECT index, index2, pearson, n, t, CASE WHEN index = index2 THEN 0.0 ELSE {sql.t_pvalue('t', '(n - 2)')} END AS p_value FROM tt""")
 def pearson_matrix(spark, folder):
@@ -254,7 +257,7 @@ def lineitem_rank_correlation(spark, folder):
   ("MAM30" - avg("MAM30") OVER ()) / stddev_samp("MAM30") OVER () AS "MAM30" FROM ind""")
 def index_zscores(spark, folder):
     """Standardised indices."""
-    return tr.zscores(indices(spark, folder).select("series_id", "mean_flow", "MAM30"), ["mean_flow", "MAM30"])
+    return tr.zscores(settle(indices(spark, folder).select("series_id", "mean_flow", "MAM30")), ["mean_flow", "MAM30"])
 
 
 @query("pca_two_indices", "component:i variable:s loading:f6 sdev:f6 eigenvalue:f6 proportion:f6 cumulative:f6",
@@ -281,5 +284,5 @@ s_ AS (SELECT sign(corr(a, b)) AS s FROM z)""")
        + """SELECT series_id, sqrt(0.5) * (a + s * b) AS "PC1", sqrt(0.5) * (a - s * b) AS "PC2" FROM z, s_""")
 def pca_scores(spark, folder):
     """Scores of the stations on two components."""
-    table = indices(spark, folder).select("series_id", "mean_flow", "MAM30")
+    table = settle(indices(spark, folder).select("series_id", "mean_flow", "MAM30"))
     return tr.pca_scores(table, ["mean_flow", "MAM30"], tr.pca_loadings(table, ["mean_flow", "MAM30"]))

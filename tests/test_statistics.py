@@ -15,6 +15,7 @@ from ebbflow.functions import special as sf
 from ebbflow.operators import frequency as fr
 from ebbflow.operators import impact as im
 from ebbflow.operators import indices as idx
+from ebbflow.operators import moments
 from ebbflow.operators import regional as rg
 from ebbflow.operators import skill as sk
 from ebbflow.operators import trend as tr
@@ -218,7 +219,7 @@ def regression_data(n=200, p=4, seed=7):
 @pytest.mark.parametrize("wide", [False, True])
 def test_regression(spark, monkeypatch, wide):
     if wide:
-        monkeypatch.setattr(rg, "_NARROW", 0)
+        monkeypatch.setattr(moments, "NARROW", 0)
     x, y = regression_data()
     df = frame(spark, y=y, **{f"x{i}": x[:, i] for i in range(4)})
     got = rg.regression(df, "y", ["x0", "x1", "x2", "x3"]).toPandas()
