@@ -41,11 +41,13 @@ def class_density(df: DataFrame, x: str, label: str, points: int = 64, lower: fl
     size is an ``explode``, partially summed before the shuffle.
     """
     groups = list(by)
-    rows = df.where(F.col(x).isNotNull()).select(*groups, label, F.col(x).cast("double").alias("_x"))
-    stats = rows.groupBy(*groups, label).agg(
+    known = df.where(F.col(x).isNotNull()).select(*groups, label, F.col(x).cast("double").alias("_x"))
+    # equal values share their kernels
+    rows = known.groupBy(*groups, label, "_x").agg(F.count(F.lit(1)).alias("_c"))
+    stats = known.groupBy(*groups, label).agg(
         F.count(F.lit(1)).alias("_n"), F.stddev_samp("_x").alias("_sd"),
         F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
-    quartiles = exact_quantiles(rows, [*groups, label], "_x", (0.25, 0.75), ("_q1", "_q3")).drop("n")
+    quartiles = exact_quantiles(known, [*groups, label], "_x", (0.25, 0.75), ("_q1", "_q3")).drop("n")
     stats = stats.join(quartiles, [*groups, label])
     spread = F.least(F.col("_sd"), (F.col("_q3") - F.col("_q1")) / 1.34)
     stats = stats.withColumn("_h", 0.9 * F.when(spread > 0, spread).when(F.col("_sd") > 0, F.col("_sd"))
@@ -60,10 +62,10 @@ def class_density(df: DataFrame, x: str, label: str, points: int = 64, lower: fl
         stats = stats.withColumns({"_from": lo, "_to": hi})
     rows = rows.join(stats.select(*groups, label, "_n", "_h", "_from", "_to"), [*groups, label])
     step = F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("i")
-    grid = rows.select(*groups, label, "_x", "_n", "_h", "_from", "_to", step)
+    grid = rows.select(*groups, label, "_x", "_c", "_n", "_h", "_from", "_to", step)
     at = F.col("_from") + (F.col("_to") - F.col("_from")) * F.col("i") / (points - 1)
     u = (at - F.col("_x")) / F.col("_h")
-    kernel = F.exp(-0.5 * u * u) / (F.col("_h") * F.col("_n") * math.sqrt(2 * math.pi))
+    kernel = F.col("_c") * F.exp(-0.5 * u * u) / (F.col("_h") * F.col("_n") * math.sqrt(2 * math.pi))
     sums = grid.groupBy(*groups, "i", label).agg(F.max(at).alias("x"), F.sum(kernel).alias("density"))
     total = sums.groupBy(*groups, "i").agg(F.sum("density").alias("_all"))
     return sums.join(total, [*groups, "i"]).select(

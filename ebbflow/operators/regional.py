@@ -256,13 +256,13 @@ def sample_variogram(points: DataFrame, width: float, cutoff: float, x: str = "x
                      z: str = "z", block: int = 2000) -> DataFrame:
     """Binned sample variogram: ``bin, n, distance, gamma`` of pairs closer than ``cutoff``.
 
-    Points are placed in grid cells of the cutoff size, so partners lie in neighbouring cells.  A cell
-    is further split into blocks of at most about ``block`` points, and a task handles one pair of
+    Equal points are merged with their count.  Points are placed in grid cells of the cutoff size, so
+    partners lie in neighbouring cells.  A cell is further split into blocks of at most about ``block`` points, and a task handles one pair of
     blocks: no cell, however crowded, ends up in one task, and only bin sums leave a task.
     """
-    pts = points.where(F.col(z).isNotNull()).select(
+    pts = points.where(F.col(z).isNotNull()).groupBy(
         F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"),
-        F.col(z).cast("double").alias("z"))
+        F.col(z).cast("double").alias("z")).agg(F.count(F.lit(1)).cast("double").alias("w"))
     pts = pts.withColumns({"cx": F.floor(F.col("x") / cutoff), "cy": F.floor(F.col("y") / cutoff)})
     # a repeatable block number: pairs must meet exactly once even if a task is run again
     crowd = pts.groupBy("cx", "cy").agg((F.floor(F.count(F.lit(1)) / block) + 1).cast("int").alias("k"))
@@ -279,28 +279,31 @@ def sample_variogram(points: DataFrame, width: float, cutoff: float, x: str = "x
              .join(other, ["cx2", "cy2"]).where(~F.col("same") | (F.col("b2") >= F.col("b")))
              .select("cx", "cy", "b", "cx2", "cy2", "b2",
                      F.concat_ws("|", "cx", "cy", "b", "cx2", "cy2", "b2").alias("pair")))
-    left = pairs.join(pts, ["cx", "cy", "b"]).select("pair", F.lit(0).alias("side"), "x", "y", "z")
+    left = pairs.join(pts, ["cx", "cy", "b"]).select("pair", F.lit(0).alias("side"), "x", "y", "z", "w")
     right = (pairs.where("cx <> cx2 or cy <> cy2 or b <> b2")
              .join(pts.select(F.col("cx").alias("cx2"), F.col("cy").alias("cy2"), F.col("b").alias("b2"),
-                              "x", "y", "z"), ["cx2", "cy2", "b2"])
-             .select("pair", F.lit(1).alias("side"), "x", "y", "z"))
+                              "x", "y", "z", "w"), ["cx2", "cy2", "b2"])
+             .select("pair", F.lit(1).alias("side"), "x", "y", "z", "w"))
     bins = int(math.ceil(cutoff / width))
 
     def sums(pdf: pd.DataFrame) -> pd.DataFrame:
-        m, side = pdf[["x", "y", "z"]].to_numpy(float), pdf["side"].to_numpy()
+        m, side = pdf[["x", "y", "z", "w"]].to_numpy(float), pdf["side"].to_numpy()
         a, b = m[side == 0], m[side == 1]
         inside = len(b) == 0
         n, d, g = np.zeros(bins), np.zeros(bins), np.zeros(bins)
         target = a if inside else b
+        if inside:
+            n[0] += (a[:, 3] * (a[:, 3] - 1) / 2).sum()  # pairs of equal points
         for i in range(len(a)):
             rest = target[i + 1:] if inside else target
             dist = np.hypot(rest[:, 0] - a[i, 0], rest[:, 1] - a[i, 1])
             ok = dist < cutoff
             at = np.minimum((dist[ok] / width).astype(int), bins - 1)
-            n += np.bincount(at, minlength=bins)
-            d += np.bincount(at, dist[ok], minlength=bins)
-            g += np.bincount(at, 0.5 * (rest[ok, 2] - a[i, 2]) ** 2, minlength=bins)
-        return pd.DataFrame({"bin": np.arange(bins), "n": n.astype(int), "d": d, "g": g})
+            w = rest[ok, 3] * a[i, 3]
+            n += np.bincount(at, w, minlength=bins)
+            d += np.bincount(at, w * dist[ok], minlength=bins)
+            g += np.bincount(at, w * 0.5 * (rest[ok, 2] - a[i, 2]) ** 2, minlength=bins)
+        return pd.DataFrame({"bin": np.arange(bins), "n": n.astype("int64"), "d": d, "g": g})
 
     parts = left.unionByName(right).groupBy("pair").applyInPandas(sums, "bin int, n long, d double, g double")
     total = parts.groupBy("bin").agg(F.sum("n").alias("n"), F.sum("d").alias("d"), F.sum("g").alias("g"))

@@ -6,6 +6,7 @@ statistics (Mann-Kendall, Theil-Sen) work on that list and never emit the pairs
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterable, Sequence
 
@@ -285,6 +286,82 @@ def best_breaks(table: DataFrame, key: str = KEY) -> DataFrame:
         key, "b.m", "b.breaks", "b.rss", "b.bic")
 
 
+def _log_phi(z: float) -> float:
+    """Logarithm of the standard normal distribution function, also far in the lower tail."""
+    if z > -30:
+        return math.log(0.5 * math.erfc(-z / math.sqrt(2)))
+    return -0.5 * z * z - math.log(-z) - 0.5 * math.log(2 * math.pi) + math.log1p(-1 / z ** 2)
+
+
+def break_date_cdf(x: float, xi: float, phi: float) -> float:
+    """Limiting distribution of a scaled break date estimate (Bai 1997, appendix B)."""
+    r, size = xi / phi, abs(x)
+    root = math.sqrt(size)
+    if x < 0:
+        a, b = 0.5 * r * (1 + r), 0.5 + r
+        c, d = phi * (phi + 2 * xi) / ((phi + xi) * xi), (phi + 2 * xi) ** 2 / ((phi + xi) * xi)
+        return (-root * math.exp(-size / 8) / math.sqrt(2 * math.pi)
+                - c * math.exp(a * size + _log_phi(-b * root))
+                + (d - 2 + size / 2) * math.exp(_log_phi(-root / 2)))
+    a, b = 0.5 * (phi + xi), (2 * phi + xi) / (2 * math.sqrt(phi))
+    c, d = xi * (2 * phi + xi) / ((phi + xi) * phi), (xi + 2 * phi) ** 2 / ((phi + xi) * phi)
+    return (1 + xi / math.sqrt(phi) * root * math.exp(-xi * xi * x / (8 * phi)) / math.sqrt(2 * math.pi)
+            + c * math.exp(a * x + _log_phi(-b * root))
+            + (-d + 2 - xi * xi * x / (2 * phi)) * math.exp(_log_phi(-xi * root / (2 * math.sqrt(phi)))))
+
+
+def break_date_quantile(p: float, xi: float, phi: float) -> float:
+    low, high = -1.0, 1.0
+    while break_date_cdf(low, xi, phi) > p and low > -1e7:
+        low *= 2
+    while break_date_cdf(high, xi, phi) < p and high < 1e7:
+        high *= 2
+    for _ in range(80):
+        middle = 0.5 * (low + high)
+        low, high = (middle, high) if break_date_cdf(middle, xi, phi) < p else (low, middle)
+    return 0.5 * (low + high)
+
+
+def _break_limits(x: np.ndarray, y: np.ndarray, breaks: Sequence[int], slope: bool, level: float
+                  ) -> list[dict[str, int]]:
+    edges = [0, *[int(np.searchsorted(x, b)) + 1 for b in breaks], len(x)]
+    design = np.column_stack([np.ones(len(x)), x - x.mean()][: 2 if slope else 1])
+    parts = [slice(a, b) for a, b in itertools.pairwise(edges)]
+    fits = [np.linalg.lstsq(design[s], y[s], rcond=None)[0] for s in parts]
+    spread = [float(np.mean((y[s] - design[s] @ f) ** 2)) for s, f in zip(parts, fits, strict=True)]
+    out = []
+    for i, b in enumerate(breaks):
+        delta = fits[i + 1] - fits[i]
+        left, right = (float(np.mean((design[s] @ delta) ** 2)) for s in parts[i:i + 2])
+        if min(left, right, spread[i], spread[i + 1]) <= 0:
+            out.append({"break_after": int(b), "lower": int(b), "upper": int(b)})
+            continue
+        xi, phi = right / left, spread[i + 1] / spread[i]
+        unit = spread[i] / left
+        low, high = (break_date_quantile(p, xi, phi) * unit for p in ((1 - level) / 2, (1 + level) / 2))
+        out.append({"break_after": int(b), "lower": int(b - math.ceil(high)), "upper": int(b - math.floor(low))})
+    return out
+
+
+def break_intervals(df: DataFrame, breaks: DataFrame, y: str, x: str = "year", slope: bool = False,
+                    level: float = 0.95, key: str = KEY) -> DataFrame:
+    """Confidence interval of every break date; moments and variances may differ between segments.
+
+    ``breaks`` holds ``key, breaks`` as given by :func:`best_breaks`.
+    """
+    kind = T.ArrayType(T.StructType([T.StructField(n, T.IntegerType())
+                                     for n in ("break_after", "lower", "upper")]))
+
+    @F.pandas_udf(kind)
+    def solve(xs: pd.Series, ys: pd.Series, at: pd.Series) -> pd.Series:
+        return pd.Series([_break_limits(np.asarray(u, float), np.asarray(v, float), list(b), slope, level)
+                          for u, v, b in zip(xs, ys, at, strict=True)])
+
+    lists = _short_lists(df, y, x, key).join(breaks.where("m > 0").select(key, "breaks"), key)
+    out = lists.select(key, F.explode(solve(F.col("p.x"), F.col("p.y"), F.col("breaks"))).alias("e"))
+    return out.select(key, "e.*")
+
+
 def segment_fit(df: DataFrame, breaks: DataFrame, y: str, x: str = "year", key: str = KEY) -> DataFrame:
     """Mean of every segment between the breaks, joined to the years of the series."""
     joined = df.join(breaks.select(key, "breaks"), key)

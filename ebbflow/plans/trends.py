@@ -184,6 +184,13 @@ def break_segments(spark, folder):
     return tr.segment_fit(flows, tr.best_breaks(tr.breakpoints(flows, "value")), "value")
 
 
+@query("break_intervals", "series_id:s break_after:i lower:i upper:i")
+def break_intervals(spark, folder):
+    """Confidence intervals of the break dates of the best segmentation."""
+    flows = settle(monthly_flow(spark, folder))
+    return tr.break_intervals(flows, tr.best_breaks(tr.breakpoints(flows, "value")), "value")
+
+
 # ---- dependence ------------------------------------------------------------------------------
 
 COLUMNS = ["mean_flow", "Q50", "MAM1", "MAM10", "MAM30", "Q95", "Q90", "Q70", "ALPHA"]

@@ -183,6 +183,23 @@ def test_breaks_equal_brute_force(annual, slope):
         assert list(best.loc["a", "breaks"]) == [1976] and best.loc["c", "m"] == 0
 
 
+def test_break_date_distribution():
+    for xi, phi in ((1.0, 1.0), (0.5, 2.0), (3.0, 0.7)):
+        assert tr.break_date_cdf(-1e-12, xi, phi) == pytest.approx(tr.break_date_cdf(1e-12, xi, phi), abs=1e-5)
+    # tabulated quantiles of the symmetric case
+    assert tr.break_date_quantile(0.95, 1.0, 1.0) == pytest.approx(7.7, abs=0.05)
+    assert tr.break_date_quantile(0.975, 1.0, 1.0) == pytest.approx(11.0, abs=0.05)
+    assert tr.break_date_quantile(0.025, 1.0, 1.0) == pytest.approx(-11.0, abs=0.05)
+
+
+def test_break_intervals(annual):
+    best = tr.best_breaks(tr.breakpoints(annual, "value"))
+    got = {r["series_id"]: r for r in tr.break_intervals(annual, best, "value").collect()}
+    assert set(got) == {"a", "b"}
+    for r in got.values():
+        assert r["lower"] < r["break_after"] < r["upper"] and r["upper"] - r["lower"] < 10
+
+
 def test_criterion_golden():
     # residual sum of squares and criterion of a published segmentation of 169 values
     bic = 169 * (math.log(2 * math.pi) + 1 + math.log(951054.5 / 169)) + 2 * 2 * math.log(169)
@@ -354,8 +371,10 @@ def test_variogram_of_a_crowded_cell(spark, block):
 
 
 def test_variogram_of_equal_points(spark):
-    got = rg.sample_variogram(frame(spark, x=[0.0] * 9, y=[0.0] * 9, z=[1.0] * 9), 1.0, 2.0, block=3).toPandas()
-    assert got["n"].sum() == 36 and got["gamma"].iloc[0] == 0
+    x, z = [0.0] * 9 + [1.5], [1.0] * 9 + [3.0]
+    got = rg.sample_variogram(frame(spark, x=x, y=[0.0] * 10, z=z), 1.0, 2.0, block=3).toPandas().set_index("bin")
+    assert got["n"].to_dict() == {0: 36, 1: 9}
+    assert got["gamma"].to_dict() == {0: 0.0, 1: 2.0}
 
 
 def test_kriging(spark):
