@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Sequence
 
 import numpy as np
@@ -253,7 +252,6 @@ def whittaker(df: DataFrame, by: Sequence[str], position: str = "md", value: str
     return df.groupBy(*by).applyInPandas(smooth, schema)
 
 
-@functools.lru_cache(maxsize=4)
 def _penalty(n: int, lam: float) -> np.ndarray:
     second = np.diff(np.eye(n), 2, axis=0) if n > 2 else np.zeros((0, n))
     return np.eye(n) + lam * second.T @ second

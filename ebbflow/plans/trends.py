@@ -94,7 +94,7 @@ def theil_sen(spark, folder):
     return tr.theil_sen(monthly_flow(spark, folder), "value")
 
 
-@query("trend_lines", "series_id:s year:i model:s fitted:f4",
+@query("trend_lines", "series_id:s year:i model:s fitted:f6",
        sql.with_(sql.SUPP, MONTHLY, OLS, PAIRS, """ic AS (SELECT mon.series_id, quantile_cont(value - slope * year, 0.5) AS i2
   FROM mon JOIN s_ USING (series_id) GROUP BY 1)""")
        + """SELECT mon.series_id, year, 'ols' AS model, intercept + slope * year AS fitted FROM mon JOIN lin USING (series_id)
@@ -202,15 +202,16 @@ def indices(spark, folder):
 
 
 _LONG = "lg AS (" + " UNION ALL ".join(
-    f"SELECT series_id, '{c}' AS index, \"{c}\" AS value FROM ind" for c in COLUMNS) + ")"
+    f"SELECT series_id, '{c}' AS index, round(\"{c}\", 9) AS value FROM ind" for c in COLUMNS) + ")"
 
 
 @query("index_ranks", "series_id:s index:s value:f6 rank:i",
        sql.with_(*INDEX_CTES, _LONG) + """SELECT series_id, index, value, CASE WHEN value IS NOT NULL THEN
   rank() OVER (PARTITION BY series_id ORDER BY value NULLS LAST) END AS rank FROM lg""")
 def index_ranks(spark, folder):
-    """Ranks of the indices within each station."""
-    return tr.index_ranks(indices(spark, folder), COLUMNS)
+    """Ranks of the indices within each station (rounded, so that equal indices share a rank)."""
+    table = indices(spark, folder).select("series_id", *[F.round(c, 9).alias(c) for c in COLUMNS])
+    return tr.index_ranks(table, COLUMNS)
 
 
 @query("pearson_matrix", "index:s index2:s pearson:f6 n:i t:f4 p_value:f6",

@@ -71,3 +71,36 @@ def test_series_hold_one_row_per_day(spark, name):
         pytest.skip("tables not available")
     df = getattr(src, name)(spark, folder)
     assert df.count() == df.select("series_id", "time").distinct().count()
+
+
+FOREIGN = """
+import importlib.util, sys
+spec = importlib.util.spec_from_file_location("entry_point", sys.argv[1])
+module = importlib.util.module_from_spec(spec)
+spec.loader.exec_module(module)
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[4]").config("spark.ui.enabled", "false").getOrCreate()
+for name in sys.argv[3:]:
+    print(name, len(module.queries()[name](spark, sys.argv[2]).collect()) > 0)
+"""
+
+
+def test_python_helpers_travel_with_the_query(tmp_path):
+    """Workers that cannot import the package still run its Arrow functions."""
+    import os
+    import subprocess
+    import sys
+
+    folder = "/root/testdata/sf0.001"
+    if not os.path.isdir(folder):
+        pytest.skip("tables not available")
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    names = ["theil_sen", "structural_breaks", "break_intervals", "linear_trend", "pca_loadings", "area_kriging",
+             "smoothed_quantile_curves", "regional_regression", "robust_regression", "sample_variogram"]
+    script = tmp_path / "foreign.py"
+    script.write_text(FOREIGN)
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, str(script), f"{root}/__spark_entry__.py", folder, *names],
+                          cwd=tmp_path, env=env, capture_output=True, text=True, timeout=600)
+    assert done.returncode == 0, done.stderr[-2000:]
+    assert sum(line.split()[0] in names for line in done.stdout.splitlines() if line.strip()) == len(names)
