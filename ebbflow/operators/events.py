@@ -318,8 +318,8 @@ def master_recession(df: DataFrame, smooth: int = 0, zeroslope: float = 0.0, min
     whole, segment = Window.partitionBy(key), Window.partitionBy(key, "event")
     q, q1 = F.col(value), F.col("next_value")
     pairs = pairs.withColumns({
-        "_k": F.sum(q * q1).over(whole) / F.sum(q * q).over(whole), "_q0": F.max(q).over(whole),
+        "_k": F.try_divide(F.sum(q * q1).over(whole), F.sum(q * q).over(whole)), "_q0": F.max(q).over(whole),
         "_start": F.min_by(q, "day").over(segment)})
-    shift = (F.log("_start") - F.log("_q0")) / F.log("_k")
+    shift = F.try_divide(F.log("_start") - F.log("_q0"), F.log("_k"))
     return pairs.withColumn("shift", shift).select(
         key, "event", "day", time, value, "shift", (F.col("day") + F.col("shift") - 1).alias("day_shifted"))

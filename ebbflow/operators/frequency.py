@@ -45,9 +45,10 @@ def lmoments(df: DataFrame, value: str, keys: Sequence[str] = (KEY,)) -> DataFra
         F.sum(x * w).alias(f"_s{k}") for k, w in enumerate(weights)])
     m = F.col("n")
     b0 = F.col("_s0") / m
-    b1 = F.col("_s1") / (m * (m - 1))
-    b2 = F.col("_s2") / (m * (m - 1) * (m - 2))
-    b3 = F.col("_s3") / (m * (m - 1) * (m - 2) * (m - 3))
+    # undefined moments of very short samples are NULL
+    b1 = F.try_divide(F.col("_s1"), m * (m - 1))
+    b2 = F.try_divide(F.col("_s2"), m * (m - 1) * (m - 2))
+    b3 = F.try_divide(F.col("_s3"), m * (m - 1) * (m - 2) * (m - 3))
     moments = sums.select(*keys, "n", b0.alias("l1"), F.when(m > 1, 2 * b1 - b0).alias("l2"),
                           F.when(m > 2, 6 * b2 - 6 * b1 + b0).alias("_l3"),
                           F.when(m > 3, 20 * b3 - 30 * b2 + 12 * b1 - b0).alias("_l4"))
@@ -85,7 +86,7 @@ def cdf_exponential(x: Column, location: Column, scale: Column) -> Column:
 
 def fit_pareto(moments: DataFrame, bound: Column) -> DataFrame:
     """Generalised Pareto fit with known lower bound: adds ``location, scale, shape``."""
-    shape = (F.col("l1") - bound) / F.col("l2") - 2.0
+    shape = (F.col("l1") - bound) / F.nullif(F.col("l2"), F.lit(0.0)) - 2.0
     return moments.withColumn("location", bound.cast("double")).withColumn("shape", shape).withColumn(
         "scale", (1.0 + F.col("shape")) * (F.col("l1") - F.col("location")))
 

@@ -135,7 +135,7 @@ def cooks_distance(df: DataFrame, y: str, xs: Sequence[str], *keep: str) -> Data
     rows = rows.withColumns({"fitted": fitted, "leverage": leverage, "_s2": F.col("_m.s2")})
     rows = rows.withColumn("resid", F.col(y) - F.col("fitted"))
     h, e = F.col("leverage"), F.col("resid")
-    return rows.withColumn("cooks_d", e * e / (p * F.col("_s2")) * h / ((1 - h) * (1 - h))).select(
+    return rows.withColumn("cooks_d", F.try_divide(e * e * h, p * F.col("_s2") * (1 - h) * (1 - h))).select(
         *keep, *names, y, "fitted", "resid", "leverage", "cooks_d")
 
 
@@ -329,7 +329,7 @@ def fit_point_variogram(binned: DataFrame, nuggets: Sequence[float], sills: Sequ
     model = F.col("nugget") + F.col("sill") * (1 - F.exp(-F.col("distance") / F.col("reach")))
     tried = tried.withColumn("m", model)
     err = tried.groupBy("nugget", "sill", "reach").agg(
-        (F.sum(F.col("n") * F.pow(F.col("gamma") / F.col("m") - 1, F.lit(2))) / F.sum("n")).alias("error"))
+        (F.sum(F.col("n") * F.pow(F.try_divide(F.col("gamma"), F.col("m")) - 1, F.lit(2))) / F.sum("n")).alias("error"))
     return err.agg(F.min(F.struct("error", "nugget", "sill", "reach")).alias("b")).select("b.*")
 
 

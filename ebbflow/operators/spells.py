@@ -188,7 +188,7 @@ def circular(day: Column, upper: float = 365.0) -> dict[str, Column]:
     scale = F.lit(upper / (2.0 * math.pi))
     length = F.sqrt(s * s + c * c)
     return {"mean": F.when(phi < 0, phi + F.lit(2.0 * math.pi)).otherwise(phi) * scale,
-            "var": scale * scale * F.lit(2.0) * F.log(1.0 / length),
+            "var": scale * scale * F.lit(-2.0) * F.log(length),
             "sd": scale * F.sqrt(F.greatest(F.lit(-2.0) * F.log(length), F.lit(0.0))),
             "abs": length}
 

@@ -30,7 +30,7 @@ def ols(df: DataFrame, y: str, x: str = "year", key: str = KEY) -> DataFrame:
     fit = df.groupBy(key).agg(
         F.regr_count(y, x).alias("n"), F.regr_slope(y, x).alias("slope"),
         F.regr_intercept(y, x).alias("intercept"), F.regr_r2(y, x).alias("r2"),
-        F.regr_sxx(y, x).alias("sxx"), F.regr_syy(y, x).alias("_syy"), F.regr_sxy(y, x).alias("_sxy"),
+        F.nullif(F.regr_sxx(y, x), F.lit(0.0)).alias("sxx"), F.regr_syy(y, x).alias("_syy"), F.regr_sxy(y, x).alias("_sxy"),
         F.regr_avgx(y, x).alias("x_mean"))
     dof = F.col("n") - 2
     rss = F.greatest(F.col("_syy") - F.col("slope") * F.col("_sxy"), F.lit(0.0))
@@ -452,7 +452,7 @@ def zscores(df: DataFrame, columns: Sequence[str]) -> DataFrame:
                      for p, f in (("m_", F.avg), ("s_", F.stddev_samp))])
     one = stats.select(F.struct("*")).scalar()
     df = df.withColumn("_z", one)
-    return df.withColumns({c: (F.col(c) - F.col(f"_z.m_{c}")) / F.col(f"_z.s_{c}") for c in columns}
+    return df.withColumns({c: F.try_divide(F.col(c) - F.col(f"_z.m_{c}"), F.col(f"_z.s_{c}")) for c in columns}
                           ).drop("_z")
 
 

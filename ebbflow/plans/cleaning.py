@@ -180,7 +180,7 @@ def coverage_grid(spark, folder):
     return grid.withColumn("md", month_day_label(F.col("md")))
 
 
-@query("monthly_resample", "series_id:s time:d value:f4",
+@query("monthly_resample", "series_id:s time:d value:f8",
        sql.with_(sql.ORDER, """months AS (SELECT series_id, CAST(unnest(generate_series(
   date_trunc('month', min(time)), date_trunc('month', max(time)), INTERVAL 1 MONTH)) AS DATE) AS time
   FROM ords GROUP BY 1)""")

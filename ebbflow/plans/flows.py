@@ -207,7 +207,7 @@ def station_indices(spark, folder):
     return idx.station_indices(series.by_series(series.supplier_daily(spark, folder)))
 
 
-@query("groundwater_index", "series_id:s time:d level:f4 rank:f2 sgi:f8",
+@query("groundwater_index", "series_id:s time:d level:f8 rank:f2 sgi:f8",
        sql.with_(sql.ORDER, """months AS (SELECT series_id, CAST(unnest(generate_series(
   date_trunc('month', min(time)), date_trunc('month', max(time)), INTERVAL 1 MONTH)) AS DATE) AS time
   FROM ords GROUP BY 1)""",

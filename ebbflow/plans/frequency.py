@@ -19,11 +19,11 @@ MONTHLY = """mon AS (SELECT series_id, year(time) * 12 + month(time) AS year, av
 
 LMOM = """lr AS (SELECT {key} AS k, {x} AS x, row_number() OVER (PARTITION BY {key} ORDER BY {x}) AS r,
   count(*) OVER (PARTITION BY {key}) AS n FROM {source} WHERE {x} IS NOT NULL),
-lb AS (SELECT k, max(n) AS n, sum(x) / max(n) AS b0, sum(x * (r - 1)) / max(n * (n - 1)) AS b1,
-  sum(x * (r - 1) * (r - 2)) / max(n * (n - 1) * CAST(n - 2 AS DOUBLE)) AS b2,
-  sum(x * (r - 1) * (r - 2) * CAST(r - 3 AS DOUBLE)) / max(CAST(n AS DOUBLE) * (n - 1) * (n - 2) * (n - 3)) AS b3 FROM lr GROUP BY 1),
-lm AS (SELECT k AS series_id, n, b0 AS l1, 2 * b1 - b0 AS l2, (6 * b2 - 6 * b1 + b0) / (2 * b1 - b0) AS t3,
-  (20 * b3 - 30 * b2 + 12 * b1 - b0) / (2 * b1 - b0) AS t4 FROM lb)"""
+lb AS (SELECT k, max(n) AS n, sum(x) / max(n) AS b0, sum(x * (r - 1)) / nullif(max(n * (n - 1)), 0) AS b1,
+  sum(x * (r - 1) * (r - 2)) / nullif(max(n * (n - 1) * CAST(n - 2 AS DOUBLE)), 0) AS b2,
+  sum(x * (r - 1) * (r - 2) * CAST(r - 3 AS DOUBLE)) / nullif(max(CAST(n AS DOUBLE) * (n - 1) * (n - 2) * (n - 3)), 0) AS b3 FROM lr GROUP BY 1),
+lm AS (SELECT k AS series_id, n, b0 AS l1, 2 * b1 - b0 AS l2, (6 * b2 - 6 * b1 + b0) / nullif(2 * b1 - b0, 0) AS t3,
+  (20 * b3 - 30 * b2 + 12 * b1 - b0) / nullif(2 * b1 - b0, 0) AS t4 FROM lb)"""
 
 
 def monthly_flow(spark, folder):
@@ -93,7 +93,7 @@ obs AS (SELECT series_id || ' duration' AS series_id, duration AS value, 2.0 AS
 yrs AS (SELECT series_id, count(DISTINCT year(time)) AS years FROM fullc GROUP BY 1),
 bnd AS (SELECT series_id, max(bound) AS bound, count(*) AS events FROM obs GROUP BY 1)""",
        LMOM.format(key="series_id", x="value", source="obs"),
-       """gp AS (SELECT lm.series_id, l1, l2, bound, events / years AS rate, (l1 - bound) / l2 - 2 AS shape FROM lm
+       """gp AS (SELECT lm.series_id, l1, l2, bound, events / years AS rate, (l1 - bound) / nullif(l2, 0) - 2 AS shape FROM lm
   JOIN bnd USING (series_id) JOIN yrs ON yrs.series_id = split_part(lm.series_id, ' ', 1)),
 gpf AS (SELECT *, (1 + shape) * (l1 - bound) AS scale FROM gp)""")
 
