@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ebbflow.llm import decontaminate, token_output
+from ebbflow.llm import decontaminate, mixing, token_output, url_filter
 from ebbflow.session import shared_dir
 
 
@@ -25,9 +25,12 @@ def token_output_query(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_benchmark_decontamination": decontaminate.registered,
+    "op5_url_filter": url_filter.registered,
+    "op7_mixing": mixing.registered,
     "op9_token_output": token_output_query,
 }
 
 SQL = {
     "op1_benchmark_decontamination": decontaminate.SQL,
+    "op7_mixing": mixing.SQL,
 }
