@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ebbflow.llm import decontaminate, mixing, quality_classifier, token_output, url_filter
+from ebbflow.llm import decontaminate, language_id, mixing, quality_classifier, token_output, url_filter
 from ebbflow.session import shared_dir
 
 
@@ -28,6 +28,7 @@ QUERIES = {
     "op4_quality_classifier": quality_classifier.registered,
     "op5_url_filter": url_filter.registered,
     "op7_mixing": mixing.registered,
+    "op8_language_id": language_id.registered,
     "op9_token_output": token_output_query,
 }
 
