@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ebbflow.llm import decontaminate, language_id, mixing, quality_classifier, token_output, url_filter
+from ebbflow.llm import decontaminate, jaccard_join, language_id, mixing, quality_classifier, token_output, url_filter
 from ebbflow.session import shared_dir
 
 
@@ -30,9 +30,11 @@ QUERIES = {
     "op7_mixing": mixing.registered,
     "op8_language_id": language_id.registered,
     "op9_token_output": token_output_query,
+    "op10_ngram_jaccard_join": jaccard_join.registered,
 }
 
 SQL = {
     "op1_benchmark_decontamination": decontaminate.SQL,
     "op7_mixing": mixing.SQL,
+    "op10_ngram_jaccard_join": jaccard_join.SQL,
 }
