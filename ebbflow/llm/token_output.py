@@ -18,6 +18,7 @@ import os
 import re
 import struct
 import sys
+import types
 import unicodedata
 
 import numpy as np
@@ -74,41 +75,77 @@ def unpack(payload: bytes) -> np.ndarray:
     return out.view("<u4").reshape(-1)
 
 
+class Known(dict):
+    """What pieces of text came to; a new one is made by ``make``.
+
+    Once half of ``keep`` pieces are held, they become the old half and replace the old half before them; an old
+    piece that is asked for again is taken over.
+    """
+
+    def __init__(self, make, keep: int):
+        super().__init__()
+        self.make, self.half, self.old = make, keep // 2, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) >= self.half:
+            self.old = dict(self)
+            self.clear()
+        ids = self.old.get(piece)
+        self[piece] = ids = self.make(piece) if ids is None else ids
+        return ids
+
+
 class Encoder:
-    """Encodes with a tokenizer file and keeps what pieces of text came to, up to ``keep`` pieces.
+    """Encodes with a tokenizer file and keeps what up to ``keep`` pieces of text, and half as many words, came to.
 
     The library encodes each piece; texts whose characters the cutting rule might class differently from
-    the library, or that hold one of its special strings, are given to the library whole.
+    the library, or that hold one of its special strings, are given to the library whole.  A space or line
+    feed after another character always begins a piece, so texts are cut there first, and the parts of a
+    usual text (no two such characters in a row) are known by their words.
     """
 
-    def __init__(self, path: str, keep: int = 400_000):
+    def __init__(self, path: str, keep: int = 800_000):
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        self.tokenizer, self.keep, self.known = Tokenizer.from_file(path), keep, {}
+        self.tokenizer = Tokenizer.from_file(path)
         self.width = max(1, (max(1, self.tokenizer.get_vocab_size() - 1).bit_length() + 7) // 8)
         before = self.tokenizer.pre_tokenizer.__getstate__()
         self.piecewise = b'"ByteLevel"' in before and b'"add_prefix_space":false' in before and self.tokenizer.normalizer is None
-        odd = "".join(map(re.escape, (c for c in map(chr, range(sys.maxunicode)) if unicodedata.category(c) in ("Nl", "No"))))
-        special = "".join("|" + re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values())
-        self.whole = re.compile(r"[^\S \n]|[\x1c-\x1f᠎" + odd + "]" + special)
-        self.piece = re.compile(PIECE)
+        # White space other than space and line feed, numbers that are no decimal digits, and rare planes.
+        odd = (c for c in map(chr, range(1 << 16)) if c not in " \n" and (c.isspace() or c == "\u180e" or unicodedata.category(c) in ("Nl", "No")))
+        self.odd = re.compile("[" + "".join(map(re.escape, odd)) + "\U00010000-\U0010FFFF]")
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.double, self.piece = re.compile(r"[ \n][ \n]"), re.compile(PIECE)
+        self.pieces = Known(self._library, keep)
+        self.parts = Known(lambda part: self._cut(part if part[:1] == "\n" else " " + part), keep // 2)
+
+    def _library(self, text: str) -> bytes:
+        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _cut(self, text: str) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, self.piece.findall(text)))
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit numbers."""
-        if not self.piecewise or self.whole.search(text):
-            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-            return struct.pack(f"<{len(ids)}I", *ids)
-        pieces = self.piece.findall(text)
-        known = self.known
-        if new := set(pieces).difference(known):
-            if len(known) + len(new) > self.keep:
-                self.known, new = (known := {}), set(pieces)
-            new = list(new)
-            for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                ids = e.ids
-                known[p] = struct.pack(f"<{len(ids)}I", *ids)
-        return b"".join(map(known.__getitem__, pieces))
+        if not self.piecewise or self.odd.search(text) or any(s in text for s in self.special):
+            return self._library(text)
+        if self.double.search(text):
+            return self._cut(text)
+        first, *parts = text.replace("\n", " \n").split(" ")
+        # Nothing but a last space or line feed can leave a part without a character of its own.
+        if parts and parts[-1] in ("", "\n"):
+            return self._cut(text)
+        return self._cut(first) + b"".join(map(self.parts.__getitem__, parts))
+
+
+def worker_encoder(path: str) -> Encoder:
+    """The Python worker's encoder for ``path``, which serves all its tasks."""
+    held = sys.modules.setdefault("ebbflow_worker_encoders", types.ModuleType("ebbflow_worker_encoders"))
+    if path not in held.__dict__:
+        held.__dict__[path] = Encoder(path)
+    return held.__dict__[path]
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, block_ids: int = 65_536, plane: str = "byte", end_id: int = 0) -> str:
@@ -130,7 +167,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, block_ids: int =
                        ("docs", pa.list_(pa.struct([("doc_id", kind), ("number", pa.int64()), ("length", pa.int32()), ("before", pa.bool_()), ("after", pa.bool_())])))])
 
     def encode(batches):
-        encoder, part = Encoder(tokenizer), TaskContext.get().partitionId()
+        encoder, part = worker_encoder(tokenizer), TaskContext.get().partitionId()
         end, ids, held, inside, block, number = struct.pack("<I", end_id), [], 0, [], 0, -1
 
         def row():
