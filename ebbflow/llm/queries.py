@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ebbflow.llm import decontaminate, jaccard_join, language_id, mixing, quality_classifier, suffix_dedup, token_output, url_filter
+from ebbflow.llm import decontaminate, jaccard_join, language_id, mixing, quality_classifier, quality_rules, suffix_dedup, token_output, url_filter
 from ebbflow.session import shared_dir
 
 
@@ -25,6 +25,7 @@ def token_output_query(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_benchmark_decontamination": decontaminate.registered,
+    "op2_quality_rules": quality_rules.registered,
     "op3_suffix_dedup": suffix_dedup.registered,
     "op4_quality_classifier": quality_classifier.registered,
     "op5_url_filter": url_filter.registered,
