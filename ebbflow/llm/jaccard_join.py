@@ -3,7 +3,8 @@
 1.  Every text becomes its set of hashed shingles.  Texts with equal sets are one *set* from here on.
 2.  A fixed order puts shingles from crowded buckets last.  Two sets above the threshold share one of the
     first few shingles of each (the prefix); an index list holds, for one shingle, the sets with it in their
-    prefix, with its position, the set's size and a small parity sketch.
+    prefix, with its position, the set's size and a small parity sketch.  Pairs from the lists meet a wider
+    sketch, which grows with the set, before any full set is sent.
 3.  Lists are ordered by size and cut into blocks.  For a probing set, a whole block is skipped if its sizes are out
     of range or its positions leave too little overlap; single entries are skipped by their position, and
     by the sketch, whose differing bits bound the symmetric difference from below.
@@ -69,18 +70,31 @@ def sketch(shingles: np.ndarray) -> bytes:
     return np.packbits(bits.astype(np.uint8)).tobytes()
 
 
+def wide_sketch(shingles: np.ndarray) -> bytes:
+    """The same with about one bit a shingle: a power of two, so that sketches of unequal length can be compared."""
+    width = max(512, 1 << (len(shingles) - 1).bit_length()) if len(shingles) else 512
+    bits = np.bincount(((shingles >> np.uint64(12)) & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(bits.astype(np.uint8)).tobytes()
+
+
+def apart(a: bytes, b: bytes) -> int:
+    """Differing bits of two wide sketches; the longer one is folded to the length of the other."""
+    x, y = sorted((np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)), key=len)
+    return int(np.bitwise_count(x ^ np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)).sum())
+
+
 def set_key(shingles: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(shingles.tobytes())
 
 
 def describe(docs: DataFrame, size: int, percent: int, order: np.ndarray) -> DataFrame:
-    """``doc_id, key, n, prefix, sketch`` for each document; the key is null without shingles."""
+    """``doc_id, key, n, prefix, sketch, wide`` for each document; the key is null without shingles."""
     sent = docs.sparkSession.sparkContext.broadcast(order)
 
     def run(batches):
         shingles = Shingler(size)
         for batch in batches:
-            key, n, prefix, sketches = [], [], [], []
+            key, n, prefix, sketches, wide = [], [], [], [], []
             for text in batch.column(1).to_pylist():
                 s = shingles(text)
                 n.append(len(s))
@@ -91,11 +105,12 @@ def describe(docs: DataFrame, size: int, percent: int, order: np.ndarray) -> Dat
                 ranked.sort()
                 prefix.append(ranked[:first].view(np.int64) if len(s) else [])
                 sketches.append(sketch(s))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(key, pa.binary()), pa.array(n, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
-                                             names=["doc_id", "key", "n", "prefix", "sketch"])
+                wide.append(wide_sketch(s))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(key, pa.binary()), pa.array(n, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(sketches, pa.binary()), pa.array(wide, pa.binary())],
+                                             names=["doc_id", "key", "n", "prefix", "sketch", "wide"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, key binary, n long, prefix array<long>, sketch binary")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, key binary, n long, prefix array<long>, sketch binary, wide binary")
 
 
 class Lists:
@@ -200,6 +215,19 @@ def candidates(lists: DataFrame, percent: int, forest: bool) -> DataFrame:
     return dealt.select("group", "node", "n", "pos", "root", "half", "sketch").mapInArrow(run, "u long, v long").distinct()
 
 
+def sifted(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Those of ``pairs(u, v)`` whose wide sketches allow a link."""
+    def run(batches):
+        for batch in batches:
+            a, b, n, m = (batch.column(k).to_pylist() for k in ("a", "b", "n", "m"))
+            ok = [apart(x, y) <= p + q - 2 * least_overlap(p, q, percent) for x, y, p, q in zip(a, b, n, m)]
+            yield batch.select(["u", "v"]).filter(pa.array(ok, pa.bool_()))
+
+    one = pairs.join(nodes.select(F.col("node").alias("u"), F.col("wide").alias("a"), "n"), "u")
+    two = one.join(nodes.select(F.col("node").alias("v"), F.col("wide").alias("b"), F.col("n").alias("m")), "v")
+    return two.select("u", "v", "a", "b", "n", "m").mapInArrow(run, "u long, v long")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of ``pairs(u, v)`` that reach the threshold on the full ``sets(node, shingles)``."""
     def run(batches):
@@ -240,7 +268,7 @@ def join(docs: DataFrame, *, size: int = 5, percent: int = 80) -> DataFrame:
     """
     order = crowding(docs, size)
     described = settle(describe(docs.select(F.struct("place", "doc_id").alias("doc_id"), "text"), size, percent, order))
-    described = described.select("doc_id.place", "doc_id.doc_id", "key", "n", "prefix", "sketch")
+    described = described.select("doc_id.place", "doc_id.doc_id", "key", "n", "prefix", "sketch", "wide")
     firsts = described.where("key IS NOT NULL").groupBy("key").agg(F.min("place").alias("place"))
     # The first row of each set stands for it and lends it its number.
     nodes = settle(described.drop("key", "doc_id").join(firsts.select("place"), "place").withColumn("node", F.col("place")))
@@ -277,14 +305,14 @@ def join(docs: DataFrame, *, size: int = 5, percent: int = 80) -> DataFrame:
     full = settle(full.select(F.explode(blocks).alias("b"), "node", "n", "pos", "sketch").select("b.group", F.col("b.half").cast("int").alias("half"), "node", "n", "pos", "sketch"))
 
     # First pass: one tie for each set, to the first partner that reached it.
-    tied = candidates(full.withColumn("root", F.col("node")), percent, True)
+    tied = sifted(candidates(full.withColumn("root", F.col("node")), percent, True), nodes, percent)
     ties = settle(tied.groupBy("v").agg(F.min("u").alias("u")).select("u", "v"))
     sets = settle(full_sets(docs, nodes, ends(ties), size))
     links = settle(verified(ties, sets, percent))
     roots = components(links)
     # Second pass: every pair of different components that may be a link.
     rooted = full.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rest = settle(candidates(rooted, percent, False))
+    rest = settle(sifted(candidates(rooted, percent, False), nodes, percent))
     more = settle(full_sets(docs, nodes, ends(rest).join(sets.select("node"), "node", "left_anti"), size))
     found = settle(verified(rest, sets.unionByName(more), percent))
     last = settle(components(links.unionByName(found)))
