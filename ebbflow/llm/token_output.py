@@ -104,7 +104,7 @@ class Encoder:
     usual text (no two such characters in a row) are known by their words.
     """
 
-    def __init__(self, path: str, keep: int = 800_000):
+    def __init__(self, path: str, keep: int = 1_100_000):
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -218,12 +218,14 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     def decode(batches):
         for batch in batches:
             for r in batch.to_pylist():
-                data, at, out = unpack(r["payload"]).tobytes(), 0, []
-                for d in r["docs"]:
-                    out.append({"doc_id": d["doc_id"], "part": r["part"], "number": d["number"], "start": r["start"] + at,
-                                "ids": data[4 * at:4 * (at + d["length"])], "cut": d["before"] or d["after"]})
-                    at += d["length"]
-                yield pa.RecordBatch.from_pylist(out, schema=arrow)
+                held = r["docs"]
+                ends = np.cumsum([0] + [d["length"] for d in held])
+                data = pa.py_buffer(unpack(r["payload"]).tobytes())
+                ids = pa.Array.from_buffers(pa.binary(), len(held), [None, pa.py_buffer((4 * ends).astype(np.int32)), data])
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([d["doc_id"] for d in held], arrow.field("doc_id").type), pa.array([r["part"]] * len(held), pa.int32()),
+                    pa.array([d["number"] for d in held], pa.int64()), pa.array(ends[:-1] + r["start"], pa.int64()), ids,
+                    pa.array([d["before"] or d["after"] for d in held], pa.bool_())], schema=arrow)
 
     def whole(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by("start")
