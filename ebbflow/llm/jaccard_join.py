@@ -336,6 +336,16 @@ def placed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", F.monotonically_increasing_id().alias("place"))
 
 
+def keep_one(docs: DataFrame, *, size: int = 5, percent: int = 80) -> DataFrame:
+    """One row of each component of ``docs``, the one with the least doc_id (then the first), with the columns of ``docs``.
+
+    ``docs`` is read from files, so that rows keep their places while they are read again; a null doc_id comes last.
+    """
+    joined = settle(join(placed(docs), size=size, percent=percent))
+    first = joined.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "place")).alias("f")).select(F.col("f.place").alias("__place"))
+    return docs.withColumn("__place", F.monotonically_increasing_id()).join(first, "__place", "left_semi").select(*[f"`{c}`" for c in docs.columns])
+
+
 def registered(spark: SparkSession, folder: str) -> DataFrame:
     """All documents: three-word shingles, similarity 0.9."""
     docs = placed(spark.read.parquet(f"{folder}/documents.parquet"))
