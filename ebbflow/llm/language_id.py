@@ -98,10 +98,22 @@ class LanguageModel:
         length = np.array([max(1, len(t)) for t in texts], float)[:, None]
         return self.phrases(texts, piece) * np.array([[math.log2(max(2, a.size)) for a in self.automata]]) / length
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        points = [letters(t) for t in texts]
+    def predict(self, texts: list[str | None], at_once: int = 1_000_000) -> tuple[list[str], list[float]]:
+        """Language and score of each text; texts are parsed together until they have ``at_once`` letters."""
+        languages, scores, held, size = [], [], [], 0
+        for k, text in enumerate(texts):
+            held.append(letters(text))
+            size += len(held[-1])
+            if size >= at_once or k + 1 == len(texts):
+                found = self._predict(held)
+                languages += found[0]
+                scores += found[1]
+                held, size = [], 0
+        return languages, scores
+
+    def _predict(self, points: list[np.ndarray]) -> tuple[list[str], list[float]]:
         if not self.automata:
-            return [UNDETERMINED] * len(texts), [0.0] * len(texts)
+            return [UNDETERMINED] * len(points), [0.0] * len(points)
         bits = self.bits(points)
         best = bits.argmin(axis=1)
         length = np.array([min(64, len(p)) for p in points], float)
