@@ -123,17 +123,17 @@ def sanitize_ts(df: DataFrame, ordinal: str, key: str = KEY, time: str = TIME, v
     wide = wide.join(written, KEY)
     dated_rows = F.col("n_in") - F.col("n_no_time")
     findings = [
-        ("explicitly missing values", "n_missing", "", F.col("n_in")),
-        ("values below zero", "n_negative", "set to NULL" if force_positive else "", F.col("n_in")),
-        ("values equal to zero", "n_zero", "", F.col("n_in")),
-        ("invalid time indices", "n_no_time", "removed", dated_rows),
-        ("completely identical input records", "n_identical", "removed", dated_rows),
-        ("duplicated time indices", "n_duplicate",
-         "first one kept" if remove_duplicates else "", F.col("n_kept")),
-        ("time indices jumping to the past", "n_past", "sorted", F.col("n_kept")),
-        ("implicitly missing values", "n_gap_days",
-         "NULL rows added" if add_implicit_na else "", F.col("n_out")),
-        ("short gaps interpolated", "n_filled", "filled linearly", F.col("n_out")),
+        ("no value", "n_missing", "", F.col("n_in")),
+        ("negative", "n_negative", "nullified" if force_positive else "", F.col("n_in")),
+        ("zero", "n_zero", "", F.col("n_in")),
+        ("undated", "n_no_time", "removed", dated_rows),
+        ("identical rows", "n_identical", "removed", dated_rows),
+        ("day repeated", "n_duplicate",
+         "first kept" if remove_duplicates else "", F.col("n_kept")),
+        ("out of order", "n_past", "sorted", F.col("n_kept")),
+        ("days absent", "n_gap_days",
+         "days added" if add_implicit_na else "", F.col("n_out")),
+        ("gap filled", "n_filled", "interpolated", F.col("n_out")),
     ]
     entries = F.array(*[
         F.struct(F.lit(i).alias("step"), F.lit(what).alias("what"), F.col(n).cast("bigint").alias("n"),

@@ -51,6 +51,8 @@ def drought_days(df: DataFrame, threshold: float | str | Column | Threshold, poo
     """Daily drought state: threshold, deficit volume (m3), ``under_drought`` and event run id.
 
     Runs change whenever the state (drought, wet, missing) changes, so a NULL always ends an event.
+    A day lasts until the next one; the last day of a series lasts as long as all others did or, if they
+    differ, one day.
     """
     w = in_time(key, time)
     if pooling == "moving-average":
@@ -63,7 +65,8 @@ def drought_days(df: DataFrame, threshold: float | str | Column | Threshold, poo
     df = with_columns(df, [
         {"_low": F.min("_step").over(by_key(key)), "_high": F.max("_step").over(by_key(key))},
         {"end": F.coalesce("_following", F.when(F.col("_low") == F.col("_high"),
-                                                F.date_add(F.col(time), F.col("_low"))))},
+                                                F.date_add(F.col(time), F.col("_low"))),
+                           F.date_add(F.col(time), 1))},
         {"volume": (t - q) * F.lit(SECONDS_PER_DAY) * F.datediff("end", time),
          "below_threshold": q < t},
     ])

@@ -1,42 +1,23 @@
-"""Cross products of columns: the one aggregation behind regression, correlation and components."""
+"""Centred cross products of columns: the one aggregation behind regression, correlation and components."""
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Up to this many columns the cross products are generated as one code-generated aggregate.
-NARROW = 13
-
 
 def gram(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """One row ``n, g``: the flattened cross-product matrix of ``(1, columns...)`` over complete rows.
+    """One row ``n, m, g``: count, means and flattened centred cross products of ``columns`` over complete rows.
 
-    Partial matrices are summed in every task, so only matrices are shuffled, whatever the number of
-    rows.
+    Every task centres as it goes (running means and co-moments, which merge exactly), so large means cost no
+    digits; only such partial sums are shuffled, whatever the number of rows.  Without rows means and products are 0.
     """
     names = list(columns)
-    complete = df.select(*names).dropna()
-    size = len(names) + 1
-    if len(names) <= NARROW:
-        cols = [F.lit(1.0), *[F.col(c).cast("double") for c in names]]
-        cell = {(i, j): F.coalesce(F.sum(cols[i] * cols[j]), F.lit(0.0))
-                for i in range(size) for j in range(i, size)}
-        g = F.array(*[cell[min(i, j), max(i, j)] for i in range(size) for j in range(size)])
-        return complete.agg(F.count(F.lit(1)).alias("n"), g.alias("g"))
-
-    def partial(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
-        total, n = np.zeros((size, size)), 0
-        for pdf in batches:
-            m = np.column_stack([np.ones(len(pdf)), pdf.to_numpy(float)])
-            total, n = total + m.T @ m, n + len(pdf)
-        yield pd.DataFrame({"n": n, "i": np.arange(size * size), "v": total.ravel()})
-
-    parts = complete.mapInPandas(partial, "n long, i int, v double")
-    summed = parts.groupBy("i").agg(F.sum("v").alias("v"), F.sum("n").alias("n"))
-    return summed.agg(F.max("n").alias("n"), F.transform(
-        F.array_sort(F.collect_list(F.struct("i", "v"))), lambda e: e["v"]).alias("g"))
+    complete = df.select(*[F.col(c).cast("double").alias(c) for c in names]).dropna()
+    size, n = len(names), F.count(F.lit(1))
+    zero = F.lit(0.0)
+    cell = {(i, j): F.coalesce(F.covar_pop(names[i], names[j]) * n, zero) for i in range(size) for j in range(i, size)}
+    g = F.array(*[cell[min(i, j), max(i, j)] for i in range(size) for j in range(size)])
+    return complete.agg(n.alias("n"), F.array(*[F.coalesce(F.avg(c), zero) for c in names]).alias("m"), g.alias("g"))

@@ -13,44 +13,85 @@ from collections.abc import Callable, Iterable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ebbflow.functions.special import t_two_sided
 from ebbflow.operators.moments import gram
 from ebbflow.session import settle
 
+# Fixed value: a predictor whose part not explained by those before it is a smaller share of its sum of squares is aliased.
+ALIASED = 1e-11
+
+
+class Cross:
+    """Count, means and centred cross products of predictors and, last, the response."""
+
+    def __init__(self, n: float, mean: np.ndarray, s: np.ndarray):
+        self.n, self.mean, self.s = n, mean, s
+
+    @classmethod
+    def raw(cls, g: np.ndarray) -> Cross:
+        """From sums of products of ``(1, predictors, response)``."""
+        mean = g[0, 1:] / g[0, 0]
+        return cls(g[0, 0], mean, g[1:, 1:] - g[0, 0] * np.outer(mean, mean))
+
+
 class Model:
-    """Least squares on chosen predictors of a cross-product matrix."""
-
-    def __init__(self, n: int, g: np.ndarray, names: Sequence[str], chosen: Sequence[str]):
-        self.n, self.chosen = int(n), list(chosen)
-        index = [0, *[names.index(c) + 1 for c in self.chosen]]
-        xtx, xty, yty = g[np.ix_(index, index)], g[index, -1], g[-1, -1]
-        scale = 1.0 / np.sqrt(np.diag(xtx))
-        self.inverse = np.linalg.pinv(xtx * np.outer(scale, scale)) * np.outer(scale, scale)
-        self.beta = self.inverse @ xty
-        self.rss = max(float(yty - self.beta @ xty), 0.0)
-        self.tss = float(yty - g[0, -1] ** 2 / g[0, 0])
-        self.dof = self.n - len(index)
+    """Least squares on chosen predictors, in order; a predictor that those before it determine is left out.
+
+    ``beta`` is NaN for such an aliased term (constant columns among them) and ``inverse`` 0; degrees of freedom and the
+    selection criterion count the rank.
+    """
+
+    def __init__(self, cross: Cross, names: Sequence[str], chosen: Sequence[str]):
+        self.n, self.chosen = int(cross.n), list(chosen)
+        index = [names.index(c) for c in self.chosen]
+        s, xy = cross.s[np.ix_(index, index)], cross.s[index, -1]
+        self.tss = float(cross.s[-1, -1])
+        kept: list[int] = []
+        for j in range(len(index)):
+            if s[j, j] <= 0:
+                continue
+            scale = np.sqrt(np.diag(s)[[*kept, j]])
+            part = s[np.ix_([*kept, j], [*kept, j])] / np.outer(scale, scale)
+            left = part[-1, -1] - part[-1, :-1] @ np.linalg.solve(part[:-1, :-1], part[:-1, -1]) if kept else 1.0
+            if left > ALIASED:
+                kept.append(j)
+        scale = np.sqrt(np.diag(s)[kept])
+        inner = np.linalg.inv(s[np.ix_(kept, kept)] / np.outer(scale, scale)) / np.outer(scale, scale) if kept else np.zeros((0, 0))
+        slope, mean = inner @ xy[kept], cross.mean[index][kept]
+        self.rank, self.dof = len(kept) + 1, self.n - len(kept) - 1
+        self.aliased = [c for j, c in enumerate(self.chosen) if j not in kept]
+        self.rss = max(float(self.tss - slope @ xy[kept]), 0.0)
+        self.beta, self.inverse = np.full(len(index) + 1, np.nan), np.zeros((len(index) + 1, len(index) + 1))
+        at = [k + 1 for k in kept]
+        self.beta[0], self.beta[at] = cross.mean[-1] - slope @ mean, slope
+        self.inverse[np.ix_(at, at)] = inner
+        self.inverse[0, at] = self.inverse[at, 0] = -inner @ mean
+        self.inverse[0, 0] = 1 / max(cross.n, 1e-300) + mean @ inner @ mean
+
+    @property
+    def coefficients(self) -> np.ndarray:
+        """``beta`` with 0 for aliased terms."""
+        return np.nan_to_num(self.beta)
 
     @property
     def aic(self) -> float:
         """Selection criterion ``n ln(RSS / n) + 2 p``."""
         if self.rss <= 0:
             return -math.inf
-        return self.n * math.log(self.rss / self.n) + 2 * (len(self.chosen) + 1)
+        return self.n * math.log(self.rss / self.n) + 2 * self.rank
 
 
-def _on_gram(row: DataFrame, names: Sequence[str], solve: Callable[[int, np.ndarray], pd.DataFrame],
-             schema: str) -> DataFrame:
+def _on_gram(row: DataFrame, names: Sequence[str], solve: Callable[[Cross], pd.DataFrame], schema: str) -> DataFrame:
     """Apply ``solve`` to the single cross-product row, still lazily."""
-    size = len(names) + 2
+    size = len(names) + 1
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
         for pdf in batches:
-            for n, g in zip(pdf["n"], pdf["g"], strict=True):
-                yield solve(int(n), np.asarray(g, float).reshape(size, size))
+            for n, m, g in zip(pdf["n"], pdf["m"], pdf["g"], strict=True):
+                yield solve(Cross(float(n), np.asarray(m, float), np.asarray(g, float).reshape(size, size)))
 
     return row.mapInPandas(run, schema)
 
@@ -63,7 +104,7 @@ COEFFICIENTS = ("term string, estimate double, se double, t double, p_value doub
 
 def _coefficient_rows(model: Model) -> pd.DataFrame:
     s2 = model.rss / model.dof if model.dof > 0 else math.nan
-    se = np.sqrt(np.maximum(np.diag(model.inverse) * s2, 0.0))
+    se = np.where(np.isnan(model.beta), np.nan, np.sqrt(np.maximum(np.diag(model.inverse) * s2, 0.0)))
     with np.errstate(divide="ignore", invalid="ignore"):
         t = np.where(se > 0, model.beta / se, np.nan)
     p = t_two_sided(t, np.full(len(t), float(model.dof))) if model.dof > 0 else np.full(len(t), np.nan)
@@ -78,30 +119,31 @@ def regression(df: DataFrame, y: str, xs: Sequence[str]) -> DataFrame:
     """Multiple least squares with a summary: one row per coefficient."""
     names = list(xs)
     return _on_gram(gram(df, [*names, y]), names,
-                    lambda n, g: _coefficient_rows(Model(n, g, names, names)), COEFFICIENTS)
+                    lambda cross: _coefficient_rows(Model(cross, names, names)), COEFFICIENTS)
 
 
 def single_term_changes(df: DataFrame, y: str, scope: Sequence[str], current: Sequence[str]) -> DataFrame:
     """RSS and AIC of the current model, of dropping each of its terms and of adding each other one."""
     names, start = list(scope), list(current)
 
-    def solve(n: int, g: np.ndarray) -> pd.DataFrame:
+    def solve(cross: Cross) -> pd.DataFrame:
         rows = [("none", "", start)]
         rows += [("drop", c, [x for x in start if x != c]) for c in start]
         rows += [("add", c, [*start, c]) for c in names if c not in start]
-        models = [(kind, term, Model(n, g, names, chosen)) for kind, term, chosen in rows]
+        models = [(kind, term, Model(cross, names, chosen)) for kind, term, chosen in rows]
         return pd.DataFrame([(k, t, m.rss, m.aic) for k, t, m in models],
                             columns=["change", "term", "rss", "aic"])
 
     return _on_gram(gram(df, [*names, y]), names, solve, "change string, term string, rss double, aic double")
 
 
-def _select(n: int, g: np.ndarray, names: list[str], start: list[str]) -> Model:
-    best = Model(n, g, names, start)
+def _select(cross: Cross, names: list[str], start: list[str]) -> Model:
+    best = Model(cross, names, start)
     while True:
         moves = [[x for x in best.chosen if x != c] for c in best.chosen]
-        moves += [[*best.chosen, c] for c in names if c not in best.chosen and len(best.chosen) < n - 2]
-        trial = min((Model(n, g, names, m) for m in moves), key=lambda m: m.aic, default=None)
+        moves += [[*best.chosen, c] for c in names if c not in best.chosen and len(best.chosen) < cross.n - 2]
+        models = (Model(cross, names, m) for m in moves)
+        trial = min((m for m in models if len(m.aliased) <= len(best.aliased)), key=lambda m: m.aic, default=None)
         if trial is None or trial.aic >= best.aic - 1e-9:
             return best
         best = trial
@@ -111,7 +153,7 @@ def stepwise(df: DataFrame, y: str, scope: Sequence[str], start: Sequence[str] =
     """Stepwise selection in both directions by AIC; coefficient rows of the final model."""
     names, first = list(scope), list(start)
     return _on_gram(gram(df, [*names, y]), names,
-                    lambda n, g: _coefficient_rows(_select(n, g, names, first)), COEFFICIENTS)
+                    lambda cross: _coefficient_rows(_select(cross, names, first)), COEFFICIENTS)
 
 
 def cooks_distance(df: DataFrame, y: str, xs: Sequence[str], *keep: str) -> DataFrame:
@@ -122,20 +164,20 @@ def cooks_distance(df: DataFrame, y: str, xs: Sequence[str], *keep: str) -> Data
     names = list(xs)
     p = len(names) + 1
 
-    def solve(n: int, g: np.ndarray) -> pd.DataFrame:
-        m = Model(n, g, names, names)
+    def solve(cross: Cross) -> pd.DataFrame:
+        m = Model(cross, names, names)
         s2 = m.rss / m.dof if m.dof > 0 else None
-        return pd.DataFrame({"beta": [m.beta.tolist()], "inverse": [m.inverse.ravel().tolist()], "s2": [s2]})
+        return pd.DataFrame({"beta": [m.coefficients.tolist()], "inverse": [m.inverse.ravel().tolist()], "s2": [s2], "rank": [m.rank]})
 
-    fit = _on_gram(gram(df, [*names, y]), names, solve, "beta array<double>, inverse array<double>, s2 double")
+    fit = _on_gram(gram(df, [*names, y]), names, solve, "beta array<double>, inverse array<double>, s2 double, rank int")
     rows = df.dropna(subset=[*names, y]).withColumn("_m", fit.select(F.struct("*")).scalar())
     x = [F.lit(1.0), *[F.col(c).cast("double") for c in names]]
     fitted = _sum(F.col("_m.beta")[i] * x[i] for i in range(p))
     leverage = _sum(F.col("_m.inverse")[i * p + j] * x[i] * x[j] for i in range(p) for j in range(p))
-    rows = rows.withColumns({"fitted": fitted, "leverage": leverage, "_s2": F.col("_m.s2")})
+    rows = rows.withColumns({"fitted": fitted, "leverage": leverage, "_s2": F.col("_m.s2"), "_rank": F.col("_m.rank")})
     rows = rows.withColumn("resid", F.col(y) - F.col("fitted"))
     h, e = F.col("leverage"), F.col("resid")
-    return rows.withColumn("cooks_d", F.try_divide(e * e * h, p * F.col("_s2") * (1 - h) * (1 - h))).select(
+    return rows.withColumn("cooks_d", F.try_divide(e * e * h, F.col("_rank") * F.col("_s2") * (1 - h) * (1 - h))).select(
         *keep, *names, y, "fitted", "resid", "leverage", "cooks_d")
 
 
@@ -151,10 +193,8 @@ def term_contributions(df: DataFrame, y: str, xs: Sequence[str], *keep: str) ->
     """Centred contribution of each term and its partial residual, long over the term."""
     names = list(xs)
 
-    def solve(n: int, g: np.ndarray) -> pd.DataFrame:
-        m = Model(n, g, names, names)
-        means = [g[0, names.index(c) + 1] / g[0, 0] for c in names]
-        return pd.DataFrame({"beta": [m.beta.tolist()], "means": [means]})
+    def solve(cross: Cross) -> pd.DataFrame:
+        return pd.DataFrame({"beta": [Model(cross, names, names).coefficients.tolist()], "means": [cross.mean[:-1].tolist()]})
 
     fit = _on_gram(gram(df, [*names, y]), names, solve, "beta array<double>, means array<double>")
     rows = df.dropna(subset=[*names, y]).withColumn("_m", fit.select(F.struct("*")).scalar())
@@ -177,24 +217,56 @@ def _rho(u: np.ndarray, c: float) -> np.ndarray:
     return 1.0 - (1.0 - v) ** 3
 
 
-def robust_regression(df: DataFrame, y: str, xs: Sequence[str], subsets: int = 200, rounds: int = 30,
+def robust_regression(df: DataFrame, y: str, xs: Sequence[str], subsets: int = 200, rounds: int = 100,
                       seed: int = 42) -> DataFrame:
     """MM regression: scale from an S-estimate, coefficients by bisquare reweighting.
 
-    Starting values are fits to many small random subsets.  All candidates are carried together: one
-    pass over the rows sums, for every candidate, the bounded loss and the weighted cross products of
-    the next reweighting step.  Only matrices of the size of the model reach the driver.
+    Starting values are fits to many small random subsets, which hashes of the rows draw from all of them.  All
+    candidates are carried together: one pass over the rows sums, for every candidate, the bounded loss and the
+    weighted cross products of the next reweighting step.  Only matrices of the size of the model and the subsets
+    reach the driver.  ``converged`` tells whether both searches came to rest within ``rounds`` passes.
     """
     names = list(xs)
     p = len(names) + 1
-    data = settle(df.select(*[F.col(c).cast("double").alias(c) for c in (y, *names)]).dropna())
-    pool = data.orderBy(F.xxhash64(F.lit(seed), *data.columns)).limit(subsets * p).toPandas().to_numpy()
-    if len(pool) < 2 * p:
+    data = df.select(*[F.col(c).cast("double").alias(c) for c in (y, *names)]).dropna()
+    means = data.agg(*[F.avg(c).alias(c) for c in data.columns]).first()
+    if means[0] is None:
         raise ValueError("too few complete rows for a robust fit")
-    rng = np.random.default_rng(seed)
-    picks = [rng.choice(len(pool), p + 1, replace=False) for _ in range(subsets)]
-    design = np.column_stack([np.ones(len(pool)), pool[:, 1:]])
-    betas = np.array([np.linalg.lstsq(design[i], pool[i, 0], rcond=None)[0] for i in picks])
+    data = settle(data.select(*[(F.col(c) - F.lit(means[c])).alias(c) for c in data.columns]))
+    drawn = data.withColumns({"_g": F.pmod(F.xxhash64(F.lit(seed), *data.columns), F.lit(subsets)),
+                              "_o": F.xxhash64(F.lit(seed + 1), *data.columns)})
+
+    def least(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
+        held = None
+        for pdf in batches:
+            held = pd.concat([held, pdf]).drop_duplicates().sort_values(["_g", "_o"]).groupby("_g").head(p + 1)
+        if held is not None:
+            yield held
+
+    of_group = Window.partitionBy("_g").orderBy("_o", *data.columns)
+    few = drawn.mapInPandas(least, drawn.schema).distinct().withColumn("_n", F.row_number().over(of_group))
+    pool = few.where(F.col("_n") <= p + 1).orderBy("_g", "_n").toPandas()
+    starts = [g[data.columns].to_numpy(float) for _, g in pool.groupby("_g") if len(g) > p]
+    if not starts:
+        starts = [pool[data.columns].to_numpy(float)]
+    if len(starts[0]) <= p:
+        raise ValueError("too few complete rows for a robust fit")
+    betas = np.array([np.linalg.lstsq(np.column_stack([np.ones(len(m)), m[:, 1:]]), m[:, 0], rcond=None)[0] for m in starts])
+    subsets = len(betas)
+
+    def first_scales() -> np.ndarray:
+        """Mean absolute residual of every candidate over all rows, on the scale of a standard deviation."""
+        def partial(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
+            total, n = np.zeros(len(betas)), 0
+            for pdf in batches:
+                m = pdf.to_numpy(float)
+                total += np.abs(m[:, :1] - np.column_stack([np.ones(len(m)), m[:, 1:]]) @ betas.T).sum(axis=0)
+                n += len(m)
+            yield pd.DataFrame({"i": np.arange(len(betas)), "v": total, "n": n})
+
+        rows = data.mapInPandas(partial, "i int, v double, n long").groupBy("i").agg(F.sum("v").alias("v"), F.sum("n").alias("n")).toPandas()
+        rows = rows.sort_values("i")
+        return np.maximum((rows["v"] / rows["n"]).to_numpy(float) * 1.2533, 1e-12)
 
     def sweep(candidates: np.ndarray, scales: np.ndarray, tuning: float
               ) -> tuple[np.ndarray, np.ndarray, int]:
@@ -217,26 +289,26 @@ def robust_regression(df: DataFrame, y: str, xs: Sequence[str], subsets: int = 2
         rows = data.mapInPandas(partial, "i int, v double, n long").groupBy("i").agg(
             F.sum("v").alias("v"), F.sum("n").alias("n")).toPandas().sort_values("i")
         n, sums = int(rows["n"].iloc[0]), rows["v"].to_numpy(float).reshape(len(candidates), cells)
-        fits = [Model(n, g[:-1].reshape(p + 1, p + 1), names, names).beta for g in sums]
+        fits = [Model(Cross.raw(g[:-1].reshape(p + 1, p + 1)), names, names).coefficients for g in sums]
         return np.array(fits), sums[:, -1] / n, n
 
     def rescaled(scales: np.ndarray, loss: np.ndarray) -> np.ndarray:
         return np.maximum(scales * np.sqrt(np.maximum(loss, 1e-12) / 0.5), 1e-12)
 
-    spread = np.abs(pool[:, :1] - design @ betas.T)
-    scales = np.maximum(np.median(spread, axis=0) / 0.6745, 1e-12)
+    scales = first_scales()
     # judge all candidates, keep the best few and let them converge
     for keep in (max(subsets // 4, 5), 5):
         improved, loss, n = sweep(betas, scales, S_TUNING)
         scales = rescaled(scales, loss)
         best = np.argsort(scales)[:keep]
         betas, scales = improved[best], scales[best]
+    rest = [False, False]
     for _ in range(rounds):
         improved, loss, n = sweep(betas, scales, S_TUNING)
         new = rescaled(scales, loss)
-        done = np.max(np.abs(new / scales - 1)) < 1e-7
+        rest[0] = bool(np.max(np.abs(new / scales - 1)) < 1e-7)
         betas, scales = improved, new
-        if done:
+        if rest[0]:
             break
     top = int(np.argmin(scales))
     beta, scale = betas[top:top + 1], scales[top:top + 1]
@@ -244,10 +316,13 @@ def robust_regression(df: DataFrame, y: str, xs: Sequence[str], subsets: int = 2
         improved, _, n = sweep(beta, scale, M_TUNING)
         moved = np.max(np.abs(improved - beta)) / max(np.max(np.abs(beta)), 1e-12)
         beta = improved
-        if moved < 1e-7:
+        rest[1] = bool(moved < 1e-7)
+        if rest[1]:
             break
-    rows = [(t, float(b), float(scale[0]), n) for t, b in zip(("(intercept)", *names), beta[0], strict=True)]
-    return df.sparkSession.createDataFrame(rows, "term string, estimate double, scale double, n long")
+    found = beta[0].copy()
+    found[0] += means[y] - sum(b * means[c] for b, c in zip(found[1:], names, strict=True))
+    rows = [(t, float(b), float(scale[0]), n, all(rest)) for t, b in zip(("(intercept)", *names), found, strict=True)]
+    return df.sparkSession.createDataFrame(rows, "term string, estimate double, scale double, n long, converged boolean")
 
 
 # ---- semivariances ---------------------------------------------------------------------------

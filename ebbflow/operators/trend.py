@@ -312,9 +312,9 @@ def break_date_cdf(x: float, xi: float, phi: float) -> float:
 
 def break_date_quantile(p: float, xi: float, phi: float) -> float:
     low, high = -1.0, 1.0
-    while break_date_cdf(low, xi, phi) > p and low > -1e7:
+    while break_date_cdf(low, xi, phi) > p:
         low *= 2
-    while break_date_cdf(high, xi, phi) < p and high < 1e7:
+    while break_date_cdf(high, xi, phi) < p:
         high *= 2
     for _ in range(80):
         middle = 0.5 * (low + high)
@@ -322,6 +322,12 @@ def break_date_quantile(p: float, xi: float, phi: float) -> float:
     return 0.5 * (low + high)
 
 
+def _label(x: np.ndarray, place: int) -> int:
+    """The year at a place of the series; past its ends years are counted on."""
+    inside = min(max(place, 0), len(x) - 1)
+    return int(x[inside]) + place - inside
+
+
 def _break_limits(x: np.ndarray, y: np.ndarray, breaks: Sequence[int], slope: bool, level: float
                   ) -> list[dict[str, int]]:
     edges = [0, *[int(np.searchsorted(x, b)) + 1 for b in breaks], len(x)]
@@ -336,10 +342,12 @@ def _break_limits(x: np.ndarray, y: np.ndarray, breaks: Sequence[int], slope: bo
         if min(left, right, spread[i], spread[i + 1]) <= 0:
             out.append({"break_after": int(b), "lower": int(b), "upper": int(b)})
             continue
-        xi, phi = right / left, spread[i + 1] / spread[i]
+        xi = right / left
+        phi = xi * spread[i + 1] / spread[i]  # variance of the right-hand process on the scale of the left
         unit = spread[i] / left
         low, high = (break_date_quantile(p, xi, phi) * unit for p in ((1 - level) / 2, (1 + level) / 2))
-        out.append({"break_after": int(b), "lower": int(b - math.ceil(high)), "upper": int(b - math.floor(low))})
+        at = int(np.searchsorted(x, b))
+        out.append({"break_after": int(b), "lower": _label(x, at - math.ceil(high)), "upper": _label(x, at - math.floor(low))})
     return out
 
 
@@ -391,21 +399,21 @@ def pearson_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     One aggregation of cross products; the pairs of columns are formed from its single row.
     """
     names = list(columns)
-    size = len(names) + 1
+    size = len(names)
     row = gram(df, names)
     cells = F.explode(F.sequence(F.lit(0), F.lit(len(names) ** 2 - 1))).alias("c")
     cell = row.select("n", "g", cells).withColumns({
-        "i": (F.floor(F.col("c") / len(names)) + 1).cast("int"), "j": (F.col("c") % len(names) + 1).cast("int")})
+        "i": F.floor(F.col("c") / size).cast("int"), "j": (F.col("c") % size).cast("int")})
 
     def g(i: Column, j: Column) -> Column:
         return F.get("g", i * size + j)
 
-    zero, i, j, n = F.lit(0), F.col("i"), F.col("j"), F.col("n").cast("double")
-    spread = [n * g(k, k) - g(zero, k) * g(zero, k) for k in (i, j)]
-    r = (n * g(i, j) - g(zero, i) * g(zero, j)) / F.sqrt(spread[0] * spread[1])
+    i, j = F.col("i"), F.col("j")
+    spread = [g(k, k) for k in (i, j)]
+    r = g(i, j) / F.sqrt(spread[0]) / F.sqrt(spread[1])
     labels = F.array(*[F.lit(c) for c in names])
     return cell.select(
-        F.element_at(labels, i).alias("index"), F.element_at(labels, j).alias("index2"),
+        F.get(labels, i).alias("index"), F.get(labels, j).alias("index2"),
         F.when(i == j, 1.0).when((spread[0] > 0) & (spread[1] > 0), F.greatest(F.least(r, F.lit(1.0)), F.lit(-1.0)))
         .alias("pearson"), "n")
 
@@ -462,7 +470,8 @@ def pca_loadings(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Principal components of the standardised columns.
 
     Only the cross products (one aggregation over all rows) reach the eigen solver.  The sign
-    of a component is chosen so that its largest absolute loading is positive.
+    of a component is chosen so that its largest absolute loading is positive.  A constant column has no
+    part in any component but one of its own, the last, with eigenvalue 0.
     """
     names = list(columns)
     p = len(names)
@@ -470,11 +479,12 @@ def pca_loadings(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
     def solve(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
         for pdf in batches:
-            for n, flat in zip(pdf["n"], pdf["g"], strict=True):
-                g = np.asarray(flat, float).reshape(p + 1, p + 1)
-                cov = n * g[1:, 1:] - np.outer(g[0, 1:], g[0, 1:])
-                matrix = cov / np.sqrt(np.outer(np.diag(cov), np.diag(cov)))
-                np.fill_diagonal(matrix, 1.0)
+            for flat in pdf["g"]:
+                cov = np.asarray(flat, float).reshape(p, p)
+                spread = np.sqrt(np.diag(cov))
+                scale = np.where(spread > 0, spread, 1.0)
+                matrix = cov / np.outer(scale, scale)
+                np.fill_diagonal(matrix, (spread > 0).astype(float))
                 values, vectors = np.linalg.eigh(matrix)
                 order = np.argsort(values)[::-1]
                 eigen, vectors = np.maximum(values[order], 0.0), vectors[:, order]
@@ -482,7 +492,7 @@ def pca_loadings(df: DataFrame, columns: Sequence[str]) -> DataFrame:
                     top = int(np.argmax(np.round(np.abs(vectors[:, j]), 10)))
                     if vectors[top, j] < 0:
                         vectors[:, j] = -vectors[:, j]
-                share = eigen / eigen.sum()
+                share = eigen / max(eigen.sum(), 1e-300)
                 yield pd.DataFrame([
                     (j + 1, names[i], vectors[i, j], math.sqrt(eigen[j]), eigen[j], share[j],
                      share[: j + 1].sum()) for j in range(p) for i in range(p)])
@@ -499,7 +509,7 @@ def pca_scores(df: DataFrame, columns: Sequence[str], loadings: DataFrame, keep:
     table = loadings.where(F.col("component") <= keep).agg(F.map_from_entries(F.collect_list(
         F.struct(F.concat_ws("|", F.col("component").cast("string"), "variable"), "loading")))
         .alias("m")).scalar()
-    z = zscores(df.dropna(subset=names), names).withColumn("_m", table)
+    z = zscores(df.dropna(subset=names), names).fillna(0.0, names).withColumn("_m", table)
     scores = {f"PC{j}": sum((F.col(c) * F.element_at("_m", F.lit(f"{j}|{c}")) for c in names[1:]),
                             F.col(names[0]) * F.element_at("_m", F.lit(f"{j}|{names[0]}")))
               for j in range(1, keep + 1)}

@@ -55,13 +55,13 @@ outp AS (SELECT series_id, count(*) AS n_out, count(*) FILTER (was_filled) AS n_
 w AS (SELECT * FROM tot JOIN ident USING (series_id) JOIN dup USING (series_id) JOIN outp USING (series_id)
   JOIN past USING (series_id)),
 rows_ AS (
-SELECT series_id, 2 AS step, 'values below zero' AS what, n_negative AS n, 'set to NULL' AS action, n_in AS n_total, n_in, n_out FROM w
-UNION ALL SELECT series_id, 3, 'values equal to zero', n_zero, '', n_in, n_in, n_out FROM w
-UNION ALL SELECT series_id, 5, 'completely identical input records', n_identical, 'removed', n_in, n_in, n_out FROM w
-UNION ALL SELECT series_id, 6, 'duplicated time indices', n_dup, 'first one kept', n_kept, n_in, n_out FROM w
-UNION ALL SELECT series_id, 7, 'time indices jumping to the past', n_past, 'sorted', n_kept, n_in, n_out FROM w
-UNION ALL SELECT series_id, 8, 'implicitly missing values', n_out - n_kept, 'NULL rows added', n_out, n_in, n_out FROM w
-UNION ALL SELECT series_id, 9, 'short gaps interpolated', n_filled, 'filled linearly', n_out, n_in, n_out FROM w)""")
+SELECT series_id, 2 AS step, 'negative' AS what, n_negative AS n, 'nullified' AS action, n_in AS n_total, n_in, n_out FROM w
+UNION ALL SELECT series_id, 3, 'zero', n_zero, '', n_in, n_in, n_out FROM w
+UNION ALL SELECT series_id, 5, 'identical rows', n_identical, 'removed', n_in, n_in, n_out FROM w
+UNION ALL SELECT series_id, 6, 'day repeated', n_dup, 'first kept', n_kept, n_in, n_out FROM w
+UNION ALL SELECT series_id, 7, 'out of order', n_past, 'sorted', n_kept, n_in, n_out FROM w
+UNION ALL SELECT series_id, 8, 'days absent', n_out - n_kept, 'days added', n_out, n_in, n_out FROM w
+UNION ALL SELECT series_id, 9, 'gap filled', n_filled, 'interpolated', n_out, n_in, n_out FROM w)""")
        + "SELECT *, 100.0 * n / n_out AS percent_of_output FROM rows_ WHERE n > 0")
 def sanitize_log(spark, folder):
     """What the cleaning found in each series."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ebbflow.operators import regional as rg
+from ebbflow.operators import trend as tr
 from ebbflow.operators.skill import cv_summary
 from ebbflow.plans.registry import query
 from ebbflow.sources import series
@@ -48,6 +49,25 @@ def regional_regression(spark, folder):
     return rg.regression(descriptors(spark, folder), "target", ["quantity", "discount"])
 
 
+@query("collinear_regression", "term:s estimate:f6 r2:f8 sigma:f6 aic:f4 n:i",
+       TWO + """SELECT term, CASE term WHEN 'quantity' THEN b1 WHEN 'discount' THEN b2 WHEN '(intercept)' THEN b0 END AS estimate,
+  1 - rss2 / tss AS r2, sqrt(rss2 / (n - 3)) AS sigma, n * ln(rss2 / n) + 6 AS aic, n
+FROM r, (SELECT unnest(['(intercept)', 'quantity', 'discount', 'both', 'constant']) AS term)""")
+def collinear_regression(spark, folder):
+    """Regression with a descriptor that two others determine and one that is constant: neither gets an estimate."""
+    table = descriptors(spark, folder).withColumns({"both": 2 * F.col("quantity") - 3 * F.col("discount"), "constant": F.lit(7.0)})
+    return rg.regression(table, "target", ["quantity", "discount", "both", "constant"])
+
+
+@query("large_mean_correlation", "index:s index2:s pearson:f6 n:i",
+       DESC + """, l AS (SELECT id, unnest(['target', 'quantity', 'discount']) AS index, unnest([target, quantity, discount]) AS v FROM d)
+SELECT a.index, b.index AS index2, corr(a.v, b.v) AS pearson, count(*) AS n FROM l a JOIN l b USING (id) GROUP BY 1, 2""")
+def large_mean_correlation(spark, folder):
+    """Correlations of columns whose means are far larger than their spread."""
+    table = descriptors(spark, folder).select(*[(F.col(c) + 1e6).alias(c) for c in ("target", "quantity", "discount")])
+    return tr.pearson_matrix(table, ["target", "quantity", "discount"])
+
+
 @query("regression_tests", "term:s se:f6 t:f4",
        TWO + """SELECT term, sqrt(rss2 / (n - 3)) * sqrt(CASE term WHEN 'quantity' THEN s22 / det ELSE s11 / det END) AS se,
   CASE term WHEN 'quantity' THEN b1 ELSE b2 END / (sqrt(rss2 / (n - 3)) * sqrt(CASE term WHEN 'quantity' THEN s22 / det ELSE s11 / det END)) AS t

@@ -228,7 +228,7 @@ def pearson_matrix(spark, folder):
                                "p_value": F.when(same, 0.0).otherwise(F.col("p_value"))})
 
 
-RANKED = ["mean_flow", "MAM10", "MAM30", "Q90"]
+RANKED = list(COLUMNS)
 
 
 @query("spearman_matrix", "index:s index2:s spearman:f6 n:i",

@@ -33,10 +33,10 @@ def test_sanitize(spark):
     result = clean.sanitize_ts(df, "n", force_positive=True, approx_missing=1)
     assert values(result.series) == [1, None, None, None, None, 4, 0]
     log = {r["what"]: r["n"] for r in result.log.collect()}
-    assert log == {"explicitly missing values": 1, "values below zero": 1, "values equal to zero": 1,
-                   "invalid time indices": 1, "completely identical input records": 2,
-                   "duplicated time indices": 2, "time indices jumping to the past": 1,
-                   "implicitly missing values": 2}
+    assert log == {"no value": 1, "negative": 1, "zero": 1,
+                   "undated": 1, "identical rows": 2,
+                   "day repeated": 2, "out of order": 1,
+                   "days absent": 2}
 
 
 def test_sanitize_keeping_duplicates(spark):
@@ -46,8 +46,8 @@ def test_sanitize_keeping_duplicates(spark):
     df = spark.createDataFrame([("x", *r) for r in raw], "series_id string, n long, time date, value double")
     result = clean.sanitize_ts(df, "n", remove_duplicates=False)
     log = {r["what"]: r["n"] for r in result.log.collect()}
-    assert log["time indices jumping to the past"] == 2
-    assert log["duplicated time indices"] == 3
+    assert log["out of order"] == 2
+    assert log["day repeated"] == 3
     assert result.series.count() == 5
 
 

@@ -149,3 +149,11 @@ def test_gaps_with_whole_span(spark, series):
     out = add_missing_days(a, whole_span=True, fill=0.0)
     got = {k: [r["value"] for r in out.where(F.col("series_id") == k).orderBy("time").collect()] for k in "ab"}
     assert got == {"a": [1, 2, 0, 0], "b": [0, 0, 0, 5]}
+
+
+def test_event_at_the_end_of_an_irregular_series(spark):
+    """Without a regular step the last day of the series is one day long and belongs to the event."""
+    days = [1, 2, 4, 5, 6, 7]
+    df = spark.createDataFrame([("a", f"2001-01-0{d}", 5.0 if d < 5 else 1.0) for d in days], "series_id string, time string, value double")
+    got = ev.drought_events(df.withColumn("time", F.to_date("time")), 2.0).first()
+    assert (str(got["last_day"]), got["duration"], got["volume"]) == ("2001-01-07", 3, 3 * 86400.0)

@@ -15,7 +15,6 @@ from ebbflow.functions import special as sf
 from ebbflow.operators import frequency as fr
 from ebbflow.operators import impact as im
 from ebbflow.operators import indices as idx
-from ebbflow.operators import moments
 from ebbflow.operators import regional as rg
 from ebbflow.operators import skill as sk
 from ebbflow.operators import trend as tr
@@ -233,10 +232,7 @@ def regression_data(n=200, p=4, seed=7):
     return x, y
 
 
-@pytest.mark.parametrize("wide", [False, True])
-def test_regression(spark, monkeypatch, wide):
-    if wide:
-        monkeypatch.setattr(moments, "NARROW", 0)
+def test_regression(spark):
     x, y = regression_data()
     df = frame(spark, y=y, **{f"x{i}": x[:, i] for i in range(4)})
     got = rg.regression(df, "y", ["x0", "x1", "x2", "x3"]).toPandas()
@@ -249,6 +245,51 @@ def test_regression(spark, monkeypatch, wide):
     assert cook["leverage"].sum() == pytest.approx(5)
 
 
+def test_aliased_terms(spark):
+    """A column that others determine, a constant and a column of zeros have no estimate and cost no degree of freedom."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=12)
+    y = 1 + 2 * x + rng.normal(size=12)
+    df = frame(spark, y=y, x=x, twice=2 * x + 3, one=[5.0] * 12, zero=[0.0] * 12)
+    alone = rg.regression(df, "y", ["x"]).toPandas().set_index("term")
+    got = rg.regression(df, "y", ["zero", "x", "one", "twice"]).toPandas().set_index("term")
+    for column in ("estimate", "se", "t", "p_value", "aic", "sigma", "adj_r2"):
+        assert got.loc[["(intercept)", "x"], column].to_list() == pytest.approx(alone[column].to_list())
+        if column not in ("aic", "sigma", "adj_r2"):
+            assert got.loc[["zero", "one", "twice"], column].isna().all()
+    assert set(rg.stepwise(df, "y", ["x", "twice", "one"], ["x"]).toPandas()["term"]) == {"(intercept)", "x"}
+    cooks = [rg.cooks_distance(df, "y", xs).toPandas()["cooks_d"].to_list() for xs in (["x"], ["x", "twice", "zero"])]
+    assert cooks[0] == pytest.approx(cooks[1])
+
+
+def test_large_means(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=200)
+    y = x + rng.normal(size=200)
+    df = frame(spark, x=x + 1e8, y=y + 1e8, c=[1e9] * 200)
+    got = tr.pearson_matrix(df, ["x", "y", "c"]).toPandas().set_index(["index", "index2"])["pearson"]
+    assert got["x", "y"] == pytest.approx(np.corrcoef(x, y)[0, 1], abs=1e-7) and np.isnan(got["x", "c"])
+    fit = rg.regression(df, "y", ["x"]).toPandas()["estimate"].to_list()
+    assert fit[1] == pytest.approx(np.polyfit(x, y, 1)[0], abs=1e-6)
+    load = tr.pca_loadings(df, ["x", "c", "y"]).toPandas()
+    assert load["eigenvalue"].min() == 0 and not load["loading"].isna().any()
+    assert (load[load["component"] < 3].query("variable == 'c'")["loading"] == 0).all()
+    assert not tr.pca_scores(df, ["x", "c", "y"], tr.pca_loadings(df, ["x", "c", "y"])).toPandas().isna().any().any()
+
+
+def test_break_date_quantiles_of_unequal_moments():
+    """Against a simulation: two-sided random walk with drift, steeper and noisier on the right by ``xi``."""
+    rng, step, reach, xi = np.random.default_rng(10), 0.05, 1200, 4.0
+    at = []
+    for _ in range(1500):
+        left = np.cumsum(rng.normal(size=reach)) * np.sqrt(step) - 0.5 * step * np.arange(1, reach + 1)
+        right = np.cumsum(rng.normal(size=reach)) * np.sqrt(step * xi) - 0.5 * xi * step * np.arange(1, reach + 1)
+        i, j = left.argmax(), right.argmax()
+        at.append(0.0 if max(left[i], right[j]) <= 0 else -step * (i + 1) if left[i] > right[j] else step * (j + 1))
+    for p in (0.025, 0.975):
+        assert tr.break_date_quantile(p, xi, xi) == pytest.approx(np.quantile(at, p), abs=1.0)
+
+
 def test_stepwise(spark):
     x, y = regression_data()
     df = frame(spark, y=y, **{f"x{i}": x[:, i] for i in range(4)})
