@@ -62,8 +62,8 @@ def ols_residuals(df: DataFrame, fit: DataFrame, y: str, x: str = "year", key: s
         "resid", F.col(y) - F.col("fitted")).drop("slope", "intercept")
 
 
-def trend_intervals(fit: DataFrame, first: int, last: int, level: float = 0.95, key: str = KEY
-                    ) -> DataFrame:
+def trend_intervals(fit: DataFrame, first: int | Column, last: int | Column, level: float = 0.95,
+                    key: str = KEY) -> DataFrame:
     """Confidence and prediction interval of the trend line on a grid of years, long."""
     half = qt(F.lit(1 - (1 - level) / 2), F.col("dof").cast("double"))
     grid = fit.withColumn("_t", half).withColumn("year", F.explode(F.sequence(F.lit(first), F.lit(last))))

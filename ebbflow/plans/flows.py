@@ -48,13 +48,13 @@ def duration_curve_q90(spark, folder):
 @query("specific_duration_curve", "series_id:s time:d specific:f6 freq_exc:f8",
        sql.with_(sql.NATION, """area AS (SELECT CAST(c_nationkey AS VARCHAR) AS series_id, count(*) AS area
   FROM customer GROUP BY 1)""", """sp AS (SELECT series_id, time, value * 1000 / area AS value
-  FROM nat JOIN area USING (series_id) WHERE nat.value > 0)""", FDC.format(source="sp"))
+  FROM nat JOIN area USING (series_id))""", FDC.format(source="sp"))
        + "SELECT series_id, time, value AS specific, freq_exc FROM fdc")
 def specific_duration_curve(spark, folder):
     """Duration curves of flows per unit area (here: customers per nation)."""
     area = series.table(spark, folder, "customer").groupBy(
         F.col("c_nationkey").cast("string").alias("series_id")).agg(F.count(F.lit(1)).alias("area"))
-    flows = series.nation_daily(spark, folder).where("value > 0").join(area, "series_id")
+    flows = series.nation_daily(spark, folder).join(area, "series_id")
     flows = flows.withColumn("specific", specific_discharge(F.col("value"), F.col("area")))
     return idx.exceedance_frequency(flows, value="specific")
 

@@ -135,13 +135,14 @@ def index_with_impacts(spark, folder):
     return im.index_with_impacts(*_index_and_impacts(spark, folder))
 
 
-@query("indices_spread", "year:i impact:b spi_1:f6 spi_3:f6 spi_5:f6",
+@query("indices_spread", "year:i impact:b spi_1:f6 spi_2:f6 spi_3:f6 spi_4:f6 spi_5:f6",
        sql.with_(INDEX) + """SELECT m.year, impact, max(index_val) FILTER (index = 'spi_1') AS spi_1,
-  max(index_val) FILTER (index = 'spi_3') AS spi_3, max(index_val) FILTER (index = 'spi_5') AS spi_5
+  max(index_val) FILTER (index = 'spi_2') AS spi_2, max(index_val) FILTER (index = 'spi_3') AS spi_3,
+  max(index_val) FILTER (index = 'spi_4') AS spi_4, max(index_val) FILTER (index = 'spi_5') AS spi_5
 FROM ims m LEFT JOIN (SELECT * FROM ix WHERE month = 7) i ON i.year = m.year GROUP BY 1, 2""")
 def indices_spread(spark, folder):
     """One column per index."""
-    return im.spread_indices(im.index_with_impacts(*_index_and_impacts(spark, folder)), ["spi_1", "spi_3", "spi_5"])
+    return im.spread_indices(im.index_with_impacts(*_index_and_impacts(spark, folder)), [f"spi_{k}" for k in range(1, 6)])
 
 
 def quality(spark, folder):

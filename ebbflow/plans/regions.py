@@ -193,13 +193,15 @@ def area_discretisation(spark, folder):
        AREAS + """, g AS (SELECT p.area_id AS a, q.area_id AS b, sum(p.w * q.w * CASE WHEN p.x = q.x AND p.y = q.y THEN 0 ELSE
   0.002 + 0.015 * (1 - exp(-sqrt(pow(p.x - q.x, 2) + pow(p.y - q.y, 2)) / 0.2)) END) AS g FROM cw p, cw q GROUP BY 1, 2)
 SELECT g.a, g.b, g.g - 0.5 * (ga.g + gb.g) AS gamma FROM g JOIN g ga ON ga.a = g.a AND ga.b = g.a JOIN g gb ON gb.a = g.b AND gb.b = g.b
-WHERE split_part(g.a, '/', 1) = split_part(g.b, '/', 1) AND CAST(split_part(g.b, '/', 2) AS BIGINT) = CAST(split_part(g.a, '/', 2) AS BIGINT) + 1""")
+WHERE (split_part(g.a, '/', 1) = split_part(g.b, '/', 1) AND CAST(split_part(g.b, '/', 2) AS BIGINT) = CAST(split_part(g.a, '/', 2) AS BIGINT) + 1)
+  OR (split_part(g.a, '/', 2) = split_part(g.b, '/', 2) AND CAST(split_part(g.b, '/', 1) AS BIGINT) = CAST(split_part(g.a, '/', 1) AS BIGINT) + 1)""")
 def areal_semivariance(spark, folder):
-    """Regularised semivariance of every area and its neighbour."""
+    """Regularised semivariance of every area and its neighbours in both directions."""
     cells, areas = area_cells(spark, folder)
     ids = areas.select(F.col("area_id").alias("a"), F.split("area_id", "/").alias("s"))
-    there = F.concat_ws("/", F.col("s")[0], (F.col("s")[1].cast("bigint") + 1).cast("string"))
-    pairs = ids.select("a", there.alias("b"))
+    x, y = (F.col("s")[k].cast("bigint") for k in (0, 1))
+    there = F.array(F.concat_ws("/", x.cast("string"), (y + 1).cast("string")), F.concat_ws("/", (x + 1).cast("string"), y.cast("string")))
+    pairs = ids.select("a", F.explode(there).alias("b"))
     return rg.areal_semivariances(cells, pairs, 0.002, 0.015, 0.2)
 
 

@@ -39,14 +39,15 @@ def trend_residuals(spark, folder):
 
 
 @query("trend_intervals", "series_id:s year:i interval:s fit:f6 centre:f6 ratio:f6",
-       sql.with_(sql.SUPP, MONTHLY, OLS, """gr AS (SELECT ols.*, g.year FROM ols, (SELECT unnest(generate_series(23940, 24060)) AS year) g),
+       sql.with_(sql.SUPP, MONTHLY, OLS, """gr AS (SELECT ols.*, g.year FROM ols, (SELECT unnest(generate_series(min(year), max(year))) AS year FROM mon) g),
 hh AS (SELECT *, 1.0 / n + (year - x_mean) * (year - x_mean) / sxx AS h FROM gr)""")
        + """SELECT series_id, year, k AS interval, intercept + slope * year AS fit, intercept + slope * year AS centre,
   sqrt(h + e) / sqrt(h) AS ratio FROM hh, (VALUES ('Confidence', 0.0), ('Prediction', 1.0)) AS kinds(k, e)""")
 def trend_intervals(spark, folder):
     """Confidence and prediction intervals; their widths are compared with each other."""
-    fit = tr.ols(monthly_flow(spark, folder), "value")
-    bands = tr.trend_intervals(fit, 23940, 24060)
+    monthly = monthly_flow(spark, folder)
+    years = monthly.agg(F.min("year").alias("a"), F.max("year").alias("b")).select(F.struct("*")).scalar()
+    bands = tr.trend_intervals(tr.ols(monthly, "value"), years.getField("a"), years.getField("b"))
     conf = bands.where("interval = 'Confidence'").select("series_id", "year", (F.col("upr") - F.col("lwr")).alias("_w"))
     return bands.join(conf, ["series_id", "year"]).withColumns({
         "centre": (F.col("lwr") + F.col("upr")) / 2, "ratio": (F.col("upr") - F.col("lwr")) / F.col("_w")})
