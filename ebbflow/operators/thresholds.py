@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ebbflow.columns import KEY, TIME, VALUE
@@ -67,6 +67,17 @@ def var_threshold(df: DataFrame, vary_by: str, fun: Aggregate | Mapping[str, Agg
     return Threshold(days.groupBy(key, vary_by).agg(*aggs), vary_by, start)
 
 
+def period_threshold(vary_by: str, fun: Aggregate, start: str | Sequence[str] | Mapping[str, str] = "-01-01",
+                     key: str = KEY, time: str = TIME, value: str = VALUE) -> Column:
+    """The threshold of each day's period as a window over the placed days: no second scan and no join.
+
+    Not for ``vary_by="day"``, where :func:`var_threshold` adds the synthetic leap days.
+    """
+    if vary_by == "day":
+        raise ValueError("daily thresholds need var_threshold")
+    return fun(F.col(value)).over(Window.partitionBy(key, group_ts(F.col(time), vary_by, start)))
+
+
 def append_threshold(df: DataFrame, threshold: Threshold, key: str = KEY, time: str = TIME
                      ) -> DataFrame:
     """The days themselves with their threshold (synthetic leap days stay out)."""

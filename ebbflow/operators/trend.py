@@ -370,13 +370,20 @@ def break_intervals(df: DataFrame, breaks: DataFrame, y: str, x: str = "year", s
     return out.select(key, "e.*")
 
 
-def segment_fit(df: DataFrame, breaks: DataFrame, y: str, x: str = "year", key: str = KEY) -> DataFrame:
-    """Mean of every segment between the breaks, joined to the years of the series."""
+def segment_fit(df: DataFrame, breaks: DataFrame, y: str, x: str = "year", key: str = KEY, slope: bool = False) -> DataFrame:
+    """Mean (with ``slope``: trend line) of every segment between the breaks, joined to the years of the series.
+
+    A segment without two different years has no trend; its mean is given.
+    """
     joined = df.join(breaks.select(key, "breaks"), key)
     number = F.size(F.filter("breaks", lambda b: b < F.col(x))) + 1
     joined = joined.withColumn("segment", number)
-    mean = F.avg(y).over(Window.partitionBy(key, "segment"))
-    return joined.select(key, x, y, "segment", mean.alias("fitted"))
+    segment = Window.partitionBy(key, "segment")
+    fitted = F.avg(y).over(segment)
+    if slope:
+        line = F.regr_intercept(F.col(y), F.col(x)).over(segment) + F.regr_slope(F.col(y), F.col(x)).over(segment) * F.col(x)
+        fitted = F.coalesce(line, fitted)
+    return joined.select(key, x, y, "segment", fitted.alias("fitted"))
 
 
 def nested_anova(table: DataFrame, parameters: int = 1, key: str = KEY) -> DataFrame:

@@ -203,7 +203,7 @@ days AS (SELECT d.series_id, d.time, d.value, threshold, d.time + 1 AS end_, val
 def drought_events_seasonal(spark, folder):
     """Droughts below a threshold that varies by month."""
     days = shipping(spark, folder)
-    return ev.drought_events(days, thr.var_threshold(days, "month", thr.quantile(0.8)))
+    return ev.drought_events(days, thr.period_threshold("month", thr.quantile(0.8)))
 
 
 @query("drought_events_daily_threshold", POOLED_COLUMNS,

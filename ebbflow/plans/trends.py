@@ -185,6 +185,19 @@ def break_segments(spark, folder):
     return tr.segment_fit(flows, tr.best_breaks(tr.breakpoints(flows, "value")), "value")
 
 
+@query("trend_segments", "series_id:s year:i segment:i fitted:f4",
+       sql.with_(sql.SUPP, MONTHLY, """b AS (SELECT series_id, (min(year) + max(year)) // 2 AS b FROM mon GROUP BY 1),
+s AS (SELECT mon.*, CASE WHEN year > b THEN 2 ELSE 1 END AS segment FROM mon JOIN b USING (series_id)),
+f AS (SELECT series_id, segment, avg(value) AS m, regr_slope(value, year - 24000) AS b1, regr_intercept(value, year - 24000) AS b0 FROM s GROUP BY 1, 2)""")
+       + """SELECT series_id, year, segment, CASE WHEN isfinite(b1) THEN b0 + b1 * (year - 24000) ELSE m END AS fitted
+FROM s JOIN f USING (series_id, segment)""")
+def trend_segments(spark, folder):
+    """Trend lines before and after the middle of each series."""
+    flows = monthly_flow(spark, folder)
+    middle = flows.groupBy("series_id").agg(F.array(F.floor((F.min("year") + F.max("year")) / 2).cast("int")).alias("breaks"))
+    return tr.segment_fit(flows, middle, "value", slope=True)
+
+
 @query("break_intervals", "series_id:s break_after:i lower:i upper:i")
 def break_intervals(spark, folder):
     """Confidence intervals of the break dates of the best segmentation."""

@@ -104,6 +104,9 @@ def test_varying_threshold_joins_on_its_period(spark, series):
     days = series({"a": [5] * 40 + [7] * 20})
     monthly = thr.var_threshold(days, "month", F.max)
     assert ev.drought_events(days, monthly).count() == 1  # only the days of February below 7
+    assert rows(ev.drought_events(days, thr.period_threshold("month", F.max)), "first_day") == rows(ev.drought_events(days, monthly), "first_day")
+    with pytest.raises(ValueError):
+        thr.period_threshold("day", F.max)
 
 
 def test_synthetic_leap_day(spark, series):

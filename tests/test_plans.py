@@ -33,6 +33,12 @@ def test_events_stay_in_one_placement(spark, pooling):
     assert shuffles(ev.drought_events(src.supplier_daily(spark, FOLDER), q90(), pooling)) == 2
 
 
+def test_seasonal_thresholds_need_one_scan(spark):
+    from ebbflow.plans.droughts import drought_events_seasonal
+
+    assert plan(drought_events_seasonal(spark, FOLDER)).count("FileScan") == 1
+
+
 def test_days_are_placed_once(spark):
     days = src.supplier_daily(spark, FOLDER)
     assert shuffles(ev.baseflow(days)) == 2
