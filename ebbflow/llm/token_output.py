@@ -19,7 +19,6 @@ import re
 import struct
 import sys
 import types
-import unicodedata
 
 import numpy as np
 import pyarrow as pa
@@ -30,14 +29,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ebbflow.llm.common import give_back
+
+KEEP = 1_400_000
 MAGIC = b"BPL1"
 HEADER = "<4sBBBI"  # magic, 1 for bits or 8 for bytes, planes, 0, ids
 
-# Fixed value: how the byte-level vocabulary cuts a text before its merges.  No merge crosses a cut, so
-# the ids of a text are those of its pieces.
-PIECE = r" ?[^\W\d_]+|'s|'t|'re|'ve|'m|'ll|'d| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"
-
-
 def pack(ids: np.ndarray, width: int, plane: str = "byte", level: int = 3) -> bytes:
     """One block: ``width`` bytes of every id, as planes that are compressed one by one."""
     ids = np.ascontiguousarray(ids, dtype="<u4")
@@ -75,82 +72,93 @@ def unpack(payload: bytes) -> np.ndarray:
     return out.view("<u4").reshape(-1)
 
 
-class Known(dict):
-    """What pieces of text came to; a new one is made by ``make``.
+class Known:
+    """What parts of texts came to.
 
-    Once half of ``keep`` pieces are held, they become the old half and replace the old half before them; an old
-    piece that is asked for again is taken over.
+    Once half of ``keep`` parts are held, they become the old half and replace the old half before them; an old
+    part that is asked for again is taken over.
     """
 
-    def __init__(self, make, keep: int):
-        super().__init__()
-        self.make, self.half, self.old = make, keep // 2, {}
+    def __init__(self, keep: int):
+        self.half, self.new, self.old = max(1, keep // 2), {}, {}
 
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) >= self.half:
-            self.old = dict(self)
-            self.clear()
-        ids = self.old.get(piece)
-        self[piece] = ids = self.make(piece) if ids is None else ids
-        return ids
+    def missing(self, parts: set[str]) -> list[str]:
+        """Those of ``parts`` that are not known; the others are in the new half afterwards."""
+        if len(self.new) >= self.half:
+            self.old, self.new = self.new, {}
+        later = parts.difference(self.new)
+        for p in later & self.old.keys():
+            self.new[p] = self.old[p]
+        return list(later.difference(self.old))
 
 
 class Encoder:
-    """Encodes with a tokenizer file and keeps what up to ``keep`` pieces of text, and half as many words, came to.
+    """Encodes with a tokenizer file and keeps what up to ``keep`` parts of texts came to.
 
-    The library encodes each piece; texts whose characters the cutting rule might class differently from
-    the library, or that hold one of its special strings, are given to the library whole.  A space or line
-    feed after another character always begins a piece, so texts are cut there first, and the parts of a
-    usual text (no two such characters in a row) are known by their words.
+    Before its merges a byte-level vocabulary cuts a text into pieces, and a space or line feed after any other
+    character always begins one, so texts are cut there and the library encodes each part once.  Texts for which
+    that is not certain go to the library whole: with other white space or two such characters in a row, with one
+    of its special strings, or of a tokenizer of another kind.
     """
 
-    def __init__(self, path: str, keep: int = 1_100_000):
+    def __init__(self, path: str, keep: int = KEEP):
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
         self.width = max(1, (max(1, self.tokenizer.get_vocab_size() - 1).bit_length() + 7) // 8)
         before = self.tokenizer.pre_tokenizer.__getstate__()
-        self.piecewise = b'"ByteLevel"' in before and b'"add_prefix_space":false' in before and self.tokenizer.normalizer is None
-        # White space other than space and line feed, numbers that are no decimal digits, and rare planes.
-        odd = (c for c in map(chr, range(1 << 16)) if c not in " \n" and (c.isspace() or c == "\u180e" or unicodedata.category(c) in ("Nl", "No")))
-        self.odd = re.compile("[" + "".join(map(re.escape, odd)) + "\U00010000-\U0010FFFF]")
+        self.by_part = b'"ByteLevel"' in before and b'"add_prefix_space":false' in before and self.tokenizer.normalizer is None
+        odd = (c for c in map(chr, range(1 << 16)) if c not in " \n" and (c.isspace() or c == "\u180e"))
+        self.odd = re.compile("[" + "".join(map(re.escape, odd)) + "]")
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.double, self.piece = re.compile(r"[ \n][ \n]"), re.compile(PIECE)
-        self.pieces = Known(self._library, keep)
-        self.parts = Known(lambda part: self._cut(part if part[:1] == "\n" else " " + part), keep // 2)
+        self.double, self.known = re.compile(r"[ \n][ \n]|[ \n]\Z"), Known(keep)
+
+    def _split(self, text: str) -> list[str] | None:
+        if not self.by_part or self.odd.search(text) or self.double.search(text) or any(s in text for s in self.special):
+            return None
+        # All parts but the first begin with a line feed or, unwritten, with a space; the first may be empty.
+        return text.replace("\n", " \n").split(" ")
+
+    def _library(self, texts: list[str]) -> list[bytes]:
+        found = (e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False))
+        return [struct.pack(f"<{len(ids)}I", *ids) for ids in found]
+
+    def encode_all(self, texts: list[str], at_once: int = 1_000_000) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit numbers; texts are read ahead for ``at_once`` characters."""
+        out, begin = [], 0
+        while begin < len(texts):
+            end, size = begin, 0
+            while end < len(texts) and size < at_once:
+                size += len(texts[end])
+                end += 1
+            split = [self._split(t) for t in texts[begin:end]]
+            parts = set()
+            for s in split:
+                parts.update(s[1:] if s else ())
+            new = self.known.missing(parts)
+            self.known.new.update(zip(new, self._library([p if p[:1] == "\n" else " " + p for p in new]), strict=True))
+            heads = self._library([t if s is None else s[0] for t, s in zip(texts[begin:end], split, strict=True)])
+            out += [h if s is None else h + b"".join(map(self.known.new.__getitem__, s[1:])) for h, s in zip(heads, split, strict=True)]
+            begin = end
+        return out
 
-    def _library(self, text: str) -> bytes:
-        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return struct.pack(f"<{len(ids)}I", *ids)
+    def encode(self, text: str) -> bytes:
+        return self.encode_all([text])[0]
 
-    def _cut(self, text: str) -> bytes:
-        return b"".join(map(self.pieces.__getitem__, self.piece.findall(text)))
 
-    def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit numbers."""
-        if not self.piecewise or self.odd.search(text) or any(s in text for s in self.special):
-            return self._library(text)
-        if self.double.search(text):
-            return self._cut(text)
-        first, *parts = text.replace("\n", " \n").split(" ")
-        # Nothing but a last space or line feed can leave a part without a character of its own.
-        if parts and parts[-1] in ("", "\n"):
-            return self._cut(text)
-        return self._cut(first) + b"".join(map(self.parts.__getitem__, parts))
-
-
-def worker_encoder(path: str) -> Encoder:
+def worker_encoder(path: str, keep: int) -> Encoder:
     """The Python worker's encoder for ``path``, which serves all its tasks."""
     held = sys.modules.setdefault("ebbflow_worker_encoders", types.ModuleType("ebbflow_worker_encoders"))
-    if path not in held.__dict__:
-        held.__dict__[path] = Encoder(path)
-    return held.__dict__[path]
+    if (path, keep) not in held.__dict__.setdefault("by_path", {}):
+        held.by_path = {(path, keep): Encoder(path, keep)}
+    return held.by_path[path, keep]
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, block_ids: int = 65_536, plane: str = "byte", end_id: int = 0) -> str:
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, block_ids: int = 65_536, plane: str = "byte", end_id: int = 0, keep: int = KEEP) -> str:
     """Write the token ids of ``docs(doc_id, text)`` in ascending ``doc_id`` order; returns ``path``.
 
+    ``keep`` is the number of pieces of text that a worker remembers; it changes time and memory, not the result.
     Every text is encoded whole, without special tokens, and ``end_id`` is appended.  A null or empty text
     is the end id alone; a null doc_id comes first; rows that repeat a doc_id follow one another in the
     order of the table; an empty table writes empty files.  Other columns are not read.
@@ -167,7 +175,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, block_ids: int =
                        ("docs", pa.list_(pa.struct([("doc_id", kind), ("number", pa.int64()), ("length", pa.int32()), ("before", pa.bool_()), ("after", pa.bool_())])))])
 
     def encode(batches):
-        encoder, part = worker_encoder(tokenizer), TaskContext.get().partitionId()
+        encoder, part = worker_encoder(tokenizer, keep), TaskContext.get().partitionId()
         end, ids, held, inside, block, number = struct.pack("<I", end_id), [], 0, [], 0, -1
 
         def row():
@@ -175,8 +183,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, block_ids: int =
             return pa.RecordBatch.from_pylist([{"part": part, "block": block, "n_ids": len(data), "payload": pack(data, encoder.width, plane), "docs": inside}], schema=arrow)
 
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                data, at, number = encoder.encode(text or "") + end, 0, number + 1
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            for doc, data in zip(batch.column(0).to_pylist(), encoder.encode_all(texts), strict=True):
+                data, at, number = data + end, 0, number + 1
                 while at < len(data):
                     take = min(len(data) - at, 4 * block_ids - held)
                     inside.append({"doc_id": doc, "number": number, "length": take // 4, "before": at > 0, "after": at + take < len(data)})
@@ -187,6 +196,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, block_ids: int =
                         ids, held, inside, block = [], 0, [], block + 1
         if held:
             yield row()
+        give_back()
 
     # The place in the table parts rows of one id, so that many of them still go to several tasks.
     slim = docs.select(F.col("doc_id").cast("string" if kind == pa.string() else "long").alias("doc_id"), "text", F.monotonically_increasing_id().alias("place"))
