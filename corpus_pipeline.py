@@ -31,7 +31,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files, and per document (copies one after the other) its place in them."""
-    return tokens_there_and_back(docs)
+    return tokens_there_and_back(docs, keep=300_000)  # the workers have served four stages before
 
 
 STAGES = [("quality classifier", good), ("n-gram Jaccard join", unlike), ("benchmark decontamination", clean),

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ebbflow.llm.common import give_back
 from ebbflow.session import settle
 
 WINDOW = 10
@@ -162,6 +163,7 @@ def _scan(tests: TestSet, shard_words: int):
             columns = {n: batch.column(i) for i, n in enumerate(names)}
             columns |= {"n_words": pa.array(n_words, pa.int64()), "spans": pa.array(hits, ARROW_SPANS)}
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+        give_back()
 
     return scan
 

@@ -26,6 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ebbflow.llm.common import give_back
 from ebbflow.llm.components import components
 from ebbflow.llm.shingles import Shingler
 from ebbflow.session import settle
@@ -45,6 +46,7 @@ def crowding(docs: DataFrame, size: int, counters: int = COUNTERS) -> np.ndarray
             for text in batch.column(0).to_pylist():
                 np.add.at(total, (shingles(text) >> np.uint64(40)).astype(np.int64) % counters, 1)
         rows = total.reshape(-1, SEGMENT)
+        give_back()
         yield pa.RecordBatch.from_arrays([pa.array(range(len(rows)), pa.int32()), pa.array(list(rows), pa.list_(pa.int64()))], names=["i", "v"])
 
     def add(part: pa.Table) -> pa.Table:
@@ -108,6 +110,8 @@ def describe(docs: DataFrame, size: int, percent: int, order: np.ndarray) -> Dat
                 wide.append(wide_sketch(s))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(key, pa.binary()), pa.array(n, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(sketches, pa.binary()), pa.array(wide, pa.binary())],
                                              names=["doc_id", "key", "n", "prefix", "sketch", "wide"])
+        del shingles
+        give_back()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, key binary, n long, prefix array<long>, sketch binary, wide binary")
@@ -251,6 +255,8 @@ def full_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, size: int) -
         shingles = Shingler(size)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([shingles(t).tobytes() for t in batch.column("text").to_pylist()], pa.binary())], names=["node", "shingles"])
+        del shingles
+        give_back()
 
     of = nodes.join(wanted, "node").select("place", "node")
     return docs.select("place", "text").join(of, "place").select("node", "text").mapInArrow(run, "node long, shingles binary")

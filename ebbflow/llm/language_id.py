@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ebbflow.llm.common import held_out
+from ebbflow.llm.common import give_back, held_out
 
 UNDETERMINED = "und"
 LETTERS, TEXTS, PIECE = 24_000, 48, 512
@@ -218,6 +218,7 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
         for batch in batches:
             language, score = sent.value.predict(batch.column(1).to_pylist()) if len(batch) else ([], [])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(language, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "lang_pred", "score"])
+        give_back()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     found = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")

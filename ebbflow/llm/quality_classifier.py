@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ebbflow.llm.common import held_out
+from ebbflow.llm.common import give_back, held_out
 from ebbflow.session import settle
 
 FEATURES, RIDGE, GRID, SEED = 256, 1e-3, 1000, 7
@@ -61,6 +61,7 @@ def statistics(docs: DataFrame) -> DataFrame:
             rest = {n: c for n, c in zip(batch.schema.names, batch.columns) if n != "text"}
             rest["stats"] = pa.array([describe(t.as_py()) for t in batch.column("text")], pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays(list(rest.values()), names=list(rest))
+        give_back()
 
     return docs.mapInArrow(run, schema)
 
@@ -207,6 +208,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **opti
             stats = np.array([describe(t.as_py()) for t in batch.column("text")], float).reshape(len(batch), -1)
             if len(batch):
                 yield batch.filter(pa.array(sent.value.score(stats) >= threshold))
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -17,10 +17,10 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def tokens_there_and_back(docs: DataFrame) -> DataFrame:
+def tokens_there_and_back(docs: DataFrame, keep: int = token_output.KEEP) -> DataFrame:
     """Write the token ids of ``docs`` to the shared folder; per document what is read back from there."""
     spark = docs.sparkSession
-    path = token_output.write_tokens(docs, f"{shared_dir(spark).rstrip('/')}/tokens-{uuid.uuid4().hex}", default_tokenizer())
+    path = token_output.write_tokens(docs, f"{shared_dir(spark).rstrip('/')}/tokens-{uuid.uuid4().hex}", default_tokenizer(), keep=keep)
     return token_output.read_tokens(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
