@@ -67,6 +67,27 @@ def read_tsv(spark: SparkSession, path: str, schema: str, **columns: str) -> Dat
     return df.select(*[F.col(source).alias(name) for name, source in columns.items()])
 
 
+def read_areas(spark: SparkSession, path: str) -> DataFrame:
+    """Catchment areas: ``area_id, gauge, area_km2, q95, specific_q95`` from a Parquet table of area attributes.
+
+    Target areas have no flow columns; theirs are NULL.
+    """
+    names = {"EZGID": "area_id", "HZBNR": "gauge", "AREASQKM": "area_km2", "Q95": "q95", "Q95S": "specific_q95"}
+    table = spark.read.parquet(path)
+
+    def column(source: str, target: str):
+        value = F.col(source) if source in table.columns else F.lit(None)
+        return (value.cast("long").cast("string") if target in ("area_id", "gauge") else value.cast("double")).alias(target)
+
+    return table.select(*[column(source, target) for source, target in names.items()])
+
+
+def read_points(spark: SparkSession, path: str, area: str = "EZGID", x: str = "x", y: str = "y") -> DataFrame:
+    """Discretisation points of areas, ``area_id, x, y``, for :func:`ebbflow.operators.regional.discretise`."""
+    return spark.read.parquet(path).select(F.col(area).cast("long").cast("string").alias("area_id"), F.col(x).cast("double").alias("x"),
+                                           F.col(y).cast("double").alias("y")).dropna()
+
+
 def write_observations(df: DataFrame, name: str, buckets: int = 512, key: str = KEY, time: str = TIME
                        ) -> None:
     """Store a daily table bucketed by series and sorted by day.

@@ -2,6 +2,7 @@ import datetime as dt
 
 import pytest
 
+from ebbflow.operators import regional as rg
 from ebbflow.operators.clean import sanitize_ts
 from ebbflow.session import settle, shared_dir
 from ebbflow.sources import io
@@ -104,3 +105,13 @@ def test_python_helpers_travel_with_the_query(tmp_path):
                           cwd=tmp_path, env=env, capture_output=True, text=True, timeout=600)
     assert done.returncode == 0, done.stderr[-2000:]
     assert sum(line.split()[0] in names for line in done.stdout.splitlines() if line.strip()) == len(names)
+
+
+def test_areas_and_points(spark, tmp_path):
+    areas, points = str(tmp_path / "areas"), str(tmp_path / "points")
+    spark.createDataFrame([(1.0, 200.0, 3.5, 0.7, 9.0)], "EZGID double, HZBNR double, AREASQKM double, Q95 double, extra double").write.parquet(areas)
+    spark.createDataFrame([(1.0, 0.1, 0.2), (1.0, 0.3, 0.2), (1.0, None, 0.2)], "EZGID double, x double, y double").write.parquet(points)
+    row = io.read_areas(spark, areas).first()
+    assert row.asDict() == {"area_id": "1", "gauge": "200", "area_km2": 3.5, "q95": 0.7, "specific_q95": None}
+    cells = rg.discretise(io.read_points(spark, points), 0.15).collect()
+    assert sorted((c["area_id"], c["weight"]) for c in cells) == [("1", 0.5), ("1", 0.5)]
