@@ -69,21 +69,32 @@ def to_bytes(text: str | None) -> bytes:
 
 
 def marks(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """``mark, place, first, last`` of all marks of ``docs(place, text)``."""
+    """``mark, place, firsts, lasts``: one row for each different mark of a text of ``docs(place, text)``.
+
+    A text that repeats a few letters has the same mark over and over; it still sends few rows.
+    """
     def run(batches):
         find = Marks(length, gram)
         for batch in batches:
             for place, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 mark, first, last = find(to_bytes(text))
                 if len(mark):
-                    yield pa.RecordBatch.from_arrays([pa.array(mark.view(np.int64)), pa.array(np.full(len(mark), place, np.int64)), pa.array(first), pa.array(last)],
-                                                     names=["mark", "place", "first", "last"])
+                    by = np.argsort(mark, kind="stable")
+                    mark = mark[by]
+                    head = np.flatnonzero(np.append(True, mark[1:] != mark[:-1]))
+                    ends = pa.array(np.append(head, len(mark)).astype(np.int32))
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array(mark[head].view(np.int64)), pa.array(np.full(len(head), place, np.int64)), pa.ListArray.from_arrays(ends, pa.array(first[by])),
+                        pa.ListArray.from_arrays(ends, pa.array(last[by]))], names=["mark", "place", "firsts", "lasts"])
 
-    return docs.select("place", "text").mapInArrow(run, "mark long, place long, first long, last long")
+    return docs.select("place", "text").mapInArrow(run, "mark long, place long, firsts array<long>, lasts array<long>")
 
 
 def repeated_marks(found: DataFrame) -> DataFrame:
-    """The rows of ``found`` whose mark has another row."""
+    """The rows of ``found`` whose mark has another row, or another place in its own."""
+    def several(rows) -> np.ndarray:
+        return np.array([len(f) > 1 for f in rows.column("firsts").to_pylist()], bool)
+
     def run(batches):
         held, before = None, None
         for batch in batches:
@@ -92,30 +103,33 @@ def repeated_marks(found: DataFrame) -> DataFrame:
             table = pa.Table.from_batches([batch] if held is None else [held, batch])
             mark = table.column("mark").combine_chunks().to_numpy()
             same = mark[1:] == mark[:-1]
-            keep = np.zeros(len(mark), bool)
+            keep = several(table).copy()
             keep[1:] |= same
             keep[:-1] |= same
             keep[0] |= before == mark[0]
             before = mark[-2] if len(mark) > 1 else before
             held = table.slice(len(mark) - 1).combine_chunks().to_batches()[0]
             yield from table.slice(0, len(mark) - 1).filter(pa.array(keep[:-1])).combine_chunks().to_batches()
-        if held is not None and before == held.column("mark")[0].as_py():
+        if held is not None and (before == held.column("mark")[0].as_py() or several(held)[0]):
             yield held
 
     return found.repartition("mark").sortWithinPartitions("mark").mapInArrow(run, found.schema)
 
 
 def fragments(candidates: DataFrame, length: int) -> DataFrame:
-    """``mark, place, first, fragment``: the text of all strings whose mark it is."""
+    """``mark, place, firsts, fragment``: the text of all strings whose mark it is, equal texts of a row once."""
     def run(batches):
         for batch in batches:
             for place, text, found in zip(*(batch.column(k).to_pylist() for k in ("place", "text", "found"))):
-                data = to_bytes(text)
+                data, at = to_bytes(text), {}
+                for f in found:
+                    for first, last in zip(f["firsts"], f["lasts"]):
+                        at.setdefault((f["mark"], data[first:last + length]), []).append(first)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([f["mark"] for f in found], pa.int64()), pa.array([place] * len(found), pa.int64()), pa.array([f["first"] for f in found], pa.int64()),
-                    pa.array([data[f["first"]:f["last"] + length] for f in found], pa.binary())], names=["mark", "place", "first", "fragment"])
+                    pa.array([m for m, _ in at], pa.int64()), pa.array([place] * len(at), pa.int64()), pa.array(list(at.values()), pa.list_(pa.int64())),
+                    pa.array([text for _, text in at], pa.binary())], names=["mark", "place", "firsts", "fragment"])
 
-    return candidates.mapInArrow(run, "mark long, place long, first long, fragment binary")
+    return candidates.mapInArrow(run, "mark long, place long, firsts array<long>, fragment binary")
 
 
 def repeats(fragment: list[bytes], count: list[int], length: int, in_memory: int = 1 << 28) -> list[np.ndarray]:
@@ -154,22 +168,23 @@ def shard_spans(dealt: DataFrame, length: int, shard: int) -> DataFrame:
     """``place, begin, stop``: what the repeats of each shard cover."""
     def run(batches):
         known: dict[bytes, int] = {}
-        rows: list[tuple[int, int, int]] = []
+        rows: list[tuple[int, list[int], int]] = []
         size, mark = 0, None
 
         def close():
-            count = np.bincount([r[2] for r in rows], minlength=len(known))
+            count = np.bincount([r[2] for r in rows], [len(r[1]) for r in rows], minlength=len(known))
             hits = repeats(list(known), count, length)
             place, begin, stop = [], [], []
-            for p, first, which in rows:
-                a, b = spans_of(hits[which], first, length)
-                place.extend([p] * len(a))
-                begin.extend(a.tolist())
-                stop.extend(b.tolist())
+            for p, firsts, which in rows:
+                a, b = spans_of(hits[which], 0, length)
+                for first in firsts if len(a) else ():
+                    place.extend([p] * len(a))
+                    begin.extend((a + first).tolist())
+                    stop.extend((b + first).tolist())
             return pa.RecordBatch.from_arrays([pa.array(place, pa.int64()), pa.array(begin, pa.int64()), pa.array(stop, pa.int64())], names=["place", "begin", "stop"])
 
         for batch in batches:
-            for m, p, first, fragment in zip(*(c.to_pylist() for c in batch.columns)):
+            for m, p, firsts, fragment in zip(*(c.to_pylist() for c in batch.columns)):
                 if m != mark and size >= shard:
                     yield close()
                     known, rows, size = {}, [], 0
@@ -177,11 +192,11 @@ def shard_spans(dealt: DataFrame, length: int, shard: int) -> DataFrame:
                 if fragment not in known:
                     known[fragment] = len(known)
                     size += len(fragment)
-                rows.append((p, first, known[fragment]))
+                rows.append((p, firsts, known[fragment]))
         if rows:
             yield close()
 
-    by = dealt.repartition("mark").sortWithinPartitions("mark").select("mark", "place", "first", "fragment")
+    by = dealt.repartition("mark").sortWithinPartitions("mark").select("mark", "place", "firsts", "fragment")
     return by.mapInArrow(run, "place long, begin long, stop long")
 
 
@@ -210,7 +225,7 @@ def deduplicate(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, shar
     always.  Repeated rows repeat each other; an empty table gives no rows.
     """
     found = settle(repeated_marks(marks(docs, length, gram)))
-    by_place = found.groupBy("place").agg(F.collect_list(F.struct("mark", "first", "last")).alias("found"))
+    by_place = found.groupBy("place").agg(F.collect_list(F.struct("mark", "firsts", "lasts")).alias("found"))
     candidates = settle(docs.select("place", "text").join(by_place, "place"))
     spans = shard_spans(fragments(candidates, length), length, shard)
     spans = settle(spans.groupBy("place").agg(F.collect_list(F.struct("begin", "stop")).alias("spans")))

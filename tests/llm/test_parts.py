@@ -67,6 +67,23 @@ def test_equal_strings_have_equal_marks():
     assert len({int(s[0]) for s in seen}) == 1
 
 
+def test_texts_that_repeat_a_few_letters(spark):
+    """Their many equal marks travel as one row a text, and the result is that of counting all strings."""
+    from test_contracts import plain_spans
+
+    rng = random.Random(12)
+    texts = ["ab" * 300, "xab" * 150 + "tail", "q" * 130 + "".join(rng.choice("abc") for _ in range(90)), "zz" + "ab" * 20, "q" * 99, None, "abc" * 25]
+    docs = spark.createDataFrame(list(enumerate(texts)), "place long, text string")
+    found = suffix_dedup.marks(docs, 60, 10)
+    assert found.count() == found.select("mark", "place").distinct().count() < 150
+    got = {r.place: r for r in suffix_dedup.deduplicate(docs, length=60, gram=10, shard=500).collect()}
+    for k, (n, gone, runs, _) in enumerate(plain_spans(texts, 60)):
+        spans = got[k].spans if k in got else []
+        assert (sum(s.stop - s.begin for s in spans), len(spans)) == (gone, runs)
+        if k in got:
+            assert len(got[k].kept) == n - gone
+
+
 def test_matches_of_the_test_set():
     rng, names = random.Random(5), [b"a", b"b", b"c", b"d"]
     for _ in range(200):
