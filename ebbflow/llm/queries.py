@@ -35,6 +35,7 @@ QUERIES = {
     "op4_quality_classifier": quality_classifier.registered,
     "op5_url_filter": url_filter.registered,
     "op6_line_dedup": line_dedup.registered,
+    "op6_passage_dedup": line_dedup.passages,
     "op7_mixing": mixing.registered,
     "op8_language_id": language_id.registered,
     "op9_token_output": token_output_query,
@@ -44,6 +45,7 @@ QUERIES = {
 SQL = {
     "op1_benchmark_decontamination": decontaminate.SQL,
     "op6_line_dedup": line_dedup.SQL,
+    "op6_passage_dedup": line_dedup.PASSAGES_SQL,
     "op7_mixing": mixing.SQL,
     "op10_ngram_jaccard_join": jaccard_join.SQL,
 }

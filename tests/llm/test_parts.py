@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pytest
 
-from ebbflow.llm import decontaminate, induced, jaccard_join, language_id, quality_classifier, shingles, suffix_dedup, token_output
+from ebbflow.llm import decontaminate, induced, jaccard_join, language_id, line_dedup, quality_classifier, shingles, suffix_dedup, token_output
 from ebbflow.llm.components import components
 from ebbflow.llm.queries import default_tokenizer
 
@@ -237,3 +237,14 @@ def test_join_of_drifting_copies(spark, monkeypatch, block):
                 x, y = sorted((root(a), root(b)))
                 parent[y] = x
         assert found == {k: root(k) for k in sets}
+
+
+def test_passages_of_few_lines(spark):
+    """A repeated run of over 50 words goes whatever its lines, a whole short text too; short lines need three."""
+    long, half, other = (" ".join(f"{c}{k}" for k in range(n)) for c, n in (("a", 51), ("b", 30), ("c", 30)))
+    texts = [f"{long}\nx", f"y\n {long}\nz", f"{half}\n{other}\nu", f"v\n{half}\n\n{other}", "short", "short\n", "short\nw", f"{half}\nt", f"x\n{long}\n{long}", "p\nq", "p\nq", None]
+    docs = spark.createDataFrame([(k, k, t) for k, t in enumerate(texts)], "place long, doc_id long, text string")
+    got = {r.doc_id: (r.text, r.n_removed, r.n_runs) for r in line_dedup.deduplicate(docs, words=50).collect()}
+    assert got == {0: (texts[0], 0, 0), 1: ("y\nz", 1, 1), 2: (texts[2], 0, 0), 3: ("v\n", 2, 1), 4: ("short", 0, 0), 5: ("", 1, 1), 6: (texts[6], 0, 0), 7: (texts[7], 0, 0),
+                   8: ("x", 2, 1), 9: ("p\nq", 0, 0), 10: ("", 2, 1), 11: (None, 0, 0)}
+    assert {r.n_removed for r in line_dedup.deduplicate(docs).collect()} == {0}
