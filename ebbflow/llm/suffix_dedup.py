@@ -6,12 +6,17 @@ each start of a string is dealt exactly once.  Marks whose hash occurs once cann
 before any text moves.  What remains travels as fragments (the text around a mark from whose starts the mark is
 the least), equal fragments of a shard are counted once, and the shard's suffixes are sorted by induction with
 their common-prefix values (``induced``).  A start whose suffix shares ``length`` bytes with another start is
-a repeat.  Shards are closed at about ``shard`` bytes of distinct text; a mark with more text than that keeps its
-own shard, whose queues lie on disk.
+a repeat.  Shards are closed at about ``shard`` bytes of distinct text and sorted in memory.
+
+The strings of a mark with more text than that are dealt anew by a second mark, the least among their k-grams under
+a hash salted by the first, and so on while that parts them: equal strings still meet, and each start still goes out
+once.  There equal fragments are counted before they are dealt, so copies of a passage do not meet in one task.
 """
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -36,20 +41,20 @@ class Marks:
             self.power = np.cumprod(np.full(SEGMENT + length, BASE, np.uint64))
             self.inverse = np.cumprod(np.full(SEGMENT + length, pow(BASE, -1, 1 << 64), np.uint64))
 
-    def __call__(self, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        parts = [self._segment(np.frombuffer(data, np.uint8, min(len(data) - at, SEGMENT), at), at)
+    def __call__(self, data: bytes, salt: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        parts = [self._segment(np.frombuffer(data, np.uint8, min(len(data) - at, SEGMENT), at), at, salt)
                  for at in range(0, max(0, len(data) - self.length + 1), SEGMENT - self.length + 1)]
         if not parts:
             return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
         return tuple(map(np.concatenate, zip(*parts)))
 
-    def _segment(self, data: np.ndarray, offset: int):
+    def _segment(self, data: np.ndarray, offset: int, salt: int):
         n, w = len(data), self.width
         with np.errstate(over="ignore"):
             sums = np.cumsum((data.astype(np.uint64) + np.uint64(1)) * self.power[:n])
             hashes = sums[self.gram - 1:].copy()
             hashes[1:] -= sums[:-self.gram]
-            hashes = mix(hashes * self.inverse[:len(hashes)])
+            hashes = mix(hashes * self.inverse[:len(hashes)] + np.uint64(salt))
         # Hash above, place below and counted down: the least key is the last of the least hashes.
         keys = (hashes & np.uint64((1 << 64) - SEGMENT)) | np.arange(SEGMENT - 1, SEGMENT - 1 - len(hashes), -1, dtype=np.int64).astype(np.uint64)
         padded = np.full(-(-len(keys) // w) * w, np.iinfo(np.uint64).max, np.uint64)
@@ -164,16 +169,35 @@ def spans_of(hit: np.ndarray, first: int, length: int) -> tuple[np.ndarray, np.n
     return at[np.append(0, cut + 1)] + first, at[np.append(cut, len(at) - 1)] + first + length
 
 
+def shards(batches, shard: int):
+    """Rows of ``mark, id, firsts, fragment`` in the order of their marks, as ``(distinct fragments, [(id, firsts, number of the fragment)])``."""
+    known: dict[bytes, int] = {}
+    rows: list[tuple[int, list[int], int]] = []
+    size, starts, mark = 0, 0, None
+    for batch in batches:
+        for m, p, firsts, fragment in zip(*(c.to_pylist() for c in batch.columns)):
+            if m != mark and (size >= shard or starts >= shard // 16):
+                yield list(known), rows
+                known, rows, size, starts = {}, [], 0, 0
+            mark = m
+            starts += len(firsts)
+            if fragment not in known:
+                known[fragment] = len(known)
+                size += len(fragment)
+            rows.append((p, firsts, known[fragment]))
+    if rows:
+        yield list(known), rows
+
+
+def by_mark(dealt: DataFrame) -> DataFrame:
+    return dealt.repartition("mark").sortWithinPartitions("mark")
+
+
 def shard_spans(dealt: DataFrame, length: int, shard: int) -> DataFrame:
     """``place, begin, stop``: what the repeats of each shard cover."""
     def run(batches):
-        known: dict[bytes, int] = {}
-        rows: list[tuple[int, list[int], int]] = []
-        size, mark = 0, None
-
-        def close():
-            count = np.bincount([r[2] for r in rows], [len(r[1]) for r in rows], minlength=len(known))
-            hits = repeats(list(known), count, length)
+        for texts, rows in shards(batches, shard):
+            hits = repeats(texts, np.bincount([r[2] for r in rows], [len(r[1]) for r in rows], minlength=len(texts)), length)
             place, begin, stop = [], [], []
             for p, firsts, which in rows:
                 a, b = spans_of(hits[which], 0, length)
@@ -181,23 +205,71 @@ def shard_spans(dealt: DataFrame, length: int, shard: int) -> DataFrame:
                     place.extend([p] * len(a))
                     begin.extend((a + first).tolist())
                     stop.extend((b + first).tolist())
-            return pa.RecordBatch.from_arrays([pa.array(place, pa.int64()), pa.array(begin, pa.int64()), pa.array(stop, pa.int64())], names=["place", "begin", "stop"])
+            yield pa.RecordBatch.from_arrays([pa.array(place, pa.int64()), pa.array(begin, pa.int64()), pa.array(stop, pa.int64())], names=["place", "begin", "stop"])
+
+    return by_mark(dealt.select("mark", "place", "firsts", "fragment")).mapInArrow(run, "place long, begin long, stop long")
+
+
+def text_spans(texts: DataFrame, length: int, shard: int) -> DataFrame:
+    """``mark, fragment, spans`` of the rows of ``texts(mark, fragment, n)``, each there once, that hold repeats."""
+    def run(batches):
+        for names, rows in shards(batches, shard):
+            hits = repeats(names, np.bincount([r[2] for r in rows], [len(r[1]) for r in rows], minlength=len(names)), length)
+            spans = [[{"begin": int(a), "stop": int(b)} for a, b in zip(*spans_of(hits[which], 0, length))] for _, _, which in rows]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([names[r[2]] for r in rows], pa.binary()),
+                                              pa.array(spans, pa.list_(pa.struct([("begin", pa.int64()), ("stop", pa.int64())])))], names=["mark", "fragment", "spans"])
+
+    zero = F.lit(0).cast("long")
+    copies = F.when(F.col("n") > 1, F.array(zero, zero)).otherwise(F.array(zero))
+    rows = by_mark(texts.select("mark", F.col("mark").alias("id"), copies.alias("firsts"), "fragment"))
+    return rows.mapInArrow(run, f"mark long, fragment binary, spans {SPANS}").where(F.size("spans") > 0)
 
+
+def dealt_anew(dealt: DataFrame, length: int, gram: int, level: int) -> DataFrame:
+    """The fragments in ``dealt`` cut by a second mark of their strings; the mark so far and ``level`` salt its hash."""
+    def run(batches):
+        find = Marks(length, gram)
         for batch in batches:
-            for m, p, firsts, fragment in zip(*(c.to_pylist() for c in batch.columns)):
-                if m != mark and size >= shard:
-                    yield close()
-                    known, rows, size = {}, [], 0
-                mark = m
-                if fragment not in known:
-                    known[fragment] = len(known)
-                    size += len(fragment)
-                rows.append((p, firsts, known[fragment]))
-        if rows:
-            yield close()
-
-    by = dealt.repartition("mark").sortWithinPartitions("mark").select("mark", "place", "firsts", "fragment")
-    return by.mapInArrow(run, "place long, begin long, stop long")
+            for m, place, firsts, fragment in zip(*(c.to_pylist() for c in batch.columns)):
+                at: dict[tuple[int, bytes], list[int]] = {}
+                salt = mix(np.array([(m + level) % (1 << 64)], np.uint64))
+                for second, first, last in zip(*(c.tolist() for c in find(fragment, int(salt[0])))):
+                    at.setdefault((second, fragment[first:last + length]), []).extend(f + first for f in firsts)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(mix(np.array([k for k, _ in at], np.uint64) ^ salt).view(np.int64)), pa.array([place] * len(at), pa.int64()),
+                    pa.array(list(at.values()), pa.list_(pa.int64())), pa.array([text for _, text in at], pa.binary())], names=["mark", "place", "firsts", "fragment"])
+
+    return dealt.select("mark", "place", "firsts", "fragment").mapInArrow(run, "mark long, place long, firsts array<long>, fragment binary")
+
+
+def distinct_texts(dealt: DataFrame) -> DataFrame:
+    """``mark, fragment, n``: the different fragments of each mark, and how often they occur."""
+    return dealt.groupBy("mark", "fragment").agg(F.sum(F.size("firsts")).alias("n"))
+
+
+def hot_spans(hot: DataFrame, length: int, gram: int, shard: int) -> DataFrame:
+    """``place, begin, stop`` as of ``shard_spans``, for marks that may have more text than a shard."""
+    done, level, before = [], 0, None
+    while True:
+        hot = settle(hot)
+        over = distinct_texts(hot).groupBy("mark").agg(F.sum(F.octet_length("fragment")).alias("size")).where(F.col("size") > shard)
+        over = settle(over)
+        most = over.agg(F.max("size")).first()[0]
+        if most is None or gram == length:
+            done.append(hot)
+            break
+        done.append(hot.join(over, "mark", "left_anti"))
+        if before is not None and 2 * most > before:
+            gram = length  # texts that differ in few places share most k-grams: each string is its own mark
+        before, level = most, level + 1
+        hot = dealt_anew(hot.join(over, "mark", "left_semi"), length, gram, level)
+
+    def spans(rows):
+        found = rows.join(text_spans(distinct_texts(rows), length, shard), ["mark", "fragment"])
+        found = found.select("place", F.explode("firsts").alias("first"), "spans").select("place", "first", F.explode("spans").alias("s"))
+        return found.select("place", (F.col("first") + F.col("s.begin")).alias("begin"), (F.col("first") + F.col("s.stop")).alias("stop"))
+
+    return functools.reduce(DataFrame.unionByName, map(spans, done))
 
 
 def union_spans(spans: list[dict]) -> list[tuple[int, int]]:
@@ -227,7 +299,14 @@ def deduplicate(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, shar
     found = settle(repeated_marks(marks(docs, length, gram)))
     by_place = found.groupBy("place").agg(F.collect_list(F.struct("mark", "firsts", "lasts")).alias("found"))
     candidates = settle(docs.select("place", "text").join(by_place, "place"))
-    spans = shard_spans(fragments(candidates, length), length, shard)
+    dealt = fragments(candidates, length)
+    # A mark whose strings, copies included, fill no shard needs no second one.
+    size = F.aggregate(F.zip_with("firsts", "lasts", lambda a, b: b - a + F.lit(length)), F.lit(0).cast("long"), lambda n, k: n + k)
+    hot = settle(found.groupBy("mark").agg(F.sum(size).alias("size")).where(F.col("size") > shard).select("mark"))
+    if hot.isEmpty():
+        spans = shard_spans(dealt, length, shard)
+    else:
+        spans = shard_spans(dealt.join(hot, "mark", "left_anti"), length, shard).unionByName(hot_spans(dealt.join(hot, "mark", "left_semi"), length, gram, shard))
     spans = settle(spans.groupBy("place").agg(F.collect_list(F.struct("begin", "stop")).alias("spans")))
 
     def run(batches):

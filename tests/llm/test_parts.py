@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from ebbflow.llm import decontaminate, induced, jaccard_join, language_id, line_dedup, quality_classifier, shingles, suffix_dedup, token_output
 from ebbflow.llm.components import components
@@ -84,6 +85,37 @@ def test_texts_that_repeat_a_few_letters(spark):
             assert len(got[k].kept) == n - gone
 
 
+@pytest.mark.parametrize("pad", [1, 3, 60])
+def test_a_hot_mark_is_dealt_anew(spark, pad):
+    """Texts around one common passage fill several shards; the result is that of counting all strings."""
+    from test_contracts import plain_spans
+
+    rng = random.Random(13)
+    passage = "".join(rng.choice("abcdefgh") for _ in range(45))
+    texts = ["".join(rng.choice("ab") for _ in range(pad)) + passage + "".join(rng.choice("ab") for _ in range(pad)) for _ in range(120)]
+    texts += [passage * 2, None, "short", *texts[:40], *[texts[7]] * 30]
+    docs = spark.createDataFrame(list(enumerate(texts)), "place long, text string")
+    got = {r.place: r for r in suffix_dedup.deduplicate(docs, length=40, gram=8, shard=2000).collect()}
+    for k, (n, gone, runs, _) in enumerate(plain_spans(texts, 40)):
+        spans = got[k].spans if k in got else []
+        assert (sum(s.stop - s.begin for s in spans), len(spans)) == (gone, runs)
+        if k in got:
+            assert len(got[k].kept) == n - gone
+
+
+def test_hot_shards_are_bounded(spark, monkeypatch):
+    rng = random.Random(14)
+    word = "".join(rng.choice("abcdefgh") for _ in range(8))
+    texts = ["".join(rng.choice("cdefgh") for _ in range(60)) + word + "".join(rng.choice("cdefgh") for _ in range(60)) for _ in range(400)]
+    mark = [(1, k, [0], t.encode()) for k, t in enumerate(texts)]
+    hot = spark.createDataFrame(mark, "mark long, place long, firsts array<long>, fragment binary")
+    seen = []
+    monkeypatch.setattr(suffix_dedup, "text_spans", lambda texts, length, shard, plain=suffix_dedup.text_spans: seen.append(texts) or plain(texts, length, shard))
+    assert suffix_dedup.hot_spans(hot, 40, 8, 4000).count() == 0
+    sizes = [r.size for t in seen for r in t.groupBy("mark").agg(F.sum(F.octet_length("fragment")).alias("size")).collect()]
+    assert max(sizes) <= 4000 and sum(map(len, texts)) > 10 * 4000
+
+
 def test_matches_of_the_test_set():
     rng, names = random.Random(5), [b"a", b"b", b"c", b"d"]
     for _ in range(200):
