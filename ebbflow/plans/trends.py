@@ -178,6 +178,56 @@ def structural_breaks(spark, folder):
     return tr.breakpoints(monthly_flow(spark, folder), "value", max_breaks=2)
 
 
+def _segmentations(slope: bool) -> str:
+    """Least residual sum of squares and its breaks for m = 0..5, by adding one segment at a time."""
+    k = 2 if slope else 1
+    length, u, v = "(b.i - a.i)", "(b.u - a.u)", "(b.v - a.v)"
+    rss = f"((b.vv - a.vv) - {v} * {v} / {length})"
+    if slope:
+        xx = f"((b.uu - a.uu) - {u} * {u} / {length})"
+        rss = f"({rss} - CASE WHEN {xx} > 1e-12 THEN pow((b.uv - a.uv) - {u} * {v} / {length}, 2) / {xx} ELSE 0 END)"
+    steps = ["d0 AS (SELECT series_id, n, j, rss, CAST([] AS BIGINT[]) AS breaks FROM seg WHERE i = 0)"]
+    for m in range(1, 6):
+        steps.append(f"""d{m} AS (SELECT s.series_id, max(s.n) AS n, s.j, min(d.rss + s.rss) AS rss,
+  arg_min(list_append(d.breaks, s.year), d.rss + s.rss) AS breaks FROM d{m - 1} d JOIN seg s ON s.series_id = d.series_id AND s.i = d.j GROUP BY s.series_id, s.j)""")
+    return f"""cen AS (SELECT series_id, year, row_number() OVER (PARTITION BY series_id ORDER BY year) AS i, count(*) OVER q AS n,
+  year - avg(year) OVER q AS u, value - avg(value) OVER q AS v FROM mon WINDOW q AS (PARTITION BY series_id)),
+cum AS (SELECT series_id, year, i, n, sum(u) OVER w AS u, sum(v) OVER w AS v, sum(u * u) OVER w AS uu, sum(u * v) OVER w AS uv, sum(v * v) OVER w AS vv
+  FROM cen WHERE n > {k + 1} WINDOW w AS (PARTITION BY series_id ORDER BY i)
+  UNION ALL SELECT DISTINCT series_id, NULL, 0, n, 0, 0, 0, 0, 0 FROM cen WHERE n > {k + 1}),
+seg AS (SELECT a.series_id, a.n, a.i, b.i AS j, a.year, greatest({rss}, 0) AS rss FROM cum a JOIN cum b ON a.series_id = b.series_id
+  WHERE b.i - a.i >= greatest(floor(a.n * 0.15), {k + 1}) OR (a.i = 0 AND b.i = b.n)),
+{", ".join(steps)},
+best AS ({" UNION ALL ".join(f"SELECT series_id, n, {m} AS m, rss, breaks FROM d{m} WHERE j = n" for m in range(6))}),
+bics AS (SELECT *, CASE WHEN rss > 0 THEN n * (ln(2 * pi()) + 1 + ln(rss / n)) + {k + 1} * (m + 1) * ln(n) END AS bic FROM best)"""
+
+
+@query("mean_breaks", "series_id:s m:i rss:f4 bic:f4",
+       sql.with_(sql.SUPP, MONTHLY, _segmentations(False)) + "SELECT series_id, m, rss, bic FROM bics")
+def mean_breaks(spark, folder):
+    """Best positions of up to five breaks in the mean."""
+    return tr.breakpoints(monthly_flow(spark, folder), "value")
+
+
+@query("trend_breaks", "series_id:s m:i rss:f4 bic:f4",
+       sql.with_(sql.SUPP, MONTHLY, _segmentations(True)) + "SELECT series_id, m, rss, bic FROM bics")
+def trend_breaks(spark, folder):
+    """Best positions of up to five breaks in the trend."""
+    return tr.breakpoints(monthly_flow(spark, folder), "value", slope=True)
+
+
+@query("trend_break_segments", "series_id:s year:i segment:i fitted:f4",
+       sql.with_(sql.SUPP, MONTHLY, _segmentations(True), """b AS (SELECT series_id, arg_min(breaks, (bic, m)) AS breaks FROM bics WHERE bic IS NOT NULL GROUP BY 1),
+s AS (SELECT mon.*, len(list_filter(breaks, lambda e: e < year)) + 1 AS segment FROM mon JOIN b USING (series_id)),
+f AS (SELECT series_id, segment, avg(value) AS m, regr_slope(value, year - 24000) AS b1, regr_intercept(value, year - 24000) AS b0 FROM s GROUP BY 1, 2)""")
+       + """SELECT series_id, year, segment, CASE WHEN isfinite(b1) THEN b0 + b1 * (year - 24000) ELSE m END AS fitted
+FROM s JOIN f USING (series_id, segment)""")
+def trend_break_segments(spark, folder):
+    """Trend lines between the breaks of the segmentation with the smallest BIC among up to five breaks in the trend."""
+    flows = monthly_flow(spark, folder)
+    return tr.segment_fit(flows, tr.best_breaks(tr.breakpoints(flows, "value", slope=True)), "value", slope=True)
+
+
 @query("break_segments", "series_id:s year:i segment:i fitted:f6")
 def break_segments(spark, folder):
     """Step model of the segmentation with the smallest BIC among up to five breaks."""
@@ -205,6 +255,13 @@ def break_intervals(spark, folder):
     return tr.break_intervals(flows, tr.best_breaks(tr.breakpoints(flows, "value")), "value")
 
 
+@query("trend_break_intervals", "series_id:s break_after:i lower:i upper:i")
+def trend_break_intervals(spark, folder):
+    """Confidence intervals of the break dates of the best segmentation into trend lines."""
+    flows = settle(monthly_flow(spark, folder))
+    return tr.break_intervals(flows, tr.best_breaks(tr.breakpoints(flows, "value", slope=True)), "value", slope=True)
+
+
 # ---- dependence ------------------------------------------------------------------------------
 
 COLUMNS = ["mean_flow", "Q50", "MAM1", "MAM10", "MAM30", "Q95", "Q90", "Q70", "ALPHA"]

@@ -462,3 +462,20 @@ def test_extreme_year_tie_goes_to_the_earlier(spark):
     rows = [("a", dt.date(y, 1, d), float(d)) for y in (2001, 2002) for d in (1, 2, 3)]
     df = spark.createDataFrame(rows, "series_id string, time date, value double")
     assert {r["state"]: r["year"] for r in idx.extreme_years(df).collect()} == {"wet": 2001, "dry": 2001}
+
+
+def test_registered_breaks_are_not_capped(spark):
+    """Series with three and five clear breaks, through the registered queries' own functions."""
+    from unittest import mock
+
+    from ebbflow.plans import trends
+
+    steps = {"a": [0, 9, 0, 9], "b": [0, 9, 0, 9, 0, 9]}
+    rows = [(k, 24_000 + 20 * s + i, float(level + (i * 7 % 5) / 10)) for k, levels in steps.items() for s, level in enumerate(levels) for i in range(20)]
+    flows = spark.createDataFrame(rows, "series_id string, year int, value double")
+    with mock.patch.object(trends, "monthly_flow", lambda *_: flows):
+        best = {r.series_id: r.m for r in tr.best_breaks(trends.mean_breaks(spark, "")).collect()}
+        counts = {(r.series_id, r.m) for r in trends.trend_breaks(spark, "").collect()}
+        segments = {(r.series_id, r.segment) for r in trends.trend_break_segments(spark, "").select("series_id", "segment").distinct().collect()}
+    assert best == {"a": 3, "b": 5} and counts == {(k, m) for k in "ab" for m in range(6)}
+    assert {s for k, s in segments if k == "b"} == set(range(1, 7))
