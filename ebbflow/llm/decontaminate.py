@@ -169,8 +169,8 @@ def _scan(tests: TestSet, shard_words: int):
 
 
 def test_blocks(benchmark: DataFrame, block_bytes: int) -> list[list[tuple[str, list[bytes]]]]:
-    """The items in blocks of at most ``block_bytes`` of text (or one longer item), read one block at a time."""
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("text IS NOT NULL")
+    """The distinct items in blocks of at most ``block_bytes`` of text (or one longer item), read one block at a time."""
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("text IS NOT NULL").distinct()
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, math.ceil(2 * total / block_bytes))
     for k in range(n):
@@ -187,8 +187,8 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW,
     out in blocks of bounded size, each against all documents; with more than one block the documents found so
     far are written between them.
 
-    Null and empty texts have no words and no spans; an item without words matches nothing; repeated items
-    each match; an empty benchmark leaves every document clean; columns named like the results are replaced.
+    Null and empty texts have no words and no spans; an item without words matches nothing; equal rows of the
+    benchmark match once, other texts of an item_id on their own; an empty benchmark leaves every document clean; columns named like the results are replaced.
     """
     out = docs.drop("n_words", "spans").withColumns({"n_words": F.lit(0).cast("long"), "spans": F.lit(None).cast(SPANS)})
     schema = out.schema

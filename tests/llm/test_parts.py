@@ -142,6 +142,12 @@ def test_long_documents_are_cut_with_overlap(spark):
     assert decontaminate.decontaminate(docs, bench).count() == 0
 
 
+def test_repeated_benchmark_rows_fill_no_block(spark):
+    bench = spark.createDataFrame([(1, "same words again")] * 300 + [(k, f"item number {k}") for k in range(2, 40)], "item_id long, text string")
+    blocks = list(decontaminate.test_blocks(bench, 200))
+    assert sorted(int(i) for b in blocks for i, _ in b) == list(range(1, 40))
+
+
 def test_planes():
     rng = np.random.default_rng(6)
     for n in (0, 1, 7, 8, 9, 1000):
