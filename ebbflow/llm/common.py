@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ebbflow.session import settle
+
 #: White space that separates words: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACE = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -31,6 +34,18 @@ def give_back() -> None:
         trim(0)
 
 
+def settle_and_free(df: DataFrame) -> DataFrame:
+    """``settle``, and have Spark delete the shuffle files that only this result needed.
+
+    Spark deletes them once the driver's collector finds their plans unused, which in a quiet driver takes long.
+    """
+    out = settle(df)
+    del df
+    gc.collect()
+    out.sparkSession._jvm.System.gc()
+    return out
+
+
 def table(spark, folder: str, name: str, *columns: str) -> DataFrame:
     df = spark.read.parquet(f"{folder}/{name}.parquet")
     return df.select(*columns) if columns else df

@@ -22,8 +22,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ebbflow.llm.common import settle_and_free as settle
 from ebbflow.llm.shingles import mix
-from ebbflow.session import settle
 
 SIZE, GRAM, SHARD = 13, 4, 1_000_000
 #: Most phrases of a stretch: a text that repeats a few words has one mark all along.
@@ -256,8 +256,8 @@ def remove_repeats(docs: DataFrame, *, size: int = SIZE, gram: int = GRAM, shard
     """
     docs = docs.select("doc_id", "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST_OF_ALL)).alias("key"), F.xxhash64("text").alias("print"))
     marked = settle(marks(docs, size, gram))
-    shared = marked.groupBy("mark").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a < b").select("mark")
-    wanted = marked.join(shared, "mark").groupBy("key", "print").agg(F.collect_list("mark").alias("marks"))
+    shared = settle(marked.groupBy("mark").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a < b").select("mark"))
+    wanted = settle(marked.join(shared, "mark").groupBy("key", "print").agg(F.collect_list("mark").alias("marks")))
     found = settle(stretches(docs.join(wanted, ["key", "print"]).select("key", "print", "text", "marks"), size, gram))
     different = differing(found)
     full = settle(different.groupBy("mark").agg(F.sum(F.length("stretch")).alias("bytes")).where(F.col("bytes") > shard).select("mark"))
@@ -269,6 +269,7 @@ def remove_repeats(docs: DataFrame, *, size: int = SIZE, gram: int = GRAM, shard
     met = found.select("mark", F.xxhash64("stretch").alias("name"), "key", "print", "start").join(hits.where(F.size("hits") > 0), ["mark", "name"])
     own = F.transform(F.filter("hits", lambda x: x["least"] < F.col("key")), lambda x: x["at"] + F.col("start"))
     gone = met.select("key", "print", own.alias("at")).where(F.size("at") > 0).groupBy("key", "print").agg(F.flatten(F.collect_list("at")).alias("at"))
+    gone = settle(gone)
 
     def cut(batches):
         for batch in batches:
