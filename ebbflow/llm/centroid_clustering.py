@@ -107,8 +107,10 @@ class Round:
         return cluster, upper, lower, unsure
 
 
-def assigned(state: DataFrame, centroids: np.ndarray, step: Round | None) -> DataFrame:
-    """The next ``state``: all rows scanned if there is no ``step``, else by their bounds."""
+def assigned(state: DataFrame, centroids: np.ndarray, step: Round | None, last: bool) -> DataFrame:
+    """The next ``state``: all rows scanned if there is no ``step``, else by their bounds; the ``last`` one has exact distances."""
+    names = state.columns
+
     def run(batches):
         for batch in batches:
             n = len(batch)
@@ -122,7 +124,7 @@ def assigned(state: DataFrame, centroids: np.ndarray, step: Round | None) -> Dat
                 cluster, upper, lower, unsure = step(x, was, batch.column("upper").to_numpy(), batch.column("lower").to_numpy())
                 scans[unsure] += 1
             yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("v"), pa.array(cluster.astype(np.int32)), pa.array(was.astype(np.int32)), pa.array(upper),
-                                              pa.array(lower), pa.array(own_squares(x, centroids, cluster)), pa.array(scans.astype(np.int32))], names=state.columns)
+                                              pa.array(lower), pa.array(own_squares(x, centroids, cluster) if last else np.zeros(n, np.int64)), pa.array(scans.astype(np.int32))], names=names)
 
     return settle(state.mapInArrow(run, state.schema))
 
@@ -168,7 +170,7 @@ def cluster(vectors: DataFrame, *, size: int = SIZE, clusters: int = CLUSTERS, r
         return state.select("vec_id", "cluster", "distance", "scans"), np.empty((0, size), np.int64)
     centroids, step, sums = np.array([r["v"] for r in first], np.int64), None, Sums(len(first), size)
     for k in range(rounds + 1):
-        state = assigned(state, centroids, step)
+        state = assigned(state, centroids, step, k == rounds)
         if k == rounds:
             break
         sums.follow(state)
