@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ebbflow.llm import centroid_clustering, decontaminate, jaccard_join, language_id, line_dedup, mixing, phrase_automata, quality_classifier, quality_rules, suffix_dedup, token_output, url_filter
+from ebbflow.llm import centroid_clustering, decontaminate, hard_negatives, jaccard_join, language_id, line_dedup, mixing, phrase_automata, quality_classifier, quality_rules, suffix_dedup, token_output, url_filter
 from ebbflow.session import shared_dir
 
 
@@ -42,6 +42,7 @@ QUERIES = {
     "op10_ngram_jaccard_join": jaccard_join.registered,
     "op11_substring_dedup": phrase_automata.registered,
     "op12_centroid_clustering": centroid_clustering.registered,
+    "op13_hard_negatives": hard_negatives.registered,
 }
 
 SQL = {
@@ -52,4 +53,5 @@ SQL = {
     "op10_ngram_jaccard_join": jaccard_join.SQL,
     "op11_substring_dedup": phrase_automata.SQL,
     "op12_centroid_clustering": centroid_clustering.SQL,
+    "op13_hard_negatives": hard_negatives.SQL,
 }
