@@ -34,15 +34,19 @@ def give_back() -> None:
         trim(0)
 
 
-def settle_and_free(df: DataFrame) -> DataFrame:
-    """``settle``, and have Spark delete the shuffle files that only this result needed.
+def settle_and_free(df: DataFrame, *done: DataFrame) -> DataFrame:
+    """``settle``; then delete the settled tables ``done`` and the shuffle files that only these results needed.
 
-    Spark deletes them once the driver's collector finds their plans unused, which in a quiet driver takes long.
+    Spark deletes shuffle files once the driver's collector finds their plans unused, which in a quiet driver takes long.
     """
     out = settle(df)
+    spark = out.sparkSession
+    for folder in {name.rpartition("/")[0] for old in done for name in old.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
     del df
     gc.collect()
-    out.sparkSession._jvm.System.gc()
+    spark._jvm.System.gc()
     return out
 
 

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ebbflow.llm.common import settle_and_free as settle
+from ebbflow.llm.common import give_back, settle_and_free
 from ebbflow.llm.shingles import mix
 
 SIZE, GRAM, SHARD = 13, 4, 1_000_000
@@ -137,9 +137,9 @@ def marks(docs: DataFrame, size: int, gram: int) -> DataFrame:
 
 
 def stretches(docs: DataFrame, size: int, gram: int) -> DataFrame:
-    """``mark, key, print, start, stretch`` of ``docs(key, print, text, marks)``: the text of the phrases that have one of ``marks``.
+    """``mark, key, print, starts, stretch`` of ``docs(key, print, text, marks)``: the text of the phrases that have one of ``marks``.
 
-    ``start`` is the number of the first word; the words of a stretch are parted by one space.
+    ``starts`` are the numbers of the first words of equal stretches; the words of a stretch are parted by one space.
     """
     def run(batches):
         find = Marks(size, gram)
@@ -170,11 +170,16 @@ def stretches(docs: DataFrame, size: int, gram: int) -> DataFrame:
                 cut = zip(first[head].tolist(), end[last + size - 1].tolist())
                 found = [b" ".join((raw[x:y] if raw is not None else data[x:y].tobytes()).split()) for x, y in cut]
                 begins = np.searchsorted(text, text[head], "left")
-                row = text[head] + a
-                yield pa.RecordBatch.from_arrays([pa.array(mark[head].view(np.int64)), pa.array(key[row]), pa.array(name[row]), pa.array((head - begins).astype(np.int64)),
-                                                  pa.array(found, pa.binary())], names=["mark", "key", "print", "start", "stretch"])
+                same: dict[tuple[int, int, bytes], list[int]] = {}
+                for at_row, m, start, stretch in zip((text[head] + a).tolist(), mark[head].view(np.int64).tolist(), (head - begins).tolist(), found):
+                    same.setdefault((at_row, m, stretch), []).append(start)
+                row, m, stretch = zip(*same)
+                row = np.array(row)
+                yield pa.RecordBatch.from_arrays([pa.array(m, pa.int64()), pa.array(key[row]), pa.array(name[row]), pa.array(list(same.values()), pa.list_(pa.int64())),
+                                                  pa.array(stretch, pa.binary())], names=["mark", "key", "print", "starts", "stretch"])
+        give_back()
 
-    return docs.mapInArrow(run, "mark long, key long, print long, start long, stretch binary")
+    return docs.mapInArrow(run, "mark long, key long, print long, starts array<long>, stretch binary")
 
 
 def single_phrases(found: DataFrame, size: int) -> DataFrame:
@@ -182,13 +187,14 @@ def single_phrases(found: DataFrame, size: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             out = []
-            for key, name, start, stretch in zip(*(batch.column(c).to_pylist() for c in ("key", "print", "start", "stretch"))):
+            for key, name, starts, stretch in zip(*(batch.column(c).to_pylist() for c in ("key", "print", "starts", "stretch"))):
                 words = stretch.split(b" ")
                 for k in range(len(words) - size + 1):
                     phrase = b" ".join(words[k:k + size])
-                    out.append((xxhash.xxh3_64_intdigest(phrase) - (1 << 63), key, name, start + k, phrase))
+                    out.append((xxhash.xxh3_64_intdigest(phrase) - (1 << 63), key, name, [s + k for s in starts], phrase))
             columns = list(zip(*out)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:4]), pa.array(columns[4], pa.binary())], names=["mark", "key", "print", "start", "stretch"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.list_(pa.int64())), pa.array(columns[4], pa.binary())],
+                                             names=["mark", "key", "print", "starts", "stretch"])
 
     return found.mapInArrow(run, found.schema)
 
@@ -233,14 +239,17 @@ def locate(different: DataFrame, shards: int, size: int) -> DataFrame:
         found = occurrences(*(table.column(c).to_pylist() for c in ("stretch", "least", "greatest")), size)
         ends = np.cumsum([0, *(len(p) for p, _ in found)]).astype(np.int32)
         hits = pa.StructArray.from_arrays([pa.array([p for x, _ in found for p in x], pa.int64()), pa.array([f for _, x in found for f in x], pa.int64())], names=["at", "least"])
-        return pa.table({"mark": table.column("mark"), "name": table.column("name"), "hits": pa.ListArray.from_arrays(pa.array(ends), hits)})
+        out = pa.table({"mark": table.column("mark"), "name": table.column("name"), "hits": pa.ListArray.from_arrays(pa.array(ends), hits)})
+        del found
+        give_back()
+        return out
 
     dealt = different.select(F.pmod("mark", F.lit(shards)).alias("shard"), "mark", F.xxhash64("stretch").alias("name"), "stretch", "least", "greatest")
     return dealt.groupBy("shard").applyInArrow(run, "mark long, name long, hits array<struct<at:long,least:long>>")
 
 
-def differing(found: DataFrame) -> DataFrame:
-    return settle(found.groupBy("mark", "stretch").agg(F.min("key").alias("least"), F.max("key").alias("greatest")))
+def differing(found: DataFrame, *done: DataFrame) -> DataFrame:
+    return settle_and_free(found.groupBy("mark", "stretch").agg(F.min("key").alias("least"), F.max("key").alias("greatest")), *done)
 
 
 def remove_repeats(docs: DataFrame, *, size: int = SIZE, gram: int = GRAM, shard: int = SHARD) -> DataFrame:
@@ -255,21 +264,22 @@ def remove_repeats(docs: DataFrame, *, size: int = SIZE, gram: int = GRAM, shard
     A text is parsed in one task (some ten times its size in memory); no task gathers the documents of a mark or phrase.
     """
     docs = docs.select("doc_id", "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST_OF_ALL)).alias("key"), F.xxhash64("text").alias("print"))
-    marked = settle(marks(docs, size, gram))
-    shared = settle(marked.groupBy("mark").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a < b").select("mark"))
-    wanted = settle(marked.join(shared, "mark").groupBy("key", "print").agg(F.collect_list("mark").alias("marks")))
-    found = settle(stretches(docs.join(wanted, ["key", "print"]).select("key", "print", "text", "marks"), size, gram))
+    marked = settle_and_free(marks(docs, size, gram))
+    shared = settle_and_free(marked.groupBy("mark").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a < b").select("mark"))
+    wanted = settle_and_free(marked.join(shared, "mark").groupBy("key", "print").agg(F.collect_list("mark").alias("marks")), marked, shared)
+    found = settle_and_free(stretches(docs.join(wanted, ["key", "print"]).select("key", "print", "text", "marks"), size, gram), wanted)
     different = differing(found)
-    full = settle(different.groupBy("mark").agg(F.sum(F.length("stretch")).alias("bytes")).where(F.col("bytes") > shard).select("mark"))
+    full = settle_and_free(different.groupBy("mark").agg(F.sum(F.length("stretch")).alias("bytes")).where(F.col("bytes") > shard).select("mark"))
     if not full.isEmpty():
-        found = settle(found.join(full, "mark", "left_anti").unionByName(single_phrases(found.join(full, "mark", "left_semi"), size)))
-        different = differing(found)
+        parted = settle_and_free(found.join(full, "mark", "left_anti").unionByName(single_phrases(found.join(full, "mark", "left_semi"), size)), found)
+        found, different = parted, differing(parted, different)
     total = different.agg(F.sum(F.length("stretch"))).first()[0] or 0
-    hits = locate(different, max(1, math.ceil(total / shard)), size)
-    met = found.select("mark", F.xxhash64("stretch").alias("name"), "key", "print", "start").join(hits.where(F.size("hits") > 0), ["mark", "name"])
-    own = F.transform(F.filter("hits", lambda x: x["least"] < F.col("key")), lambda x: x["at"] + F.col("start"))
-    gone = met.select("key", "print", own.alias("at")).where(F.size("at") > 0).groupBy("key", "print").agg(F.flatten(F.collect_list("at")).alias("at"))
-    gone = settle(gone)
+    hits = settle_and_free(locate(different, max(1, math.ceil(total / shard)), size).where(F.size("hits") > 0), different)
+    met = found.select("mark", F.xxhash64("stretch").alias("name"), "key", "print", "starts").join(hits, ["mark", "name"])
+    own = F.filter("hits", lambda x: x["least"] < F.col("key"))
+    met = met.select("key", "print", "starts", own.alias("own")).where(F.size("own") > 0)
+    at = F.flatten(F.transform("starts", lambda s: F.transform("own", lambda x: x["at"] + s)))
+    gone = settle_and_free(met.select("key", "print", at.alias("at")).groupBy("key", "print").agg(F.flatten(F.collect_list("at")).alias("at")), found, hits)
 
     def cut(batches):
         for batch in batches:
@@ -295,6 +305,7 @@ def remove_repeats(docs: DataFrame, *, size: int = SIZE, gram: int = GRAM, shard
                 kept.append(b" ".join([w for a, b in zip(keep[::2], keep[1::2]) for w in words[a:b]]))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(kept, pa.binary()).cast(pa.string(), safe=False), pa.array(count, pa.int64()), pa.array(removed, pa.int64()),
                                               pa.array(spans, pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())])))], names=["doc_id", "text", "n_words", "n_removed", "spans"])
+        give_back()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     whole = docs.join(gone, ["key", "print"], "left").select("doc_id", "text", "at")
