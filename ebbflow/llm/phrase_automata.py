@@ -1,7 +1,7 @@
 """Substring dedup by automata of repeated phrases.
 
 A phrase is ``size`` words in a row.  Each phrase holds a mark, the least hash among its runs of ``gram`` words, so
-equal phrases have equal marks.  A mark that two documents have makes the stretches of text around it candidates.
+equal phrases have equal marks.  A mark that two texts have makes the stretches of text around it candidates.
 Equal stretches are counted, and the stretches of a mark are dealt to one shard of about ``shard`` bytes of different
 text.  There every phrase that two documents hold is confirmed and compiled, word by word, into an Aho-Corasick
 automaton that knows the least document of each phrase; then the stretches of all documents stream past it, and every
@@ -19,21 +19,24 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ebbflow.llm.common import give_back, settle_and_free
 from ebbflow.llm.shingles import mix
 
-SIZE, GRAM, SHARD = 13, 4, 1_000_000
+SIZE, GRAM, SHARD = 13, 4, 500_000
 #: Most phrases of a stretch: a text that repeats a few words has one mark all along.
 STRETCH = 32
-#: Bytes of text that are parsed at a time.
-SLICE = 1 << 21
+#: Bytes of text that are parsed at a time, and marks that travel together.
+SLICE, CHUNK = 1 << 21, 1 << 19
 BASE = 0x9E3779B97F4A7C15
 BLANK = np.zeros(256, bool)
 BLANK[[9, 10, 11, 12, 13, 32]] = True
 FIRST_OF_ALL = -(1 << 63)
+#: First character that spells words; the letters above it suffice for more words than a shard has bytes.
+BLANK_PAGE = 0x10000
 
 
 def laid_out(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -112,10 +115,30 @@ def slices(at: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def marks(docs: DataFrame, size: int, gram: int) -> DataFrame:
-    """``mark, key, print``: each different mark of every text of ``docs(key, print, text)``."""
+def marks(docs: DataFrame, size: int, gram: int, buckets: int) -> DataFrame:
+    """``chunk, bucket, marks, owner``: the different marks of every text of ``docs(key, print, text)``, packed.
+
+    A chunk is a run of texts of one task; it has a row for each bucket of marks, which holds the marks in order and the
+    number of the text of each, and a row of bucket -1 with the keys and prints of its texts.
+    """
     def run(batches):
-        find = Marks(size, gram)
+        find, task, done = Marks(size, gram), TaskContext.get().partitionId(), 0
+        held, keys, prints = [], [], []
+
+        def chunk():
+            mark, owner = (np.concatenate(c) for c in zip(*held))
+            bucket = (mark % np.uint64(buckets)).astype(np.int32)
+            by = np.lexsort((mark, bucket))
+            mark, owner, bucket = mark[by].view(np.int64), owner[by], bucket[by]
+            head = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.empty(0, np.int64)
+            ends = [*head[1:].tolist(), len(mark)]
+            name = (task << 32) + done
+            yield pa.RecordBatch.from_arrays([
+                pa.array([name] * (len(head) + 1), pa.int64()), pa.array([-1, *bucket[head].tolist()], pa.int32()),
+                pa.array([np.concatenate(keys).tobytes(), *(mark[a:b].tobytes() for a, b in zip(head.tolist(), ends))], pa.binary()),
+                pa.array([np.concatenate(prints).tobytes(), *(owner[a:b].tobytes() for a, b in zip(head.tolist(), ends))], pa.binary())], names=["chunk", "bucket", "marks", "owner"])
+
+        texts = 0
         for batch in batches:
             data, at = laid_out(batch.column("text"))
             key, name = batch.column("key").to_numpy(), batch.column("print").to_numpy()
@@ -123,17 +146,58 @@ def marks(docs: DataFrame, size: int, gram: int) -> DataFrame:
                 _, _, text, hashes = find.words(data, at[a:b + 1])
                 mark, whole = find(hashes, text)
                 mark, text = mark[whole], text[:len(mark)][whole]
-                if not len(mark):
-                    continue
-                new = np.append(True, (mark[1:] != mark[:-1]) | (text[1:] != text[:-1]))
-                mark, text = mark[new], text[new]
-                by = np.lexsort((mark, text))
-                mark, text = mark[by], text[by]
-                new = np.append(True, (mark[1:] != mark[:-1]) | (text[1:] != text[:-1]))
-                mark, text = mark[new], text[new] + a
-                yield pa.RecordBatch.from_arrays([pa.array(mark.view(np.int64)), pa.array(key[text]), pa.array(name[text])], names=["mark", "key", "print"])
+                for _ in range(2):  # runs first, which leaves little to sort
+                    new = np.append(True, (mark[1:] != mark[:-1]) | (text[1:] != text[:-1]))[:len(mark)]
+                    mark, text = mark[new], text[new]
+                    by = np.lexsort((mark, text))
+                    mark, text = mark[by], text[by]
+                held.append((mark, (text + texts).astype(np.int32)))
+                keys.append(key[a:b])
+                prints.append(name[a:b])
+                texts += b - a
+                if sum(len(m) for m, _ in held) > CHUNK:
+                    yield from chunk()
+                    held, keys, prints, texts, done = [], [], [], 0, done + 1
+        if held:
+            yield from chunk()
+        give_back()
 
-    return docs.select("key", "print", "text").mapInArrow(run, "mark long, key long, print long")
+    return docs.select("key", "print", "text").mapInArrow(run, "chunk long, bucket int, marks binary, owner binary")
+
+
+def wanted_marks(marked: DataFrame) -> DataFrame:
+    """``key, print, marks`` of packed ``marked``: the marks of each text that another text has too, as far as there are any.
+
+    A bucket meets with each mark of a chunk at most as often as texts of the chunk have it, and goes back as one bit a mark.
+    """
+    def shared(table: pa.Table) -> pa.Table:
+        parts = [np.frombuffer(m, np.int64) for m in table.column("marks").to_pylist()]
+        mark, count = np.unique(np.concatenate(parts), return_counts=True)
+        mark = mark[count > 1]
+        bits = [np.packbits(np.isin(p, mark)).tobytes() for p in parts]
+        return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "bits": pa.array(bits, pa.binary())})
+
+    def of_chunk(left: pa.Table, right: pa.Table) -> pa.Table:
+        bits = dict(zip(right.column("bucket").to_pylist(), right.column("bits").to_pylist()))
+        key = name = np.empty(0, np.int64)
+        mark, owner = [np.empty(0, np.int64)], [np.empty(0, np.int32)]
+        for bucket, m, o in zip(*(left.column(c).to_pylist() for c in ("bucket", "marks", "owner"))):
+            if bucket < 0:
+                key, name = np.frombuffer(m, np.int64), np.frombuffer(o, np.int64)
+                continue
+            keep = np.unpackbits(np.frombuffer(bits[bucket], np.uint8), count=len(m) // 8).astype(bool)
+            mark.append(np.frombuffer(m, np.int64)[keep])
+            owner.append(np.frombuffer(o, np.int32)[keep])
+        mark, owner = np.concatenate(mark), np.concatenate(owner)
+        by = np.argsort(owner, kind="stable")
+        mark, owner = mark[by], owner[by]
+        head = np.flatnonzero(np.append(True, owner[1:] != owner[:-1])[:len(owner)])
+        lists = pa.ListArray.from_arrays(pa.array(np.append(head, len(owner)).astype(np.int32)), pa.array(mark))
+        return pa.table({"key": key[owner[head]], "print": name[owner[head]], "marks": lists})
+
+    bits = marked.where("bucket >= 0").select("bucket", "chunk", "marks").groupBy("bucket").applyInArrow(shared, "chunk long, bucket int, bits binary")
+    found = marked.groupBy("chunk").cogroup(bits.groupBy("chunk")).applyInArrow(of_chunk, "key long, print long, marks array<long>")
+    return found.dropDuplicates(["key", "print"])
 
 
 def stretches(docs: DataFrame, size: int, gram: int) -> DataFrame:
@@ -204,20 +268,19 @@ def occurrences(stretch: list[bytes], least: list[int], greatest: list[int], siz
 
     ``least`` and ``greatest`` are the keys of the documents that hold the stretch.
     """
-    letters: dict[bytes, str] = {}
-    spelled = []
-    for text in stretch:
-        for w in (words := text.split(b" ")):
-            if w not in letters:
-                code = len(letters)
-                letters[w] = chr(code if code < 0xD800 else code + 0x800)
-        spelled.append("".join([letters[w] for w in words]))
+    number: dict[bytes, int] = {}
+    rows = [[number.setdefault(w, len(number)) for w in text.split(b" ")] for text in stretch]
+    # Two letters a word, from two alphabets: no node of the automaton has a child for each different word.
+    base = math.isqrt(len(number)) + 1
+    letters = [chr(BLANK_PAGE + k // base) + chr(BLANK_PAGE + base + k % base) for k in range(len(number))]
+    spelled = ["".join([letters[k] for k in row]) for row in rows]
+    del rows, number
     held: dict[str, tuple[int, int]] = {}
     for text, a, b in zip(spelled, least, greatest):
-        for k in range(len(text) - size + 1):
-            phrase = text[k:k + size]
-            x, y = held.get(phrase, (a, b))
-            held[phrase] = (min(x, a), max(y, b))
+        for k in range(0, len(text) - 2 * size + 1, 2):
+            phrase = text[k:k + 2 * size]
+            old = held.get(phrase)
+            held[phrase] = (a, b) if old is None else (min(old[0], a), max(old[1], b))
     automaton = ahocorasick.Automaton()
     for phrase, (a, b) in held.items():
         if a < b:
@@ -229,7 +292,7 @@ def occurrences(stretch: list[bytes], least: list[int], greatest: list[int], siz
     out = []
     for text in spelled:
         found = list(automaton.iter(text))
-        out.append(([end - size + 1 for end, _ in found], [a for _, a in found]))
+        out.append(([end // 2 - size + 1 for end, _ in found], [a for _, a in found]))
     return out
 
 
@@ -264,9 +327,9 @@ def remove_repeats(docs: DataFrame, *, size: int = SIZE, gram: int = GRAM, shard
     A text is parsed in one task (some ten times its size in memory); no task gathers the documents of a mark or phrase.
     """
     docs = docs.select("doc_id", "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST_OF_ALL)).alias("key"), F.xxhash64("text").alias("print"))
-    marked = settle_and_free(marks(docs, size, gram))
-    shared = settle_and_free(marked.groupBy("mark").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a < b").select("mark"))
-    wanted = settle_and_free(marked.join(shared, "mark").groupBy("key", "print").agg(F.collect_list("mark").alias("marks")), marked, shared)
+    buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    marked = settle_and_free(marks(docs, size, gram, buckets))
+    wanted = settle_and_free(wanted_marks(marked), marked)
     found = settle_and_free(stretches(docs.join(wanted, ["key", "print"]).select("key", "print", "text", "marks"), size, gram), wanted)
     different = differing(found)
     full = settle_and_free(different.groupBy("mark").agg(F.sum(F.length("stretch")).alias("bytes")).where(F.col("bytes") > shard).select("mark"))
