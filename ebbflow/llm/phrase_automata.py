@@ -297,18 +297,24 @@ def occurrences(stretch: list[bytes], least: list[int], greatest: list[int], siz
 
 
 def locate(different: DataFrame, shards: int, size: int) -> DataFrame:
-    """``mark, name, hits``: the confirmed phrases of each of ``different(mark, stretch, least, greatest)``; ``name`` is the hash of the stretch."""
+    """``mark, name, hits``: the confirmed phrases of each of ``different(mark, stretch, least, greatest)``.
+
+    ``name`` is the hash of the stretch; a hit is a run of ``n`` phrases from word ``at`` on that have one ``least`` key.
+    """
     def run(table: pa.Table) -> pa.Table:
         found = occurrences(*(table.column(c).to_pylist() for c in ("stretch", "least", "greatest")), size)
-        ends = np.cumsum([0, *(len(p) for p, _ in found)]).astype(np.int32)
-        hits = pa.StructArray.from_arrays([pa.array([p for x, _ in found for p in x], pa.int64()), pa.array([f for _, x in found for f in x], pa.int64())], names=["at", "least"])
+        of = np.repeat(np.arange(len(found)), [len(p) for p, _ in found])
+        at, least = (np.array([x for pair in found for x in pair[k]], np.int64) for k in (0, 1))
+        new = np.flatnonzero(np.append(True, (of[1:] != of[:-1]) | (at[1:] != at[:-1] + 1) | (least[1:] != least[:-1]))[:len(at)])
+        hits = pa.StructArray.from_arrays([pa.array(at[new].astype(np.int32)), pa.array(np.diff(np.append(new, len(at))).astype(np.int32)), pa.array(least[new])], names=["at", "n", "least"])
+        ends = np.searchsorted(of[new], np.arange(len(found) + 1)).astype(np.int32)
         out = pa.table({"mark": table.column("mark"), "name": table.column("name"), "hits": pa.ListArray.from_arrays(pa.array(ends), hits)})
-        del found
+        del found, of, at, least
         give_back()
         return out
 
     dealt = different.select(F.pmod("mark", F.lit(shards)).alias("shard"), "mark", F.xxhash64("stretch").alias("name"), "stretch", "least", "greatest")
-    return dealt.groupBy("shard").applyInArrow(run, "mark long, name long, hits array<struct<at:long,least:long>>")
+    return dealt.groupBy("shard").applyInArrow(run, "mark long, name long, hits array<struct<at:int,n:int,least:long>>")
 
 
 def differing(found: DataFrame, *done: DataFrame) -> DataFrame:
@@ -341,14 +347,14 @@ def remove_repeats(docs: DataFrame, *, size: int = SIZE, gram: int = GRAM, shard
     met = found.select("mark", F.xxhash64("stretch").alias("name"), "key", "print", "starts").join(hits, ["mark", "name"])
     own = F.filter("hits", lambda x: x["least"] < F.col("key"))
     met = met.select("key", "print", "starts", own.alias("own")).where(F.size("own") > 0)
-    at = F.flatten(F.transform("starts", lambda s: F.transform("own", lambda x: x["at"] + s)))
-    gone = settle_and_free(met.select("key", "print", at.alias("at")).groupBy("key", "print").agg(F.flatten(F.collect_list("at")).alias("at")), found, hits)
+    runs = F.flatten(F.transform("starts", lambda s: F.transform("own", lambda x: F.struct((x["at"] + s).alias("at"), x["n"].alias("n")))))
+    gone = settle_and_free(met.select("key", "print", runs.alias("runs")).groupBy("key", "print").agg(F.flatten(F.collect_list("runs")).alias("runs")), found, hits)
 
     def cut(batches):
         for batch in batches:
-            text, at = batch.column("text").cast(pa.binary()), batch.column("at")
+            text, runs = batch.column("text").cast(pa.binary()), batch.column("runs")
             kept, count, removed, spans = [], [], [], []
-            for t, phrases in zip(text, at):
+            for t, phrases in zip(text, runs):
                 words = (t.as_py() or b"").split()
                 count.append(len(words))
                 if not phrases.is_valid:
@@ -357,9 +363,9 @@ def remove_repeats(docs: DataFrame, *, size: int = SIZE, gram: int = GRAM, shard
                     spans.append([])
                     continue
                 step = np.zeros(len(words) + 1, np.int64)
-                place = phrases.values.to_numpy()
+                place, n = (phrases.values.field(k).to_numpy() for k in (0, 1))
                 np.add.at(step, place, 1)
-                np.add.at(step, place + size, -1)
+                np.add.at(step, place + n + size - 1, -1)
                 drop = np.cumsum(step[:-1]) > 0
                 edge = np.flatnonzero(np.diff(np.concatenate([[False], drop, [False]]).astype(np.int8)))
                 removed.append(int(drop.sum()))
@@ -371,7 +377,7 @@ def remove_repeats(docs: DataFrame, *, size: int = SIZE, gram: int = GRAM, shard
         give_back()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    whole = docs.join(gone, ["key", "print"], "left").select("doc_id", "text", "at")
+    whole = docs.join(gone, ["key", "print"], "left").select("doc_id", "text", "runs")
     return whole.mapInArrow(cut, f"doc_id {kind}, text string, n_words long, n_removed long, spans array<struct<first:long,end:long>>")
 
 
