@@ -6,8 +6,11 @@ daily series has at most one row per calendar day, which bounds the size of a wi
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ebbflow.columns import KEY, TIME, VALUE, back_in_time, by_key, in_time, so_far, with_columns
 from ebbflow.operators.thresholds import Threshold
@@ -163,25 +166,25 @@ def _pool(events: DataFrame, min_duration: int, min_vol_ratio: float | None, key
 def _pool_by_volume(events: DataFrame, ratio: float, key: str) -> DataFrame:
     """Pool number when the excess volume is compared with the deficit pooled *so far*.
 
-    That total restarts with every pool, which no window expresses; it is folded over the events of
-    one series, a list bounded by half the number of days of the series.
+    That total restarts with every pool, which no window expresses.  One scan a series, in order of time, holds the current
+    pool's number and volume and nothing else; its work and memory follow the number of events.
     """
-    fields = ["first_day", "last_day", "dbt", "volume", "qmin", "tqmin", "_near", "_wet"]
-    listed = events.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("_events"))
-
-    def step(acc: Column, e: Column) -> Column:
-        join = e["_near"] & (e["_wet"] < F.lit(ratio) * acc["vol"]) & (F.size(acc["pools"]) > 0)
-        join = F.coalesce(join, F.lit(False))
-        pool = F.when(join, acc["pool"]).otherwise(acc["pool"] + 1)
-        return F.struct(pool.alias("pool"),
-                        F.when(join, acc["vol"] + e["volume"]).otherwise(e["volume"]).alias("vol"),
-                        F.concat(acc["pools"], F.array(pool)).alias("pools"))
-
-    start = F.struct(F.lit(0).alias("pool"), F.lit(0.0).alias("vol"),
-                     F.array().cast("array<int>").alias("pools"))
-    listed = listed.withColumn("_pools", F.aggregate("_events", start, step)["pools"])
-    return (listed.select(key, F.explode(F.arrays_zip("_events", "_pools")).alias("z"))
-            .select(key, F.col("z._pools").alias("_pool"), "z._events.*"))
+    schema = T.StructType([*events.schema.fields, T.StructField("_pool", T.IntegerType())])
+
+    def scan(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("first_day", kind="stable")
+        near = pdf["_near"].to_numpy(bool)
+        wet, volume = pdf["_wet"].to_numpy(float), pdf["volume"].to_numpy(float)
+        pools, pool, held = np.empty(len(pdf), np.int32), 0, 0.0
+        for i in range(len(pdf)):
+            if pool and near[i] and wet[i] < ratio * held:  # false where the excess is missing
+                held += volume[i]
+            else:
+                pool, held = pool + 1, volume[i]
+            pools[i] = pool
+        return pdf.assign(_pool=pools)
+
+    return events.groupBy(key).applyInPandas(scan, schema)
 
 
 def na_warnings(df: DataFrame, threshold: float | str | Column | Threshold, key: str = KEY,

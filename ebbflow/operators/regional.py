@@ -386,11 +386,6 @@ def sample_variogram(points: DataFrame, width: float, cutoff: float, x: str = "x
                                        (F.col("g") / F.col("n")).alias("gamma"))
 
 
-def semivariance(h: Column, nugget: float, sill: float, reach: float, shape: float = 1.0) -> Column:
-    """Exponential point variogram (zero at zero distance)."""
-    return F.when(h == 0, 0.0).otherwise(nugget + sill * (1 - F.exp(-F.pow(h / reach, F.lit(shape)))))
-
-
 def fit_point_variogram(binned: DataFrame, nuggets: Sequence[float], sills: Sequence[float],
                         reaches: Sequence[float]) -> DataFrame:
     """Variogram parameters with the smallest error, weighted by pairs and relative to the model.
@@ -406,110 +401,3 @@ def fit_point_variogram(binned: DataFrame, nuggets: Sequence[float], sills: Sequ
     err = tried.groupBy("nugget", "sill", "reach").agg(
         (F.sum(F.col("n") * F.pow(F.try_divide(F.col("gamma"), F.col("m")) - 1, F.lit(2))) / F.sum("n")).alias("error"))
     return err.agg(F.min(F.struct("error", "nugget", "sill", "reach")).alias("b")).select("b.*")
-
-
-# ---- kriging of areas ------------------------------------------------------------------------
-
-def discretise(points: DataFrame, cell: float, area: str = "area_id", x: str = "x", y: str = "y"
-               ) -> DataFrame:
-    """Areas as weighted grid cells: ``area_id, x, y, weight`` (weights of an area sum to one).
-
-    Crowded areas shrink to one row per grid cell before any shuffle.
-    """
-    cx, cy = F.floor(F.col(x) / cell), F.floor(F.col(y) / cell)
-    cells = points.groupBy(F.col(area).alias("area_id"), cx.alias("_cx"), cy.alias("_cy")).agg(
-        F.avg(x).alias("x"), F.avg(y).alias("y"), F.count(F.lit(1)).alias("_n"))
-    total = cells.groupBy("area_id").agg(F.sum("_n").alias("_t"))
-    return cells.join(total, "area_id").select("area_id", "x", "y", (F.col("_n") / F.col("_t")).alias("weight"))
-
-
-def areal_semivariances(cells: DataFrame, pairs: DataFrame, nugget: float, sill: float, reach: float
-                        ) -> DataFrame:
-    """Regularised semivariance of the given area pairs ``a, b`` from their cells.
-
-    The mean point semivariance between the two areas less half the mean within each of them.  One
-    task sums the cells of one pair; areas hold few cells by construction of :func:`discretise`.
-    """
-    shape = cells.groupBy("area_id").agg(F.collect_list(F.struct("x", "y", "weight")).alias("c"))
-    inner = shape.select("area_id", "c", _mean_gamma("c", "c", nugget, sill, reach).alias("g"))
-    left = inner.select(F.col("area_id").alias("a"), F.col("c").alias("ca"), F.col("g").alias("ga"))
-    right = inner.select(F.col("area_id").alias("b"), F.col("c").alias("cb"), F.col("g").alias("gb"))
-    joined = pairs.select("a", "b").join(left, "a").join(right, "b")
-    between = _mean_gamma("ca", "cb", nugget, sill, reach)
-    return joined.select("a", "b", (between - 0.5 * (F.col("ga") + F.col("gb"))).alias("gamma"))
-
-
-def _mean_gamma(left: str, right: str, nugget: float, sill: float, reach: float) -> Column:
-    def against(p: Column) -> Column:
-        def one(acc: Column, q: Column) -> Column:
-            h = F.sqrt(F.pow(p["x"] - q["x"], F.lit(2)) + F.pow(p["y"] - q["y"], F.lit(2)))
-            return acc + p["weight"] * q["weight"] * semivariance(h, nugget, sill, reach)
-
-        return F.aggregate(F.col(right), F.lit(0.0), one)
-
-    return F.aggregate(F.col(left), F.lit(0.0), lambda acc, p: acc + against(p))
-
-
-def top_kriging(cells: DataFrame, observed: DataFrame, targets: DataFrame, nugget: float, sill: float,
-                reach: float, radius: float, leave_one_out: bool = False) -> DataFrame:
-    """Ordinary kriging of areas from the observed areas within ``radius`` of their centre.
-
-    ``observed`` holds ``area_id, z``; ``targets`` holds ``area_id``.  Neighbours meet through grid
-    cells of the size of the radius.  One small system is solved per target; with ``leave_one_out``
-    a target never uses its own value.
-    """
-    centres = cells.groupBy("area_id").agg(F.sum(F.col("x") * F.col("weight")).alias("px"),
-                                           F.sum(F.col("y") * F.col("weight")).alias("py"))
-    cell = {"gx": F.floor(F.col("px") / radius), "gy": F.floor(F.col("py") / radius)}
-    obs = observed.join(centres, "area_id").withColumns(cell)
-    aim = targets.select("area_id").distinct().join(centres, "area_id").withColumns(cell)
-    around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"))
-                                 for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-    reach_out = aim.withColumn("s", around).select(
-        F.col("area_id").alias("target"), F.col("px").alias("tx"), F.col("py").alias("ty"),
-        (F.col("gx") + F.col("s.i")).alias("gx"), (F.col("gy") + F.col("s.j")).alias("gy"))
-    near = reach_out.join(obs, ["gx", "gy"])
-    near = near.where((F.pow(F.col("px") - F.col("tx"), F.lit(2)) + F.pow(F.col("py") - F.col("ty"), F.lit(2)))
-                      <= radius * radius)
-    if leave_one_out:
-        near = near.where(F.col("target") != F.col("area_id"))
-    shape = cells.groupBy("area_id").agg(F.collect_list("x").alias("cx"), F.collect_list("y").alias("cy"),
-                                         F.collect_list("weight").alias("cw"))
-    near = near.select("target", "area_id", "z").join(shape, "area_id")
-    own = shape.select(F.col("area_id").alias("target"), F.col("cx").alias("ox"), F.col("cy").alias("oy"),
-                       F.col("cw").alias("ow"))
-    near = near.join(own, "target")
-
-    def point_gamma(h: np.ndarray) -> np.ndarray:
-        return np.where(h == 0, 0.0, nugget + sill * (1 - np.exp(-h / reach)))
-
-    def mean_gamma(a, b) -> float:
-        h = np.hypot(a[0][:, None] - b[0][None, :], a[1][:, None] - b[1][None, :])
-        return float(a[2] @ point_gamma(h) @ b[2])
-
-    kind = targets.schema["area_id"].dataType.simpleString()
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("area_id")
-        shapes = [tuple(np.asarray(v, float) for v in row)
-                  for row in zip(pdf["cx"], pdf["cy"], pdf["cw"], strict=True)]
-        mine = tuple(np.asarray(pdf[c].iloc[0], float) for c in ("ox", "oy", "ow"))
-        n = len(shapes)
-        within = np.array([mean_gamma(s, s) for s in shapes])
-        own_within = mean_gamma(mine, mine)
-        system, right = np.ones((n + 1, n + 1)), np.ones(n + 1)
-        system[n, n] = 0.0
-        for i in range(n):
-            system[i, i] = 0.0
-            for j in range(i):
-                system[i, j] = system[j, i] = (mean_gamma(shapes[i], shapes[j])
-                                               - 0.5 * (within[i] + within[j]))
-            right[i] = mean_gamma(shapes[i], mine) - 0.5 * (within[i] + own_within)
-        weights = np.linalg.lstsq(system, right, rcond=None)[0]
-        z = pdf["z"].to_numpy(float)
-        return pd.DataFrame({"area_id": [pdf["target"].iloc[0]], "neighbours": [n],
-                             "pred": [float(weights[:n] @ z)],
-                             "variance": [float(max(weights @ right, 0.0))]})
-
-    return near.groupBy("target").applyInPandas(
-        solve, f"area_id {kind}, neighbours int, pred double, variance double")

@@ -1,14 +1,15 @@
 """Trend, dependence and structural change of annual series; principal components of indices.
 
-Annual series hold one row per year, so a list of one series' years inside a row is small; the pair
-statistics (Mann-Kendall, Theil-Sen) work on that list and never emit the pairs as rows.
+A series' values travel as one list inside a row; the pair statistics (Mann-Kendall, Theil-Sen) work on that list by
+merge counting and selection, in memory and time that follow its length, and never emit the pairs.
 """
 
 from __future__ import annotations
 
+import functools
 import itertools
 import math
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -19,6 +20,7 @@ from pyspark.sql import types as T
 from ebbflow.columns import KEY, so_far
 from ebbflow.functions.special import f_pvalue, pnorm, qt, t_pvalue
 from ebbflow.operators.moments import gram
+from ebbflow.operators.orderings import FEW, Slopes, kendall_s
 from ebbflow.operators.windows import ranked_values
 from ebbflow.session import settle
 
@@ -99,39 +101,46 @@ _PAIR_STATISTICS = T.StructType([T.StructField(n, T.DoubleType()) for n in (
 
 @F.pandas_udf(_PAIR_STATISTICS)
 def _pair_statistics(xs: pd.Series, ys: pd.Series, with_slopes: pd.Series) -> pd.DataFrame:
-    """Statistics of all pairs of one short series per row."""
+    """Statistics of all pairs of one series per row."""
     rows = []
     for x, y, slopes in zip(xs, ys, with_slopes, strict=True):
         x, y = np.asarray(x, float), np.asarray(y, float)
         n = len(y)
-        later, earlier = np.tril_indices(n, -1)
-        rise = y[later] - y[earlier]
         ties = np.unique(y, return_counts=True)[1].astype(float)
-        count = n * (n - 1) / 2
+        count = n * (n - 1) // 2
         spread = (n * (n - 1) * (2 * n + 5) - np.sum(ties * (ties - 1) * (2 * ties + 5))) / 18
-        row = [np.sign(rise).sum(), spread, math.sqrt(count) * math.sqrt(count - np.sum(ties * (ties - 1) / 2))]
+        row = [kendall_s(y), spread, math.sqrt(count) * math.sqrt(count - np.sum(ties * (ties - 1) / 2))]
         if slopes and n > 1:
-            steep = np.sort(rise / (x[later] - x[earlier]))
-            middle = np.median(steep)
             reach = Z_975 * math.sqrt(max(spread, 0.0))
             lower = int(max(np.rint((count - reach) / 2), 1))
             upper = int(min(np.rint((count + reach) / 2) + 1, count))
-            row += [middle, np.median(y - middle * x), steep[lower - 1], steep[upper - 1]]
+            steep = _slopes(x, y)
+            middle = (steep((count + 1) // 2) + steep(count // 2 + 1)) / 2
+            row += [middle, np.median(y - middle * x), steep(lower), steep(upper)]
         else:
             row += [None] * 4
         rows.append(row)
     return pd.DataFrame(rows, columns=_PAIR_STATISTICS.names)
 
 
+def _slopes(x: np.ndarray, y: np.ndarray) -> Callable[[int], float]:
+    """The ``k``-th smallest slope of all pairs, as a function of ``k``: a few pairs are sorted, of more it is selected."""
+    if len(x) > FEW:
+        return functools.cache(Slopes(x, y).smallest)
+    later, earlier = np.tril_indices(len(x), -1)
+    steep = np.sort((y[later] - y[earlier]) / (x[later] - x[earlier]))
+    return lambda k: steep[k - 1]
+
+
 def _short_lists(df: DataFrame, y: str, x: str, key: str) -> DataFrame:
-    """The known values of each annual series as one sorted list ``p`` of ``(x, y)``."""
+    """The known values of each series as one sorted list ``p`` of ``(x, y)``."""
     points = F.array_sort(F.collect_list(F.struct(F.col(x).cast("double").alias("x"),
                                                   F.col(y).cast("double").alias("y"))))
     return df.where(F.col(y).isNotNull()).groupBy(key).agg(points.alias("p"))
 
 
 def _pairwise(df: DataFrame, y: str, x: str, key: str, slopes: bool) -> DataFrame:
-    """Pair statistics per series.  A series contributes one value per year, hence a short list."""
+    """Pair statistics per series."""
     lists = _short_lists(df, y, x, key)
     stats = _pair_statistics(F.col("p.x"), F.col("p.y"), F.lit(slopes))
     return lists.select(key, F.size("p").alias("n"), stats.alias("k")).select(key, "n", "k.*")

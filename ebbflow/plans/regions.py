@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ebbflow.operators import areas as ar
 from ebbflow.operators import regional as rg
 from ebbflow.operators import trend as tr
 from ebbflow.operators.skill import cv_summary
 from ebbflow.plans.registry import query
+from ebbflow.session import settle
 from ebbflow.sources import series
 
 DESC = """WITH per_part AS (SELECT l_partkey, count(*) AS lines, avg(l_quantity) AS quantity, avg(l_discount) AS discount,
@@ -170,7 +172,7 @@ def area_cells(spark, folder):
     p = points(spark, folder)
     name = F.concat_ws("/", F.floor(F.col("x") / SIZE).cast("string"), F.floor(F.col("y") / SIZE).cast("string"))
     p = p.withColumn("area_id", name)
-    return rg.discretise(p, SIZE / 4), p.groupBy("area_id").agg(F.avg("z").alias("z"), F.count(F.lit(1)).alias("n"))
+    return ar.discretise(p, SIZE / 4), p.groupBy("area_id").agg(F.avg("z").alias("z"), F.count(F.lit(1)).alias("n"))
 
 
 AREAS = POINTS + f""", nm AS (SELECT *, CAST(CAST(floor(x / {SIZE}) AS BIGINT) AS VARCHAR) || '/' || CAST(CAST(floor(y / {SIZE}) AS BIGINT) AS VARCHAR) AS area_id FROM pt),
@@ -202,7 +204,7 @@ def areal_semivariance(spark, folder):
     x, y = (F.col("s")[k].cast("bigint") for k in (0, 1))
     there = F.array(F.concat_ws("/", x.cast("string"), (y + 1).cast("string")), F.concat_ws("/", (x + 1).cast("string"), y.cast("string")))
     pairs = ids.select("a", F.explode(there).alias("b"))
-    return rg.areal_semivariances(cells, pairs, 0.002, 0.015, 0.2)
+    return ar.areal_semivariances(cells, pairs, 0.002, 0.015, 0.2)
 
 
 @query("variogram_fit", "nugget:f4 sill:f4 reach:f4 error:f6",
@@ -218,19 +220,48 @@ def variogram_fit(spark, folder):
     return rg.fit_point_variogram(binned, (0.0, 0.005, 0.01), (0.005, 0.01, 0.015), (0.05, 0.1, 0.2))
 
 
+NEAR = 6
+#: Areas with fewer points than this have no observation.
+LEAST = 3
+
+# Ordinary kriging in SQL: covariances instead of semivariances, so that elimination needs no exchange of rows.
+KRIGED = AREAS + f""", az AS (SELECT area_id, avg(z) AS z FROM nm GROUP BY 1 HAVING count(*) >= {LEAST}),
+ctr AS (SELECT area_id, sum(x * w) AS px, sum(y * w) AS py FROM cw GROUP BY 1),
+g AS MATERIALIZED (SELECT p.area_id AS a, q.area_id AS b, 0.017 - sum(p.w * q.w * CASE WHEN p.x = q.x AND p.y = q.y THEN 0 ELSE
+  0.002 + 0.015 * (1 - exp(-sqrt(pow(p.x - q.x, 2) + pow(p.y - q.y, 2)) / 0.2)) END) AS c FROM cw p, cw q GROUP BY 1, 2),
+nb AS MATERIALIZED (SELECT t.area_id AS t, o.area_id AS a, row_number() OVER (PARTITION BY t.area_id ORDER BY sqrt(pow(t.px - o.px, 2) + pow(t.py - o.py, 2)), o.area_id) AS i
+  FROM ctr t, ctr o JOIN az USING (area_id) WHERE OTHERS QUALIFY i <= {NEAR}),
+rw AS (SELECT p.t, p.i, list(g.c ORDER BY q.i) || [any_value(g0.c), 1.0] AS r FROM nb p JOIN nb q ON q.t = p.t JOIN g ON g.a = p.a AND g.b = q.a
+  JOIN g g0 ON g0.a = p.a AND g0.b = p.t GROUP BY 1, 2),
+mx AS (SELECT t, list(r ORDER BY i) AS m, count(*) AS n FROM rw GROUP BY 1),
+el AS (SELECT t, n, CAST(1 AS BIGINT) AS s, m FROM mx UNION ALL
+  SELECT t, n, s + 1, list_transform(m, lambda r, i: CASE WHEN i = s THEN list_transform(r, lambda x: x / r[s])
+    ELSE list_transform(r, lambda x, j: x - r[s] * m[s][j] / m[s][s]) END) FROM el WHERE s <= n),
+xy AS (SELECT t, i, m[i][n + 1] AS x, m[i][n + 2] AS y FROM (SELECT t, n, m, unnest(range(1, n + 1)) AS i FROM el WHERE s = n + 1)),
+tt AS (SELECT t, (1 - sum(x)) / sum(y) AS f FROM xy GROUP BY 1),
+kr AS (SELECT t AS area_id, count(*) AS neighbours, sum((x + y * f) * z) AS pred, greatest(any_value(g0.c) - sum((x + y * f) * g.c) + any_value(f), 0) AS variance
+  FROM xy JOIN tt USING (t) JOIN nb USING (t, i) JOIN az ON az.area_id = nb.a JOIN g ON g.a = nb.a AND g.b = t JOIN g g0 ON g0.a = t AND g0.b = t GROUP BY 1)
+"""
+
+
 def _kriged(spark, folder, leave_one_out: bool):
     cells, areas = area_cells(spark, folder)
-    return areas, rg.top_kriging(cells, areas.select("area_id", "z"), areas.select("area_id"), 0.002, 0.015, 0.2,
-                                 radius=0.15, leave_one_out=leave_one_out)
+    areas = settle(areas)
+    observed = areas.where(F.col("n") >= LEAST)
+    return observed, ar.top_kriging(cells, observed.select("area_id", "z"), areas.select("area_id"), 0.002, 0.015, 0.2, k=NEAR, leave_one_out=leave_one_out)
 
 
-@query("area_kriging", "area_id:s neighbours:i pred:f6 variance:f6")
+@query("area_kriging", "area_id:s neighbours:i pred:f6 variance:f6",
+       KRIGED.replace("OTHERS", "true").replace("WITH ", "WITH RECURSIVE ", 1) + "SELECT * FROM kr")
 def area_kriging(spark, folder):
-    """Kriging prediction and variance of every area."""
+    """Kriging prediction and variance of every area from the nearest areas that are observed."""
     return _kriged(spark, folder, False)[1]
 
 
-@query("kriging_cross_validation", "scale:s rmse:f6 bias:f6 r2:f4")
+@query("kriging_cross_validation", "scale:s rmse:f6 bias:f6 r2:f4",
+       KRIGED.replace("OTHERS", "t.area_id <> o.area_id").replace("WITH ", "WITH RECURSIVE ", 1)
+       + """, cv AS (SELECT 'transformed' AS scale, pred AS p, z AS o FROM kr JOIN az USING (area_id) UNION ALL SELECT 'original', pred * pred, z * z FROM kr JOIN az USING (area_id))
+SELECT scale, sqrt(avg(pow(p - o, 2))) AS rmse, avg(p - o) AS bias, 1 - avg(pow(p - o, 2)) / var_samp(o) AS r2 FROM cv GROUP BY 1""")
 def kriging_cross_validation(spark, folder):
     """Leave-one-out skill, for the variable and for its square."""
     areas, kriged = _kriged(spark, folder, True)
@@ -239,6 +270,38 @@ def kriging_cross_validation(spark, folder):
         cv_summary(both, "pred2", "z2").withColumn("scale", F.lit("original")))
 
 
+NUGGETS, SILLS, REACHES = [k / 2000 for k in range(10)], [k / 400 for k in range(1, 21)], [k / 50 for k in range(1, 51)]
+PAIRS = AREAS + """, az AS (SELECT area_id, avg(z) AS z FROM nm GROUP BY 1),
+ctr AS (SELECT area_id, sum(x * w) AS px, sum(y * w) AS py FROM cw GROUP BY 1),
+pr AS MATERIALIZED (SELECT *, CAST(floor(distance / 0.05) AS INTEGER) AS class FROM (SELECT a.area_id AS a, b.area_id AS b, sqrt(pow(a.px - b.px, 2) + pow(a.py - b.py, 2)) AS distance
+  FROM ctr a JOIN ctr b ON a.area_id < b.area_id) WHERE distance < 0.3),
+hb AS MATERIALIZED (SELECT a, b, CASE WHEN h = 0 THEN -1 ELSE CAST(floor(h / 0.02) AS INTEGER) END AS bin, sum(w) AS weight, sum(w * h) / sum(w) AS h FROM (
+  SELECT p.area_id AS a, q.area_id AS b, sqrt(pow(p.x - q.x, 2) + pow(p.y - q.y, 2)) AS h, p.w * q.w AS w FROM cw p, cw q) GROUP BY 1, 2, 3),
+sv AS (SELECT class, count(*) AS n, avg(distance) AS distance, avg(0.5 * pow(x.z - y.z, 2)) AS gamma FROM pr JOIN az x ON x.area_id = a JOIN az y ON y.area_id = b GROUP BY 1)
+"""
+
+
+@query("areal_variogram", "class:i n:i distance:f6 gamma:f8", PAIRS + "SELECT * FROM sv")
+def areal_variogram(spark, folder):
+    """Sample variogram of areas by the distance of their centres."""
+    cells, areas = area_cells(spark, folder)
+    return ar.area_variogram(areas, ar.area_pairs(cells, 0.3), 0.05)
+
+
+@query("variogram_back_calculated", "nugget:f5 sill:f5 reach:f4 error:f6",
+       PAIRS + f""", tm AS MATERIALIZED (SELECT class, part, bin, sum(f * weight) AS weight, sum(f * weight * h) / sum(f * weight) AS h FROM (
+  SELECT class, 1 AS part, bin, weight, h, 1.0 AS f FROM pr JOIN hb USING (a, b) UNION ALL
+  SELECT class, 0, bin, weight, h, -0.5 FROM (SELECT class, a AS e FROM pr UNION ALL SELECT class, b FROM pr) JOIN hb ON hb.a = e AND hb.b = e) GROUP BY 1, 2, 3),
+ps AS (SELECT * FROM (SELECT unnest({NUGGETS}) AS nugget), (SELECT unnest({SILLS}) AS sill), (SELECT unnest({REACHES}) AS reach)),
+md AS (SELECT nugget, sill, reach, class, sum(weight * CASE WHEN h = 0 THEN 0 ELSE nugget + sill * (1 - exp(-h / reach)) END) AS model FROM tm, ps GROUP BY ALL),
+er AS (SELECT nugget, sill, reach, sum(v.n * pow(gamma / (model / v.n) - 1, 2)) / sum(v.n) AS error FROM md JOIN sv v USING (class) GROUP BY 1, 2, 3)
+SELECT * FROM er ORDER BY error, nugget, sill, reach LIMIT 1""")
+def variogram_back_calculated(spark, folder):
+    """Point variogram, out of 10,000, whose values regularised to areas come closest to the variogram of areas."""
+    cells, areas = area_cells(spark, folder)
+    return ar.back_calculated_variogram(cells, areas, 0.3, 0.05, 0.02, NUGGETS, SILLS, REACHES)
+
+
 @query("prediction_skill", "by:s rmse:f6 bias:f6 r2:f6",
        DESC + """, p AS (SELECT target, retail * quantity / 1000 AS pred FROM d)
 SELECT 'all' AS "by", sqrt(avg(pow(pred - target, 2))) AS rmse, avg(pred - target) AS bias,

@@ -2,7 +2,7 @@ import datetime as dt
 
 import pytest
 
-from ebbflow.operators import regional as rg
+from ebbflow.operators import areas as ar
 from ebbflow.operators.clean import sanitize_ts
 from ebbflow.session import settle, shared_dir
 from ebbflow.sources import io
@@ -113,5 +113,5 @@ def test_areas_and_points(spark, tmp_path):
     spark.createDataFrame([(1.0, 0.1, 0.2), (1.0, 0.3, 0.2), (1.0, None, 0.2)], "EZGID double, x double, y double").write.parquet(points)
     row = io.read_areas(spark, areas).first()
     assert row.asDict() == {"area_id": "1", "gauge": "200", "area_km2": 3.5, "q95": 0.7, "specific_q95": None}
-    cells = rg.discretise(io.read_points(spark, points), 0.15).collect()
+    cells = ar.discretise(io.read_points(spark, points), 0.15).collect()
     assert sorted((c["area_id"], c["weight"]) for c in cells) == [("1", 0.5), ("1", 0.5)]

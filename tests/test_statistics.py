@@ -15,6 +15,7 @@ from ebbflow.functions import special as sf
 from ebbflow.operators import frequency as fr
 from ebbflow.operators import impact as im
 from ebbflow.operators import indices as idx
+from ebbflow.operators import areas as ar
 from ebbflow.operators import regional as rg
 from ebbflow.operators import skill as sk
 from ebbflow.operators import trend as tr
@@ -424,9 +425,9 @@ def test_kriging(spark):
     cells = [(a, float(rng.random()), float(rng.random()), 0.5) for a in ids for _ in range(2)]
     cells = spark.createDataFrame(cells, "area_id string, x double, y double, weight double")
     z = spark.createDataFrame([(a, float(i)) for i, a in enumerate(ids)], "area_id string, z double")
-    exact = rg.top_kriging(cells, z, z, 0.0, 1.0, 0.5, radius=5.0).join(z, "area_id").toPandas()
+    exact = ar.top_kriging(cells, z, z, 0.0, 1.0, 0.5, radius=5.0).join(z, "area_id").toPandas()
     assert exact["pred"].to_list() == pytest.approx(exact["z"].to_list(), abs=1e-6)  # observed areas are honoured
-    left_out = rg.top_kriging(cells, z, z, 0.0, 1.0, 0.5, radius=5.0, leave_one_out=True).toPandas()
+    left_out = ar.top_kriging(cells, z, z, 0.0, 1.0, 0.5, radius=5.0, leave_one_out=True).toPandas()
     assert (left_out["neighbours"] == 11).all() and (left_out["variance"] > 0).all()
     c = cells.toPandas().groupby("area_id")
     pts = {a: g[["x", "y"]].to_numpy() for a, g in c}
