@@ -317,8 +317,9 @@ def locate(different: DataFrame, shards: int, size: int) -> DataFrame:
     return dealt.groupBy("shard").applyInArrow(run, "mark long, name long, hits array<struct<at:int,n:int,least:long>>")
 
 
-def differing(found: DataFrame, *done: DataFrame) -> DataFrame:
-    return settle_and_free(found.groupBy("mark", "stretch").agg(F.min("key").alias("least"), F.max("key").alias("greatest")), *done)
+def grouped(found: DataFrame) -> DataFrame:
+    """``mark, stretch, least, greatest``: the different stretches and the least and greatest key that each has."""
+    return found.groupBy("mark", "stretch").agg(F.min("key").alias("least"), F.max("key").alias("greatest"))
 
 
 def remove_repeats(docs: DataFrame, *, size: int = SIZE, gram: int = GRAM, shard: int = SHARD) -> DataFrame:
@@ -337,18 +338,21 @@ def remove_repeats(docs: DataFrame, *, size: int = SIZE, gram: int = GRAM, shard
     marked = settle_and_free(marks(docs, size, gram, buckets))
     wanted = settle_and_free(wanted_marks(marked), marked)
     found = settle_and_free(stretches(docs.join(wanted, ["key", "print"]).select("key", "print", "text", "marks"), size, gram), wanted)
-    different = differing(found)
+    different = settle_and_free(grouped(found))
     full = settle_and_free(different.groupBy("mark").agg(F.sum(F.length("stretch")).alias("bytes")).where(F.col("bytes") > shard).select("mark"))
+    tables = [found]
     if not full.isEmpty():
-        parted = settle_and_free(found.join(full, "mark", "left_anti").unionByName(single_phrases(found.join(full, "mark", "left_semi"), size)), found)
-        found, different = parted, differing(parted, different)
+        hot = settle_and_free(single_phrases(found.join(full, "mark", "left_semi"), size))
+        tables.append(hot)
+        found = found.join(full, "mark", "left_anti").unionByName(hot)
+        different = settle_and_free(different.join(full, "mark", "left_anti").unionByName(grouped(hot)), different)
     total = different.agg(F.sum(F.length("stretch"))).first()[0] or 0
     hits = settle_and_free(locate(different, max(1, math.ceil(total / shard)), size).where(F.size("hits") > 0), different)
     met = found.select("mark", F.xxhash64("stretch").alias("name"), "key", "print", "starts").join(hits, ["mark", "name"])
     own = F.filter("hits", lambda x: x["least"] < F.col("key"))
     met = met.select("key", "print", "starts", own.alias("own")).where(F.size("own") > 0)
     runs = F.flatten(F.transform("starts", lambda s: F.transform("own", lambda x: F.struct((x["at"] + s).alias("at"), x["n"].alias("n")))))
-    gone = settle_and_free(met.select("key", "print", runs.alias("runs")).groupBy("key", "print").agg(F.flatten(F.collect_list("runs")).alias("runs")), found, hits)
+    gone = settle_and_free(met.select("key", "print", runs.alias("runs")).groupBy("key", "print").agg(F.flatten(F.collect_list("runs")).alias("runs")), *tables, hits)
 
     def cut(batches):
         for batch in batches:
