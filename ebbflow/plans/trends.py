@@ -159,25 +159,6 @@ def nested_model_test(spark, folder):
     return tr.nested_anova(tr.sup_f(monthly_flow(spark, folder), "value"))
 
 
-@query("structural_breaks", "series_id:s m:i rss:f4 bic:f4",
-       sql.with_(sql.SUPP, MONTHLY, """o AS (SELECT series_id, row_number() OVER w AS i, value - avg(value) OVER q AS v,
-  count(*) OVER q AS n FROM mon WINDOW w AS (PARTITION BY series_id ORDER BY year), q AS (PARTITION BY series_id)),
-c AS (SELECT series_id, n, i, sum(v) OVER w AS s, sum(v * v) OVER w AS ss, CAST(floor(n * 0.15) AS BIGINT) AS h FROM o
-  WINDOW w AS (PARTITION BY series_id ORDER BY i)),
-t AS (SELECT * FROM c WHERE i = n),
-m0 AS (SELECT series_id, n, 0 AS m, ss - s * s / n AS rss FROM t),
-m1 AS (SELECT c.series_id, max(c.n) AS n, 1 AS m, min(c.ss - c.s * c.s / c.i + (t.ss - c.ss) - pow(t.s - c.s, 2) / (c.n - c.i)) AS rss
-  FROM c JOIN t USING (series_id) WHERE c.i >= c.h AND c.n - c.i >= c.h GROUP BY 1),
-m2 AS (SELECT c.series_id, max(c.n) AS n, 2 AS m, min(c.ss - c.s * c.s / c.i + (d.ss - c.ss) - pow(d.s - c.s, 2) / (d.i - c.i)
-   + (t.ss - d.ss) - pow(t.s - d.s, 2) / (c.n - d.i)) AS rss FROM c JOIN c d ON d.series_id = c.series_id AND d.i - c.i >= c.h
-  JOIN t ON t.series_id = c.series_id WHERE c.i >= c.h AND c.n - d.i >= c.h GROUP BY 1),
-u AS (SELECT * FROM m0 UNION ALL SELECT * FROM m1 UNION ALL SELECT * FROM m2)""")
-       + "SELECT series_id, m, rss, n * (ln(2 * pi()) + 1 + ln(rss / n)) + 2 * (m + 1) * ln(n) AS bic FROM u")
-def structural_breaks(spark, folder):
-    """Best positions of up to two breaks in the mean."""
-    return tr.breakpoints(monthly_flow(spark, folder), "value", max_breaks=2)
-
-
 def _segmentations(slope: bool) -> str:
     """Least residual sum of squares and its breaks for m = 0..5, by adding one segment at a time."""
     k = 2 if slope else 1
@@ -202,6 +183,14 @@ best AS ({" UNION ALL ".join(f"SELECT series_id, n, {m} AS m, rss, breaks FROM d
 bics AS (SELECT *, CASE WHEN rss > 0 THEN n * (ln(2 * pi()) + 1 + ln(rss / n)) + {k + 1} * (m + 1) * ln(n) END AS bic FROM best)"""
 
 
+@query("structural_breaks", "series_id:s m:i rss:f4 bic:f4 breaks:s",
+       sql.with_(sql.SUPP, MONTHLY, _segmentations(False)) + "SELECT series_id, m, rss, bic, array_to_string(breaks, ',') AS breaks FROM bics")
+def structural_breaks(spark, folder):
+    """Best positions of up to five breaks in the mean, and where they are."""
+    found = tr.breakpoints(monthly_flow(spark, folder), "value")
+    return found.withColumn("breaks", F.array_join(F.col("breaks").cast("array<string>"), ","))
+
+
 @query("mean_breaks", "series_id:s m:i rss:f4 bic:f4",
        sql.with_(sql.SUPP, MONTHLY, _segmentations(False)) + "SELECT series_id, m, rss, bic FROM bics")
 def mean_breaks(spark, folder):
@@ -228,24 +217,29 @@ def trend_break_segments(spark, folder):
     return tr.segment_fit(flows, tr.best_breaks(tr.breakpoints(flows, "value", slope=True)), "value", slope=True)
 
 
-@query("break_segments", "series_id:s year:i segment:i fitted:f6")
+@query("break_segments", "series_id:s year:i segment:i fitted:f6",
+       sql.with_(sql.SUPP, MONTHLY, _segmentations(False), """b AS (SELECT series_id, arg_min(breaks, (bic, m)) AS breaks FROM bics WHERE bic IS NOT NULL GROUP BY 1),
+s AS (SELECT mon.*, len(list_filter(breaks, lambda e: e < year)) + 1 AS segment FROM mon JOIN b USING (series_id))""")
+       + "SELECT series_id, year, segment, avg(value) OVER (PARTITION BY series_id, segment) AS fitted FROM s")
 def break_segments(spark, folder):
     """Step model of the segmentation with the smallest BIC among up to five breaks."""
     flows = monthly_flow(spark, folder)
     return tr.segment_fit(flows, tr.best_breaks(tr.breakpoints(flows, "value")), "value")
 
 
-@query("trend_segments", "series_id:s year:i segment:i fitted:f4",
-       sql.with_(sql.SUPP, MONTHLY, """b AS (SELECT series_id, (min(year) + max(year)) // 2 AS b FROM mon GROUP BY 1),
-s AS (SELECT mon.*, CASE WHEN year > b THEN 2 ELSE 1 END AS segment FROM mon JOIN b USING (series_id)),
-f AS (SELECT series_id, segment, avg(value) AS m, regr_slope(value, year - 24000) AS b1, regr_intercept(value, year - 24000) AS b0 FROM s GROUP BY 1, 2)""")
-       + """SELECT series_id, year, segment, CASE WHEN isfinite(b1) THEN b0 + b1 * (year - 24000) ELSE m END AS fitted
-FROM s JOIN f USING (series_id, segment)""")
+@query("trend_segments", "series_id:s segment:i first_year:i last_year:i slope:f6 level:f4",
+       sql.with_(sql.SUPP, MONTHLY, _segmentations(True), """b AS (SELECT series_id, arg_min(breaks, (bic, m)) AS breaks FROM bics WHERE bic IS NOT NULL GROUP BY 1),
+s AS (SELECT mon.*, len(list_filter(breaks, lambda e: e < year)) + 1 AS segment FROM mon JOIN b USING (series_id)),
+f AS (SELECT series_id, segment, min(year) AS first_year, max(year) AS last_year, avg(value) AS level, regr_slope(value, year - 24000) AS b1 FROM s GROUP BY 1, 2)""")
+       + "SELECT series_id, segment, first_year, last_year, CASE WHEN isfinite(b1) THEN b1 ELSE 0 END AS slope, level FROM f")
 def trend_segments(spark, folder):
-    """Trend lines before and after the middle of each series."""
+    """The segments between the breaks of the best segmentation into trend lines: their years, slope and mean."""
     flows = monthly_flow(spark, folder)
-    middle = flows.groupBy("series_id").agg(F.array(F.floor((F.min("year") + F.max("year")) / 2).cast("int")).alias("breaks"))
-    return tr.segment_fit(flows, middle, "value", slope=True)
+    fitted = tr.segment_fit(flows, tr.best_breaks(tr.breakpoints(flows, "value", slope=True)), "value", slope=True)
+    years = fitted.groupBy("series_id", "segment").agg(
+        F.min("year").alias("first_year"), F.max("year").alias("last_year"), F.avg("fitted").alias("level"),
+        F.min_by("fitted", "year").alias("a"), F.max_by("fitted", "year").alias("b"))
+    return years.withColumn("slope", F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.col("last_year") - F.col("first_year")), F.lit(0.0)))
 
 
 @query("break_intervals", "series_id:s break_after:i lower:i upper:i")
@@ -331,12 +325,11 @@ def lineitem_rank_correlation(spark, folder):
                               ["l_quantity", "l_discount", "l_extendedprice"])
 
 
-@query("index_zscores", "series_id:s mean_flow:f6 MAM30:f6",
-       sql.with_(*INDEX_CTES) + """SELECT series_id, (mean_flow - avg(mean_flow) OVER ()) / stddev_samp(mean_flow) OVER () AS mean_flow,
-  ("MAM30" - avg("MAM30") OVER ()) / stddev_samp("MAM30") OVER () AS "MAM30" FROM ind""")
+@query("index_zscores", "series_id:s " + " ".join(f"{c}:f6" for c in COLUMNS),
+       sql.with_(*INDEX_CTES) + "SELECT series_id, " + ", ".join(f'("{c}" - avg("{c}") OVER ()) / stddev_samp("{c}") OVER () AS "{c}"' for c in COLUMNS) + " FROM ind")
 def index_zscores(spark, folder):
-    """Standardised indices."""
-    return tr.zscores(settle(indices(spark, folder).select("series_id", "mean_flow", "MAM30")), ["mean_flow", "MAM30"])
+    """All indices standardised."""
+    return tr.zscores(settle(indices(spark, folder).select("series_id", *COLUMNS)), COLUMNS)
 
 
 @query("pca_two_indices", "component:i variable:s loading:f6 sdev:f6 eigenvalue:f6 proportion:f6 cumulative:f6",
@@ -353,7 +346,7 @@ def pca_two_indices(spark, folder):
 @query("pca_loadings", "component:i variable:s loading:f6 sdev:f6 proportion:f6 cumulative:f6")
 def pca_loadings(spark, folder):
     """Principal components of all indices."""
-    return tr.pca_loadings(indices(spark, folder), COLUMNS[:-1])
+    return tr.pca_loadings(indices(spark, folder), COLUMNS)
 
 
 @query("pca_scores", "series_id:s PC1:f6 PC2:f6",

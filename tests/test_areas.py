@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from ebbflow.operators import areas as ar
+from ebbflow.session import settle
 
 
 def frame(spark, names, xy):
@@ -96,7 +97,7 @@ def test_back_calculation_finds_the_model(spark, cells):
 
 def test_many_parameter_sets_do_not_touch_cells(spark, cells):
     pairs = ar.area_pairs(cells, 2.0)
-    terms = ar.class_terms(ar.distance_histograms(cells, pairs, 0.25), pairs, 0.5).cache()
+    terms = settle(ar.class_terms(ar.distance_histograms(cells, pairs, 0.25), pairs, 0.5))
     sample = spark.createDataFrame([(k, 10, 0.1 * k + 0.1) for k in range(4)], "class int, n long, gamma double")
     errors = ar.variogram_errors(terms, sample, [0.0, 0.1], [k / 50 for k in range(1, 51)], [k / 50 for k in range(1, 101)])
     plan = errors._jdf.queryExecution().executedPlan().toString()
