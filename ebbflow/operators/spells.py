@@ -145,25 +145,31 @@ def _complete(result: DataFrame, funs: Mapping[str, AggFun], level: str, above:
               used: list[str], key: str) -> DataFrame:
     """Add the missing combinations of (function, level, ..., state) with the function's default.
 
-    The values of each level are gathered per series (calendar periods, hence few) and crossed by
-    ``explode``, then the combinations already present are removed.
+    The results of a series become one list (at most one entry a spell or calendar period, hence bounded by its days);
+    what its values of every level span is built in the row, and what is not there yet is added, so ``result`` is read once.
     """
     crossed = [n for n in above if n not in ("spell", "state")]
-    value_type = result.schema["value"].dataType
-    axes = result.groupBy(key).agg(*([F.collect_set(n).alias(n) for n in crossed]
-                                     or [F.count(F.lit(1)).alias("_n")]))
-    grid = axes.select(key, *crossed)
-    for n in crossed:
-        grid = grid.withColumn(n, F.explode(n))
-    grid = grid.withColumn("state", F.explode(F.array(*[F.lit(s) for s in STATES])))
-    defaults = F.array(*[F.struct(F.lit(name).alias("name"),
-                                  F.lit(f.default).cast(value_type).alias("v"))
-                         for name, f in funs.items()])
-    grid = grid.withColumn("_p", F.explode(defaults)).select(
-        key, *crossed, "state", F.col("_p.name").alias(f"fun_{level}"), F.col("_p.v").alias("value"))
-    on = [key, *crossed, "state", f"fun_{level}"]
-    missing = grid.join(result.select(*on), on, "left_anti")
-    return result.unionByName(missing, allowMissingColumns=True)
+    kinds = {f.name: f.dataType for f in result.schema.fields if f.name != key}
+    names = [*crossed, "state", f"fun_{level}"]
+    gathered = result.groupBy(key).agg(F.collect_list(F.struct(*kinds)).alias("_rows"), *[F.collect_set(n).alias(f"_{n}") for n in crossed])
+    cells = F.array(*[F.struct(F.lit(s).alias("state"), F.lit(name).alias(f"fun_{level}")) for s in STATES for name in funs])
+
+    def crossing(n: str, rest: Column) -> Column:
+        later = names[names.index(n) + 1:]
+        return F.flatten(F.transform(f"_{n}", lambda v: F.transform(
+            rest, lambda c: F.struct(v.alias(n), *[c[m].alias(m) for m in later]))))
+
+    for n in reversed(crossed):
+        cells = crossing(n, cells)
+    present = F.transform("_rows", lambda r: F.struct(*[r[n].alias(n) for n in names]))
+    default = F.create_map(*[c for name, f in funs.items() for c in (F.lit(name), F.lit(f.default).cast(kinds["value"]))])
+
+    def added(c: Column) -> Column:
+        own = {n: c[n] for n in names} | {"value": F.element_at(default, c[f"fun_{level}"])}
+        return F.struct(*[(own[n] if n in own else F.lit(None)).cast(t).alias(n) for n, t in kinds.items()])
+
+    missing = F.transform(F.array_except(cells, present), added)
+    return gathered.select(key, F.inline(F.concat("_rows", missing)))
 
 
 def ires_metric(df: DataFrame, threshold: float = 0.001, na: str = "none",

@@ -51,6 +51,28 @@ def regional_regression(spark, folder):
     return rg.regression(descriptors(spark, folder), "target", ["quantity", "discount"])
 
 
+# All descriptors: normal equations of centred columns, solved and inverted by elimination over lists.
+ALL = DESC.replace("WITH ", "WITH RECURSIVE ", 1) + f""", e AS MATERIALIZED (SELECT id, j, v - avg(v) OVER (PARTITION BY j) AS v, avg(v) OVER (PARTITION BY j) AS mean FROM (
+  SELECT id, unnest(range(1, 8)) AS j, unnest([{', '.join(SCOPE)}, target]) AS v FROM d)),
+sm AS (SELECT a.j AS i, b.j, sum(a.v * b.v) AS s FROM e a JOIN e b USING (id) GROUP BY 1, 2),
+el AS (SELECT CAST(1 AS BIGINT) AS s, list(r ORDER BY i) AS m FROM (SELECT i, list(s ORDER BY j) || list_transform(range(1, 7), lambda k: CASE WHEN k = i THEN 1.0 ELSE 0.0 END) AS r
+    FROM sm WHERE i < 7 GROUP BY i) UNION ALL
+  SELECT s + 1, list_transform(m, lambda r, i: CASE WHEN i = s THEN list_transform(r, lambda x: x / r[s])
+    ELSE list_transform(r, lambda x, j: x - r[s] * m[s][j] / m[s][s]) END) FROM el WHERE s <= 6),
+b AS MATERIALIZED (SELECT i, {SCOPE}[i] AS term, m[i][7] AS b, m[i][8:13] AS inv FROM (SELECT m, unnest(range(1, 7)) AS i FROM el WHERE s = 7)),
+f AS (SELECT (SELECT s FROM sm WHERE i = 7 AND j = 7) AS tss, (SELECT s FROM sm WHERE i = 7 AND j = 7) - (SELECT sum(b * s) FROM b JOIN sm USING (i) WHERE j = 7) AS rss, (SELECT count(*) FROM d) AS n,
+  (SELECT any_value(mean) FROM e WHERE j = 7) - (SELECT sum(b * mean) FROM b JOIN (SELECT DISTINCT j AS i, mean FROM e) USING (i)) AS b0)
+"""
+
+
+@query("full_regression", "term:s estimate:f6 r2:f8 sigma:f6 aic:f4 n:i",
+       ALL + """SELECT term, b AS estimate, 1 - rss / tss AS r2, sqrt(rss / (n - 7)) AS sigma, n * ln(rss / n) + 14 AS aic, n
+FROM (SELECT term, b FROM b UNION ALL SELECT '(intercept)', b0 FROM f), f""")
+def full_regression(spark, folder):
+    """Multiple regression on all descriptors."""
+    return rg.regression(descriptors(spark, folder), "target", SCOPE)
+
+
 @query("collinear_regression", "term:s estimate:f6 r2:f8 sigma:f6 aic:f4 n:i",
        TWO + """SELECT term, CASE term WHEN 'quantity' THEN b1 WHEN 'discount' THEN b2 WHEN '(intercept)' THEN b0 END AS estimate,
   1 - rss2 / tss AS r2, sqrt(rss2 / (n - 3)) AS sigma, n * ln(rss2 / n) + 6 AS aic, n
@@ -71,12 +93,10 @@ def large_mean_correlation(spark, folder):
 
 
 @query("regression_tests", "term:s se:f6 t:f4",
-       TWO + """SELECT term, sqrt(rss2 / (n - 3)) * sqrt(CASE term WHEN 'quantity' THEN s22 / det ELSE s11 / det END) AS se,
-  CASE term WHEN 'quantity' THEN b1 ELSE b2 END / (sqrt(rss2 / (n - 3)) * sqrt(CASE term WHEN 'quantity' THEN s22 / det ELSE s11 / det END)) AS t
-FROM r, (SELECT unnest(['quantity', 'discount']) AS term)""")
+       ALL + "SELECT term, sqrt(rss / (n - 7) * inv[i]) AS se, b / sqrt(rss / (n - 7) * inv[i]) AS t FROM b, f")
 def regression_tests(spark, folder):
-    """Standard errors and t values of the slopes."""
-    fit = rg.regression(descriptors(spark, folder), "target", ["quantity", "discount"])
+    """Standard errors and t values of the slopes of all descriptors."""
+    fit = rg.regression(descriptors(spark, folder), "target", SCOPE)
     return fit.where(F.col("term") != "(intercept)")
 
 
@@ -95,41 +115,40 @@ def stepwise_selection(spark, folder):
     return rg.stepwise(descriptors(spark, folder), "target", SCOPE, ["size"])
 
 
+ROWS = ALL + """, h AS (SELECT a.id, sum(a.v * inv[c.j] * c.v) AS h FROM e a JOIN b ON b.i = a.j JOIN e c ON c.id = a.id AND c.j < 7 GROUP BY 1),
+y AS (SELECT id, sum(b * v) AS part FROM e JOIN b ON i = j GROUP BY 1),
+r AS MATERIALIZED (SELECT *, target - fitted AS resid FROM (SELECT d.*, part + mean AS fitted, 1.0 / n + h AS leverage, rss / (n - 7) AS s2
+  FROM d JOIN y USING (id) JOIN h USING (id), f, (SELECT any_value(mean) AS mean FROM e WHERE j = 7)))
+"""
+
+
 @query("cooks_distance", "id:i fitted:f4 resid:f4 leverage:f8 cooks_d:f8",
-       DESC + """, m AS (SELECT count(*) AS n, avg(quantity) AS mx, regr_slope(target, quantity) AS b, regr_intercept(target, quantity) AS a,
-  regr_sxx(target, quantity) AS sxx, regr_syy(target, quantity) - pow(regr_sxy(target, quantity), 2) / regr_sxx(target, quantity) AS rss FROM d),
-e AS (SELECT id, a + b * quantity AS fitted, target - a - b * quantity AS resid, 1.0 / n + pow(quantity - mx, 2) / sxx AS leverage,
-  rss / (n - 2) AS s2 FROM d, m)
-SELECT id, fitted, resid, leverage, resid * resid / (2 * s2) * leverage / pow(1 - leverage, 2) AS cooks_d FROM e""")
+       ROWS + "SELECT id, fitted, resid, leverage, resid * resid / (7 * s2) * leverage / pow(1 - leverage, 2) AS cooks_d FROM r")
 def cooks_distance(spark, folder):
-    """Leverage and Cook's distance of every row."""
-    return rg.cooks_distance(descriptors(spark, folder), "target", ["quantity"], "id")
+    """Leverage and Cook's distance of every row, from the regression on all descriptors."""
+    return rg.cooks_distance(descriptors(spark, folder), "target", SCOPE, "id")
 
 
 @query("refit_without_outliers", "term:s estimate:f4 r2:f6 n:i")
 def refit_without_outliers(spark, folder):
-    """Stepwise selection again without rows of large Cook's distance."""
+    """Stepwise selection again without rows whose Cook's distance is one or more."""
     table = descriptors(spark, folder)
     distance = rg.cooks_distance(table, "target", SCOPE, "id")
-    kept = table.join(distance.where("cooks_d >= 0.01").select("id"), "id", "left_anti")
+    kept = table.join(distance.where("cooks_d >= 1").select("id"), "id", "left_anti")
     return rg.stepwise(kept, "target", SCOPE, SCOPE)
 
 
 @query("term_contributions", "id:i term:s contribution:f6 partial_residual:f4 fitted:f4",
-       TWO + """SELECT id, term, CASE term WHEN 'quantity' THEN b1 * (quantity - m1) ELSE b2 * (discount - m2) END AS contribution,
-  CASE term WHEN 'quantity' THEN b1 * (quantity - m1) ELSE b2 * (discount - m2) END + target - (b0 + b1 * quantity + b2 * discount) AS partial_residual,
-  b0 + b1 * quantity + b2 * discount AS fitted
-FROM d, r, (SELECT unnest(['quantity', 'discount']) AS term)""")
+       ROWS + """SELECT id, term, b * v AS contribution, b * v + resid AS partial_residual, fitted FROM e JOIN b ON i = j JOIN r USING (id)""")
 def term_contributions(spark, folder):
-    """Contribution of each term and partial residuals."""
-    return rg.term_contributions(descriptors(spark, folder), "target", ["quantity", "discount"], "id")
+    """Contribution of each descriptor and partial residuals."""
+    return rg.term_contributions(descriptors(spark, folder), "target", SCOPE, "id")
 
 
-@query("robust_regression", "term:s estimate:f3 scale:f3 n:i")
+@query("robust_regression", "term:s estimate:f3 scale:f3 n:i converged:b")
 def robust_regression(spark, folder):
-    """MM regression on three descriptors."""
-    return rg.robust_regression(descriptors(spark, folder), "target", ["quantity", "discount", "lines"],
-                                subsets=60)
+    """MM regression on all descriptors."""
+    return rg.robust_regression(descriptors(spark, folder), "target", SCOPE)
 
 
 @query("transformed_target", "id:i root:f6 logged:f6",
