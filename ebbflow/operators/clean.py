@@ -7,9 +7,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from ebbflow.columns import KEY, TIME, VALUE, by_key, finite, in_time
+from ebbflow.columns import KEY, TIME, VALUE, by_key, finite, in_time, so_far
 from ebbflow.functions.calendar import days_in_year, water_year
 from ebbflow.operators.windows import fill_gaps, with_run_id
+from ebbflow.session import settle
 
 # Fixed value: square root of the double precision epsilon; smaller magnitudes count as zero.
 ZERO_TOLERANCE = 1.4901161193847656e-08
@@ -37,8 +38,8 @@ def add_missing_days(df: DataFrame, key: str = KEY, time: str = TIME, value: str
     since = F.col(time)
     if whole_span:
         span = df.agg(F.min(time).alias("lo"), F.max(time).alias("hi"))
-        first, last = span.select("lo").scalar(), span.select("hi").scalar()
-        df = df.withColumns({"_first": F.row_number().over(w) == 1, "_lo": first, "_hi": last})
+        df = df.withColumn("_span", span.select(F.struct("lo", "hi")).scalar())  # one subquery for both ends
+        df = df.withColumns({"_first": F.row_number().over(w) == 1, "_lo": F.col("_span.lo"), "_hi": F.col("_span.hi")})
         until = F.coalesce(F.date_sub(F.lead(time).over(w), 1), F.col("_hi"))
         since = F.when(F.col("_first"), F.col("_lo")).otherwise(F.col(time))
     df = df.withColumns({"_since": since, "_until": until})
@@ -149,6 +150,39 @@ def sanitize_ts(df: DataFrame, ordinal: str, key: str = KEY, time: str = TIME, v
     return Sanitized(series, log)
 
 
+def sanitize_findings(df: DataFrame, ordinal: str, key: str = KEY, time: str = TIME, value: str = VALUE) -> DataFrame:
+    """The rows and gaps behind the entries of the log: ``series_id, step, what, gap, first_day, last_day, value, n``.
+
+    Steps and names are those of :func:`sanitize_ts`.  A finding about rows has their day (twice), their value as it came and
+    how many of them are alike; one about absent days has the number of the gap within its series, its first and last day
+    and its length.  A row can be behind several findings.  Equal rows are counted before any shuffle, and the rows of a day meet
+    their day in a join, so neither a series nor a day is gathered; only days, bounded by the calendar, are put in order.
+    """
+    raw = df.select(F.col(key).alias(KEY), F.col(time).cast("date").alias(TIME), F.col(value).cast("double").alias(VALUE), F.col(ordinal).alias("_ord"))
+    rows = settle(raw.groupBy(KEY, TIME, VALUE).agg(F.min("_ord").alias("_ord"), F.count(F.lit(1)).alias("n")))
+    v, day = F.col(VALUE), F.col(TIME)
+    bad = v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))
+    days = rows.where(day.isNotNull()).groupBy(KEY, TIME).agg(F.min(F.struct("_ord", VALUE)).alias("_first"), F.count(F.lit(1)).alias("_records"))
+    w = in_time()
+    input_order = Window.partitionBy(KEY).orderBy("_first._ord")
+    days = days.withColumns({"_past": day < F.lag(TIME).over(input_order), "_next": F.lead(TIME).over(w)})
+    days = days.withColumn("_gap", F.datediff("_next", TIME) - 1).withColumn("gap", F.sum(F.when(F.col("_gap") > 0, 1).otherwise(0)).over(so_far(w)))
+
+    def found(of: DataFrame, cases: list[tuple[int, str, Column]], **columns: Column) -> DataFrame:
+        hits = F.filter(F.array(*[F.when(c, F.struct(F.lit(step).alias("step"), F.lit(what).alias("what"))) for step, what, c in cases]), lambda x: x.isNotNull())
+        return of.withColumn("_hit", F.explode(hits)).select(KEY, "_hit.step", "_hit.what", *[c.alias(n) for n, c in columns.items()])
+
+    many = days.where(F.col("_records") > 1).select(KEY, TIME, F.lit(True).alias("_many"))
+    one = {"gap": F.lit(None).cast("long"), "first_day": day, "last_day": day, "value": v, "n": F.col("n")}
+    by_row = found(rows.join(many, [KEY, TIME], "left"), [
+        (1, "no value", bad), (2, "negative", ~bad & (v < 0)), (3, "zero", ~bad & (F.abs(v) < ZERO_TOLERANCE)), (4, "undated", day.isNull()),
+        (5, "identical rows", day.isNotNull() & (F.col("n") > 1)), (6, "day repeated", F.col("_many").isNotNull())], **one)
+    by_day = found(days, [(7, "out of order", F.col("_past"))], **one | {"value": F.col(f"_first.{VALUE}"), "n": F.lit(1).cast("long")})
+    gaps = found(days, [(8, "days absent", F.col("_gap") > 0)], gap=F.col("gap"), first_day=F.date_add(TIME, 1), last_day=F.date_sub("_next", 1),
+                 value=F.lit(None).cast("double"), n=F.col("_gap").cast("long"))
+    return by_row.unionByName(by_day).unionByName(gaps)
+
+
 def _previous_day() -> WindowSpec:
     """The dated row just before the current one in input order (days of one series only)."""
     return Window.partitionBy(KEY, F.col(TIME).isNull()).orderBy("_ord").rowsBetween(-1, -1)

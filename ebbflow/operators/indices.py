@@ -245,13 +245,29 @@ def whittaker(df: DataFrame, by: Sequence[str], position: str = "md", value: str
 
     def smooth(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(position)
-        z = np.linalg.solve(_penalty(len(pdf), lam), pdf[value].to_numpy(float))
+        z = _smoothed(pdf[value].to_numpy(float), lam)
         z = np.where(z < 0.00025, 0.0, np.where(z < 0.0005, 0.0005, z))
         return pdf.assign(smoothed=z)
 
     return df.groupBy(*by).applyInPandas(smooth, schema)
 
 
-def _penalty(n: int, lam: float) -> np.ndarray:
-    second = np.diff(np.eye(n), 2, axis=0) if n > 2 else np.zeros((0, n))
-    return np.eye(n) + lam * second.T @ second
+def _smoothed(y: np.ndarray, lam: float) -> np.ndarray:
+    """Solve ``(I + lam D'D) z = y`` for second differences ``D``: five bands, factorised in one sweep and solved in another."""
+    n = len(y)
+    diagonal, next1, next2 = np.ones(n + 2), np.zeros(n + 2), np.zeros(n + 2)
+    for shift, weight in ((0, 1.0), (1, 4.0), (2, 1.0)):
+        diagonal[shift:shift + max(n - 2, 0)] += lam * weight
+    for shift in (0, 1):
+        next1[shift:shift + max(n - 2, 0)] -= 2 * lam
+    next2[:max(n - 2, 0)] = lam
+    # Entries -1 and -2, before the first row, are the two spare ones at the end.
+    d, c, e, z = np.zeros(n + 2), np.zeros(n + 2), np.zeros(n + 2), np.zeros(n + 2)
+    for i in range(n):
+        d[i] = diagonal[i] - d[i - 1] * c[i - 1] ** 2 - d[i - 2] * e[i - 2] ** 2
+        c[i] = (next1[i] - d[i - 1] * c[i - 1] * e[i - 1]) / d[i]
+        e[i] = next2[i] / d[i]
+        z[i] = y[i] - c[i - 1] * z[i - 1] - e[i - 2] * z[i - 2]
+    for i in range(n - 1, -1, -1):
+        z[i] = z[i] / d[i] - c[i] * z[i + 1] - e[i] * z[i + 2]
+    return z[:n]

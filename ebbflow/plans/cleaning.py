@@ -91,6 +91,37 @@ def order_sanitize_log(spark, folder):
     return clean.sanitize_ts(raw, "o_orderkey").log
 
 
+FINDINGS = """rec AS (SELECT series_id, time, value, min(ord) AS ord, count(*) AS n FROM raw GROUP BY 1, 2, 3),
+dayr AS (SELECT series_id, time, min(ord) AS ord, arg_min(value, ord) AS value, count(*) AS records FROM rec GROUP BY 1, 2),
+lg AS (SELECT *, lag(time) OVER (PARTITION BY series_id ORDER BY ord) AS prev, lead(time) OVER t AS nxt,
+  date_diff('day', time, lead(time) OVER t) - 1 AS absent FROM dayr WINDOW t AS (PARTITION BY series_id ORDER BY time)),
+ga AS (SELECT *, count(*) FILTER (absent > 0) OVER (PARTITION BY series_id ORDER BY time) AS gap FROM lg),
+fi AS (SELECT series_id, 2 AS step, 'negative' AS what, NULL AS gap, time AS first_day, time AS last_day, value, n FROM rec WHERE value < 0
+UNION ALL SELECT series_id, 3, 'zero', NULL, time, time, value, n FROM rec WHERE abs(value) < 1.4901161193847656e-08
+UNION ALL SELECT series_id, 5, 'identical rows', NULL, time, time, value, n FROM rec WHERE n > 1
+UNION ALL SELECT rec.series_id, 6, 'day repeated', NULL, rec.time, rec.time, rec.value, n FROM rec JOIN dayr USING (series_id, time) WHERE records > 1
+UNION ALL SELECT series_id, 7, 'out of order', NULL, time, time, value, 1 FROM lg WHERE time < prev
+UNION ALL SELECT series_id, 8, 'days absent', gap, CAST(time + INTERVAL 1 DAY AS DATE), CAST(nxt - INTERVAL 1 DAY AS DATE), NULL, absent FROM ga WHERE absent > 0)"""
+
+
+@query("sanitize_findings", "series_id:s step:i what:s gap:i first_day:d last_day:d value:f2 n:i",
+       sql.with_(RAW, FINDINGS) + "SELECT * FROM fi")
+def sanitize_findings(spark, folder):
+    """The rows behind each entry of the cleaning log."""
+    return clean.sanitize_findings(series.event_observations(spark, folder), "event_id")
+
+
+@query("order_findings", "series_id:s step:i what:s gap:i first_day:d last_day:d value:f2 n:i",
+       sql.with_("""raw AS (SELECT o_orderpriority AS series_id, CAST(o_orderdate AS DATE) AS time, floor(o_totalprice / 100000) AS value, o_orderkey AS ord FROM orders)""",
+                 FINDINGS) + "SELECT * FROM fi")
+def order_findings(spark, folder):
+    """Rows and numbered gaps behind the cleaning log of unordered raw orders."""
+    raw = series.table(spark, folder, "orders").select(
+        F.col("o_orderpriority").alias("series_id"), F.col("o_orderdate").alias("time"),
+        F.floor(F.col("o_totalprice") / 100000).cast("double").alias("value"), "o_orderkey")
+    return clean.sanitize_findings(raw, "o_orderkey")
+
+
 @query("explicit_gaps", "series_id:s time:d value:f2",
        sql.with_(sql.ORDER, sql.full("ords")) + "SELECT * FROM fullc")
 def explicit_gaps(spark, folder):

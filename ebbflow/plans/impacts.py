@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ebbflow.columns import by_key
+from ebbflow.functions.calendar import month_day_label
 from ebbflow.operators import events as ev
 from ebbflow.operators import impact as im
+from ebbflow.operators import indices as idx
 from ebbflow.operators import skill as sk
 from ebbflow.operators.clean import add_missing_days
 from ebbflow.operators.windows import exact_quantiles
+from ebbflow.plans import flows
 from ebbflow.plans import fragments as sql
-from ebbflow.plans.registry import query
+from ebbflow.plans.registry import QUERIES, query
 from ebbflow.sources import series
 
 # ---- forecast skill --------------------------------------------------------------------------
@@ -235,10 +238,24 @@ def impact_profile_interval(spark, folder):
 
 # ---- curves ----------------------------------------------------------------------------------
 
-@query("smoothed_quantile_curves", "series_id:s exc_freq:s md:i flow:f4 smoothed:f4")
+# Weight of the second differences.
+PENALTY = 1600.0
+
+
+@query("smoothed_quantile_curves", "series_id:s exc_freq:s md:s flow:f4 smoothed:f4",
+       "WITH RECURSIVE q0 AS (" + (QUERIES[flows.daily_quantile_curves.__name__].sql) + f"""),
+cu AS (SELECT series_id, exc_freq, list(md ORDER BY md) AS md, list(flow ORDER BY md) AS y, count(*) AS n FROM q0 GROUP BY 1, 2),
+fw AS (SELECT series_id, exc_freq, y, n, CAST(0 AS BIGINT) AS i, 0.0::DOUBLE AS d1, 0.0::DOUBLE AS c1, 0.0::DOUBLE AS e1, 0.0::DOUBLE AS z1, 0.0::DOUBLE AS d2, 0.0::DOUBLE AS e2, 0.0::DOUBLE AS z2,
+    CAST([] AS DOUBLE[]) AS ds, CAST([] AS DOUBLE[]) AS cs, CAST([] AS DOUBLE[]) AS es, CAST([] AS DOUBLE[]) AS zs FROM cu UNION ALL
+  SELECT series_id, exc_freq, y, n, i, d, (b - d1 * c1 * e1) / d, g / d, z, d1, e1, z1, list_append(ds, d), list_append(cs, (b - d1 * c1 * e1) / d), list_append(es, g / d), list_append(zs, z)
+  FROM (SELECT series_id, exc_freq, y, n, i + 1 AS i, d1, c1, e1, z1, ds, cs, es, zs, y[i + 1] - c1 * z1 - e2 * z2 AS z,
+      1 + {PENALTY} * CASE WHEN i + 1 IN (1, n) THEN 1 WHEN i + 1 IN (2, n - 1) THEN 5 ELSE 6 END - d1 * c1 * c1 - d2 * e2 * e2 AS d,
+      CASE WHEN i + 1 >= n THEN 0 WHEN i + 1 IN (1, n - 1) THEN -2 * {PENALTY} ELSE -4 * {PENALTY} END AS b, CASE WHEN i + 1 > n - 2 THEN 0 ELSE {PENALTY} END AS g FROM fw WHERE i < n)),
+bw AS (SELECT series_id, exc_freq, n + 1 AS i, ds, cs, es, zs, 0.0::DOUBLE AS x1, 0.0::DOUBLE AS x2 FROM fw WHERE i = n UNION ALL
+  SELECT series_id, exc_freq, i - 1, ds, cs, es, zs, zs[i - 1] / ds[i - 1] - cs[i - 1] * x1 - es[i - 1] * x2, x1 FROM bw WHERE i > 1)
+SELECT bw.series_id, bw.exc_freq, md[i] AS md, y[i] AS flow, CASE WHEN x1 < 0.00025 THEN 0.0 WHEN x1 < 0.0005 THEN 0.0005 ELSE x1 END AS smoothed
+FROM bw JOIN cu USING (series_id, exc_freq) WHERE i <= n""")
 def smoothed_quantile_curves(spark, folder):
     """Quantile curves per month-day, smoothed."""
-    from ebbflow.operators import indices as idx
-
     curves = idx.daily_quantiles(series.ship_daily(spark, folder))
-    return idx.whittaker(curves, ["series_id", "exc_freq"])
+    return idx.whittaker(curves, ["series_id", "exc_freq"], lam=PENALTY).withColumn("md", month_day_label(F.col("md")))

@@ -90,3 +90,18 @@ def test_coverage_counts_values_not_rows(series):
 def test_unknown_policy(series):
     with pytest.raises(ValueError):
         clean.treat_missing_values(series({"a": [1]}), "drop_week")
+
+
+def test_findings_of_awkward_rows(spark):
+    """Missing, infinite, negative, zero, undated, repeated and unordered rows, and two gaps."""
+    rows = [("a", 5, 1.0, 1), ("a", 1, 2.0, 2), ("a", 1, 2.0, 3), ("a", 1, 3.0, 4), ("a", 2, None, 5), ("a", 2, float("nan"), 6), ("a", 9, -1.0, 7), ("a", 9, 0.0, 8), ("a", None, 4.0, 9),
+            ("a", None, 4.0, 10), ("a", 10, float("inf"), 11), (None, 1, 1.0, 12), (None, 3, 1.0, 13)]
+    day = lambda n: None if n is None else dt.date(2001, 1, n)
+    df = spark.createDataFrame([(k, day(d), v, o, "x") for k, d, v, o in rows], "series_id string, time date, value double, line long, what string")
+    got = clean.sanitize_findings(df, "line").collect()
+    seen = sorted((str(r["series_id"]), r["step"], r["gap"] or 0, r["first_day"].day if r["first_day"] else 0, r["last_day"].day if r["last_day"] else 0, r["n"]) for r in got)
+    assert seen == sorted([
+        ("a", 1, 0, 2, 2, 1), ("a", 1, 0, 2, 2, 1), ("a", 1, 0, 10, 10, 1), ("a", 2, 0, 9, 9, 1), ("a", 3, 0, 9, 9, 1), ("a", 4, 0, 0, 0, 2), ("a", 5, 0, 1, 1, 2),
+        ("a", 6, 0, 1, 1, 2), ("a", 6, 0, 1, 1, 1), ("a", 6, 0, 2, 2, 1), ("a", 6, 0, 2, 2, 1), ("a", 6, 0, 9, 9, 1), ("a", 6, 0, 9, 9, 1), ("a", 7, 0, 1, 1, 1),
+        ("a", 8, 1, 3, 4, 2), ("a", 8, 2, 6, 8, 3), ("None", 8, 1, 2, 2, 1)])
+    assert clean.sanitize_findings(df.limit(0), "line").collect() == []

@@ -56,3 +56,12 @@ def test_scan_reads_only_needed_columns(spark):
 def test_filter_on_a_series_reaches_the_scan(spark):
     events = ev.drought_events(src.ship_daily(spark, FOLDER), q90()).where("series_id = 'A'")
     assert "EqualTo(l_returnflag,A)" in plan(events)
+
+
+def test_completing_levels_reads_nothing_again(spark):
+    """Spell statistics by year read the tables as often as the daily series itself does."""
+    from ebbflow.plans.no_flow import longest_spell_per_year
+
+    daily, yearly = plan(src.nation_daily(spark, FOLDER)), plan(longest_spell_per_year(spark, FOLDER))
+    assert yearly.count("FileScan") == daily.count("FileScan") <= 4
+    assert yearly.count("Join") == daily.count("Join")
