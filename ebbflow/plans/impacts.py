@@ -163,8 +163,10 @@ QUALITY = """lab AS (SELECT quality AS impact, ln(n_chars) AS length, toxic FROM
   (quantile_cont(length, 0.75) - quantile_cont(length, 0.25)) / 1.34) * pow(count(*), -0.2) AS h FROM lab GROUP BY 1),
 rg AS (SELECT min(length) AS a, max(length) AS b FROM lab),
 gr AS (SELECT i, a + (b - a) * i / 31.0 AS x FROM rg, (SELECT unnest(range(0, 32)) AS i)),
-de AS (SELECT impact, i, x, sum(exp(-0.5 * pow((x - length) / h, 2))) / (max(h) * max(n) * sqrt(2 * pi())) AS density
-  FROM lab JOIN st USING (impact), gr GROUP BY 1, 2, 3)""")
+pl AS (SELECT impact, (length - a) / ((b - a) / 511) AS place, least(floor((length - a) / ((b - a) / 511)), 510) AS cell FROM lab, rg),
+ct AS (SELECT impact, cell, sum(w) AS c FROM (SELECT impact, cell, 1 - (place - cell) AS w FROM pl UNION ALL SELECT impact, cell + 1, place - cell FROM pl) GROUP BY 1, 2),
+de AS (SELECT impact, i, x, sum(c * exp(-0.5 * pow((x - (a + (b - a) / 511 * cell)) / h, 2))) / (max(h) * max(n) * sqrt(2 * pi())) AS density
+  FROM ct JOIN st USING (impact), rg, gr GROUP BY 1, 2, 3)""")
        + "SELECT *, density / sum(density) OVER (PARTITION BY i) AS share FROM de")
 def impact_density(spark, folder):
     """Stacked class densities along the index."""

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ebbflow.functions.calendar import day_of_normal_year
 from ebbflow.operators import spells as sp
+from ebbflow.operators.clean import add_missing_days
 from ebbflow.plans import fragments as sql
 from ebbflow.plans.registry import query
 from ebbflow.sources import series
@@ -142,13 +143,13 @@ def mean_onset_by_metric(spark, folder):
                           agg_total=concentration)
 
 
-def _allocated(rule: str):
+def _allocated(rule: str, level: str = "year"):
     def build(spark, folder):
         days = sp.classify(series.nation_daily(spark, folder), THRESHOLD)
-        days = sp.allocate_spell(days, {"year": rule})
-        return days.groupBy("series_id", "year", "spell", "state").agg(F.count(F.lit(1)).alias("days"))
+        days = sp.allocate_spell(days, {level: rule})
+        return days.groupBy("series_id", level, "spell", "state").agg(F.count(F.lit(1)).alias("days"))
 
-    build.__doc__ = f"Days per spell and year, spells allocated by {rule}."
+    build.__doc__ = f"Days per spell and {level}, spells allocated by {rule}."
     return build
 
 
@@ -166,3 +167,41 @@ sp2 AS (SELECT sp.*, yy FROM sp JOIN lv USING (series_id, run))""", "yy"),
 for _rule, (_cte, _year) in _RULES.items():
     query(f"spells_{_rule}", "series_id:s year:i spell:i state:s days:i",
           sql.with_(sql.NATION, *SPELLS, _cte) + _ALLOCATED.format(year=_year))(_allocated(_rule))
+
+# The same by calendar month and by run of one month.
+_LEVELS = {"minor": "m", "group": "dense_rank() OVER (PARTITION BY series_id ORDER BY y, m)"}
+_LEVEL_RULES = {
+    "onset": "al AS (SELECT *, arg_min(v, time) OVER (PARTITION BY series_id, run) AS to_ FROM lv)",
+    "termination": "al AS (SELECT *, arg_max(v, time) OVER (PARTITION BY series_id, run) AS to_ FROM lv)",
+    "majority": """cnt AS (SELECT series_id, run, v, count(*) AS c, min(time) AS a FROM lv GROUP BY ALL),
+maj AS (SELECT series_id, run, arg_min(v, (-c, a)) AS to_ FROM cnt GROUP BY 1, 2),
+al AS (SELECT lv.*, to_ FROM lv JOIN maj USING (series_id, run))""",
+    "duplicate": """dis AS (SELECT DISTINCT series_id, run, v AS to_ FROM lv),
+al AS (SELECT lv.*, to_ FROM lv JOIN dis USING (series_id, run))""",
+}
+for _level, _value in _LEVELS.items():
+    for _rule, _cte in _LEVEL_RULES.items():
+        query(f"spells_{_level}_{_rule}", f"series_id:s {_level}:i spell:i state:s days:i",
+              sql.with_(sql.NATION, *SPELLS, f"lv AS (SELECT *, {_value} AS v FROM sp)", _cte)
+              + f'SELECT series_id, to_ AS "{_level}", run + 1 AS spell, state, count(*) AS days FROM al GROUP BY ALL')(_allocated(_rule, _level))
+
+_GAPPED = """lv AS (SELECT *, dayofyear(time) AS "minor", dense_rank() OVER (PARTITION BY series_id ORDER BY year(time), month(time)) AS "group" FROM fullc),
+ok AS (SELECT series_id, "{level}" FROM lv GROUP BY 1, 2 HAVING count(*) FILTER (value IS NULL) = 0)
+"""
+
+
+@query("complete_minor_periods", "series_id:s minor:i days:i",
+       sql.with_(sql.STATUS, sql.full("status"), _GAPPED.format(level="minor")) + 'SELECT series_id, "minor", count(*) AS days FROM lv JOIN ok USING (series_id, "minor") GROUP BY 1, 2')
+def complete_minor_periods(spark, folder):
+    """Missing-value policy "drop_minor": days of the year that are known in every year."""
+    days = add_missing_days(series.ship_daily_by_status(spark, folder))
+    kept = sp.classify(days, THRESHOLD, minor=F.dayofyear("time"), na="drop_minor")
+    return kept.groupBy("series_id", "minor").agg(F.count(F.lit(1)).alias("days"))
+
+
+@query("complete_groups", "series_id:s group:i days:i",
+       sql.with_(sql.STATUS, sql.full("status"), _GAPPED.format(level="group")) + 'SELECT series_id, "group", count(*) AS days FROM lv JOIN ok USING (series_id, "group") GROUP BY 1, 2')
+def complete_groups(spark, folder):
+    """Missing-value policy "drop_group": single months without a missing day."""
+    days = add_missing_days(series.ship_daily_by_status(spark, folder))
+    return sp.classify(days, THRESHOLD, na="drop_group").groupBy("series_id", "group").agg(F.count(F.lit(1)).alias("days"))
