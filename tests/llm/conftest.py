@@ -47,5 +47,15 @@ def stored(spark, documents, no_documents, tmp_path_factory):
                               if name == "some" else [], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
         spark.createDataFrame([(1, "https://A.example.org/es/x?q"), (2, None), (3, "no scheme"), (4, "http://x.com/fr/1"), (4, "http://x.com/fr/1"), (5, "http://org"),
                                (6, "ftp://b.net/" + "p" * 5000), (None, "http://example.org/en/12#t")] if name == "some" else [], "page_id long, url string").write.parquet(f"{path}/pages.parquet")
+        spark.createDataFrame(vectors() if name == "some" else [], "vec_id long, embedding array<float>, label int, cluster string").write.parquet(f"{path}/embeddings.parquet")
         out[name] = path
     return out
+
+
+def vectors():
+    """Vectors with every awkward case: 60 good ones in four groups, repeated rows, and nine that take no part."""
+    good = [(k, [((k % 4) * 7 + j * 3 + k) % 11 / 16 - 0.3 for j in range(64)], k % 3, "x") for k in range(0, 300, 5)]
+    flat = [0.125] * 64
+    bad = [(301, None, 1, "x"), (302, [None] + [0.1] * 63, 1, "x"), (303, [float("nan")] + [0.1] * 63, 0, "x"), (304, [float("inf")] + [0.1] * 63, 0, None), (305, [0.1] * 63, 1, "x"),
+           (306, [0.1] * 65, 1, "x"), (307, [], 1, "x"), (None, None, None, None), (308, None, None, None)]
+    return good + good[:3] + [(400, flat, 1, "x"), (400, flat, 1, "x"), (401, flat, None, "x"), (402, flat, 2, "x")] + bad
