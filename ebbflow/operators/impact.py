@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Sequence
 
 from pyspark.ml.feature import VectorAssembler
@@ -90,7 +91,10 @@ def fit_logistic(df: DataFrame, y: str, xs: Sequence[str], offset: str | None =
     if offset:
         glm = glm.setOffsetCol(offset)
     rows = features(df.withColumn("_label", F.col(y).cast("double")), xs)
-    return glm.fit(rows)
+    model = glm.fit(rows)
+    if model.summary.numIterations >= glm.getMaxIter():
+        warnings.warn(f"the logistic regression did not settle in {glm.getMaxIter()} rounds; the classes may be separable", stacklevel=2)
+    return model
 
 
 def logistic_table(df: DataFrame, y: str, xs: Sequence[str], level: float = 0.95) -> DataFrame:
@@ -153,6 +157,8 @@ def profile_interval(df: DataFrame, y: str, x: str, rounds: int = 30) -> tuple[f
         points = new
         if moved < 1e-8:
             break
+    else:
+        warnings.warn(f"the profile interval did not settle in {rounds} rounds", stacklevel=2)
     return points[0][1], points[1][1]
 
 
