@@ -231,7 +231,23 @@ def impact_partial_effect(spark, folder):
     return im.partial_effect(quality(spark, folder), "impact", ["length"], "length")
 
 
-@query("impact_profile_interval", "lower:f3 upper:f3")
+# Intercept and slope at which the deviance has risen by the limit while the intercept is at its best, by Newton steps from the Wald limits.
+PROFILE = """wald AS (SELECT dev, b0 + 6.0 * b1 AS a0, b1, sqrt(h00 / (h00 * h11 - h01 * h01)) AS se, (h01 - 6.0 * h00) / h00 AS tilt FROM inf),
+pf AS (SELECT side, 0 AS step, a0 - tilt * side * 1.959963984540054 * se AS a, b1 + side * 1.959963984540054 * se AS b, se, dev FROM wald, (SELECT unnest([-1.0, 1.0]) AS side)
+UNION ALL SELECT side, step + 1, a + least(1, se / abs(db)) * da, b + least(1, se / abs(db)) * db, se, dev
+FROM (SELECT *, (2 * g0 * g1 + h01 * (dev + 3.841458820694124 - d)) / (2 * h00 * g1 - 2 * h01 * g0) AS da, (-h00 * (dev + 3.841458820694124 - d) - 2 * g0 * g0) / (2 * h00 * g1 - 2 * h01 * g0) AS db
+FROM (SELECT side, step, a, b, se, dev,
+  list_sum(list_transform(l, lambda r: r.k - r.w / (1 + exp(-a - b * r.x)))) AS g0,
+  list_sum(list_transform(l, lambda r: (r.k - r.w / (1 + exp(-a - b * r.x))) * r.x)) AS g1,
+  list_sum(list_transform(l, lambda r: r.w / (1 + exp(-a - b * r.x)) / (1 + exp(a + b * r.x)))) AS h00,
+  list_sum(list_transform(l, lambda r: r.w / (1 + exp(-a - b * r.x)) / (1 + exp(a + b * r.x)) * r.x)) AS h01,
+  list_sum(list_transform(l, lambda r: 2 * (r.w * (greatest(a + b * r.x, 0) + ln(1 + exp(-abs(a + b * r.x)))) - r.k * (a + b * r.x)))) AS d
+  FROM pf, pts WHERE step < 12)))"""
+
+
+@query("impact_profile_interval", "lower:f3 upper:f3",
+       sql.with_(QUALITY, NEWTON, PROFILE).replace("WITH ", "WITH RECURSIVE ", 1)
+       + "SELECT min(b) AS lower, max(b) AS upper FROM pf WHERE step = 12")
 def impact_profile_interval(spark, folder):
     """Profile-likelihood interval of the slope."""
     lower, upper = im.profile_interval(quality(spark, folder), "impact", "length")

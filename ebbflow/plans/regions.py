@@ -109,7 +109,32 @@ def term_changes(spark, folder):
     return rg.single_term_changes(descriptors(spark, folder), "target", ["quantity", "discount"], ["quantity"])
 
 
-@query("stepwise_selection", "term:s estimate:f4 se:f4 r2:f6 aic:f2 n:i")
+def _subsets(table: str, start: int) -> str:
+    """Every subset of the descriptors swept out of the cross products of ``table``; then the path of least AIC from subset ``start``."""
+    t = table
+    return f"""e_{t} AS MATERIALIZED (SELECT id, j, v - avg(v) OVER (PARTITION BY j) AS v, avg(v) OVER (PARTITION BY j) AS mean FROM (
+  SELECT id, unnest(range(1, 8)) AS j, unnest([{', '.join(SCOPE)}, target]) AS v FROM {t})),
+mean_{t} AS (SELECT j, any_value(mean) AS mean FROM e_{t} GROUP BY 1),
+cross_{t} AS (SELECT list(r ORDER BY i) AS m FROM (SELECT i, list(s ORDER BY j) || list_transform(range(1, 8), lambda k: CASE WHEN k = i THEN 1.0 ELSE 0.0 END) AS r
+  FROM (SELECT a.j AS i, b.j, sum(a.v * b.v) AS s FROM e_{t} a JOIN e_{t} b USING (id) GROUP BY 1, 2) GROUP BY i)),
+swept_{t} AS (SELECT u AS sub, CAST(1 AS BIGINT) AS s, m FROM cross_{t}, (SELECT unnest(range(0, 64)) AS u) UNION ALL
+  SELECT sub, s + 1, CASE WHEN (sub // CAST(pow(2, s - 1) AS BIGINT)) % 2 = 0 THEN m ELSE list_transform(m, lambda r, i: CASE WHEN i = s THEN list_transform(r, lambda x: x / r[s])
+    ELSE list_transform(r, lambda x, j: x - r[s] * m[s][j] / m[s][s]) END) END FROM swept_{t} WHERE s <= 6),
+model_{t} AS MATERIALIZED (SELECT sub, m, n, bit_count(sub) + 1 AS p, m[7][7] AS rss, n * ln(m[7][7] / n) + 2 * (bit_count(sub) + 1) AS aic
+  FROM swept_{t}, (SELECT count(*) AS n FROM {t}) WHERE s = 7),
+path_{t} AS (SELECT CAST({start} AS BIGINT) AS sub, 0 AS k UNION ALL SELECT nxt, k + 1 FROM (
+  SELECT k, arg_min(f.sub, f.aic) AS nxt, min(f.aic) AS least, any_value(c.aic) AS now FROM path_{t} z JOIN model_{t} c ON c.sub = z.sub
+  JOIN model_{t} f ON bit_count(xor(f.sub, z.sub)) = 1 GROUP BY k) WHERE least < now),
+last_{t} AS (SELECT * FROM model_{t} WHERE sub = (SELECT arg_max(sub, k) FROM path_{t})),
+term_{t} AS (SELECT l.*, i, l.m[i][7] AS b, x.mean FROM last_{t} l, (SELECT unnest(range(1, 7)) AS i) JOIN mean_{t} x ON x.j = i WHERE (sub // CAST(pow(2, i - 1) AS BIGINT)) % 2 = 1),
+level_{t} AS (SELECT (SELECT mean FROM mean_{t} WHERE j = 7) - coalesce((SELECT sum(b * mean) FROM term_{t}), 0) AS b0,
+  coalesce((SELECT sum(u.mean * u.m[u.i][7 + v.i] * v.mean) FROM term_{t} u, term_{t} v), 0) AS q),
+chosen_{t} AS (SELECT {SCOPE}[i] AS term, b AS estimate, sqrt(rss / (n - p) * m[i][7 + i]) AS se, 1 - rss / (SELECT rss FROM model_{t} WHERE sub = 0) AS r2, aic, n FROM term_{t}
+  UNION ALL SELECT '(intercept)', b0, sqrt(rss / (n - p) * (1.0 / n + q)), 1 - rss / (SELECT rss FROM model_{t} WHERE sub = 0), aic, n FROM last_{t}, level_{t})"""
+
+
+@query("stepwise_selection", "term:s estimate:f4 se:f4 r2:f6 aic:f2 n:i",
+       DESC.replace("WITH ", "WITH RECURSIVE ", 1) + ", " + _subsets("d", 1) + " SELECT * FROM chosen_d")
 def stepwise_selection(spark, folder):
     """Stepwise selection among all descriptors."""
     return rg.stepwise(descriptors(spark, folder), "target", SCOPE, ["size"])
@@ -129,7 +154,9 @@ def cooks_distance(spark, folder):
     return rg.cooks_distance(descriptors(spark, folder), "target", SCOPE, "id")
 
 
-@query("refit_without_outliers", "term:s estimate:f4 r2:f6 n:i")
+@query("refit_without_outliers", "term:s estimate:f4 r2:f6 n:i",
+       ROWS + ", d2 AS MATERIALIZED (SELECT * FROM d WHERE id NOT IN (SELECT id FROM r WHERE resid * resid / (7 * s2) * leverage / pow(1 - leverage, 2) >= 1)), "
+       + _subsets("d2", 63) + " SELECT term, estimate, r2, n FROM chosen_d2")
 def refit_without_outliers(spark, folder):
     """Stepwise selection again without rows whose Cook's distance is one or more."""
     table = descriptors(spark, folder)

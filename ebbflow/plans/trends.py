@@ -343,7 +343,29 @@ def pca_two_indices(spark, folder):
     return tr.pca_loadings(indices(spark, folder), ["mean_flow", "MAM30"])
 
 
-@query("pca_loadings", "component:i variable:s loading:f6 sdev:f6 proportion:f6 cumulative:f6")
+_P = len(COLUMNS)
+_TURNS = [[p, q] for p in range(1, _P) for q in range(p + 1, _P + 1)]
+
+# Eigenvectors by plane rotations: ten rounds over all pairs, with the unit matrix below the correlations.
+JACOBI = f"""lo AS (SELECT series_id, unnest(range(1, {_P + 1})) AS i, unnest([{', '.join(f'"{c}"' for c in COLUMNS)}]) AS v FROM ind
+  WHERE {' AND '.join(f'"{c}" IS NOT NULL' for c in COLUMNS)}),
+rr AS (SELECT a.i, list(r ORDER BY a.j) AS r FROM (SELECT a.i, b.i AS j, corr(a.v, b.v) AS r FROM lo a JOIN lo b USING (series_id) GROUP BY 1, 2) a GROUP BY a.i
+  UNION ALL SELECT {_P} + k, list_transform(range(1, {_P + 1}), lambda x: CASE WHEN x = k THEN 1.0 ELSE 0.0 END) FROM (SELECT unnest(range(1, {_P + 1})) AS k)),
+ro AS (SELECT CAST(0 AS BIGINT) AS s, list(r ORDER BY i) AS m FROM rr UNION ALL
+  SELECT s + 1, list_transform(m2, lambda r, i: CASE WHEN i = p THEN list_transform(r, lambda x, j: c * x - sn * m2[q][j]) WHEN i = q THEN list_transform(r, lambda x, j: sn * m2[p][j] + c * x) ELSE r END)
+  FROM (SELECT s, p, q, c, sn, list_transform(m, lambda r: list_transform(r, lambda x, j: CASE WHEN j = p THEN c * r[p] - sn * r[q] WHEN j = q THEN sn * r[p] + c * r[q] ELSE x END)) AS m2
+    FROM (SELECT s, m, p, q, 1 / sqrt(1 + t * t) AS c, t / sqrt(1 + t * t) AS sn FROM (SELECT s, m, p, q,
+        CASE WHEN abs(m[p][q]) < 1e-300 THEN 0.0 ELSE (CASE WHEN m[q][q] >= m[p][p] THEN 1.0 ELSE -1.0 END) * sign(m[p][q])
+          / (abs((m[q][q] - m[p][p]) / (2 * m[p][q])) + sqrt(1 + pow((m[q][q] - m[p][p]) / (2 * m[p][q]), 2))) END AS t
+      FROM (SELECT s, m, {_TURNS}[s % {len(_TURNS)} + 1][1] AS p, {_TURNS}[s % {len(_TURNS)} + 1][2] AS q FROM ro WHERE s < {10 * len(_TURNS)}))))),
+ev AS (SELECT k, greatest(m[k][k], 0) AS e, m, row_number() OVER (ORDER BY m[k][k] DESC) AS component FROM (SELECT m, unnest(range(1, {_P + 1})) AS k FROM ro WHERE s = {10 * len(_TURNS)})),
+ld AS (SELECT component, e, i, m[{_P} + i][k] AS v FROM ev, (SELECT unnest(range(1, {_P + 1})) AS i)),
+sg AS (SELECT component, CASE WHEN arg_max(v, (round(abs(v), 10), -i)) < 0 THEN -1 ELSE 1 END AS g FROM ld GROUP BY 1)"""
+
+
+@query("pca_loadings", "component:i variable:s loading:f6 sdev:f6 proportion:f6 cumulative:f6",
+       sql.with_(*INDEX_CTES, JACOBI).replace("WITH ", "WITH RECURSIVE ", 1) + f"""SELECT component, {COLUMNS}[i] AS variable, g * v AS loading, sqrt(e) AS sdev, e / t AS proportion,
+  (SELECT sum(e) FROM ev x WHERE x.component <= ld.component) / t AS cumulative FROM ld JOIN sg USING (component), (SELECT sum(e) AS t FROM ev)""")
 def pca_loadings(spark, folder):
     """Principal components of all indices."""
     return tr.pca_loadings(indices(spark, folder), COLUMNS)
