@@ -364,11 +364,12 @@ sg AS (SELECT component, CASE WHEN arg_max(v, (round(abs(v), 10), -i)) < 0 THEN
 
 
 @query("pca_loadings", "component:i variable:s loading:f6 sdev:f6 proportion:f6 cumulative:f6",
-       sql.with_(*INDEX_CTES, JACOBI).replace("WITH ", "WITH RECURSIVE ", 1) + f"""SELECT component, {COLUMNS}[i] AS variable, g * v AS loading, sqrt(e) AS sdev, e / t AS proportion,
+       sql.with_(*INDEX_CTES, JACOBI).replace("WITH ", "WITH RECURSIVE ", 1) + f"""SELECT component, {COLUMNS}[i] AS variable, CASE WHEN sqrt(e) > 1e-6 THEN g * v END AS loading, sqrt(e) AS sdev, e / t AS proportion,
   (SELECT sum(e) FROM ev x WHERE x.component <= ld.component) / t AS cumulative FROM ld JOIN sg USING (component), (SELECT sum(e) AS t FROM ev)""")
 def pca_loadings(spark, folder):
-    """Principal components of all indices."""
-    return tr.pca_loadings(indices(spark, folder), COLUMNS)
+    """Principal components of all indices; one without variance, as with fewer stations than indices, has no direction."""
+    found = tr.pca_loadings(indices(spark, folder), COLUMNS)
+    return found.withColumn("loading", F.when(F.col("sdev") > 1e-6, F.col("loading")))
 
 
 @query("pca_scores", "series_id:s PC1:f6 PC2:f6",
