@@ -129,4 +129,4 @@ def test_kriging_of_nearest(spark, cells):
     with pytest.raises(ValueError, match="neighbours"):
         ar.top_kriging(cells, z, z, 0.1, 1.0, 0.7)
     near = ar.top_kriging(cells, z, z, 0.1, 1.0, 0.7, k=5, radius=1.2, leave_one_out=True).toPandas()
-    assert near["neighbours"].between(1, 4).all()
+    assert near["neighbours"].between(1, 5).all() and (near["neighbours"] < 5).any()
