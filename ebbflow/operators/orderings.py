@@ -56,6 +56,9 @@ def inverted_pairs(order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def kendall_s(y: np.ndarray) -> float:
     """Rising less falling pairs of values in order of time."""
+    if len(y) <= FEW:
+        later, earlier = np.tril_indices(len(y), -1)
+        return float(np.sign(y[later] - y[earlier]).sum())
     values, rank, count = np.unique(y, return_inverse=True, return_counts=True)
     n = len(y)
     tied = int((count.astype(np.int64) * (count - 1) // 2).sum())
