@@ -11,7 +11,10 @@
 4.  Sets that are nearly equal have nearly the same answers: an entry that one member of a cluster has
     reached is not compared with the cluster's other members again, but takes over from there.  Each set
     is tied to one partner, the tie is verified on the full sets, and verified ties make components.
-5.  A second pass over the lists skips pairs whose answer follows from the first (one component) and
+5.  Components take part as one from then on: of all pairs that lists still hold between two components only
+    the nearest is verified, and links found so merge components, until a round finds few.  A list without
+    a pair of different components is done, as components only grow.
+6.  A last pass over the lists that are left skips pairs whose answer follows (one component) and
     verifies every other pair that the filters leave, so no link between different components is lost.
 
 Lists longer than ``block`` are dealt by pairs of blocks, so no task holds a list whole.  Filters only drop pairs that
@@ -20,6 +23,8 @@ cannot reach the threshold; there is no cap on partners or candidates.
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -204,32 +209,44 @@ def whole_groups(batches):
         yield pa.Table.from_batches(held)
 
 
-def candidates(lists: DataFrame, percent: int, forest: bool) -> DataFrame:
-    """``u, v`` with ``u`` < ``v``: pairs of sets of one list that the filters leave."""
-    strict = 0.85 if forest else 1.0
+def candidates(lists: DataFrame, percent: int, forest: bool, strict: float = 1.0) -> DataFrame:
+    """Pairs of sets of one list that the filters leave: ``u`` < ``v``, their components ``x`` < ``y``, the ``group``.
+
+    With ``forest``, a list of n rows gives fewer than n pairs (one of up to ``SHORT`` rows all of its pairs), and
+    none only if it holds none.
+    """
+    names = ["group", "u", "v", "x", "y"]
 
     def run(batches):
         for table in whole_groups(batches):
             rows = Lists(table, percent)
-            for a, b in (*rows.short(strict), *rows.long(strict, forest)):
-                u, v = rows.node[a], rows.node[b]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["u", "v"])
+            for a, b in itertools.chain(rows.short(strict), rows.long(strict, forest)):
+                u, v, x, y = rows.node[a], rows.node[b], rows.root[a], rows.root[b]
+                columns = (rows.group[a], np.minimum(u, v), np.maximum(u, v), np.minimum(x, y), np.maximum(x, y))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
 
     dealt = lists.repartition("group").sortWithinPartitions("group", "n", "node")
-    return dealt.select("group", "node", "n", "pos", "root", "half", "sketch").mapInArrow(run, "u long, v long").distinct()
+    return dealt.select("group", "node", "n", "pos", "root", "half", "sketch").mapInArrow(run, ", ".join(f"{c} long" for c in names))
+
+
+def rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """``rows(node, ...)`` with ``root``: the node's component, itself without links."""
+    return rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
 def sifted(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Those of ``pairs(u, v)`` whose wide sketches allow a link."""
+    """Those of ``pairs(u, v, ...)`` whose wide sketches allow a link, with ``spare`` counted on these."""
+    kept = [f for f in pairs.schema if f.name != "spare"]
+
     def run(batches):
         for batch in batches:
             a, b, n, m = (batch.column(k).to_pylist() for k in ("a", "b", "n", "m"))
-            ok = [apart(x, y) <= p + q - 2 * least_overlap(p, q, percent) for x, y, p, q in zip(a, b, n, m)]
-            yield batch.select(["u", "v"]).filter(pa.array(ok, pa.bool_()))
+            spare = np.array([p + q - 2 * least_overlap(p, q, percent) - apart(x, y) for x, y, p, q in zip(a, b, n, m)], np.int64)
+            yield batch.select([f.name for f in kept]).append_column("spare", pa.array(spare)).filter(pa.array(spare >= 0))
 
-    one = pairs.join(nodes.select(F.col("node").alias("u"), F.col("wide").alias("a"), "n"), "u")
+    one = pairs.drop("spare").join(nodes.select(F.col("node").alias("u"), F.col("wide").alias("a"), "n"), "u")
     two = one.join(nodes.select(F.col("node").alias("v"), F.col("wide").alias("b"), F.col("n").alias("m")), "v")
-    return two.select("u", "v", "a", "b", "n", "m").mapInArrow(run, "u long, v long")
+    return two.select(*[f.name for f in kept], "a", "b", "n", "m").mapInArrow(run, ", ".join(f"{f.name} long" for f in kept) + ", spare long")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -311,23 +328,37 @@ def join(docs: DataFrame, *, size: int = 5, percent: int = 80) -> DataFrame:
     full = settle(full.select(F.explode(blocks).alias("b"), "node", "n", "pos", "sketch").select("b.group", F.col("b.half").cast("int").alias("half"), "node", "n", "pos", "sketch"))
 
     # First pass: one tie for each set, to the first partner that reached it.
-    tied = sifted(candidates(full.withColumn("root", F.col("node")), percent, True), nodes, percent)
-    ties = settle(tied.groupBy("v").agg(F.min("u").alias("u")).select("u", "v"))
+    tied = candidates(full.withColumn("root", F.col("node")), percent, True, 0.85).select("u", "v").distinct()
+    ties = settle(sifted(tied, nodes, percent).groupBy("v").agg(F.min("u").alias("u")).select("u", "v"))
     sets = settle(full_sets(docs, nodes, ends(ties), size))
     links = settle(verified(ties, sets, percent))
     roots = components(links)
-    # Second pass: every pair of different components that may be a link.
-    rooted = full.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rest = settle(sifted(candidates(rooted, percent, False), nodes, percent))
-    more = settle(full_sets(docs, nodes, ends(rest).join(sets.select("node"), "node", "left_anti"), size))
-    found = settle(verified(rest, sets.unionByName(more), percent))
-    last = settle(components(links.unionByName(found)))
+
+    def checked(pairs: DataFrame) -> DataFrame:
+        nonlocal sets
+        sets = sets.unionByName(settle(full_sets(docs, nodes, ends(pairs).join(sets.select("node"), "node", "left_anti"), size)))
+        return settle(verified(pairs, sets, percent))
+
+    # Rounds over components: the nearest pair of any two, until most of those tried are no links.
+    while not (left := settle(candidates(rooted(full, roots), percent, True))).isEmpty():
+        near = sifted(left.select("u", "v", "x", "y").distinct(), nodes, percent)
+        near = settle(near.groupBy("x", "y").agg(F.max(F.struct("spare", "u", "v")).alias("p")).select("p.u", "p.v"))
+        found = checked(near)
+        links = links.unionByName(found)
+        roots = components(links)
+        full = settle(full.join(left.select("group").distinct(), "group", "left_semi"))
+        if 4 * found.count() <= near.count():
+            # Last pass: every pair of different components that may be a link.
+            rest = candidates(rooted(full, roots), percent, False).select("u", "v").distinct()
+            links = links.unionByName(checked(settle(sifted(rest, nodes, percent))))
+            roots = components(links)
+            break
+    last = settle(roots)
 
     keyed = described.select("place", "doc_id", "n", "key")
     least = keyed.where("key IS NOT NULL").groupBy("key").agg(F.min("place").alias("node"), F.min("doc_id").alias("doc_id"))
-    rooted = least.join(last, "node", "left").select("key", "doc_id", F.coalesce("root", "node").alias("root"))
-    rooted = settle(rooted)
-    named = rooted.join(rooted.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("key", "root", "component_id")
+    of = settle(rooted(least, last).select("key", "doc_id", "root"))
+    named = of.join(of.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("key", "root", "component_id")
     out = keyed.join(named, "key", "left")
     return out.select("place", "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
                       F.coalesce("root", "place").alias("root"))
