@@ -286,3 +286,26 @@ def test_passages_of_few_lines(spark):
     assert got == {0: (texts[0], 0, 0), 1: ("y\nz", 1, 1), 2: (texts[2], 0, 0), 3: ("v\n", 2, 1), 4: ("short", 0, 0), 5: ("", 1, 1), 6: (texts[6], 0, 0), 7: (texts[7], 0, 0),
                    8: ("x", 2, 1), 9: ("p\nq", 0, 0), 10: ("", 2, 1), 11: (None, 0, 0)}
     assert {r.n_removed for r in line_dedup.deduplicate(docs).collect()} == {0}
+
+
+def test_join_sends_fewer_pairs_than_links(spark, monkeypatch):
+    """Copies of one text around the threshold: the components of brute force, without sending a pair for each link."""
+    rng, copies = np.random.default_rng(7), 160
+    texts = []
+    for _ in range(copies):
+        words = [f"w{k}" for k in range(300)]
+        for at in rng.choice(300, rng.integers(2, 7), replace=False):
+            words[at] = f"x{rng.integers(1 << 40)}"
+        texts.append(" ".join(words))
+    sets = [set(zip(*(t.split()[k:] for k in range(5)))) for t in texts]
+    linked = [(a, b) for a in range(copies) for b in range(a) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    root = list(range(copies))
+    for _ in range(copies):
+        for a, b in linked:
+            root[a] = root[b] = min(root[a], root[b])
+    sent, sifted = [], jaccard_join.sifted
+    monkeypatch.setattr(jaccard_join, "sifted", lambda pairs, *rest: sent.append(pairs.count()) or sifted(pairs, *rest))
+    docs = jaccard_join.placed(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1))
+    found = {r.doc_id: r.component_id for r in jaccard_join.join(docs).collect()}
+    assert found == dict(enumerate(root))
+    assert sum(sent) < len(linked), (len(linked), sent)
