@@ -14,11 +14,15 @@ Both are Parquet, so any store that Spark reaches will do, and a task that is ru
 
 from __future__ import annotations
 
+import functools
+import itertools
+import json
 import os
 import re
 import struct
 import sys
 import types
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -72,24 +76,25 @@ def unpack(payload: bytes) -> np.ndarray:
     return out.view("<u4").reshape(-1)
 
 
-class Known:
-    """What parts of texts came to.
+class Known(dict):
+    """What parts of texts came to; ``make`` is asked for the others.
 
     Once half of ``keep`` parts are held, they become the old half and replace the old half before them; an old
     part that is asked for again is taken over.
     """
 
-    def __init__(self, keep: int):
-        self.half, self.new, self.old = max(1, keep // 2), {}, {}
+    def __init__(self, keep: int, make):
+        self.half, self.make, self.old = max(1, keep // 2), make, {}
 
-    def missing(self, parts: set[str]) -> list[str]:
-        """Those of ``parts`` that are not known; the others are in the new half afterwards."""
-        if len(self.new) >= self.half:
-            self.old, self.new = self.new, {}
-        later = parts.difference(self.new)
-        for p in later & self.old.keys():
-            self.new[p] = self.old[p]
-        return list(later.difference(self.old))
+    def __missing__(self, part: str) -> bytes:
+        ids = self.old.get(part)
+        if ids is None:
+            ids = self.make(part)
+        if len(self) >= self.half:
+            self.old = dict(self)
+            self.clear()
+        self[part] = ids
+        return ids
 
 
 class Encoder:
@@ -99,52 +104,69 @@ class Encoder:
     character always begins one, so texts are cut there and the library encodes each part once.  Texts for which
     that is not certain go to the library whole: with other white space or two such characters in a row, with one
     of its special strings, or of a tokenizer of another kind.
+
+    The pieces of a part of Latin letters, digits and signs are its runs of one kind, the first with the space before
+    it; these go straight to the vocabulary's merges.  Other parts, and those with an apostrophe, are cut by the library.
     """
 
+    LETTERS, SIGNS = "A-Za-zÀ-ÖØ-öø-ɏ", r"!-&(-/:-@\[-`{-~"
+
     def __init__(self, path: str, keep: int = KEEP):
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.width = max(1, (max(1, self.tokenizer.get_vocab_size() - 1).bit_length() + 7) // 8)
-        before = self.tokenizer.pre_tokenizer.__getstate__()
-        self.by_part = b'"ByteLevel"' in before and b'"add_prefix_space":false' in before and self.tokenizer.normalizer is None
+        before = json.loads(self.tokenizer.pre_tokenizer.__getstate__()) if self.tokenizer.pre_tokenizer else {}
+        self.by_part = (before.get("type"), before.get("add_prefix_space"), before.get("use_regex")) == ("ByteLevel", False, True) and self.tokenizer.normalizer is None
         odd = (c for c in map(chr, range(1 << 16)) if c not in " \n" and (c.isspace() or c == "\u180e"))
         self.odd = re.compile("[" + "".join(map(re.escape, odd)) + "]")
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.double, self.known = re.compile(r"[ \n][ \n]|[ \n]\Z"), Known(keep)
-
-    def _split(self, text: str) -> list[str] | None:
-        if not self.by_part or self.odd.search(text) or self.double.search(text) or any(s in text for s in self.special):
-            return None
-        # All parts but the first begin with a line feed or, unwritten, with a space; the first may be empty.
-        return text.replace("\n", " \n").split(" ")
-
-    def _library(self, texts: list[str]) -> list[bytes]:
-        found = (e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False))
-        return [struct.pack(f"<{len(ids)}I", *ids) for ids in found]
-
-    def encode_all(self, texts: list[str], at_once: int = 1_000_000) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit numbers; texts are read ahead for ``at_once`` characters."""
-        out, begin = [], 0
-        while begin < len(texts):
-            end, size = begin, 0
-            while end < len(texts) and size < at_once:
-                size += len(texts[end])
-                end += 1
-            split = [self._split(t) for t in texts[begin:end]]
-            parts = set()
-            for s in split:
-                parts.update(s[1:] if s else ())
-            new = self.known.missing(parts)
-            self.known.new.update(zip(new, self._library([p if p[:1] == "\n" else " " + p for p in new]), strict=True))
-            heads = self._library([t if s is None else s[0] for t, s in zip(texts[begin:end], split, strict=True)])
-            out += [h if s is None else h + b"".join(map(self.known.new.__getitem__, s[1:])) for h, s in zip(heads, split, strict=True)]
-            begin = end
-        return out
+        self.simple = re.compile(f"([{self.LETTERS}]+)([{self.SIGNS}]*)")
+        self.plain = re.compile(f"\n?[{self.LETTERS}{self.SIGNS}0-9]*")
+        self.pieces = re.compile(f"\n|[{self.LETTERS}]+|[0-9]+|[{self.SIGNS}]+")
+        # A byte-level vocabulary writes bytes that are printable in Latin-1 as themselves, the others from 256 on.
+        shown = [b for b in range(256) if chr(b).isprintable() and b != 0x20]
+        self.letters = {b: b for b in shown} | {b: 256 + k for k, b in enumerate(sorted(set(range(256)).difference(shown)))}
+        self.space = chr(self.letters[0x20])
+        self.known, self.inner = Known(keep, self._part), functools.lru_cache(1 << 14)(self._piece)
+
+    def _by_part(self, text: str) -> bool:
+        doubled = "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text.endswith((" ", "\n"))
+        return self.by_part and not doubled and not self.odd.search(text) and not any(s in text for s in self.special)
+
+    def _whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
+
+    def _piece(self, piece: str, before: str = "") -> bytes:
+        """Ids of one run of characters of one kind."""
+        if not piece.isascii() or piece == "\n":
+            piece = piece.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.model.tokenize(before + piece)]).tobytes()
+
+    def _part(self, part: str) -> bytes:
+        """Ids of a part: with the space before it, unless it is empty or begins with a line feed."""
+        if found := self.simple.fullmatch(part):
+            first, sign = found.groups()
+            return (self.known.get(first) or self._piece(first, self.space)) + self.inner(sign) if sign else self._piece(first, self.space)
+        if not part or part[0] == "\n":
+            return self._bare(part)
+        if not self.plain.fullmatch(part):
+            return self._whole(" " + part)
+        first, *others = self.pieces.findall(part)
+        return b"".join([self._piece(first, self.space), *map(self.inner, others)])
+
+    def _bare(self, part: str) -> bytes:
+        return b"".join(map(self.inner, self.pieces.findall(part))) if self.plain.fullmatch(part) else self._whole(part)
 
     def encode(self, text: str) -> bytes:
-        return self.encode_all([text])[0]
+        """Ids of a text as little-endian unsigned 32-bit numbers."""
+        if not self._by_part(text):
+            return self._whole(text)
+        # All parts but the first begin with a line feed or, unwritten, with a space.
+        parts = text.replace("\n", " \n").split(" ")
+        return self._bare(parts[0]) + b"".join(map(self.known.__getitem__, itertools.islice(parts, 1, None)))
 
 
 def worker_encoder(path: str, keep: int) -> Encoder:
@@ -183,9 +205,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, block_ids: int =
             return pa.RecordBatch.from_pylist([{"part": part, "block": block, "n_ids": len(data), "payload": pack(data, encoder.width, plane), "docs": inside}], schema=arrow)
 
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for doc, data in zip(batch.column(0).to_pylist(), encoder.encode_all(texts), strict=True):
-                data, at, number = data + end, 0, number + 1
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                data, at, number = encoder.encode(text.as_py() or "") + end, 0, number + 1
                 while at < len(data):
                     take = min(len(data) - at, 4 * block_ids - held)
                     inside.append({"doc_id": doc, "number": number, "length": take // 4, "before": at > 0, "after": at + take < len(data)})

@@ -164,6 +164,10 @@ def test_encoder_agrees_with_the_library():
     for _ in range(1500):
         text = "".join(rng.choice(letters) for _ in range(rng.randint(0, 30)))
         assert np.frombuffer(encoder.encode(text), "<u4").tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+    # Every letter and sign that may pass by the library's own cutting, and those next to them.
+    for sign in map(chr, range(1, 0x600)):
+        for text in (f"a {sign} b", f"x{sign}y z", f" 1{sign}2\n{sign}!", f"\n{sign}", f"{sign}{sign} ({sign})."):
+            assert np.frombuffer(encoder.encode(text), "<u4").tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
 
 
 def test_bit_planes_read_back(spark, tmp_path):
