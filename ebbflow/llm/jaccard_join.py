@@ -234,6 +234,11 @@ def rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
     return rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
+def merged(roots: DataFrame, found: DataFrame) -> DataFrame:
+    """Components with further links: the old ones take part as stars, so few steps are left."""
+    return components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(found))
+
+
 def sifted(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Those of ``pairs(u, v, ...)`` whose wide sketches allow a link, with ``spare`` counted on these."""
     kept = [f for f in pairs.schema if f.name != "spare"]
@@ -331,8 +336,7 @@ def join(docs: DataFrame, *, size: int = 5, percent: int = 80) -> DataFrame:
     tied = candidates(full.withColumn("root", F.col("node")), percent, True, 0.85).select("u", "v").distinct()
     ties = settle(sifted(tied, nodes, percent).groupBy("v").agg(F.min("u").alias("u")).select("u", "v"))
     sets = settle(full_sets(docs, nodes, ends(ties), size))
-    links = settle(verified(ties, sets, percent))
-    roots = components(links)
+    roots = components(settle(verified(ties, sets, percent)))
 
     def checked(pairs: DataFrame) -> DataFrame:
         nonlocal sets
@@ -344,14 +348,12 @@ def join(docs: DataFrame, *, size: int = 5, percent: int = 80) -> DataFrame:
         near = sifted(left.select("u", "v", "x", "y").distinct(), nodes, percent)
         near = settle(near.groupBy("x", "y").agg(F.max(F.struct("spare", "u", "v")).alias("p")).select("p.u", "p.v"))
         found = checked(near)
-        links = links.unionByName(found)
-        roots = components(links)
+        roots = merged(roots, found)
         full = settle(full.join(left.select("group").distinct(), "group", "left_semi"))
         if 4 * found.count() <= near.count():
             # Last pass: every pair of different components that may be a link.
             rest = candidates(rooted(full, roots), percent, False).select("u", "v").distinct()
-            links = links.unionByName(checked(settle(sifted(rest, nodes, percent))))
-            roots = components(links)
+            roots = merged(roots, checked(settle(sifted(rest, nodes, percent))))
             break
     last = settle(roots)
 
