@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ebbflow.columns import KEY, TIME, VALUE
@@ -13,6 +13,9 @@ from ebbflow.functions.calendar import group_ts, is_leap_year, md_key, water_yea
 
 Aggregate = Callable[[Column], Column]
 
+# Splits the 53 binary digits of a double in two.
+SPLIT = float(2 ** 27 + 1)
+
 
 @dataclass(frozen=True)
 class Threshold:
@@ -78,6 +81,37 @@ def period_threshold(vary_by: str, fun: Aggregate, start: str | Sequence[str] |
     return fun(F.col(value)).over(Window.partitionBy(key, group_ts(F.col(time), vary_by, start)))
 
 
+def series_quantile(value: str, p: float, window: WindowSpec) -> Column:
+    """Interpolated (type 7) quantile over the whole of a window, as close as a double can be.
+
+    ``percentile`` rounds both parts of ``lower * (1 - d) + upper * d`` and their sum, which may end one unit in the last
+    place off a mean that equals the quantile.  Here the order statistics either side are taken as they are, and
+    the error of the first product goes into the sum.
+    """
+    at = F.percentile(value, F.lit(p)).over(window)
+    low = F.max(F.when(F.col(value) <= at, F.col(value))).over(window)
+    high = F.min(F.when(F.col(value) >= at, F.col(value))).over(window)
+    place = (F.count(value).over(window) - 1) * F.lit(float(p))
+    part = place - F.floor(place)
+    near, error = _exact_product(low, 1 - part)
+    far = high * part
+    total = near + far
+    back = total - near
+    rest = (near - (total - back)) + (far - back)
+    return F.when((part == 0) | (low == high), at).otherwise(total + (rest + error))
+
+
+def _exact_product(a: Column, b: Column) -> tuple[Column, Column]:
+    """The product of two columns and its rounding error (both halves of a factor have 26 digits)."""
+    def halves(c: Column) -> tuple[Column, Column]:
+        upper = c * SPLIT - (c * SPLIT - c)
+        return upper, c - upper
+
+    product = a * b
+    (a1, a2), (b1, b2) = halves(a), halves(b)
+    return product, ((a1 * b1 - product) + a1 * b2 + a2 * b1) + a2 * b2
+
+
 def append_threshold(df: DataFrame, threshold: Threshold, key: str = KEY, time: str = TIME
                      ) -> DataFrame:
     """The days themselves with their threshold (synthetic leap days stay out)."""

@@ -1,3 +1,4 @@
+import datetime as dt
 import random
 
 import pytest
@@ -160,3 +161,25 @@ def test_event_at_the_end_of_an_irregular_series(spark):
     df = spark.createDataFrame([("a", f"2001-01-0{d}", 5.0 if d < 5 else 1.0) for d in days], "series_id string, time string, value double")
     got = ev.drought_events(df.withColumn("time", F.to_date("time")), 2.0).first()
     assert (str(got["last_day"]), got["duration"], got["volume"]) == ("2001-01-07", 3, 3 * 86400.0)
+
+
+@pytest.mark.parametrize("flows", [
+    [41, 42, 42, 42, 44, 44, 41, 43, 44, 40, 41, 44, 42, 42, 41, 42, 41, 40, 42, 41, 40, 44, 40, 44, 42, 40, 42],
+    [43, 44, 41, 40, 44, 42, 44, 41, 40, 41, 42, 40, 41, 40, 40, 44, 42, 44, 42, 44, 43, 43]])
+def test_mean_that_equals_the_threshold_is_no_drought(spark, tmp_path, flows):
+    """The quantile is 41.4, as are some means of ten days; one unit in the last place more makes them droughts."""
+    import duckdb
+
+    from ebbflow.plans import load
+
+    start = dt.date(2001, 1, 1)
+    rows = [("A", dt.datetime.combine(start + dt.timedelta(days=i), dt.time()), float(v)) for i, v in enumerate(flows)]
+    spark.createDataFrame(rows, "l_returnflag string, l_shipdate timestamp, l_quantity double").write.parquet(
+        f"{tmp_path}/lineitem.parquet")
+    query = load()["drought_events_smoothed"]
+    got = sorted(tuple(r) for r in query.run(spark, str(tmp_path)).collect())
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM read_parquet('{tmp_path}/lineitem.parquet/*.parquet')")
+    assert got == sorted(con.execute(query.check_sql()).fetchall())
+    means = [sum(flows[i:i + 10]) / 10 for i in range(len(flows) - 9)]
+    assert 41.4 in means and all(r[6] < 41.4 for r in got)
