@@ -396,6 +396,20 @@ def test_index_with_impacts(spark):
     assert [(r["year"], r["a"], r["b"]) for r in wide] == [(2000, 1.0, None), (2001, 2.0, 3.0), (2002, None, None)]
 
 
+def test_class_density_sums_every_kernel(spark):
+    """Held against the plain sum over all rows: a narrow class beside far values shows any binning."""
+    rng = np.random.default_rng(5)
+    x = np.concatenate([np.round(rng.normal(size=300) * 0.01, 3), [0.002] * 20, rng.normal(size=200), [40.0]])
+    y = np.array([0] * 320 + [1] * 201)
+    got = im.class_density(frame(spark, x=x, y=y), "x", "y", points=9, lower=-0.04, upper=0.04).toPandas()
+    assert len(got) == 18
+    for _, r in got.iterrows():
+        v = x[y == r["y"]]
+        h = 0.9 * min(v.std(ddof=1), np.subtract(*np.quantile(v, [0.75, 0.25])) / 1.34) * len(v) ** -0.2
+        exact = np.exp(-0.5 * ((r["x"] - v) / h) ** 2).sum() / (h * len(v) * math.sqrt(2 * math.pi))
+        assert r["density"] == pytest.approx(exact, rel=1e-9)
+
+
 # ---- areas -----------------------------------------------------------------------------------
 
 @pytest.mark.parametrize("block", [7, 5000])
