@@ -204,7 +204,8 @@ INDEX_CTES = (sql.SUPP, MAM.format(source="supp"), RECESSION.format(source="supp
        sql.with_(*INDEX_CTES) + "SELECT * FROM ind")
 def station_indices(spark, folder):
     """Index table of all stations."""
-    return idx.station_indices(series.by_series(series.supplier_daily(spark, folder)))
+    return idx.station_indices(series.by_series(
+        series.supplier_daily(spark, folder), series.tasks_for(series.table(spark, folder, "lineitem"))))
 
 
 @query("groundwater_index", "series_id:s time:d level:f8 rank:f2 sgi:f8",

@@ -263,7 +263,8 @@ COLUMNS = ["mean_flow", "Q50", "MAM1", "MAM10", "MAM30", "Q95", "Q90", "Q70", "A
 
 def indices(spark, folder):
     """The index table; queries that need it several times write it once with ``settle``."""
-    return idx.station_indices(series.by_series(series.supplier_daily(spark, folder)))
+    return idx.station_indices(series.by_series(
+        series.supplier_daily(spark, folder), series.tasks_for(series.table(spark, folder, "lineitem"))))
 
 
 _LONG = "lg AS (" + " UNION ALL ".join(

@@ -15,6 +15,10 @@ from ebbflow.columns import KEY, TIME, VALUE
 from ebbflow.operators.clean import add_missing_days
 
 
+#: Facts behind one task of a table of many series; each fact may become some days once gaps are filled.
+FACTS_PER_TASK = 200_000
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
@@ -39,9 +43,25 @@ def ship_daily_by_status(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def supplier_daily(spark: SparkSession, folder: str) -> DataFrame:
-    """Shipped quantity per supplier and day: many sparse series."""
-    return daily_series(table(spark, folder, "lineitem"), F.col("l_suppkey"), F.col("l_shipdate"),
-                        F.col("l_quantity"))
+    """Shipped quantity per supplier and day: many sparse series, whose number grows with the facts.
+
+    A task would hold ever more series if their number of tasks stayed, so it follows the number of facts (from the
+    files' footers) where the session's shuffle partitions do not suffice.  Series and day place the facts, as
+    a series may hold most of them; sums are then placed by series for all that follows.
+    """
+    facts = table(spark, folder, "lineitem")
+    parts = tasks_for(facts)
+    if parts is None:
+        return daily_series(facts, F.col("l_suppkey"), F.col("l_shipdate"), F.col("l_quantity"))
+    placed = facts.select(F.col("l_suppkey").cast("string").alias(KEY), F.col("l_shipdate").cast("date").alias(TIME),
+                          F.col("l_quantity").alias(VALUE)).repartition(parts, KEY, TIME)
+    return daily_series(placed, F.col(KEY), F.col(TIME), F.col(VALUE)).repartition(parts, KEY)
+
+
+def tasks_for(facts: DataFrame) -> int | None:
+    """Number of tasks that keeps each at ``FACTS_PER_TASK`` rows; None where the session's number does."""
+    parts = -(-facts.count() // FACTS_PER_TASK)
+    return parts if parts > int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions")) else None
 
 
 def order_daily(spark: SparkSession, folder: str) -> DataFrame:
@@ -75,9 +95,11 @@ def event_observations(spark: SparkSession, folder: str) -> DataFrame:
         F.round(F.col("value") - 20.0, 2).alias(VALUE), "event_id")
 
 
-def by_series(df: DataFrame) -> DataFrame:
+def by_series(df: DataFrame, parts: int | None = None) -> DataFrame:
     """Place each series in one partition ahead of several operators on the same days.
 
-    The operators then share this shuffle.  Tables bucketed by series need no such step.
+    The operators then share this shuffle.  Tables bucketed by series need no such step.  ``parts`` is the number of
+    partitions, the session's by default (see :func:`tasks_for`).
     """
-    return df.where(F.col(KEY).isNotNull()).repartition(KEY)
+    known = df.where(F.col(KEY).isNotNull())
+    return known.repartition(parts, KEY) if parts else known.repartition(KEY)

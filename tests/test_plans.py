@@ -33,6 +33,18 @@ def test_events_stay_in_one_placement(spark, pooling):
     assert shuffles(ev.drought_events(src.supplier_daily(spark, FOLDER), q90(), pooling)) == 2
 
 
+def test_tasks_follow_the_number_of_facts(spark, monkeypatch):
+    """Many series: the days of a task do not grow with the table, and no further shuffle is needed."""
+    few = src.supplier_daily(spark, FOLDER).collect()
+    monkeypatch.setattr(src, "FACTS_PER_TASK", 500, raising=False)
+    days = src.supplier_daily(spark, FOLDER)
+    parts = -(-src.table(spark, FOLDER, "lineitem").count() // 500)
+    events = ev.drought_events(days, q90())
+    assert parts > 4 and set(re.findall(r"hashpartitioning\(.*?, (\d+)\)", plan(events))) == {str(parts)}
+    assert shuffles(events) == 2 and shuffles(ev.baseflow(days)) == 2
+    assert sorted(map(tuple, days.collect())) == sorted(map(tuple, few))
+
+
 def test_seasonal_thresholds_need_one_scan(spark):
     from ebbflow.plans.droughts import drought_events_seasonal
 
