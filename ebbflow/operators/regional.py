@@ -16,12 +16,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ebbflow.columns import finite
 from ebbflow.functions.special import t_two_sided
 from ebbflow.operators.moments import gram
 from ebbflow.session import settle
 
 # Fixed value: a predictor whose part not explained by those before it is a smaller share of its sum of squares is aliased.
 ALIASED = 1e-11
+# Variograms: fine cells nearer than this are taken by points; so are strips with so few pairs to a cell of the grid that it does not pay.
+NEAR_CELLS = 12
+PAIRS_PER_CELL = 100
 
 
 class Cross:
@@ -332,58 +336,197 @@ def sample_variogram(points: DataFrame, width: float, cutoff: float, x: str = "x
     """Binned sample variogram: ``bin, n, distance, gamma`` of pairs closer than ``cutoff``.
 
     Equal points are merged with their count.  Points are placed in grid cells of the cutoff size, so
-    partners lie in neighbouring cells.  A cell is further split into blocks of at most about ``block`` points, and a task handles one pair of
-    blocks: no cell, however crowded, ends up in one task, and only bin sums leave a task.
+    partners lie in neighbouring cells.  A crowded cell is split into strips, ever more of them from some ``32 * block`` points on,
+    and a task handles one pair of strips: no cell, however crowded, ends up in one task, and only bin sums leave a task.
+
+    Within a task, points are summed in a fine grid.  Where all points of two fine cells are as far apart as one bin holds,
+    their pairs are counted by the product of their sums: all such cells at once, as a correlation of grids.  Numbers of pairs
+    and differences of values are exact so; distances are expanded to fourth order around the cells' centres, which for
+    cells ``NEAR_CELLS`` apart leaves a share of less than 1e-9.  Only pairs of cells on a bin's edge, and near ones,
+    are taken point by point.  The fine grid follows the root of the number of points, and with it these pairs their power 1.5.
     """
-    pts = points.where(F.col(z).isNotNull()).groupBy(
+    # a point without a place is near none
+    pts = settle(points.where(F.col(z).isNotNull() & finite(F.col(x).cast("double")).isNotNull() & finite(F.col(y).cast("double")).isNotNull()).groupBy(
         F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"),
-        F.col(z).cast("double").alias("z")).agg(F.count(F.lit(1)).cast("double").alias("w"))
-    pts = pts.withColumns({"cx": F.floor(F.col("x") / cutoff), "cy": F.floor(F.col("y") / cutoff)})
-    # a repeatable block number: pairs must meet exactly once even if a task is run again
-    crowd = pts.groupBy("cx", "cy").agg((F.floor(F.count(F.lit(1)) / block) + 1).cast("int").alias("k"))
+        F.col(z).cast("double").alias("z")).agg(F.count(F.lit(1)).cast("double").alias("w")))
+    size = pts.agg(F.count(F.lit(1)).alias("n"), F.avg(finite("z")).alias("z"), F.count(finite("z")).alias("known")).first()
+    if not size["n"]:
+        return pts.select(F.lit(0).alias("bin"), F.lit(0).cast("long").alias("n"), F.col("x").alias("distance"), F.col("x").alias("gamma"))
+    fine = 2 ** min(max(round(math.log2(max(math.sqrt(size["n"]) / 2, 1))), 6), 9)  # fine cells to a cutoff
+    cell = cutoff / fine
+    pts = pts.withColumns({"gx": F.floor(F.col("x") / cell), "gy": F.floor(F.col("y") / cell), "z": F.col("z") - F.lit(size["z"] or 0.0)})
+    pts = pts.withColumns({"cx": F.floor(F.col("gx") / fine), "cy": F.floor(F.col("gy") / fine)})
+    crowd = pts.groupBy("cx", "cy").agg((F.floor(F.sqrt(F.count(F.lit(1)) / (32 * block))) + 1).cast("int").alias("k"))
     pts = pts.join(crowd, ["cx", "cy"])
-    pts = pts.withColumn("b", F.pmod(F.xxhash64("x", "y", "z"), F.col("k")).cast("int"))
-    blocks = pts.select("cx", "cy", "b").distinct()
+    pts = pts.withColumn("b", F.floor((F.col("gy") - F.col("cy") * fine) * F.col("k") / fine).cast("int"))
+    blocks = pts.groupBy("cx", "cy", "b").agg(F.min("gy").alias("low"), F.max("gy").alias("high"))
     # one half of the neighbourhood: each unordered pair of cells once
     steps = [(0, 0), (0, 1), (1, -1), (1, 0), (1, 1)]
     near = F.explode(F.array(*[F.struct(F.lit(i).alias("dx"), F.lit(j).alias("dy")) for i, j in steps]))
-    other = blocks.select(F.col("cx").alias("cx2"), F.col("cy").alias("cy2"), F.col("b").alias("b2"))
+    other = blocks.select(F.col("cx").alias("cx2"), F.col("cy").alias("cy2"), F.col("b").alias("b2"), F.col("low").alias("low2"), F.col("high").alias("high2"))
+    apart = F.greatest(F.col("low2") - F.col("high"), F.col("low") - F.col("high2"))
     pairs = (blocks.withColumn("s", near)
              .withColumns({"cx2": F.col("cx") + F.col("s.dx"), "cy2": F.col("cy") + F.col("s.dy"),
                            "same": (F.col("s.dx") == 0) & (F.col("s.dy") == 0)})
-             .join(other, ["cx2", "cy2"]).where(~F.col("same") | (F.col("b2") >= F.col("b")))
+             .join(other, ["cx2", "cy2"]).where((~F.col("same") | (F.col("b2") >= F.col("b"))) & (apart <= fine + 1))
              .select("cx", "cy", "b", "cx2", "cy2", "b2",
                      F.concat_ws("|", "cx", "cy", "b", "cx2", "cy2", "b2").alias("pair")))
-    left = pairs.join(pts, ["cx", "cy", "b"]).select("pair", F.lit(0).alias("side"), "x", "y", "z", "w")
+    kept = ["x", "y", "z", "w", "gx", "gy"]
+    left = pairs.join(pts, ["cx", "cy", "b"]).select("pair", F.lit(0).alias("side"), *kept)
     right = (pairs.where("cx <> cx2 or cy <> cy2 or b <> b2")
-             .join(pts.select(F.col("cx").alias("cx2"), F.col("cy").alias("cy2"), F.col("b").alias("b2"),
-                              "x", "y", "z", "w"), ["cx2", "cy2", "b2"])
-             .select("pair", F.lit(1).alias("side"), "x", "y", "z", "w"))
+             .join(pts.select(F.col("cx").alias("cx2"), F.col("cy").alias("cy2"), F.col("b").alias("b2"), *kept), ["cx2", "cy2", "b2"])
+             .select("pair", F.lit(1).alias("side"), *kept))
     bins = int(math.ceil(cutoff / width))
+    near_cells, chunk, order = NEAR_CELLS, 1 << 19, 4
+    few = PAIRS_PER_CELL * fine ** 2 if size["known"] == size["n"] else math.inf  # NaN stays in the bins of its pairs
+    powers = [(p, r) for p in range(order + 1) for r in range(order + 1 - p)]
+
+    def binned(h: np.ndarray) -> np.ndarray:
+        return np.minimum((h / width).astype(np.int64), bins - 1)
+
+    def kinds(di: np.ndarray, dj: np.ndarray) -> np.ndarray:
+        """Of cells so many columns and rows apart: their bin, -1 to be taken by points, -2 beyond the cutoff."""
+        ai, aj = np.abs(di), np.abs(dj)
+        least = np.hypot(np.maximum(ai - 1, 0), np.maximum(aj - 1, 0)) * cell - 1e-6 * cell
+        most = np.hypot(ai + 1, aj + 1) * cell + 1e-6 * cell
+        first = binned(np.maximum(least, 0))
+        whole = (first == binned(most)) & (most < cutoff) & (np.hypot(ai, aj) >= near_cells)
+        return np.where(least >= cutoff, -2, np.where(whole, first, -1))
+
+    def slopes(u: np.ndarray, v: np.ndarray) -> dict:
+        """Derivatives of the length of (u, v), divided by the factorials of their orders."""
+        h = np.hypot(u, v)
+        u2, v2 = u * u, v * v
+        return {(0, 0): h, (1, 0): u / h, (0, 1): v / h,
+                (2, 0): v2 / h ** 3 / 2, (1, 1): -u * v / h ** 3, (0, 2): u2 / h ** 3 / 2,
+                (3, 0): -3 * u * v2 / h ** 5 / 6, (2, 1): v * (2 * u2 - v2) / h ** 5 / 2,
+                (1, 2): u * (2 * v2 - u2) / h ** 5 / 2, (0, 3): -3 * v * u2 / h ** 5 / 6,
+                (4, 0): 3 * v2 * (4 * u2 - v2) / h ** 7 / 24, (3, 1): 3 * u * v * (3 * v2 - 2 * u2) / h ** 7 / 6,
+                (2, 2): (2 * u2 * u2 - 11 * u2 * v2 + 2 * v2 * v2) / h ** 7 / 4,
+                (1, 3): 3 * u * v * (3 * u2 - 2 * v2) / h ** 7 / 6, (0, 4): 3 * u2 * (4 * v2 - u2) / h ** 7 / 24}
 
     def sums(pdf: pd.DataFrame) -> pd.DataFrame:
-        m, side = pdf[["x", "y", "z", "w"]].to_numpy(float), pdf["side"].to_numpy()
-        a, b = m[side == 0], m[side == 1]
-        inside = len(b) == 0
         n, d, g = np.zeros(bins), np.zeros(bins), np.zeros(bins)
-        target = a if inside else b
+        side = pdf["side"].to_numpy()
+        px, py, pz, pw = (pdf[c].to_numpy(float) for c in ("x", "y", "z", "w"))
+        gx, gy = pdf["gx"].to_numpy(np.int64), pdf["gy"].to_numpy(np.int64)
+        inside = not side.any()
+        la = np.flatnonzero(side == 0)
+        la = la[np.lexsort((gx[la], gy[la]))]
+        lb = la if inside else np.flatnonzero(side == 1)
+        lb = lb if inside else lb[np.lexsort((gx[lb], gy[lb]))]
+
+        def tally(i: np.ndarray, j: np.ndarray, share: float = 1.0) -> None:
+            dx, dy = px[j] - px[i], py[j] - py[i]
+            h = np.sqrt(dx * dx + dy * dy)
+            ok = np.flatnonzero(h < cutoff)
+            h, i, j = h[ok], i[ok], j[ok]
+            at, w = binned(h), pw[i] * pw[j] * share
+            nonlocal n, d, g
+            n = n + np.bincount(at, w, minlength=bins)
+            d = d + np.bincount(at, w * h, minlength=bins)
+            g = g + np.bincount(at, w * 0.5 * (pz[j] - pz[i]) ** 2, minlength=bins)
+
+        def ranges(i: np.ndarray, first: np.ndarray, length: np.ndarray, share: float = 1.0) -> None:
+            """Pairs of each point ``i`` with ``length`` partners from place ``first`` on, so many at a time."""
+            some = length > 0
+            i, first, length = i[some], first[some], length[some]
+            ends = np.cumsum(length)
+            start = 0
+            while start < len(i):
+                done = ends[start - 1] if start else 0
+                stop = max(int(np.searchsorted(ends, done + chunk, "right")), start + 1)
+                size = length[start:stop]
+                total = int(size.sum())
+                places = np.arange(total) + np.repeat(first[start:stop] - (np.cumsum(size) - size), size)
+                tally(np.repeat(i[start:stop], size), lb[places], share)
+                start = stop
+
+        def result() -> pd.DataFrame:
+            # pandas' NaN arrives as NULL, which a sum passes over
+            return pd.DataFrame({"bin": np.arange(bins), "n": np.rint(n).astype("int64"), "d": d, "g": g, "bad": np.isnan(g)})
+
+        if inside:
+            n[0] -= 0.5 * pw.sum()  # a point of weight w has w (w - 1) / 2 pairs with its like
+        if len(la) * len(lb) <= few:
+            if inside:
+                here = np.arange(len(la))
+                ranges(la, here, np.ones(len(la), np.int64), 0.5)
+                ranges(la, here + 1, len(la) - 1 - here)
+            else:
+                ranges(la, np.zeros(len(la), np.int64), np.full(len(la), len(lb)))
+            return result()
+
+        corners = {}
+        for name, of in (("a", la), ("b", lb)):
+            corners[name] = gx[of].min(), gy[of].min(), gx[of].max(), gy[of].max()
+        ax, ay, ax2, ay2 = corners["a"]
+        bx, by, bx2, by2 = corners["b"]
+        cols_a, rows_a, cols_b, rows_b = ax2 - ax + 1, ay2 - ay + 1, bx2 - bx + 1, by2 - by + 1
+
+        # whole cells: correlations of their sums
+        shape = tuple(1 << int(v - 1).bit_length() for v in (rows_a + rows_b, cols_a + cols_b))
+        def grids(of, x0, y0) -> dict:
+            ix, iy = gx[of] - x0, gy[of] - y0
+            place = iy * shape[1] + ix
+            u, v, w, q = px[of] / cell - gx[of] - 0.5, py[of] / cell - gy[of] - 0.5, pw[of], pz[of]
+            terms = {(p, r): w * u ** p * v ** r for p, r in powers} | {"z": w * q, "zz": w * q * q}
+            return {k: np.fft.rfft2(np.bincount(place, t, minlength=shape[0] * shape[1]).reshape(shape)) for k, t in terms.items()}
+
+        fa = grids(la, ax, ay)
+        fb = fa if inside else grids(lb, bx, by)
+        fa = {k: np.conj(v) for k, v in fa.items()}
+        dj = np.arange(shape[0])
+        dj = np.where(dj >= rows_b, dj - shape[0], dj) + (by - ay)
+        di = np.arange(shape[1])
+        di = np.where(di >= cols_b, di - shape[1], di) + (bx - ax)
+        every = kinds(di[None, :], dj[:, None])
         if inside:
-            n[0] += (a[:, 3] * (a[:, 3] - 1) / 2).sum()  # pairs of equal points
-        for i in range(len(a)):
-            rest = target[i + 1:] if inside else target
-            dist = np.hypot(rest[:, 0] - a[i, 0], rest[:, 1] - a[i, 1])
-            ok = dist < cutoff
-            at = np.minimum((dist[ok] / width).astype(int), bins - 1)
-            w = rest[ok, 3] * a[i, 3]
-            n += np.bincount(at, w, minlength=bins)
-            d += np.bincount(at, w * dist[ok], minlength=bins)
-            g += np.bincount(at, w * 0.5 * (rest[ok, 2] - a[i, 2]) ** 2, minlength=bins)
-        return pd.DataFrame({"bin": np.arange(bins), "n": n.astype("int64"), "d": d, "g": g})
-
-    parts = left.unionByName(right).groupBy("pair").applyInPandas(sums, "bin int, n long, d double, g double")
-    total = parts.groupBy("bin").agg(F.sum("n").alias("n"), F.sum("d").alias("d"), F.sum("g").alias("g"))
-    return total.where("n > 0").select("bin", "n", (F.col("d") / F.col("n")).alias("distance"),
-                                       (F.col("g") / F.col("n")).alias("gamma"))
+            every = np.where((dj[:, None] > 0) | ((dj[:, None] == 0) & (di[None, :] > 0)), every, -2)
+        at = np.nonzero(every >= 0)
+        to = every[at]
+
+        def product(spectrum: np.ndarray) -> np.ndarray:
+            return np.fft.irfft2(spectrum, shape)[at]
+
+        n += np.bincount(to, np.rint(product(fa[0, 0] * fb[0, 0])), minlength=bins)
+        g += np.bincount(to, product(0.5 * (fa[0, 0] * fb["zz"] + fa["zz"] * fb[0, 0]) - fa["z"] * fb["z"]), minlength=bins)
+        far = slopes(di[at[1]].astype(float), dj[at[0]].astype(float))
+        for p, r in powers:
+            spectrum = sum(math.comb(p, e) * math.comb(r, f) * (-1) ** (e + f) * fa[e, f] * fb[p - e, r - f]
+                           for e in range(p + 1) for f in range(r + 1))
+            d += np.bincount(to, product(spectrum) * far[p, r], minlength=bins) * cell
+
+        # cells on an edge of a bin: runs of columns in each row, so partners lie side by side
+        del fa, fb, far
+        begin = np.concatenate([[0], np.cumsum(np.bincount((gy[lb] - by) * cols_b + gx[lb] - bx, minlength=rows_b * cols_b))])
+        for step in range(max(by - ay2, -fine - 1, 0 if inside else -fine - 1), min(by2 - ay, fine + 1) + 1):
+            row = gy[la] + step - by
+            mine = (row >= 0) & (row < rows_b)
+            if not mine.any():
+                continue
+            i, row = la[mine], row[mine]
+            column = gx[i] - bx
+            across = np.arange(-fine - 1, fine + 2)
+            open_ = kinds(across, np.full(len(across), step)) == -1
+            if inside and step == 0:
+                open_ &= across > 0
+                first = begin[row * cols_b + column]
+                ranges(i, first, begin[row * cols_b + column + 1] - first, 0.5)
+            edges = np.flatnonzero(np.diff(np.concatenate([[False], open_, [False]]).astype(np.int8)))
+            for lo, hi in zip(edges[::2], edges[1::2], strict=True):
+                one = np.clip(column + across[lo], 0, cols_b)
+                two = np.clip(column + across[hi - 1] + 1, 0, cols_b)
+                first = begin[row * cols_b + one]
+                ranges(i, first, begin[row * cols_b + two] - first)
+        return result()
+
+    # few bytes hold much work: a number of tasks of its own, which is not lowered by size
+    tasks = max(int(pts.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(size["n"] // 2000, 2000))
+    parts = left.unionByName(right).repartition(tasks, "pair").groupBy("pair").applyInPandas(sums, "bin int, n long, d double, g double, bad boolean")
+    total = parts.groupBy("bin").agg(F.sum("n").alias("n"), F.sum("d").alias("d"), F.sum("g").alias("g"), F.max("bad").alias("bad"))
+    gamma = F.when(F.col("bad"), F.lit(math.nan)).otherwise(F.col("g") / F.col("n"))
+    return total.where("n > 0").select("bin", "n", (F.col("d") / F.col("n")).alias("distance"), gamma.alias("gamma"))
 
 
 def fit_point_variogram(binned: DataFrame, nuggets: Sequence[float], sills: Sequence[float],

@@ -426,6 +426,50 @@ def test_variogram_of_a_crowded_cell(spark, block):
         assert r["n"] == inside.sum() and r["gamma"] == pytest.approx(g[inside].mean())
 
 
+@pytest.mark.parametrize("block", [5, 2000])
+def test_variogram_by_cells_counts_every_pair(spark, block):
+    """Enough points for fine cells: same pairs, distances and differences as all pairs one by one."""
+    rng = np.random.default_rng(6)
+    p = np.vstack([rng.normal(size=(3000, 3)) * 0.125, rng.normal(size=(50, 3))])
+    p[:200] = p[200:400]
+    p[:, 2] += 1000
+    got = rg.sample_variogram(frame(spark, x=p[:, 0], y=p[:, 1], z=p[:, 2]), 0.05, 0.25, block=block).toPandas().sort_values("bin")
+    i, j = np.triu_indices(len(p), 1)
+    h = np.sqrt(((p[i, :2] - p[j, :2]) ** 2).sum(1))
+    inside = h < 0.25
+    at, g = np.minimum((h[inside] / 0.05).astype(int), 4), 0.5 * (p[i, 2] - p[j, 2])[inside] ** 2
+    n = np.bincount(at)
+    assert got["n"].tolist() == n.tolist()
+    assert got["distance"].to_numpy() == pytest.approx(np.bincount(at, h[inside]) / n, rel=1e-10)
+    assert got["gamma"].to_numpy() == pytest.approx(np.bincount(at, g) / n, rel=1e-9)
+
+
+def test_variogram_groups_do_not_follow_the_square(spark, monkeypatch):
+    """Four times the points of a cell do not mean sixteen times the points that are sent to pairs of strips."""
+    rows = []
+    frames = type(spark.range(1).groupBy("id"))
+    whole = frames.applyInPandas
+
+    def counted(self, func, schema):
+        rows.append(self._df.count())
+        return whole(self, func, schema)
+
+    monkeypatch.setattr(frames, "applyInPandas", counted)
+    rng = np.random.default_rng(7)
+    for size in (2000, 8000):
+        p = rng.random((size, 3)) * 0.2
+        rg.sample_variogram(frame(spark, x=p[:, 0], y=p[:, 1], z=p[:, 2]), 0.05, 0.25, block=20)
+    assert rows[1] < 10 * rows[0]
+
+
+def test_variogram_of_unknown_values(spark):
+    """A point without a place has no pairs; one without a value spoils only the bins of its pairs."""
+    x, y = [0.0, 1.5, 9.0, math.nan, math.inf, 9.2], [0.0] * 6
+    rows = list(zip(x, y, [1.0, 3.0, math.nan, 1.0, 1.0, 1.0], strict=True))
+    got = rg.sample_variogram(spark.createDataFrame(rows, "x double, y double, z double"), 1.0, 2.0).toPandas().set_index("bin")
+    assert got["n"].to_dict() == {0: 1, 1: 1} and got["gamma"][1] == 2.0 and math.isnan(got["gamma"][0])
+
+
 def test_variogram_of_equal_points(spark):
     x, z = [0.0] * 9 + [1.5], [1.0] * 9 + [3.0]
     got = rg.sample_variogram(frame(spark, x=x, y=[0.0] * 10, z=z), 1.0, 2.0, block=3).toPandas().set_index("bin")
