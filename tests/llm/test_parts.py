@@ -4,6 +4,7 @@ import itertools
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -116,6 +117,69 @@ def test_hot_shards_are_bounded(spark, monkeypatch):
     assert max(sizes) <= 4000 and sum(map(len, texts)) > 10 * 4000
 
 
+def test_common_lengths():
+    """Zeros of the text count, zeros past its end do not, and what is known need not be compared."""
+    rng = random.Random(15)
+    for _ in range(200):
+        base = [rng.choice([0, 0, 1, 255]) for _ in range(rng.randint(1, 30))]
+        text = np.array(base * rng.randint(1, 3) + [0] * rng.randint(1, 10), np.uint8)
+        a, b = (np.array([rng.randrange(len(text)) for _ in range(40)]) for _ in range(2))
+        plain = [next((k for k in range(20) if max(x, y) + k >= len(text) or text[x + k] != text[y + k]), 20) for x, y in zip(a, b)]
+        words = induced.words_at(text)
+        assert induced.common(words, a, b, 20).tolist() == plain
+        assert induced.common(words, a, b, 20, np.array([rng.randint(0, n) for n in plain])).tolist() == plain
+
+
+def test_only_fragments_that_share_a_mark_are_sorted(monkeypatch):
+    rng, sorted_ = random.Random(16), []
+    monkeypatch.setattr(suffix_dedup, "suffix_order", lambda text, *rest, plain=suffix_dedup.suffix_order: sorted_.append(len(text)) or plain(text, *rest))
+    passage = bytes(rng.choice(b"abcdef") for _ in range(45))
+    texts = [b"x" + passage, b"yy" + passage, *(bytes(rng.choice(b"ghijkl") for _ in range(60)) for _ in range(50))]
+    rows = [(k, [0], t) for k, t in enumerate(texts)] + [(9, [5], texts[7])]
+    mark = [1, 1, *range(2, 52), 7]
+    batch = pa.RecordBatch.from_arrays([pa.array(mark), pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows]), pa.array([r[2] for r in rows])],
+                                       names=["mark", "place", "firsts", "fragment"])
+    (found, of, dealt), = suffix_dedup.shards([batch.take(pa.array(np.argsort(mark, kind="stable")))], 1 << 20)
+    hits = dict(zip(found, suffix_dedup.repeats(found, of, np.bincount([r[2] for r in dealt]), 40)))
+    assert sorted_ == [len(texts[0]) + len(texts[1]) + 2]
+    assert hits[texts[0]].tolist() == [False] + [True] * 6 and hits[texts[1]].tolist() == [False] * 2 + [True] * 6
+    assert all(hits[t].tolist() == [t == texts[7]] * 21 for t in texts[2:])
+
+
+def test_only_texts_of_hot_marks_are_cut_again(spark, monkeypatch):
+    from test_contracts import plain_spans
+
+    rng, cut = random.Random(17), []
+    passage = "".join(rng.choice("abcdefgh") for _ in range(45))
+    texts = ["".join(rng.choice("ab") for _ in range(60)) + passage + "".join(rng.choice("ab") for _ in range(60)) for _ in range(60)]
+    texts += ["".join(rng.choice("mnopqrst") for _ in range(100)) for _ in range(50)] * 2
+    docs = spark.createDataFrame(list(enumerate(texts)), "place long, text string")
+    monkeypatch.setattr(suffix_dedup, "fragments", lambda found, length, plain=suffix_dedup.fragments: cut.append(sorted(r.place for r in found.select("place").collect())) or plain(found, length))
+    got = {r.place: r for r in suffix_dedup.deduplicate(docs, length=40, gram=8, shard=2000).collect()}
+    for k, (n, gone, runs, _) in enumerate(plain_spans(texts, 40)):
+        spans = got[k].spans if k in got else []
+        assert (sum(s.stop - s.begin for s in spans), len(spans)) == (gone, runs)
+    assert len(cut) == 2 and cut[1] and max(cut[1]) < 60 and len(cut[0]) >= 100
+
+
+def test_marks_travel_in_few_batches():
+    rng, seen = random.Random(18), []
+    texts = ["".join(rng.choice("abcdefgh") for _ in range(100)) for _ in range(200)]
+
+    class Docs:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            return run([pa.RecordBatch.from_arrays([pa.array(range(200)), pa.array(texts)], names=["place", "text"])])
+
+    seen = list(suffix_dedup.marks(Docs(), 40, 8))
+    assert len(seen) == 1 and seen[0].column("place").to_pylist() == sorted(seen[0].column("place").to_pylist())
+    find, rows = suffix_dedup.Marks(40, 8), seen[0].to_pylist()
+    plain = {(int(m.view(np.int64)), k, int(a), int(b)) for k, t in enumerate(texts) for m, a, b in zip(*find(t.encode()))}
+    assert {(r["mark"], r["place"], a, b) for r in rows for a, b in zip(r["firsts"], r["lasts"])} == plain
+
+
 def test_matches_of_the_test_set():
     rng, names = random.Random(5), [b"a", b"b", b"c", b"d"]
     for _ in range(200):
